@@ -64,35 +64,19 @@ def append_schedules(schedules: DataFrame, routes: DataFrame, rows: DataFrame) -
 
 
 # SNK2 (+SNK3): INSERT IGNORE -- rows whose unique key exists are skipped;
-# among new rows with one key the first by ``order`` wins.
+# among new rows with one key the first by ``order`` (a total order) wins.
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str],
                   order: Sequence[Column | str]) -> Mutation:
     keys = list(keys)
-    firsts = pick_per_key(rows, keys, order, last=False)
-    new = _key_join(firsts, target.select(*keys), keys, "left_anti")
-    table = target.unionByName(new.select(*target.columns), allowMissingColumns=False)
-    tag = new.select(*[F.col(k).alias("_n_" + k) for k in keys]).withColumn("_new", F.lit(1))
-    cond = None
-    for k in keys:
-        e = rows[k] == tag["_n_" + k]
-        cond = e if cond is None else cond & e
-    # a row is inserted iff it is its key's first row and the key was new
-    first_ids = firsts.select(*keys, *[F.col(c).alias("_f_" + c) for c in rows.columns
-                                      if c not in keys])
-    fcond = None
-    for k in keys:
-        e = rows[k] == first_ids[k]
-        fcond = e if fcond is None else fcond & e
-    for c in rows.columns:
-        if c not in keys:
-            e = rows[c].eqNullSafe(first_ids["_f_" + c])
-            fcond = fcond & e
-    o = (rows.join(tag, cond, "left")
-         .join(first_ids.withColumn("_first", F.lit(1)).select("_first", *first_ids.columns),
-               fcond, "left"))
-    outcomes = o.select(*[rows[c] for c in rows.columns],
-                        F.when(F.col("_new").isNotNull() & F.col("_first").isNotNull(), "inserted")
-                         .otherwise("ignored").alias("outcome"))
+    ordk = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    firsts = rows.groupBy(*keys).agg(F.min(ordk).alias("_first"))
+    fresh = _key_join(firsts, target.select(*keys), keys, "left_anti")
+    j = _key_join(rows.withColumn("_ord", ordk), fresh, keys, "left")
+    ins = F.col("_first").isNotNull() & (F.col("_ord") == F.col("_first"))
+    outcomes = j.select(*[rows[c] for c in rows.columns],
+                        F.when(ins, "inserted").otherwise("ignored").alias("outcome"))
+    new = j.where(ins).select(*[F.col(c) for c in target.columns if c in rows.columns])
+    table = target.unionByName(new, allowMissingColumns=True)
     return Mutation(table, outcomes)
 
 

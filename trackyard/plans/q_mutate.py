@@ -1 +1,326 @@
-"""Registered queries."""
+"""Registered mutation queries (SNK1-SNK13) over request tables derived
+from the driver tables."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from trackyard.operators import filters as FL
+from trackyard.operators import mutate as MU
+from trackyard.plans.registry import query
+from trackyard.sources import requests as RQ
+from trackyard.sources.tables import AS_OF
+
+TOKEN_AS_OF = dt.datetime(2024, 1, 20)
+
+_CANCEL_REQ = """
+, req AS (
+  SELECT concat('C1-', booking_ref) AS request_id, booking_ref, created_at + INTERVAL 1 DAY AS ts, CAST(NULL AS VARCHAR) AS reason FROM bookings
+  UNION ALL SELECT concat('C2-', booking_ref), booking_ref, created_at + INTERVAL 2 DAY, 'repeat' FROM bookings WHERE payment_method = 'cash'
+  UNION ALL SELECT concat('CE-', CAST(event_id AS VARCHAR)), concat('BK-E', CAST(event_id AS VARCHAR)), ts, event_type FROM events
+), ranked AS (
+  SELECT req.*, row_number() OVER (PARTITION BY req.booking_ref ORDER BY req.ts, req.request_id) AS rn FROM req
+), res AS (
+  SELECT r.request_id, r.booking_ref, r.ts, b.schedule_id,
+         CASE WHEN b.booking_ref IS NULL THEN 'not_found'
+              WHEN b.booking_status = 'cancelled' THEN 'already_cancelled'
+              WHEN b.booking_status = 'completed' THEN 'refused_completed'
+              WHEN r.rn = 1 THEN 'cancelled' ELSE 'already_cancelled' END AS outcome
+  FROM ranked r LEFT JOIN bookings b ON b.booking_ref = r.booking_ref
+)
+"""
+
+
+def _cancel(t):
+    return MU.cancel_bookings(t.bookings, RQ.cancel_requests(t))
+
+
+@query("cancel_bookings", _CANCEL_REQ + "SELECT * FROM res")
+def cancel_bookings(t):
+    """SNK12: cancel requests -> outcome per request (first live request wins)."""
+    return _cancel(t).outcomes
+
+
+@query("bookings_after_cancel", _CANCEL_REQ + """
+SELECT CASE WHEN c.booking_ref IS NOT NULL THEN 'cancelled' ELSE b.booking_status END AS booking_status,
+       CASE WHEN c.booking_ref IS NOT NULL THEN 'refunded' ELSE b.payment_status END AS payment_status,
+       COUNT(*) AS bookings, COUNT(c.booking_ref) AS cancelled_now
+FROM bookings b LEFT JOIN (SELECT booking_ref FROM res WHERE outcome = 'cancelled') c ON c.booking_ref = b.booking_ref
+GROUP BY 1, 2
+""")
+def bookings_after_cancel(t):
+    """SNK12: the new bookings snapshot, counted by status pair."""
+    tb = _cancel(t).table
+    return tb.groupBy("booking_status", "payment_status").agg(
+        F.count(F.lit(1)).alias("bookings"), F.count("cancelled_at").alias("cancelled_now"))
+
+
+@query("schedules_after_cancel", _CANCEL_REQ + """
+, d AS (SELECT schedule_id, COUNT(*) AS n FROM res WHERE outcome = 'cancelled' GROUP BY 1)
+SELECT s.id, s.available_seats + COALESCE(d.n, 0) AS available_seats
+FROM schedules s LEFT JOIN d ON d.schedule_id = s.id
+""")
+def schedules_after_cancel(t):
+    """SNK8: seat counters +1 per cancelled booking."""
+    return MU.apply_deltas(t.schedules, _cancel(t).deltas).select("id", "available_seats")
+
+
+_SIGNUPS = """
+, rows AS (
+  SELECT concat('customer#', lpad(CAST(user_id * 13 AS VARCHAR), 9, '0'), '@example.com') AS email,
+         concat('10', lpad(CAST(user_id * 7 AS VARCHAR), 8, '0')) AS national_id, ts, event_id
+  FROM events WHERE event_type = 'signup'
+)
+"""
+
+
+def _signups(t):
+    e = t.events.where(F.col("event_type") == "signup")
+    return e.select(
+        F.concat(F.lit("customer#"), F.lpad((F.col("user_id") * 13).cast("string"), 9, "0"),
+                 F.lit("@example.com")).alias("email"),
+        F.concat(F.lit("10"), F.lpad((F.col("user_id") * 7).cast("string"), 8, "0"))
+         .alias("national_id"), "ts", "event_id")
+
+
+@query("insert_ignore_users", _SIGNUPS + """
+, f AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY ts, event_id) AS rn FROM rows)
+SELECT email, national_id, ts, event_id,
+       CASE WHEN rn = 1 AND NOT EXISTS (SELECT 1 FROM users u WHERE u.email = f.email) THEN 'inserted' ELSE 'ignored' END AS outcome
+FROM f
+""")
+def insert_ignore_users(t):
+    """SNK2: sign-ups inserted unless the e-mail exists; first sign-up per e-mail wins."""
+    return MU.insert_ignore(t.users, _signups(t), ["email"], ["ts", "event_id"]).outcomes
+
+
+@query("users_after_insert_ignore", _SIGNUPS + """
+, f AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY ts, event_id) AS rn FROM rows)
+SELECT COUNT(*) AS users, COUNT(DISTINCT email) AS emails FROM (
+  SELECT email FROM users
+  UNION ALL SELECT email FROM f WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM users u WHERE u.email = f.email)
+)
+""")
+def users_after_insert_ignore(t):
+    """SNK2: the new users snapshot keeps e-mails unique."""
+    tb = MU.insert_ignore(t.users, _signups(t), ["email"], ["ts", "event_id"]).table
+    return tb.agg(F.count(F.lit(1)).alias("users"), F.countDistinct("email").alias("emails"))
+
+
+@query("find_or_create_users", _SIGNUPS + """
+SELECT DISTINCT r.national_id, u.id IS NULL AS created, COALESCE(u.email, concat(r.national_id, '@nafath.sa')) AS email
+FROM rows r LEFT JOIN users u ON u.national_id = r.national_id
+""")
+def find_or_create_users(t):
+    """SNK5: national ids resolved to users; unknown ones get a new passenger."""
+    users2, _, mapping = MU.find_or_create(t.users, t.user_permissions, _signups(t))
+    u = users2.select(F.col("id").alias("_uid"), "email")
+    return mapping.join(u, mapping.user_id == u["_uid"]).select("national_id", "created", "email")
+
+
+@query("upsert_permissions", """
+, rows AS (
+  SELECT e.user_id, CASE WHEN u.role IN ('admin', 'staff') THEN 1 ELSE 0 END AS can_schedules, 1 AS can_bookings,
+         CASE WHEN u.role = 'admin' THEN 1 ELSE 0 END AS can_routes, e.ts, e.event_id
+  FROM events e JOIN users u ON u.id = e.user_id
+), src AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM rows) WHERE rn = 1
+)
+SELECT COALESCE(t.user_id, s.user_id) AS user_id,
+       CASE WHEN s.user_id IS NOT NULL THEN s.can_schedules ELSE t.can_schedules END AS can_schedules,
+       CASE WHEN s.user_id IS NOT NULL THEN s.can_bookings ELSE t.can_bookings END AS can_bookings,
+       CASE WHEN s.user_id IS NOT NULL THEN s.can_routes ELSE t.can_routes END AS can_routes
+FROM user_permissions t FULL OUTER JOIN src s ON s.user_id = t.user_id
+""")
+def upsert_permissions(t):
+    """SNK4: permission rows upserted by user_id (last row per user wins)."""
+    rows = RQ.permission_rows(t)
+    return MU.upsert(t.user_permissions, rows, ["user_id"],
+                     ["can_schedules", "can_bookings", "can_routes"], ["ts", "event_id"])
+
+
+_PATCHES = """
+, p AS (
+  SELECT event_id // 2 AS id,
+         CASE WHEN event_type = 'error' THEN 'cancelled' WHEN event_type = 'purchase' THEN 'active' ELSE '' END AS status,
+         CAST(CASE WHEN event_type = 'view' THEN 0 END AS INT) AS total_seats,
+         CASE WHEN event_type IN ('click', 'error') THEN CAST(floor(value) AS INT) END AS delay_minutes,
+         event_type IN ('click', 'error') AS has_delay_minutes, ts, event_id
+  FROM events
+), ls AS (SELECT id, status FROM (SELECT id, status, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) rn
+                                  FROM p WHERE status IS NOT NULL AND status <> '') WHERE rn = 1),
+lt AS (SELECT id, total_seats FROM (SELECT id, total_seats, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) rn
+                                    FROM p WHERE total_seats IS NOT NULL AND total_seats <> 0) WHERE rn = 1),
+ld AS (SELECT id, delay_minutes FROM (SELECT id, delay_minutes, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) rn
+                                      FROM p WHERE has_delay_minutes) WHERE rn = 1)
+"""
+
+
+def _patch(t):
+    e = t.events
+    et = F.col("event_type")
+    p = e.select(
+        F.floor(F.col("event_id") / 2).cast("bigint").alias("id"),
+        F.when(et == "error", "cancelled").when(et == "purchase", "active").otherwise("")
+         .alias("status"),
+        F.when(et == "view", 0).cast("int").alias("total_seats"),
+        F.when(et.isin("click", "error"), F.floor("value").cast("int")).alias("delay_minutes"),
+        et.isin("click", "error").alias("has_delay_minutes"), "ts", "event_id")
+    return MU.patch(t.schedules, p, ["id"], falsy_keeps=["status", "total_seats"],
+                    present_wins=["delay_minutes"], order=["ts", "event_id"])
+
+
+@query("patch_schedules", _PATCHES + """
+SELECT s.id, s.train_id, COALESCE(lt.total_seats, s.total_seats) AS total_seats, s.available_seats,
+       COALESCE(ls.status, s.status) AS status,
+       CASE WHEN ld.id IS NOT NULL THEN ld.delay_minutes ELSE s.delay_minutes END AS delay_minutes
+FROM schedules s LEFT JOIN ls ON ls.id = s.id LEFT JOIN lt ON lt.id = s.id LEFT JOIN ld ON ld.id = s.id
+""")
+def patch_schedules(t):
+    """SNK6/SNK7: falsy-keeps (status, total_seats) and present-wins (delay) patches."""
+    return _patch(t).table.select("id", "train_id", "total_seats", "available_seats", "status",
+                                  "delay_minutes")
+
+
+@query("patch_outcomes", _PATCHES + """
+SELECT p.id, COUNT(*) AS patches, CASE WHEN s.id IS NULL THEN 'not_found' ELSE 'updated' END AS outcome
+FROM p LEFT JOIN schedules s ON s.id = p.id GROUP BY p.id, s.id
+""")
+def patch_outcomes(t):
+    """SNK6/SNK7: one outcome per patched key."""
+    return _patch(t).outcomes
+
+
+@query("delete_schedules", """
+, req AS (SELECT id FROM schedules UNION SELECT -event_id - 1 FROM events),
+per AS (SELECT schedule_id, COUNT(CASE WHEN booking_status <> 'cancelled' THEN 1 END) AS active, COUNT(*) AS anyb
+        FROM bookings GROUP BY 1)
+SELECT req.id, CASE WHEN s.id IS NULL THEN 'not_found'
+                    WHEN COALESCE(per.active, 0) > 0 THEN 'has_active_bookings'
+                    WHEN COALESCE(per.anyb, 0) > 0 THEN 'fk_restricted' ELSE 'deleted' END AS outcome
+FROM req LEFT JOIN schedules s ON s.id = req.id LEFT JOIN per ON per.schedule_id = req.id
+""")
+def delete_schedules(t):
+    """SNK9: guarded hard delete of every schedule (plus unknown ids)."""
+    ids = t.schedules.select("id").unionByName(
+        t.events.select((-F.col("event_id") - 1).alias("id")))
+    return MU.delete_schedules(t.schedules, t.bookings, ids).outcomes
+
+
+@query("deactivate_routes", """
+, req AS (SELECT id FROM routes UNION SELECT id + 1000000 FROM routes)
+SELECT req.id, CASE WHEN r.id IS NULL THEN 'not_found'
+                    WHEN EXISTS (SELECT 1 FROM schedules s WHERE s.route_id = req.id AND s.travel_date >= DATE '1998-06-15') THEN 'has_upcoming_schedules'
+                    ELSE 'deactivated' END AS outcome
+FROM req LEFT JOIN routes r ON r.id = req.id
+""")
+def deactivate_routes(t):
+    """SNK10: soft delete refused while any schedule is on/after as_of."""
+    ids = t.routes.select("id").unionByName(t.routes.select((F.col("id") + 1000000).alias("id")))
+    return MU.deactivate_routes(t.routes, t.schedules, ids, AS_OF).outcomes
+
+
+_DEACT = """
+, req AS (SELECT user_id AS id, CASE WHEN event_type = 'error' THEN user_id ELSE CAST(0 AS BIGINT) END AS actor_id FROM events
+          WHERE event_type IN ('error', 'view'))
+"""
+
+
+def _deactivate(t):
+    e = t.events.where(F.col("event_type").isin("error", "view"))
+    req = e.select(F.col("user_id").alias("id"),
+                   F.when(F.col("event_type") == "error", F.col("user_id"))
+                    .otherwise(F.lit(0).cast("bigint")).alias("actor_id"))
+    return MU.deactivate_users(t.users, req)
+
+
+@query("deactivate_users", _DEACT + """
+SELECT req.id, req.actor_id, CASE WHEN req.id = req.actor_id THEN 'refused_self'
+                                  WHEN u.id IS NULL THEN 'not_found' ELSE 'deactivated' END AS outcome
+FROM req LEFT JOIN users u ON u.id = req.id
+""")
+def deactivate_users(t):
+    """SNK11: users set inactive, never the acting user."""
+    return _deactivate(t).outcomes
+
+
+@query("users_after_deactivate", _DEACT + """
+SELECT CASE WHEN u.id IN (SELECT id FROM req WHERE id <> actor_id) THEN 'inactive' ELSE u.status END AS status,
+       COUNT(*) AS users
+FROM users u GROUP BY 1
+""")
+def users_after_deactivate(t):
+    """SNK11: the new users snapshot by status."""
+    return _deactivate(t).table.groupBy("status").agg(F.count(F.lit(1)).alias("users"))
+
+
+_TOKENS = """
+, tokens AS (SELECT concat('tok-', CAST(event_id AS VARCHAR)) AS token, user_id, ts AS created_at,
+                    ts + INTERVAL 30 DAY AS expires_at FROM events)
+"""
+
+
+@query("live_sessions", _TOKENS + """
+SELECT t.* FROM tokens t
+WHERE t.expires_at > TIMESTAMP '2024-01-20' AND EXISTS (SELECT 1 FROM users u WHERE u.id = t.user_id AND u.status = 'active')
+""")
+def live_sessions(t):
+    """FLT12: unexpired tokens of active users (semi join)."""
+    return FL.live_sessions(RQ.tokens(t), t.users, TOKEN_AS_OF)
+
+
+@query("purge_sessions", _TOKENS + """
+SELECT t.* FROM tokens t
+WHERE t.expires_at > TIMESTAMP '2024-01-20'
+  AND t.token NOT IN (SELECT concat('tok-', CAST(event_id AS VARCHAR)) FROM events WHERE event_type = 'click')
+""")
+def purge_sessions(t):
+    """SNK13: drop expired tokens and tokens logged out (by key)."""
+    tok = MU.purge_expired(RQ.tokens(t), TOKEN_AS_OF)
+    out = t.events.where(F.col("event_type") == "click").select(
+        F.concat(F.lit("tok-"), F.col("event_id").cast("string")).alias("token"))
+    return MU.delete_by_key(tok, out, ["token"])
+
+
+_NEW_TRIPS = """
+, rows AS (SELECT 1000000 + event_id AS id, concat('IR-N', CAST(event_id AS VARCHAR)) AS train_id, user_id AS route_id,
+                  '08:00:00' AS departure_time, '11:00:00' AS arrival_time, CAST(ts AS DATE) AS travel_date,
+                  CAST(8 + 4 * (event_id % 5) AS INT) AS total_seats, 'Economy' AS class
+           FROM events WHERE event_type = 'signup')
+"""
+
+
+def _append(t):
+    e = t.events.where(F.col("event_type") == "signup")
+    rows = e.select((F.col("event_id") + 1000000).alias("id"),
+                    F.concat(F.lit("IR-N"), F.col("event_id").cast("string")).alias("train_id"),
+                    F.col("user_id").alias("route_id"),
+                    F.lit("08:00:00").alias("departure_time"), F.lit("11:00:00").alias("arrival_time"),
+                    F.to_date("ts").alias("travel_date"),
+                    (8 + 4 * (F.col("event_id") % 5)).cast("int").alias("total_seats"),
+                    F.lit("Economy").alias("class"))
+    return MU.append_schedules(t.schedules, t.routes, rows)
+
+
+@query("append_schedules", _NEW_TRIPS + """
+SELECT rows.id, rows.route_id,
+       CASE WHEN EXISTS (SELECT 1 FROM routes r WHERE r.id = rows.route_id AND r.active = 1) THEN 'created'
+            ELSE 'route_not_found_or_inactive' END AS outcome
+FROM rows
+""")
+def append_schedules(t):
+    """SNK1/DQ9: new trips need an existing active route."""
+    return _append(t).outcomes
+
+
+@query("schedules_after_append", _NEW_TRIPS + """
+SELECT status, COUNT(*) AS trips, CAST(SUM(available_seats) AS BIGINT) AS seats FROM (
+  SELECT status, available_seats FROM schedules
+  UNION ALL SELECT 'scheduled', total_seats FROM rows
+  WHERE EXISTS (SELECT 1 FROM routes r WHERE r.id = rows.route_id AND r.active = 1)
+) GROUP BY status
+""")
+def schedules_after_append(t):
+    """SNK1: new trips start 'scheduled' with available = total seats."""
+    return _append(t).table.groupBy("status").agg(
+        F.count(F.lit(1)).alias("trips"), F.sum("available_seats").cast("bigint").alias("seats"))
