@@ -1 +1,204 @@
-"""Registered queries."""
+"""Registered data-quality queries (DQ1-DQ9)."""
+
+from pyspark.sql import functions as F
+
+from trackyard.operators import quality as Q
+from trackyard.plans.registry import query
+from trackyard.sources import requests as RQ
+from trackyard.sources.schema import DOMAINS, MAX_LENGTH, NOT_NULL
+
+
+@query("dq_unique", """
+SELECT 'unique' AS "check", 'users' AS table_name, 'email' AS column_name, email AS value, COUNT(*) AS rows FROM users WHERE email IS NOT NULL GROUP BY email HAVING COUNT(*) > 1
+UNION ALL SELECT 'unique', 'users', 'national_id', national_id, COUNT(*) FROM users WHERE national_id IS NOT NULL GROUP BY national_id HAVING COUNT(*) > 1
+UNION ALL SELECT 'unique', 'stations', 'code', code, COUNT(*) FROM stations GROUP BY code HAVING COUNT(*) > 1
+UNION ALL SELECT 'unique', 'routes', 'route_code', route_code, COUNT(*) FROM routes GROUP BY route_code HAVING COUNT(*) > 1
+UNION ALL SELECT 'unique', 'bookings', 'booking_ref', booking_ref, COUNT(*) FROM bookings GROUP BY booking_ref HAVING COUNT(*) > 1
+UNION ALL SELECT 'unique', 'bookings', 'seat_key', concat(CAST(schedule_id AS VARCHAR), '/', seat_number), COUNT(*) FROM bookings
+          WHERE booking_status IN ('confirmed', 'pending') GROUP BY schedule_id, seat_number HAVING COUNT(*) > 1
+UNION ALL SELECT 'unique', 'user_permissions', 'user_id', CAST(user_id AS VARCHAR), COUNT(*) FROM user_permissions GROUP BY user_id HAVING COUNT(*) > 1
+""")
+def dq_unique(t):
+    """DQ1: duplicate values of declared unique keys (plus live seat holders)."""
+    live = t.bookings.where(F.col("booking_status").isin("confirmed", "pending")).select(
+        F.concat(F.col("schedule_id").cast("string"), F.lit("/"), "seat_number").alias("seat_key"))
+    return Q.union_all([
+        Q.unique_violations(t.users, "users", ["email", "national_id"]),
+        Q.unique_violations(t.stations, "stations", ["code"]),
+        Q.unique_violations(t.routes, "routes", ["route_code"]),
+        Q.unique_violations(t.bookings, "bookings", ["booking_ref"]),
+        Q.unique_violations(live, "bookings", ["seat_key"]),
+        Q.unique_violations(t.user_permissions, "user_permissions", ["user_id"])])
+
+
+@query("dq_foreign_keys", """
+SELECT 'foreign_key' AS "check", 'bookings' AS table_name, 'user_id' AS column_name, CAST(user_id AS VARCHAR) AS value, COUNT(*) AS rows
+FROM bookings WHERE user_id NOT IN (SELECT id FROM users) GROUP BY user_id
+UNION ALL SELECT 'foreign_key', 'bookings', 'schedule_id', CAST(schedule_id AS VARCHAR), COUNT(*) FROM bookings
+          WHERE schedule_id NOT IN (SELECT id FROM schedules) GROUP BY schedule_id
+UNION ALL SELECT 'foreign_key', 'schedules', 'route_id', CAST(route_id AS VARCHAR), COUNT(*) FROM schedules
+          WHERE route_id NOT IN (SELECT id FROM routes) GROUP BY route_id
+UNION ALL SELECT 'foreign_key', 'routes', 'from_station_id', CAST(from_station_id AS VARCHAR), COUNT(*) FROM routes
+          WHERE from_station_id NOT IN (SELECT id FROM stations) GROUP BY from_station_id
+UNION ALL SELECT 'foreign_key', 'routes', 'to_station_id', CAST(to_station_id AS VARCHAR), COUNT(*) FROM routes
+          WHERE to_station_id NOT IN (SELECT id FROM stations) GROUP BY to_station_id
+UNION ALL SELECT 'foreign_key', 'user_permissions', 'user_id', CAST(user_id AS VARCHAR), COUNT(*) FROM user_permissions
+          WHERE user_id NOT IN (SELECT id FROM users) GROUP BY user_id
+UNION ALL SELECT 'foreign_key', 'bookings_after_purge', 'user_id', CAST(b.user_id AS VARCHAR), COUNT(*)
+          FROM bookings b WHERE b.user_id NOT IN (SELECT id FROM users WHERE status = 'active') GROUP BY b.user_id
+""")
+def dq_foreign_keys(t):
+    """DQ2: orphan child rows for the declared foreign keys; the last check
+    shows the rows a delete of inactive users would orphan."""
+    active = t.users.where(F.col("status") == "active")
+    return Q.union_all([
+        Q.orphan_rows(t.bookings, "bookings", "user_id", t.users),
+        Q.orphan_rows(t.bookings, "bookings", "schedule_id", t.schedules),
+        Q.orphan_rows(t.schedules, "schedules", "route_id", t.routes),
+        Q.orphan_rows(t.routes, "routes", "from_station_id", t.stations),
+        Q.orphan_rows(t.routes, "routes", "to_station_id", t.stations),
+        Q.orphan_rows(t.user_permissions, "user_permissions", "user_id", t.users),
+        Q.orphan_rows(t.bookings, "bookings_after_purge", "user_id", active)])
+
+
+@query("fk_cascade_permissions", """
+SELECT p.* FROM user_permissions p WHERE p.user_id NOT IN (SELECT id FROM users WHERE status = 'inactive')
+""")
+def fk_cascade_permissions(t):
+    """DQ2: ON DELETE CASCADE of permissions when inactive users are deleted."""
+    gone = t.users.where(F.col("status") == "inactive")
+    return Q.fk_effects(gone, t.user_permissions, "user_id", "cascade")
+
+
+@query("fk_restrict_bookings", """
+SELECT COUNT(*) AS blocking_bookings, COUNT(DISTINCT user_id) AS blocked_users
+FROM bookings WHERE user_id IN (SELECT id FROM users WHERE status = 'inactive')
+""")
+def fk_restrict_bookings(t):
+    """DQ2: bookings that RESTRICT deleting inactive users."""
+    gone = t.users.where(F.col("status") == "inactive")
+    r = Q.fk_effects(gone, t.bookings, "user_id", "restrict")
+    return r.agg(F.count(F.lit(1)).alias("blocking_bookings"),
+                 F.countDistinct("user_id").alias("blocked_users"))
+
+
+@query("dq_domains", """
+SELECT 'domain' AS "check", 'users' AS table_name, 'role' AS column_name, role AS value, COUNT(*) AS rows FROM users
+WHERE role NOT IN ('admin', 'staff', 'passenger') GROUP BY role
+UNION ALL SELECT 'domain', 'users', 'status', status, COUNT(*) FROM users WHERE status NOT IN ('active', 'inactive', 'pending') GROUP BY status
+UNION ALL SELECT 'domain', 'schedules', 'class', class, COUNT(*) FROM schedules WHERE class NOT IN ('First Class', 'Economy', 'Student') GROUP BY class
+UNION ALL SELECT 'domain', 'schedules', 'status', status, COUNT(*) FROM schedules WHERE status NOT IN ('scheduled', 'active', 'delayed', 'cancelled') GROUP BY status
+UNION ALL SELECT 'domain', 'bookings', 'payment_method', payment_method, COUNT(*) FROM bookings WHERE payment_method NOT IN ('mada', 'visa', 'mastercard', 'apple_pay', 'cash') GROUP BY 4
+UNION ALL SELECT 'domain', 'bookings', 'payment_status', payment_status, COUNT(*) FROM bookings WHERE payment_status NOT IN ('pending', 'paid', 'refunded', 'failed') GROUP BY 4
+UNION ALL SELECT 'domain', 'bookings', 'booking_status', booking_status, COUNT(*) FROM bookings WHERE booking_status NOT IN ('confirmed', 'completed', 'cancelled', 'pending') GROUP BY 4
+UNION ALL SELECT 'domain', 'events', 'event_type', event_type, COUNT(*) FROM events WHERE event_type NOT IN ('view', 'click', 'purchase') GROUP BY 4
+""")
+def dq_domains(t):
+    """DQ3: values outside the declared enum domains (events checked against a
+    narrower domain to show violations)."""
+    return Q.union_all([
+        Q.domain_violations(t.users, "users", {k: v for k, v in DOMAINS["users"].items()
+                                               if k in ("role", "status")}),
+        Q.domain_violations(t.schedules, "schedules", DOMAINS["schedules"]),
+        Q.domain_violations(t.bookings, "bookings", DOMAINS["bookings"]),
+        Q.domain_violations(t.events, "events", {"event_type": ("view", "click", "purchase")})])
+
+
+@query("dq_nulls_lengths", """
+SELECT 'not_null' AS "check", 'users' AS table_name, 'email' AS column_name, CAST(NULL AS VARCHAR) AS value, COUNT(*) - COUNT(email) AS rows FROM users
+UNION ALL SELECT 'not_null', 'users', 'phone', NULL, COUNT(*) - COUNT(phone) FROM users
+UNION ALL SELECT 'not_null', 'users', 'national_id', NULL, COUNT(*) - COUNT(national_id) FROM users
+UNION ALL SELECT 'max_length', 'users', 'email', '255', COUNT(CASE WHEN length(email) > 255 THEN 1 END) FROM users
+UNION ALL SELECT 'max_length', 'users', 'last_name', '15', COUNT(CASE WHEN length(last_name) > 15 THEN 1 END) FROM users
+UNION ALL SELECT 'not_null', 'bookings', 'seat_number', NULL, COUNT(*) - COUNT(seat_number) FROM bookings
+UNION ALL SELECT 'max_length', 'bookings', 'booking_ref', '20', COUNT(CASE WHEN length(booking_ref) > 20 THEN 1 END) FROM bookings
+UNION ALL SELECT 'max_length', 'bookings', 'seat_number', '10', COUNT(CASE WHEN length(seat_number) > 10 THEN 1 END) FROM bookings
+""")
+def dq_nulls_lengths(t):
+    """DQ4: NULLs in NOT NULL columns (phone/national_id shown as nullable
+    contrast) and over-long strings (last_name against a 15-char limit)."""
+    return Q.union_all([
+        Q.null_and_length(t.users, "users", ["email", "phone", "national_id"],
+                          {"email": MAX_LENGTH["users"]["email"], "last_name": 15}),
+        Q.null_and_length(t.bookings, "bookings", ["seat_number"],
+                          {"booking_ref": MAX_LENGTH["bookings"]["booking_ref"],
+                           "seat_number": MAX_LENGTH["bookings"]["seat_number"]})])
+
+
+@query("dq_request_rules", """
+SELECT request_id, field, 'Invalid value' AS message FROM (
+  SELECT booking_ref AS request_id, 'scheduleId' AS field FROM bookings
+  WHERE created_at >= TIMESTAMP '1998-06-15' AND NOT (schedule_id >= 1)
+  UNION ALL SELECT booking_ref, 'seatNumber' FROM bookings
+  WHERE created_at >= TIMESTAMP '1998-06-15' AND NOT (seat_number IS NOT NULL AND length(seat_number) > 0 AND length(seat_number) <= 10)
+  UNION ALL SELECT booking_ref, 'paymentMethod' FROM bookings
+  WHERE created_at >= TIMESTAMP '1998-06-15' AND payment_method NOT IN ('mada', 'visa', 'mastercard', 'apple_pay', 'cash')
+)
+""")
+def dq_request_rules(t):
+    """DQ5: validator rules on incoming booking requests -> (request, field, message)."""
+    _, reqs = RQ.history_and_requests(t)
+    return Q.validate(reqs, "request_id", Q.booking_request_rules())
+
+
+@query("dq_schedule_rules", """
+SELECT id, field, 'Invalid value' AS message FROM (
+  SELECT 1000000 + event_id AS id, 'routeId' AS field FROM events WHERE event_type = 'signup' AND NOT (user_id >= 1)
+)
+""")
+def dq_schedule_rules(t):
+    """DQ5: validator rules on new schedule rows (time pattern, seats 1..1000, class ...)."""
+    e = t.events.where(F.col("event_type") == "signup")
+    rows = e.select((F.col("event_id") + 1000000).alias("id"),
+                    F.concat(F.lit("IR-N"), F.col("event_id").cast("string")).alias("train_id"),
+                    F.col("user_id").alias("route_id"),
+                    F.lit("08:00:00").alias("departure_time"), F.lit("11:00").alias("arrival_time"),
+                    F.to_date("ts").alias("travel_date"),
+                    (8 + 4 * (F.col("event_id") % 5)).cast("int").alias("total_seats"),
+                    F.lit("Economy").alias("class"))
+    return Q.validate(rows, "id", Q.schedule_rules())
+
+
+@query("dq_cross_column", """
+SELECT 'from_equals_to' AS "check", 'routes' AS table_name, 'to_station_id' AS column_name, CAST(NULL AS VARCHAR) AS value,
+       COUNT(*) AS rows FROM routes WHERE from_station_id = to_station_id
+UNION ALL SELECT 'seats_out_of_range', 'schedules', 'available_seats', NULL, COUNT(*) FROM schedules
+WHERE available_seats < 0 OR available_seats > total_seats
+""")
+def dq_cross_column(t):
+    """DQ6: from = to stations; available seats outside 0..total."""
+    return Q.cross_column(t.routes, t.schedules)
+
+
+@query("seat_drift", """
+SELECT * FROM (
+  SELECT s.id AS schedule_id, s.total_seats, s.available_seats,
+         CAST(s.total_seats - COALESCE(n.c, 0) AS BIGINT) AS expected_available,
+         CAST(s.available_seats - (s.total_seats - COALESCE(n.c, 0)) AS BIGINT) AS drift
+  FROM schedules s LEFT JOIN (SELECT schedule_id, COUNT(*) AS c FROM bookings WHERE booking_status <> 'cancelled' GROUP BY 1) n
+    ON n.schedule_id = s.id
+) WHERE drift <> 0
+""")
+def seat_drift(t):
+    """DQ7: stored available seats vs total - bookings that hold a seat."""
+    return Q.seat_drift(t.schedules, t.bookings)
+
+
+@query("double_sold", """
+SELECT schedule_id, seat_number, COUNT(*) AS bookings FROM bookings
+WHERE booking_status IN ('confirmed', 'pending') GROUP BY 1, 2 HAVING COUNT(*) > 1
+""")
+def double_sold(t):
+    """DQ8: seats held by more than one live booking."""
+    return Q.double_sold(t.bookings)
+
+
+@query("double_sold_rows", """
+SELECT b.* FROM bookings b
+WHERE b.booking_status IN ('confirmed', 'pending')
+  AND (b.schedule_id, b.seat_number) IN (SELECT schedule_id, seat_number FROM bookings
+       WHERE booking_status IN ('confirmed', 'pending') GROUP BY 1, 2 HAVING COUNT(*) > 1)
+""")
+def double_sold_rows(t):
+    """DQ8: the live bookings in double-sold seat groups."""
+    return Q.double_sold_rows(t.bookings)
