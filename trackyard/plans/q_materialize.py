@@ -1 +1,119 @@
-"""Registered queries."""
+"""Registered materialisation queries (MAT1-MAT3)."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from trackyard.operators import materialize as MT
+from trackyard.plans.q_mutate import _append, _patch
+from trackyard.operators import mutate as MU
+from trackyard.plans.registry import query
+
+SNAPSHOT_AT = dt.datetime(1998, 6, 15, 12, 0, 0)
+
+
+@query("revenue_daily", """
+, made AS (SELECT CAST(created_at AS DATE) AS report_date,
+                  SUM(CASE WHEN payment_status = 'paid' THEN amount_paid END) AS rev, COUNT(*) AS n
+           FROM bookings GROUP BY 1),
+canc AS (SELECT CAST(created_at AS DATE) AS report_date, COUNT(*) AS c,
+                SUM(CASE WHEN payment_status = 'refunded' THEN amount_paid END) AS ref
+         FROM bookings WHERE booking_status = 'cancelled' GROUP BY 1)
+SELECT COALESCE(made.report_date, canc.report_date) AS report_date,
+       CAST(COALESCE(rev, 0) AS DOUBLE) AS total_revenue, COALESCE(n, 0) AS total_bookings,
+       COALESCE(c, 0) AS cancelled, CAST(COALESCE(ref, 0) AS DOUBLE) AS refunded
+FROM made FULL OUTER JOIN canc ON made.report_date = canc.report_date
+""")
+def revenue_daily(t):
+    """MAT1: daily revenue, bookings, cancellations and refunds."""
+    return MT.revenue_daily(t.bookings)
+
+
+@query("revenue_daily_refresh", """
+, made AS (SELECT CAST(created_at AS DATE) AS report_date,
+                  SUM(CASE WHEN payment_status = 'paid' THEN amount_paid END) AS rev, COUNT(*) AS n
+           FROM bookings WHERE created_at >= TIMESTAMP '1998-06-15' GROUP BY 1),
+canc AS (SELECT CAST(created_at AS DATE) AS report_date, COUNT(*) AS c,
+                SUM(CASE WHEN payment_status = 'refunded' THEN amount_paid END) AS ref
+         FROM bookings WHERE booking_status = 'cancelled' AND created_at >= TIMESTAMP '1998-06-15' GROUP BY 1),
+fresh AS (SELECT COALESCE(made.report_date, canc.report_date) AS report_date,
+                 COALESCE(rev, 0) AS total_revenue, COALESCE(n, 0) AS total_bookings,
+                 COALESCE(c, 0) AS cancelled, COALESCE(ref, 0) AS refunded
+          FROM made FULL OUTER JOIN canc ON made.report_date = canc.report_date),
+made0 AS (SELECT CAST(created_at AS DATE) AS report_date,
+                 SUM(CASE WHEN payment_status = 'paid' THEN amount_paid END) AS rev, COUNT(*) AS n
+          FROM bookings WHERE created_at < TIMESTAMP '1998-06-22' GROUP BY 1),
+canc0 AS (SELECT CAST(created_at AS DATE) AS report_date, COUNT(*) AS c,
+                 SUM(CASE WHEN payment_status = 'refunded' THEN amount_paid END) AS ref
+          FROM bookings WHERE booking_status = 'cancelled' AND created_at < TIMESTAMP '1998-06-22' GROUP BY 1),
+stored AS (SELECT COALESCE(made0.report_date, canc0.report_date) AS report_date,
+                  COALESCE(rev, 0) AS total_revenue, COALESCE(n, 0) AS total_bookings,
+                  COALESCE(c, 0) AS cancelled, COALESCE(ref, 0) AS refunded
+           FROM made0 FULL OUTER JOIN canc0 ON made0.report_date = canc0.report_date)
+SELECT COALESCE(s.report_date, f.report_date) AS report_date,
+       CAST(CASE WHEN f.report_date IS NOT NULL THEN f.total_revenue ELSE s.total_revenue END AS DOUBLE) AS total_revenue,
+       CASE WHEN f.report_date IS NOT NULL THEN f.total_bookings ELSE s.total_bookings END AS total_bookings,
+       CASE WHEN f.report_date IS NOT NULL THEN f.cancelled ELSE s.cancelled END AS cancelled,
+       CAST(CASE WHEN f.report_date IS NOT NULL THEN f.refunded ELSE s.refunded END AS DOUBLE) AS refunded
+FROM stored s FULL OUTER JOIN fresh f ON f.report_date = s.report_date
+""")
+def revenue_daily_refresh(t):
+    """MAT1 refresh: a table built from bookings before 1998-06-22 is
+    refreshed with bookings from 1998-06-15 on; touched days are replaced."""
+    b = t.bookings
+    stored = MT.revenue_daily(b.where(F.col("created_at") < F.lit(dt.datetime(1998, 6, 22))))
+    fresh_input = b.where(F.col("created_at") >= F.lit(dt.datetime(1998, 6, 15)))
+    return MT.refresh_revenue_daily(stored, fresh_input)
+
+
+@query("occupancy_snapshot", """
+, per AS (SELECT schedule_id, COUNT(CASE WHEN booking_status IN ('confirmed', 'completed') THEN 1 END) AS o,
+                 COUNT(CASE WHEN booking_status = 'pending' THEN 1 END) AS r FROM bookings GROUP BY 1)
+SELECT s.id AS schedule_id, TIMESTAMP '1998-06-15 12:00:00' AS snapshot_time, s.total_seats,
+       CAST(COALESCE(o, 0) AS INT) AS occupied, CAST(COALESCE(r, 0) AS INT) AS reserved,
+       CAST(GREATEST(s.total_seats - COALESCE(o, 0) - COALESCE(r, 0), 0) AS INT) AS available,
+       CAST(ROUND(CAST(COALESCE(o, 0) AS DECIMAL(20,4)) / NULLIF(s.total_seats, 0) * 100, 2) AS DOUBLE) AS occupancy_pct
+FROM schedules s LEFT JOIN per ON per.schedule_id = s.id
+""")
+def occupancy_snapshot(t):
+    """MAT2: occupancy snapshot of every trip at a given time."""
+    return MT.occupancy_snapshot(t.schedules, t.bookings, SNAPSHOT_AT)
+
+
+@query("audit_schedules", """
+, p AS (
+  SELECT event_id // 2 AS id,
+         CASE WHEN event_type = 'error' THEN 'cancelled' WHEN event_type = 'purchase' THEN 'active' ELSE '' END AS status,
+         CAST(CASE WHEN event_type = 'view' THEN 0 END AS INT) AS total_seats,
+         CASE WHEN event_type IN ('click', 'error') THEN CAST(floor(value) AS INT) END AS delay_minutes,
+         event_type IN ('click', 'error') AS has_delay_minutes, ts, event_id
+  FROM events
+), ls AS (SELECT id, status FROM (SELECT id, status, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) rn
+                                  FROM p WHERE status IS NOT NULL AND status <> '') WHERE rn = 1),
+ld AS (SELECT id, delay_minutes FROM (SELECT id, delay_minutes, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) rn
+                                      FROM p WHERE has_delay_minutes) WHERE rn = 1),
+patched AS (SELECT s.id, COALESCE(ls.status, s.status) AS status,
+                   CASE WHEN ld.id IS NOT NULL THEN ld.delay_minutes ELSE s.delay_minutes END AS delay_minutes, s.status AS old_status,
+                   s.delay_minutes AS old_delay
+            FROM schedules s LEFT JOIN ls ON ls.id = s.id LEFT JOIN ld ON ld.id = s.id),
+upd AS (SELECT id, 'schedules' AS entity_type, 'updated' AS action,
+               concat_ws(',', CASE WHEN status IS DISTINCT FROM old_status THEN 'status' END,
+                              CASE WHEN delay_minutes IS DISTINCT FROM old_delay THEN 'delay_minutes' END) AS changed_columns
+        FROM patched WHERE status IS DISTINCT FROM old_status OR delay_minutes IS DISTINCT FROM old_delay),
+ins AS (SELECT 1000000 + event_id AS id, 'schedules' AS entity_type, 'inserted' AS action, CAST(NULL AS VARCHAR) AS changed_columns
+        FROM events e WHERE event_type = 'signup' AND EXISTS (SELECT 1 FROM routes r WHERE r.id = e.user_id AND r.active = 1)),
+del AS (SELECT id, 'schedules' AS entity_type, 'deleted' AS action, CAST(NULL AS VARCHAR) AS changed_columns
+        FROM schedules s WHERE NOT EXISTS (SELECT 1 FROM bookings b WHERE b.schedule_id = s.id))
+SELECT * FROM upd WHERE id NOT IN (SELECT id FROM del)
+UNION ALL SELECT * FROM ins UNION ALL SELECT * FROM del
+""")
+def audit_schedules(t):
+    """MAT3: audit rows between the schedules table and its state after
+    patches, appended trips and guarded deletes."""
+    cols = ["id", "status", "delay_minutes"]
+    new = _patch(t).table
+    appended = _append(t).table.join(t.schedules.select("id"), "id", "left_anti")
+    new = new.unionByName(appended)
+    new = MU.delete_schedules(new, t.bookings, t.schedules.select("id")).table
+    d = MT.audit_diff(t.schedules.select(*cols), new.select(*cols), ["id"], "schedules")
+    return d.select("id", "entity_type", "action", "changed_columns")
