@@ -1 +1,82 @@
-"""Registered queries."""
+"""Registered streaming queries (STR1-STR5).  Each runs its stream to
+completion (availableNow) and returns the sink table; the oracle is the
+batch answer the stream must converge to."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from trackyard.plans.q_seats import ADMISSION_SQL
+from trackyard.plans.registry import REGISTRY, Query, output
+from trackyard.plans.rail_sql import with_rail
+from trackyard.session import scratch_path
+from trackyard.sources.tables import AS_OF
+from trackyard.streaming import jobs as J
+
+
+def _register(name, fn, sql, doc):
+    REGISTRY[name] = Query(name, lambda spark, d: output(fn(spark, d)),
+                           None if sql is None else with_rail(sql), doc)
+
+
+_register("stream_occupancy", J.run_occupancy, """
+SELECT schedule_id, COUNT(CASE WHEN booking_status IN ('confirmed', 'completed') THEN 1 END) AS occupied,
+       COUNT(CASE WHEN booking_status = 'pending' THEN 1 END) AS reserved
+FROM bookings GROUP BY schedule_id
+""", "STR1: running occupancy per schedule from the booking stream (update mode).")
+
+_register("stream_rate_limit", J.run_rate_limit, """
+SELECT CAST(time_bucket(INTERVAL 15 MINUTE, ts) AS TIMESTAMP) AS window_start, user_id,
+       COUNT(*) AS requests, COUNT(CASE WHEN event_type = 'signup' THEN 1 END) AS auth_requests,
+       COUNT(*) > 100 AS over_limit, COUNT(CASE WHEN event_type = 'signup' THEN 1 END) > 10 AS auth_over_limit
+FROM events GROUP BY 1, 2
+""", "STR3: requests per user in 15-minute tumbling windows with limit flags.")
+
+_register("stream_revenue_daily", J.run_revenue, """
+SELECT CAST(created_at AS DATE) AS report_date, COUNT(*) AS bookings, CAST(SUM(amount_paid) AS DOUBLE) AS revenue
+FROM bookings WHERE payment_status = 'paid' GROUP BY 1
+""", "STR4: paid revenue per day, 1-day tumbling windows with watermark.")
+
+_OUTBOX_SQL = """
+, b AS (SELECT DISTINCT ON (booking_ref) * FROM bookings WHERE booking_status = 'confirmed'),
+j AS (
+  SELECT b.booking_ref, b.seat_number, b.amount_paid, s.travel_date, s.departure_time,
+         st1.name_en AS from_en, st2.name_en AS to_en, u.phone, u.email
+  FROM b JOIN schedules s ON s.id = b.schedule_id JOIN routes r ON r.id = s.route_id
+  JOIN stations st1 ON st1.id = r.from_station_id JOIN stations st2 ON st2.id = r.to_station_id
+  LEFT JOIN users u ON u.id = b.user_id
+)
+SELECT booking_ref, 'sms' AS type,
+       CASE WHEN phone LIKE '+%' THEN phone ELSE concat('+966', substring(phone, 2)) END AS channel,
+       CAST(NULL AS VARCHAR) AS subject,
+       concat('RailWay SA: Booking confirmed ✅', chr(10), 'Ref: ', booking_ref, chr(10), from_en, ' → ', to_en,
+              chr(10), 'Date: ', CAST(travel_date AS VARCHAR), ' at ', departure_time, chr(10), 'Seat: ', seat_number,
+              chr(10), 'SAR ', regexp_replace(CAST(amount_paid AS VARCHAR), '\\.?0+$', ''), chr(10), 'تم تأكيد حجزك') AS message,
+       'pending' AS status
+FROM j WHERE phone IS NOT NULL
+UNION ALL
+SELECT booking_ref, 'email', email, concat('Booking Confirmed — ', booking_ref, ' | تأكيد الحجز'),
+       concat('Booking confirmation for ', booking_ref), 'pending'
+FROM j WHERE email IS NOT NULL
+"""
+
+_register("stream_outbox", J.run_outbox, _OUTBOX_SQL,
+          "STR5/SC9/SC10: SMS and e-mail outbox rows per confirmed booking, deduplicated.")
+
+
+def _run_admission(spark, sf_dir):
+    t = J.StreamingRail(spark, sf_dir, ["lineitem"])
+    static = J.RailTables(spark, sf_dir)
+    history = static.bookings.where(F.col("created_at") < F.lit(dt.datetime(1998, 6, 15)))
+    reqs = t.bookings.where(F.col("created_at") >= F.lit(dt.datetime(1998, 6, 15))).select(
+        F.col("booking_ref").alias("request_id"), F.col("created_at").alias("ts"), "user_id",
+        "schedule_id", "seat_number", "payment_method")
+    out = scratch_path(spark, "admission_stream")
+    return J.run_admission(spark, reqs, static.schedules, history, static.routes, out)
+
+
+_register("stream_admission", _run_admission, ADMISSION_SQL + """
+SELECT request_id, schedule_id, seat_number, outcome,
+       CASE WHEN outcome = 'accepted' THEN fare END AS amount_paid
+FROM res
+""", "STR2: seat admission per micro-batch against state from earlier batches.")
