@@ -322,27 +322,33 @@ def assign_booking_refs(rows: DataFrame, existing: DataFrame, key: str = "reques
     booking has it and it is the smallest key among new rows drawing it;
     the rest draw again.  After ``attempts`` tries a row keeps its last draw
     even if it collides (as the source does); ``ref_attempts`` records the
-    try used.  The ref space is 32^5, so a caller with tens of millions of
-    bookings needs a longer reference.
+    try used.  Each round is checkpointed (reliable checkpoint in
+    ``spark.checkpoint.dir``) so the plan does not grow with the rounds, and
+    the loop stops as soon as nothing is pending.  The ref space is 32^5,
+    so tables with tens of millions of bookings need a longer reference.
     """
     taken = existing.select(F.col("booking_ref").alias("_ref")).distinct()
     pending = rows
-    done = None
+    parts = []
     for a in range(attempts):
         cand = pending.withColumn("booking_ref", X.booking_ref(key, F.lit(a))) \
             .withColumn("ref_attempts", F.lit(a + 1))
         if a == attempts - 1:
-            ok = cand
-            pending = None
-        else:
-            winners = cand.groupBy("booking_ref").agg(F.min(key).alias("_win"))
-            cand2 = (cand.join(winners, "booking_ref", "left")
-                     .join(taken, cand.booking_ref == taken["_ref"], "left"))
-            good = (F.col(key) == F.col("_win")) & F.col("_ref").isNull()
-            ok = cand2.where(good).drop("_win", "_ref")
-            pending = cand2.where(~good).drop("_win", "_ref", "booking_ref", "ref_attempts")
-            taken = taken.unionByName(ok.select(F.col("booking_ref").alias("_ref")))
-        done = ok if done is None else done.unionByName(ok)
-        if pending is None:
+            parts.append(cand)
+            break
+        winners = cand.groupBy(F.col("booking_ref").alias("_wref")).agg(F.min(key).alias("_win"))
+        cand2 = (cand.join(winners, cand.booking_ref == winners["_wref"], "left")
+                 .join(taken, cand.booking_ref == taken["_ref"], "left")
+                 .withColumn("_good", (F.col(key) == F.col("_win")) & F.col("_ref").isNull())
+                 .drop("_wref", "_win", "_ref")
+                 .checkpoint(eager=True))
+        parts.append(cand2.where(F.col("_good")).drop("_good"))
+        pending = cand2.where(~F.col("_good")).drop("_good", "booking_ref", "ref_attempts")
+        taken = taken.unionByName(cand2.where(F.col("_good"))
+                                  .select(F.col("booking_ref").alias("_ref")))
+        if pending.isEmpty():
             break
-    return done
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
