@@ -179,22 +179,27 @@ def admit_bookings(requests: DataFrame, schedules: DataFrame, bookings: DataFram
                .when((F.col("_avail") <= 0) | after_t, "no_seats")
                .when(F.col("_cand").isNull(), "seat_taken")
                .otherwise("accepted"))
-    r = r.withColumn("outcome", outcome)
-
     prices = routes.select(F.col("id").alias("_prid"), "price_first_class", "price_economy",
                            "price_student")
-    acc = r.where(F.col("outcome") == "accepted")
-    acc = acc.join(prices, acc["_rid"] == prices["_prid"], "left").select(
+    r = r.join(prices, r["_rid"] == prices["_prid"], "left").withColumn("outcome", outcome)
+    fare = X.fare_for_class("_class", "price_first_class", "price_economy", "price_student")
+    outcomes = r.select("request_id", "ts", "user_id", "schedule_id", "seat_number",
+                        "payment_method", "outcome",
+                        F.when(F.col("outcome") == "accepted", fare).alias("amount_paid"))
+    return admission_parts(outcomes)
+
+
+def admission_parts(outcomes: DataFrame) -> Admission:
+    """Accepted rows and seat deltas derived from an outcome table (which may
+    be a written table, cutting lineage)."""
+    acc = outcomes.where(F.col("outcome") == "accepted").select(
         "request_id", "ts", "user_id", "schedule_id", "seat_number", "payment_method",
-        X.fare_for_class("_class", "price_first_class", "price_economy", "price_student")
-         .alias("amount_paid"))
-    outcomes = r.select("request_id", "schedule_id", "seat_number", "outcome")
+        "amount_paid")
     deltas = acc.groupBy("schedule_id").agg((-F.count(F.lit(1))).alias("delta"))
     return Admission(outcomes, acc, deltas)
 
 
 def admission_result(adm: Admission) -> DataFrame:
     """Outcome per request with the fare of accepted ones (NULL otherwise)."""
-    fares = adm.accepted.select(F.col("request_id").alias("_aid"), "amount_paid")
-    o = adm.outcomes
-    return o.join(fares, o.request_id == fares["_aid"], "left").drop("_aid")
+    return adm.outcomes.select("request_id", "schedule_id", "seat_number", "outcome",
+                               "amount_paid")

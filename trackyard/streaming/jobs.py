@@ -191,13 +191,16 @@ def run_admission(spark: SparkSession, requests: DataFrame, schedules: DataFrame
             hist = hist.unionByName(acc.select("schedule_id", "seat_number",
                                                F.lit("confirmed").alias("booking_status")))
         adm = S.admit_bookings(df, sched, hist, routes)
-        S.admission_result(adm).write.mode("overwrite").parquet(
-            f"{out}/outcomes/batch_id={batch_id}")
-        adm.accepted.write.mode("overwrite").parquet(f"{out}/accepted/batch_id={batch_id}")
-        adm.deltas.write.mode("overwrite").parquet(f"{out}/deltas/batch_id={batch_id}")
+        path = f"{out}/outcomes/batch_id={batch_id}"
+        adm.outcomes.write.mode("overwrite").parquet(path)
+        # accepted rows and deltas come from the written outcomes (lineage cut)
+        written = S.admission_parts(spark.read.parquet(path))
+        written.accepted.write.mode("overwrite").parquet(f"{out}/accepted/batch_id={batch_id}")
+        written.deltas.write.mode("overwrite").parquet(f"{out}/deltas/batch_id={batch_id}")
 
     q = (requests.writeStream.foreachBatch(process)
          .option("checkpointLocation", f"{out}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/outcomes").drop("batch_id")
+    o = spark.read.parquet(f"{out}/outcomes")
+    return o.select("request_id", "schedule_id", "seat_number", "outcome", "amount_paid")
