@@ -11,6 +11,8 @@ from tools.oracle_check import TABLES, canon
 
 NAMES = sorted(E.queries())
 SQL = E.oracle_sql()
+# queries SQL cannot state (hash-based references); checked by brute force below
+NO_ORACLE = {"new_booking_codes"}
 
 
 @pytest.fixture(scope="module")
@@ -24,10 +26,10 @@ def duck():
 def test_registry_has_oracles():
     missing = [n for n in NAMES if n not in SQL]
     assert len(NAMES) >= 76
-    assert missing == []
+    assert sorted(missing) == sorted(NO_ORACLE)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", [n for n in NAMES if n not in NO_ORACLE])
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
@@ -45,3 +47,17 @@ def test_entry_smoke(spark):
     assert df.count() > 0
     assert df.columns == ["route_code", "from_en", "to_en", "total_trips", "total_passengers",
                           "total_revenue", "avg_load_pct"]
+
+
+def test_new_booking_codes_brute_force(spark):
+    from trackyard.functions.expr import BOOKING_REF_ALPHABET
+    from trackyard.sources.tables import rail
+    rows = E.queries()["new_booking_codes"](spark, SF_SMALL).collect()
+    stored = {r.booking_ref for r in rail(spark, SF_SMALL).bookings.select("booking_ref").collect()}
+    refs = [r.booking_ref for r in rows]
+    assert len(refs) == len(set(refs)) and not (set(refs) & stored)
+    assert all(r.startswith("BK-") and len(r) == 8 and set(r[3:]) <= set(BOOKING_REF_ALPHABET)
+               for r in refs)
+    assert all(r.qr_ref.startswith("RWSA-") for r in rows)
+    seat = E.queries()["seat_admission_counts"](spark, SF_SMALL).collect()
+    assert len(rows) == sum(r.requests for r in seat if r.outcome == "accepted")

@@ -316,3 +316,38 @@ def activity_feed(bookings: DataFrame, schedules: DataFrame, users: DataFrame,
                       F.lit("user_created").alias("kind"), F.col("email").alias("ref"))
     feed = bk.unionByName(sc).unionByName(us).where(F.col("ts") < end)
     return feed.orderBy(F.desc("ts"), "kind", "ref").limit(n)
+
+
+# AGG15 / SC15 / SC17: route cards (load, trips, tier, labels).
+def route_cards(perf: DataFrame, routes: DataFrame, high: float = 70, med: float = 50) -> DataFrame:
+    r = routes.select("route_code", "duration_minutes", "active")
+    j = perf.join(r, "route_code", "left")
+    return j.select(
+        "route_code", X.route_label("from_en", "to_en").alias("route_label"),
+        "total_trips", "avg_load_pct",
+        X.tier("avg_load_pct", high, med).alias("tier"),
+        X.thousands("total_revenue", 0).alias("revenue_label"),
+        X.minutes_to_hours("duration_minutes").alias("duration_hours"),
+        X.short_code("from_en").alias("from_short"), X.short_code("to_en").alias("to_short"),
+        F.when(F.col("active") == 1, "Active").otherwise("Inactive").alias("active_label"))
+
+
+# SC19: staff alerts for the day's cancelled and delayed trips.
+def staff_alerts(schedule_view_df: DataFrame, as_of: dt.date) -> DataFrame:
+    s = schedule_view_df.where((F.col("travel_date") == F.lit(as_of))
+                               & F.col("status").isin("cancelled", "delayed"))
+    msg = (F.when(F.col("status") == "cancelled",
+                  F.concat(F.col("train_id"), F.lit(" cancelled")))
+           .otherwise(F.concat(F.col("train_id"), F.lit(" delayed "),
+                               F.col("delay_minutes").cast("string"), F.lit("min"))))
+    return s.select("id", "train_id", "departure_time", X.alert_level("status").alias("level"),
+                    msg.alias("message"),
+                    F.concat(X.route_label("from_name_en", "to_name_en"), F.lit(" "),
+                             F.substring("departure_time", 1, 5)).alias("detail"),
+                    X.delay_label("status", "delay_minutes").alias("status_label"))
+
+
+# SC16: activity per shift of day (local time).
+def activity_by_shift(events: DataFrame, lang: str = "en") -> DataFrame:
+    return (events.groupBy(X.shift_of_day("ts", lang).alias("shift"), "event_type")
+            .agg(F.count(F.lit(1)).alias("events")))

@@ -324,3 +324,43 @@ def schedules_after_append(t):
     """SNK1: new trips start 'scheduled' with available = total seats."""
     return _append(t).table.groupBy("status").agg(
         F.count(F.lit(1)).alias("trips"), F.sum("available_seats").cast("bigint").alias("seats"))
+
+
+@query("cancellation_notices", _CANCEL_REQ + """
+SELECT r.booking_ref, 'sms' AS type,
+       CASE WHEN u.phone LIKE '+%' THEN u.phone ELSE concat('+966', substring(u.phone, 2)) END AS channel,
+       concat('RailWay SA: Booking ', r.booking_ref, ' cancelled. Refund in 3-5 days. | تم إلغاء الحجز ', r.booking_ref) AS message
+FROM res r JOIN bookings b ON b.booking_ref = r.booking_ref JOIN users u ON u.id = b.user_id
+WHERE r.outcome = 'cancelled' AND u.phone IS NOT NULL
+UNION ALL
+SELECT r.booking_ref, 'email', u.email,
+       concat('Booking Cancelled — ', r.booking_ref, ' | تم الإلغاء')
+FROM res r JOIN bookings b ON b.booking_ref = r.booking_ref JOIN users u ON u.id = b.user_id
+WHERE r.outcome = 'cancelled' AND u.email IS NOT NULL
+""")
+def cancellation_notices(t):
+    """SC9/SC10: SMS text and e-mail subject for every accepted cancellation."""
+    from trackyard.functions import expr as X
+    c = _cancel(t)
+    done = c.outcomes.where(F.col("outcome") == "cancelled").select("booking_ref")
+    b = t.bookings.select(F.col("booking_ref").alias("_r"), "user_id")
+    u = t.users.select(F.col("id").alias("_uid"), "phone", "email")
+    j = done.join(b, done.booking_ref == b["_r"]).join(u, F.col("user_id") == u["_uid"])
+    sms = j.where(F.col("phone").isNotNull()).select(
+        "booking_ref", F.lit("sms").alias("type"), X.phone_e164("phone").alias("channel"),
+        X.cancellation_sms("booking_ref").alias("message"))
+    mail = j.where(F.col("email").isNotNull()).select(
+        "booking_ref", F.lit("email").alias("type"), F.col("email").alias("channel"),
+        X.cancellation_subject("booking_ref").alias("message"))
+    return sms.unionByName(mail)
+
+
+@query("new_booking_codes")
+def new_booking_codes(t):
+    """SC7/SC8: booking references (re-salted on collision with stored or new
+    ones) and QR references for every accepted admission request."""
+    from trackyard.functions import expr as X
+    from trackyard.plans.q_seats import _admission
+    acc = _admission(t).accepted
+    refs = MU.assign_booking_refs(acc.select("request_id", "ts"), t.bookings)
+    return refs.select("request_id", "booking_ref", "ref_attempts", X.qr_ref("ts").alias("qr_ref"))
