@@ -40,6 +40,12 @@ SHIFT_AFTERNOON_BEFORE = 18
 SHIFT_TZ = "Asia/Riyadh"
 SHIFT_LABELS = {"en": ("Morning Shift", "Afternoon Shift", "Evening Shift"),
                 "ar": ("وردية الصباح", "وردية النهار", "وردية المساء")}
+# message templates ({ref}, {from}, {to}, {date}, {dep}, {seat}, {amount} are filled in)
+SMS_CONFIRMATION = ("RailWay SA: Booking confirmed ✅\nRef: {ref}\n{from} → {to}\n"
+                    "Date: {date} at {dep}\nSeat: {seat}\nSAR {amount}\nتم تأكيد حجزك")
+MAIL_CONFIRMATION_SUBJECT = "Booking Confirmed — {ref} | تأكيد الحجز"
+SMS_CANCELLATION = "RailWay SA: Booking {ref} cancelled. Refund in 3-5 days. | تم إلغاء الحجز {ref}"
+MAIL_CANCELLATION_SUBJECT = "Booking Cancelled — {ref} | تم الإلغاء"
 
 
 def c(x) -> Column:
@@ -120,26 +126,34 @@ def phone_e164(p) -> Column:
             .otherwise(F.concat(F.lit(PHONE_COUNTRY_PREFIX), F.substring(c(p), 2, 1 << 20))))
 
 
-# SC10: confirmation / cancellation texts.
+# SC10: confirmation / cancellation texts, filled from columns.
+def fill_template(template: str, **cols) -> Column:
+    """Concatenate the template's literal pieces with the named columns."""
+    import re
+    parts = []
+    for piece in re.split(r"(\{[a-z]+\})", template):
+        if piece.startswith("{") and piece.endswith("}"):
+            parts.append(c(cols[piece[1:-1]]).cast("string"))
+        elif piece:
+            parts.append(F.lit(piece))
+    return F.concat(*parts)
+
+
 def confirmation_sms(ref, from_, to, date, dep, seat, amount) -> Column:
-    return F.concat(F.lit("RailWay SA: Booking confirmed ✅\nRef: "), c(ref),
-                    F.lit("\n"), c(from_), F.lit(" → "), c(to),
-                    F.lit("\nDate: "), c(date).cast("string"), F.lit(" at "), c(dep),
-                    F.lit("\nSeat: "), c(seat), F.lit("\nSAR "), c(amount).cast("string"),
-                    F.lit("\nتم تأكيد حجزك"))
+    return fill_template(SMS_CONFIRMATION, ref=ref, to=to, date=date, dep=dep, seat=seat,
+                         amount=amount, **{"from": from_})
 
 
 def confirmation_subject(ref) -> Column:
-    return F.concat(F.lit("Booking Confirmed — "), c(ref), F.lit(" | تأكيد الحجز"))
+    return fill_template(MAIL_CONFIRMATION_SUBJECT, ref=ref)
 
 
 def cancellation_sms(ref) -> Column:
-    return F.concat(F.lit("RailWay SA: Booking "), c(ref),
-                    F.lit(" cancelled. Refund in 3-5 days. | تم إلغاء الحجز "), c(ref))
+    return fill_template(SMS_CANCELLATION, ref=ref)
 
 
 def cancellation_subject(ref) -> Column:
-    return F.concat(F.lit("Booking Cancelled — "), c(ref), F.lit(" | تم الإلغاء"))
+    return fill_template(MAIL_CANCELLATION_SUBJECT, ref=ref)
 
 
 # SC12: localised station name with fallback to the key; arrow by language.
