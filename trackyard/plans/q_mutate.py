@@ -5,6 +5,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from trackyard.functions import expr as X
 from trackyard.operators import filters as FL
 from trackyard.operators import mutate as MU
 from trackyard.plans.registry import query
@@ -67,7 +68,7 @@ def schedules_after_cancel(t):
 
 _SIGNUPS = """
 , rows AS (
-  SELECT concat('customer#', lpad(CAST(user_id * 13 AS VARCHAR), 9, '0'), '@example.com') AS email,
+  SELECT lower(trim(concat(' Customer#', lpad(CAST(user_id * 13 AS VARCHAR), 9, '0'), '@Example.com'))) AS email,
          concat('10', lpad(CAST(user_id * 7 AS VARCHAR), 8, '0')) AS national_id, ts, event_id
   FROM events WHERE event_type = 'signup'
 )
@@ -76,9 +77,11 @@ _SIGNUPS = """
 
 def _signups(t):
     e = t.events.where(F.col("event_type") == "signup")
+    # sign-up e-mails arrive un-normalised and are normalised on input (SC20)
+    raw = F.concat(F.lit(" Customer#"), F.lpad((F.col("user_id") * 13).cast("string"), 9, "0"),
+                   F.lit("@Example.com"))
     return e.select(
-        F.concat(F.lit("customer#"), F.lpad((F.col("user_id") * 13).cast("string"), 9, "0"),
-                 F.lit("@example.com")).alias("email"),
+        X.normalize_email(raw).alias("email"),
         F.concat(F.lit("10"), F.lpad((F.col("user_id") * 7).cast("string"), 8, "0"))
          .alias("national_id"), "ts", "event_id")
 

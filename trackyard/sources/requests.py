@@ -13,6 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackyard.functions import expr as X
 from trackyard.sources.tables import AS_OF, RailTables
 
 AS_OF_TS = dt.datetime(AS_OF.year, AS_OF.month, AS_OF.day)
@@ -75,12 +76,13 @@ def permission_rows(t: RailTables) -> DataFrame:
     u = t.users.select(F.col("id").alias("user_id"), "role")
     j = e.join(u, "user_id", "inner")
     adm = F.col("role") == "admin"
+    # permission flags arrive as booleans and are stored 0/1 (SC18)
     return j.select(
         "user_id",
-        F.when(adm | (F.col("role") == "staff"), 1).otherwise(0).alias("can_schedules"),
-        F.lit(1).alias("can_bookings"),
-        F.when(adm, 1).otherwise(0).alias("can_routes"),
-        F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("can_reports"),
+        X.flag01(adm | (F.col("role") == "staff")).alias("can_schedules"),
+        X.flag01(F.lit(True)).alias("can_bookings"),
+        X.flag01(adm).alias("can_routes"),
+        X.flag01(F.col("event_type") == "purchase").alias("can_reports"),
         "ts", "event_id")
 
 

@@ -31,6 +31,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
+              lower: int, upper: int, num_partitions: int, properties: dict | None = None) -> DataFrame:
+    """SRC1 (optional): read a table straight from the operational database.
+
+    ``partition_column`` (a numeric key such as ``id``) splits the read into
+    ``num_partitions`` parallel range queries instead of one connection.
+    """
+    return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower,
+                           upperBound=upper, numPartitions=num_partitions,
+                           properties=properties or {})
+
+
 def _lpad_str(c: Column, n: int) -> Column:
     return F.lpad(c.cast("string"), n, "0")
 
