@@ -68,6 +68,7 @@ class RailTables:
         self.spark = spark
         self.sf_dir = sf_dir
         self.materialize = materialize
+        self.store_salt = ""          # a new salt forces a fresh store (bench)
 
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
@@ -83,6 +84,7 @@ class RailTables:
             st = os.stat(os.path.join(src, t))
             h.update(f"{t}:{st.st_size}:{st.st_mtime_ns}".encode())
         h.update(os.path.abspath(src).encode())
+        h.update(self.store_salt.encode())
         return os.path.join(base, "trackyard", "rail", h.hexdigest()[:16])
 
     def _stored(self, name: str, build) -> DataFrame:
