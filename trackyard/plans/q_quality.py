@@ -142,8 +142,20 @@ def dq_request_rules(t):
 
 
 @query("dq_schedule_rules", """
+, rows AS (
+  SELECT 1000000 + event_id AS id, concat('IR-N', CAST(event_id AS VARCHAR)) AS train_id, user_id AS route_id,
+         '08:00:00' AS departure_time, '11:00' AS arrival_time, CAST(ts AS DATE) AS travel_date,
+         CAST(8 + 4 * (event_id % 5) AS INT) AS total_seats, 'Economy' AS class
+  FROM events WHERE event_type = 'signup'
+)
 SELECT id, field, 'Invalid value' AS message FROM (
-  SELECT 1000000 + event_id AS id, 'routeId' AS field FROM events WHERE event_type = 'signup' AND NOT (user_id >= 1)
+  SELECT id, 'trainId' AS field FROM rows WHERE NOT COALESCE(train_id IS NOT NULL AND length(train_id) > 0, FALSE)
+  UNION ALL SELECT id, 'routeId' FROM rows WHERE NOT COALESCE(route_id >= 1, FALSE)
+  UNION ALL SELECT id, 'departureTime' FROM rows WHERE NOT COALESCE(regexp_matches(departure_time, '^\\d{2}:\\d{2}(:\\d{2})?$'), FALSE)
+  UNION ALL SELECT id, 'arrivalTime' FROM rows WHERE NOT COALESCE(regexp_matches(arrival_time, '^\\d{2}:\\d{2}(:\\d{2})?$'), FALSE)
+  UNION ALL SELECT id, 'travelDate' FROM rows WHERE travel_date IS NULL
+  UNION ALL SELECT id, 'totalSeats' FROM rows WHERE NOT COALESCE(total_seats BETWEEN 1 AND 1000, FALSE)
+  UNION ALL SELECT id, 'class' FROM rows WHERE NOT COALESCE(class IN ('First Class', 'Economy', 'Student'), FALSE)
 )
 """)
 def dq_schedule_rules(t):
