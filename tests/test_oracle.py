@@ -61,3 +61,17 @@ def test_new_booking_codes_brute_force(spark):
     assert all(r.qr_ref.startswith("RWSA-") for r in rows)
     seat = E.queries()["seat_admission_counts"](spark, SF_SMALL).collect()
     assert len(rows) == sum(r.requests for r in seat if r.outcome == "accepted")
+
+
+@pytest.mark.parametrize("name", ["stream_revenue_daily", "stream_rate_limit", "activity_by_shift",
+                                  "revenue_daily_refresh", "live_sessions", "seat_admission"])
+def test_results_do_not_depend_on_session_time_zone(spark, duck, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = E.queries()[name](spark, SF_SMALL)
+        rows = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    cur = duck.execute(SQL[name])
+    assert canon(df.columns, rows) == canon([d[0] for d in cur.description], cur.fetchall())

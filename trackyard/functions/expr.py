@@ -52,6 +52,28 @@ def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Time handling that does not depend on the session time zone: event times
+# are TIMESTAMP_NTZ wall-clock values in UTC.
+def ntz(value) -> Column:
+    """A TIMESTAMP_NTZ literal (from text, so no zone is applied)."""
+    if isinstance(value, Column):
+        return value.cast("timestamp_ntz")
+    return F.lit(value.isoformat(sep=" ") if hasattr(value, "hour") else str(value)) \
+        .cast("timestamp_ntz")
+
+
+def utc_instant(ts) -> Column:
+    """NTZ wall clock (UTC) -> TIMESTAMP instant, whatever the session zone."""
+    # the cast reads the wall clock in the session zone; shift it back to UTC
+    return F.from_utc_timestamp(c(ts).cast("timestamp"), F.current_timezone())
+
+
+def utc_wall(ts) -> Column:
+    """TIMESTAMP instant -> NTZ wall clock in UTC, whatever the session zone."""
+    # the cast renders in the session zone; pre-shift so it renders the UTC clock
+    return F.to_utc_timestamp(c(ts), F.current_timezone()).cast("timestamp_ntz")
+
+
 def map_lookup(mapping: dict, key, default=None) -> Column:
     """Literal map lookup (a small fixed dictionary, no join)."""
     m = F.create_map(*[F.lit(v) for kv in mapping.items() for v in kv])
@@ -105,7 +127,7 @@ def boarding_pass(ref, train, from_code, to_code, date, seat, name, tagged: bool
 
 # SC7: QR reference = prefix + base-36 upper-case epoch milliseconds.
 def qr_ref(ts) -> Column:
-    millis = F.unix_millis(c(ts).cast("timestamp"))
+    millis = F.unix_millis(utc_instant(ts))
     return F.concat(F.lit(QR_PREFIX), F.upper(F.conv(millis.cast("string"), 10, 36)))
 
 
@@ -185,7 +207,7 @@ def tier(x, high: float = 70, med: float = 50) -> Column:
 
 # SC16: shift of day from a UTC timestamp, in the local zone.
 def shift_of_day(ts, lang: str = "en") -> Column:
-    h = F.hour(F.from_utc_timestamp(c(ts).cast("timestamp"), SHIFT_TZ))
+    h = F.hour(F.convert_timezone(F.lit("UTC"), F.lit(SHIFT_TZ), c(ts).cast("timestamp_ntz")))
     m, a, e = SHIFT_LABELS[lang]
     return (F.when(h < SHIFT_MORNING_BEFORE, m).when(h < SHIFT_AFTERNOON_BEFORE, a)
             .otherwise(e))

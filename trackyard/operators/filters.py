@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackyard.functions.expr import c
+from trackyard.functions.expr import c, ntz
 
 
 def conjunction(conds: Sequence[Column | None]) -> Column | None:
@@ -97,7 +97,7 @@ def active(df: DataFrame, col: str = "active") -> DataFrame:
 
 def live_sessions(tokens: DataFrame, users: DataFrame, as_of_ts) -> DataFrame:
     """Tokens not yet expired whose user is active (semi join, no fan-out)."""
-    live = tokens.where(F.col("expires_at") > F.lit(as_of_ts))
+    live = tokens.where(F.col("expires_at") > ntz(as_of_ts))
     act = users.where(F.col("status") == "active").select(F.col("id").alias("_uid"))
     return live.join(act, live.user_id == act["_uid"], "left_semi")
 

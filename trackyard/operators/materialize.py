@@ -54,7 +54,7 @@ def occupancy_snapshot(schedules: DataFrame, bookings: DataFrame, at) -> DataFra
     o = F.coalesce("_o", F.lit(0))
     r = F.coalesce("_r", F.lit(0))
     return j.select(
-        F.col("id").alias("schedule_id"), F.lit(at).cast("timestamp_ntz").alias("snapshot_time"),
+        F.col("id").alias("schedule_id"), X.ntz(at).alias("snapshot_time"),
         "total_seats", o.cast("int").alias("occupied"), r.cast("int").alias("reserved"),
         F.greatest(F.col("total_seats") - o - r, F.lit(0)).cast("int").alias("available"),
         F.round(F.try_divide(o.cast("decimal(20,4)"), F.col("total_seats").cast("decimal(20,4)"))

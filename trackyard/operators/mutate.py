@@ -310,7 +310,7 @@ def delete_by_key(df: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def purge_expired(tokens: DataFrame, as_of_ts) -> DataFrame:
-    return tokens.where(F.col("expires_at") > F.lit(as_of_ts))
+    return tokens.where(F.col("expires_at") > X.ntz(as_of_ts))
 
 
 # SC8: booking references with collision re-salting (at most ``attempts`` tries).

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from trackyard.functions import expr as X
 from trackyard.operators import materialize as MT
 from trackyard.plans.q_mutate import _append, _patch
 from trackyard.operators import mutate as MU
@@ -61,8 +62,8 @@ def revenue_daily_refresh(t):
     """MAT1 refresh: a table built from bookings before 1998-06-22 is
     refreshed with bookings from 1998-06-15 on; touched days are replaced."""
     b = t.bookings
-    stored = MT.revenue_daily(b.where(F.col("created_at") < F.lit(dt.datetime(1998, 6, 22))))
-    fresh_input = b.where(F.col("created_at") >= F.lit(dt.datetime(1998, 6, 15)))
+    stored = MT.revenue_daily(b.where(F.col("created_at") < X.ntz(dt.datetime(1998, 6, 22))))
+    fresh_input = b.where(F.col("created_at") >= X.ntz(dt.datetime(1998, 6, 15)))
     return MT.refresh_revenue_daily(stored, fresh_input)
 
 

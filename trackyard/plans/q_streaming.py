@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from trackyard.functions import expr as X
 from trackyard.plans.q_seats import ADMISSION_SQL
 from trackyard.plans.registry import REGISTRY, Query, output
 from trackyard.plans.rail_sql import with_rail
@@ -67,8 +68,8 @@ _register("stream_outbox", J.run_outbox, _OUTBOX_SQL,
 def _run_admission(spark, sf_dir):
     t = J.StreamingRail(spark, sf_dir, ["lineitem"])
     static = J.RailTables(spark, sf_dir)
-    history = static.bookings.where(F.col("created_at") < F.lit(dt.datetime(1998, 6, 15)))
-    reqs = t.bookings.where(F.col("created_at") >= F.lit(dt.datetime(1998, 6, 15))).select(
+    history = static.bookings.where(F.col("created_at") < X.ntz(dt.datetime(1998, 6, 15)))
+    reqs = t.bookings.where(F.col("created_at") >= X.ntz(dt.datetime(1998, 6, 15))).select(
         F.col("booking_ref").alias("request_id"), F.col("created_at").alias("ts"), "user_id",
         "schedule_id", "seat_number", "payment_method")
     out = scratch_path(spark, "admission_stream")

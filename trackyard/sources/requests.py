@@ -23,8 +23,8 @@ def history_and_requests(t: RailTables) -> tuple[DataFrame, DataFrame]:
     """Split bookings in time: rows created before ``AS_OF`` are the stored
     history; rows created from ``AS_OF`` on arrive as booking requests."""
     b = t.bookings
-    history = b.where(F.col("created_at") < F.lit(AS_OF_TS))
-    reqs = b.where(F.col("created_at") >= F.lit(AS_OF_TS)).select(
+    history = b.where(F.col("created_at") < X.ntz(AS_OF_TS))
+    reqs = b.where(F.col("created_at") >= X.ntz(AS_OF_TS)).select(
         F.col("booking_ref").alias("request_id"),
         F.col("created_at").alias("ts"),
         "user_id", "schedule_id", "seat_number", "payment_method")

@@ -72,8 +72,9 @@ def latest_per_key(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFr
 
 
 def _ts(col: str):
-    # watermarks need TIMESTAMP (not TIMESTAMP_NTZ); the session zone is UTC
-    return F.col(col).cast("timestamp")
+    # watermarks need TIMESTAMP (not TIMESTAMP_NTZ): the UTC wall clock as an
+    # instant, so windows align to UTC days whatever the session zone
+    return X.utc_instant(col)
 
 
 # STR1: running occupancy per schedule.
@@ -100,7 +101,7 @@ def rate_windows(events: DataFrame, limit: int = 100, auth_limit: int = 10,
     g = e.groupBy(F.window("_ts", "15 minutes").alias("w"), "user_id").agg(
         F.count(F.lit(1)).alias("requests"),
         F.count(F.when(F.col("event_type").isin(*auth_types), 1)).alias("auth_requests"))
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "user_id",
+    return g.select(X.utc_wall("w.start").alias("window_start"), "user_id",
                     "requests", "auth_requests",
                     (F.col("requests") > limit).alias("over_limit"),
                     (F.col("auth_requests") > auth_limit).alias("auth_over_limit"))
@@ -120,7 +121,7 @@ def revenue_stream(bookings: DataFrame, watermark: str = "1 day") -> DataFrame:
         b = b.withWatermark("_ts", watermark)
     g = b.groupBy(F.window("_ts", "1 day").alias("w")).agg(
         F.count(F.lit(1)).alias("bookings"), F.sum("amount_paid").alias("revenue"))
-    return g.select(F.to_date(F.col("w.start")).alias("report_date"), "bookings",
+    return g.select(F.to_date(X.utc_wall("w.start")).alias("report_date"), "bookings",
                     F.col("revenue").cast("double").alias("revenue"))
 
 
