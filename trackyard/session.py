@@ -21,12 +21,36 @@ DEFAULT_CONF = {
 }
 
 
+MB = 1 << 20
+
+
+def cluster_conf(shuffle_bytes: int, target_partition_bytes: int = 256 * MB) -> dict[str, str]:
+    """Partition sizing for a cluster run, from the expected largest shuffle.
+
+    AQE starts from ``initialPartitionNum`` partitions of about
+    ``target_partition_bytes`` each and coalesces small stages, so one
+    setting serves both the 100 TB fact scans and the small dimension
+    stages.  Scan splits stay at 256 MB; a shuffle partition 5x the median
+    and over 1 GB counts as skewed and is split by AQE.
+    """
+    parts = max(200, min(200_000, -(-shuffle_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(256 * MB),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * MB),
+    }
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "trackyard") -> SparkSession:
+                  app_name: str = "trackyard", shuffle_bytes: int | None = None) -> SparkSession:
     """Create (or reuse) a session with the defaults above.
 
     On a cluster ``master`` stays None so spark-submit decides; tests pass
-    ``local[*]``.
+    ``local[*]``.  ``shuffle_bytes`` (expected largest shuffle) sizes the
+    partitions with ``cluster_conf``.
     """
     b = SparkSession.builder.appName(app_name)
     if master:
@@ -35,6 +59,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
             b = b.config("spark.driver.memory", "16g")
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
+    if shuffle_bytes:
+        for k, v in cluster_conf(shuffle_bytes).items():
+            b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
