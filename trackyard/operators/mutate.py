@@ -352,3 +352,41 @@ def assign_booking_refs(rows: DataFrame, existing: DataFrame, key: str = "reques
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+class UserCreation(NamedTuple):
+    users: DataFrame
+    permissions: DataFrame
+    outcomes: DataFrame
+
+
+# SNK1 (users) + DQ9: create users with a permission row; e-mail must be new.
+def create_users(users: DataFrame, permissions: DataFrame, rows: DataFrame,
+                 order: Sequence[Column | str] = ("ts",)) -> UserCreation:
+    """rows: email, first_name, last_name, role, [status], can_* booleans, ts.
+
+    An e-mail already registered (or taken by an earlier row of the batch)
+    is rejected with 'email_exists'; created users get verified = 0,
+    auth_method 'email', status default 'active', an id derived from the
+    e-mail, and one permission row with the flags as 0/1.
+    """
+    rows = rows.withColumn("email", X.normalize_email("email"))
+    ins = insert_ignore(users.select("email"), rows, ["email"], order)
+    outcomes = ins.outcomes.select(
+        "email", F.when(F.col("outcome") == "inserted", "created").otherwise("email_exists")
+        .alias("outcome"))
+    new = ins.outcomes.where(F.col("outcome") == "inserted")
+    new_id = F.abs(F.xxhash64(F.lit("user"), F.col("email")))
+    status = F.coalesce(F.col("status"), F.lit("active")) if "status" in rows.columns \
+        else F.lit("active")
+    new_users = new.select(new_id.alias("id"), "email", "first_name", "last_name",
+                           F.lit(None).cast("string").alias("phone"),
+                           F.lit(None).cast("string").alias("national_id"), "role",
+                           status.alias("status"), F.lit(0).alias("verified"))
+    users2 = users.unionByName(new_users, allowMissingColumns=True)
+    flags = [c for c in permissions.columns if c.startswith("can_")]
+    perm_new = new.select(new_id.alias("user_id"),
+                          *[X.flag01(F.col(f) if f in rows.columns else F.lit(False)).alias(f)
+                            for f in flags])
+    perms2 = permissions.unionByName(perm_new, allowMissingColumns=True)
+    return UserCreation(users2, perms2, outcomes)

@@ -367,3 +367,52 @@ def new_booking_codes(t):
     acc = _admission(t).accepted
     refs = MU.assign_booking_refs(acc.select("request_id", "ts"), t.bookings)
     return refs.select("request_id", "booking_ref", "ref_attempts", X.qr_ref("ts").alias("qr_ref"))
+
+
+_NEW_USERS = """
+, rows AS (
+  SELECT lower(trim(concat('customer#', lpad(CAST(user_id * 11 AS VARCHAR), 9, '0'), '@example.com'))) AS email,
+         'New' AS first_name, concat('User', CAST(user_id AS VARCHAR)) AS last_name,
+         CASE WHEN event_type = 'purchase' THEN 'staff' ELSE 'passenger' END AS role,
+         event_type = 'purchase' AS can_schedules, TRUE AS can_bookings, FALSE AS can_routes, ts, event_id
+  FROM events WHERE event_type IN ('signup', 'purchase')
+), f AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY ts, event_id) AS rn FROM rows),
+res AS (SELECT email, CASE WHEN rn = 1 AND NOT EXISTS (SELECT 1 FROM users u WHERE u.email = f.email)
+                            THEN 'created' ELSE 'email_exists' END AS outcome, f.* EXCLUDE (email)
+        FROM f)
+"""
+
+
+def _create_users(t):
+    e = t.events.where(F.col("event_type").isin("signup", "purchase"))
+    rows = e.select(
+        F.concat(F.lit("customer#"), F.lpad((F.col("user_id") * 11).cast("string"), 9, "0"),
+                 F.lit("@example.com")).alias("email"),
+        F.lit("New").alias("first_name"),
+        F.concat(F.lit("User"), F.col("user_id").cast("string")).alias("last_name"),
+        F.when(F.col("event_type") == "purchase", "staff").otherwise("passenger").alias("role"),
+        (F.col("event_type") == "purchase").alias("can_schedules"),
+        F.lit(True).alias("can_bookings"), F.lit(False).alias("can_routes"), "ts", "event_id")
+    return MU.create_users(t.users, t.user_permissions, rows, ["ts", "event_id"])
+
+
+@query("create_users", _NEW_USERS + """
+SELECT email, outcome FROM res
+""")
+def create_users(t):
+    """SNK1/DQ9/SC18/SC20: users created unless the e-mail exists, one permission row each."""
+    return _create_users(t).outcomes
+
+
+@query("permissions_after_create", _NEW_USERS + """
+SELECT can_schedules, can_bookings, can_routes, COUNT(*) AS users FROM (
+  SELECT can_schedules, can_bookings, can_routes FROM user_permissions
+  UNION ALL SELECT CAST(can_schedules AS INT), CAST(can_bookings AS INT), CAST(can_routes AS INT)
+  FROM res WHERE outcome = 'created'
+) GROUP BY 1, 2, 3
+""")
+def permissions_after_create(t):
+    """SNK1: permission rows after user creation, counted by flag combination."""
+    p = _create_users(t).permissions
+    return p.groupBy("can_schedules", "can_bookings", "can_routes").agg(
+        F.count(F.lit(1)).alias("users"))

@@ -81,3 +81,15 @@ SELECT request_id, schedule_id, seat_number, outcome,
        CASE WHEN outcome = 'accepted' THEN fare END AS amount_paid
 FROM res
 """, "STR2: seat admission per micro-batch against state from earlier batches.")
+
+
+def _rate_limit_batch(spark, sf_dir):
+    return J.rate_windows(J.RailTables(spark, sf_dir).events)
+
+
+_register("rate_limit", _rate_limit_batch, """
+SELECT CAST(time_bucket(INTERVAL 15 MINUTE, ts) AS TIMESTAMP) AS window_start, user_id,
+       COUNT(*) AS requests, COUNT(CASE WHEN event_type = 'signup' THEN 1 END) AS auth_requests,
+       COUNT(*) > 100 AS over_limit, COUNT(CASE WHEN event_type = 'signup' THEN 1 END) > 10 AS auth_over_limit
+FROM events GROUP BY 1, 2
+""", "STR3 (batch): requests per user in 15-minute tumbling windows with limit flags.")
