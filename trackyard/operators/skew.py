@@ -59,5 +59,5 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     pruned = (salted.withColumn("_r1", F.row_number().over(w1))
               .where(F.col("_r1") <= n).drop("_r1", "_salt"))
     w2 = Window.partitionBy(*keys).orderBy(*order)
-    return (pruned.withColumn(rank_col, F.row_number().over(w2))
+    return (pruned.withColumn(rank_col, F.row_number().over(w2).cast("bigint"))
             .where(F.col(rank_col) <= n))

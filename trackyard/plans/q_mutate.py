@@ -58,7 +58,7 @@ def bookings_after_cancel(t):
 
 @query("schedules_after_cancel", _CANCEL_REQ + """
 , d AS (SELECT schedule_id, COUNT(*) AS n FROM res WHERE outcome = 'cancelled' GROUP BY 1)
-SELECT s.id, s.available_seats + COALESCE(d.n, 0) AS available_seats
+SELECT s.id, CAST(s.available_seats + COALESCE(d.n, 0) AS INT) AS available_seats
 FROM schedules s LEFT JOIN d ON d.schedule_id = s.id
 """)
 def schedules_after_cancel(t):

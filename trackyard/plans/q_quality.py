@@ -206,7 +206,7 @@ def double_sold(t):
 
 
 @query("double_sold_rows", """
-SELECT b.* FROM bookings b
+SELECT b.* REPLACE (CAST(b.amount_paid AS DOUBLE) AS amount_paid) FROM bookings b
 WHERE b.booking_status IN ('confirmed', 'pending')
   AND (b.schedule_id, b.seat_number) IN (SELECT schedule_id, seat_number FROM bookings
        WHERE booking_status IN ('confirmed', 'pending') GROUP BY 1, 2 HAVING COUNT(*) > 1)

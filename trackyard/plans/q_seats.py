@@ -46,9 +46,10 @@ d AS (SELECT *, CASE WHEN status = 'cancelled' THEN seats ELSE GREATEST(LEAST(la
              CASE WHEN car = 0 THEN (CASE WHEN status = 'cancelled' THEN GREATEST(prem_hi - first_seat + 1, 0)
                                           ELSE GREATEST(LEAST(prem_hi, occupied) - first_seat + 1, 0) END) ELSE 0 END AS prem_occ
       FROM c)
-SELECT schedule_id, CAST(car + 1 AS INT) AS car_no, first_seat, last_seat, seats, occ AS occupied_seats,
+SELECT schedule_id, CAST(car + 1 AS INT) AS car_no, CAST(first_seat AS INT) AS first_seat,
+       CAST(last_seat AS INT) AS last_seat, CAST(seats AS INT) AS seats, CAST(occ AS INT) AS occupied_seats,
        CAST(ROUND(CAST(occ AS DOUBLE) / NULLIF(seats, 0) * 100, 0) AS INT) AS car_pct,
-       prem - prem_occ AS premium_free
+       CAST(prem - prem_occ AS INT) AS premium_free
 FROM d
 """)
 def car_occupancy(t):
@@ -127,7 +128,7 @@ def seat_admission_counts(t):
 
 @query("schedules_after_admission", ADMISSION_SQL + """
 , d AS (SELECT schedule_id, COUNT(*) AS n FROM res WHERE outcome = 'accepted' GROUP BY schedule_id)
-SELECT s.id, s.total_seats, s.available_seats - COALESCE(d.n, 0) AS available_seats
+SELECT s.id, s.total_seats, CAST(s.available_seats - COALESCE(d.n, 0) AS INT) AS available_seats
 FROM schedules s LEFT JOIN d ON d.schedule_id = s.id
 """)
 def schedules_after_admission(t):
