@@ -106,18 +106,23 @@ class RailTables:
             return self.spark.read.parquet(f.read().strip())
 
     # Stored layout: time-clustered files so date filters prune whole files
-    # (Parquet min/max), and at least one file per core so scans run in
-    # parallel.  A plan that already has more partitions is not reshuffled
-    # beyond the range clustering of the two time-keyed fact tables.
+    # (Parquet min/max), about one file per 128 MB of source data and at
+    # least one per core so scans run in parallel.
     CLUSTER = {"bookings": "created_at", "schedules": "travel_date"}
+    SOURCES = {"stations": ("nation", "region"), "routes": ("supplier",),
+               "schedules": ("orders",), "bookings": ("lineitem",),
+               "users": ("customer",), "user_permissions": ("customer",)}
+    FILE_BYTES = 128 << 20
 
     def _layout(self, name: str, df: DataFrame) -> DataFrame:
-        par = self.spark.sparkContext.defaultParallelism
-        n = max(df.rdd.getNumPartitions(), par)
+        src = _local(self.sf_dir)
+        size = sum(os.path.getsize(os.path.join(src, f"{t}.parquet"))
+                   for t in self.SOURCES[name])
+        n = max(self.spark.sparkContext.defaultParallelism, -(-size // self.FILE_BYTES))
         key = self.CLUSTER.get(name)
         if key:
             return df.repartitionByRange(n, key).sortWithinPartitions(key)
-        return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+        return df.repartition(n)
 
     def materialize_all(self) -> None:
         for n in ("stations", "routes", "schedules", "bookings", "users", "user_permissions"):
