@@ -145,19 +145,26 @@ def admit_bookings(requests: DataFrame, schedules: DataFrame, bookings: DataFram
 
     held = taken_seats(bookings, normalise=True).select(
         F.col("schedule_id").alias("_hs"), F.col("seat").alias("_hseat"))
-    first = (req.groupBy("schedule_id", "_seat")
-             .agg(F.min(ordk).alias("_k")))
-    cand = (first.join(held, (first.schedule_id == held["_hs"]) & (first["_seat"] == held["_hseat"]),
-                       "left_anti")
-            .select("schedule_id", F.col("_k.ts").alias("ts"),
-                    F.col("_k.request_id").alias("request_id")))
-
-    sched = schedules.select(F.col("id").alias("_sid"), F.col("status").alias("_status"),
-                             F.col("available_seats").alias("_avail"),
-                             F.col("class").alias("_class"), F.col("route_id").alias("_rid"))
-    # candidates of live schedules with a positive seat count, ranked per schedule
-    c2 = cand.join(sched, cand.schedule_id == sched["_sid"], "inner") \
-        .where((F.col("_status") != "cancelled") & (F.col("_avail") > 0))
+    # first request per (schedule, seat) whose seat is not held: the candidates
+    first = req.groupBy("schedule_id", "_seat").agg(F.min(ordk).alias("_k"))
+    free = first.join(held, (first.schedule_id == held["_hs"]) & (first["_seat"] == held["_hseat"]),
+                      "left_anti")
+
+    # one row per schedule with everything the outcome needs (fare included)
+    prices = routes.select(F.col("id").alias("_prid"), "price_first_class", "price_economy",
+                           "price_student")
+    sched = (schedules.join(prices, schedules.route_id == prices["_prid"], "left")
+             .select(F.col("id").alias("_sid"), F.col("status").alias("_status"),
+                     F.col("available_seats").alias("_avail"),
+                     X.fare_for_class("class", "price_first_class", "price_economy",
+                                      "price_student").alias("_fare")))
+
+    # the available-th candidate of each live schedule (salted top-k)
+    cand = free.select("schedule_id", F.col("_k.ts").alias("ts"),
+                       F.col("_k.request_id").alias("request_id"))
+    live = (schedules.where((F.col("status") != "cancelled") & (F.col("available_seats") > 0))
+            .select(F.col("id").alias("_lid"), F.col("available_seats").alias("_avail")))
+    c2 = cand.join(live, cand.schedule_id == live["_lid"], "inner")
     c2 = c2.withColumn("_salt", F.pmod(F.xxhash64("request_id"), F.lit(salt_buckets)))
     w1 = Window.partitionBy("schedule_id", "_salt").orderBy("ts", "request_id")
     pruned = c2.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= F.col("_avail"))
@@ -167,25 +174,25 @@ def admit_bookings(requests: DataFrame, schedules: DataFrame, bookings: DataFram
                  .select(F.col("schedule_id").alias("_ts_sid"), F.col("ts").alias("_t_ts"),
                          F.col("request_id").alias("_t_id")))
 
-    is_cand = cand.select(F.col("request_id").alias("_cid"), F.lit(True).alias("_cand"))
-    r = (req.join(sched, req.schedule_id == sched["_sid"], "left")
-         .join(threshold, req.schedule_id == threshold["_ts_sid"], "left")
-         .join(is_cand, req.request_id == is_cand["_cid"], "left"))
+    # candidate flag per request: it is the first free request of its seat
+    f2 = free.select(F.col("schedule_id").alias("_fs"), F.col("_seat").alias("_fseat"),
+                     F.col("_k").alias("_fk"))
+    r = req.join(f2, (req.schedule_id == f2["_fs"]) & (req["_seat"] == f2["_fseat"]), "left")
+    r = r.withColumn("_cand", F.coalesce(F.col("_fk") == ordk, F.lit(False)))
+    r = (r.join(sched, r.schedule_id == sched["_sid"], "left")
+         .join(threshold, r.schedule_id == threshold["_ts_sid"], "left"))
     after_t = F.col("_t_ts").isNotNull() & (
         (F.col("ts") > F.col("_t_ts")) | ((F.col("ts") == F.col("_t_ts"))
                                           & (F.col("request_id") > F.col("_t_id"))))
     outcome = (F.when(F.col("_sid").isNull(), "not_found")
                .when(F.col("_status") == "cancelled", "schedule_cancelled")
                .when((F.col("_avail") <= 0) | after_t, "no_seats")
-               .when(F.col("_cand").isNull(), "seat_taken")
+               .when(~F.col("_cand"), "seat_taken")
                .otherwise("accepted"))
-    prices = routes.select(F.col("id").alias("_prid"), "price_first_class", "price_economy",
-                           "price_student")
-    r = r.join(prices, r["_rid"] == prices["_prid"], "left").withColumn("outcome", outcome)
-    fare = X.fare_for_class("_class", "price_first_class", "price_economy", "price_student")
+    r = r.withColumn("outcome", outcome)
     outcomes = r.select("request_id", "ts", "user_id", "schedule_id", "seat_number",
                         "payment_method", "outcome",
-                        F.when(F.col("outcome") == "accepted", fare).alias("amount_paid"))
+                        F.when(F.col("outcome") == "accepted", F.col("_fare")).alias("amount_paid"))
     return admission_parts(outcomes)
 
 
