@@ -43,3 +43,81 @@ def test_rerun_from_checkpoint_adds_nothing(spark):
     J.run_batches(J.revenue_stream(t2.bookings), out, "update")
     assert spark.read.parquet(out).select("batch_id").distinct().count() == 1
     assert sorted(map(tuple, J.latest_per_key(spark, out, ["report_date"]).collect())) == first
+
+
+def _replay_with_cancels(scheds, routes, hist, batches):
+    """Sequential replay: per batch, bookings in (ts, id) order, then cancels in
+    (ts, id) order; seats freed by cancels count from the next batch."""
+    sched = {s[0]: dict(status=s[9], avail=s[7], cls=s[8], route=s[2]) for s in scheds}
+    price = {r[0]: (r[6], r[7], r[8]) for r in routes}
+    status = {h[0]: (h[7], h[2], h[3].strip().upper()) for h in hist}
+    held = {(h[2], h[3].strip().upper()) for h in hist if h[7] in ("confirmed", "pending")}
+    out = {}
+    for books, cancels in batches:
+        freed = []
+        for rid, ts, _u, sid, seat, _pm in sorted(books, key=lambda r: (r[1], r[0])):
+            s = sched.get(sid)
+            key = (sid, seat.strip().upper())
+            if s is None:
+                out[rid] = "not_found"
+            elif s["status"] == "cancelled":
+                out[rid] = "schedule_cancelled"
+            elif s["avail"] <= 0:
+                out[rid] = "no_seats"
+            elif key in held:
+                out[rid] = "seat_taken"
+            else:
+                held.add(key)
+                s["avail"] -= 1
+                status[rid] = ("confirmed", sid, key[1])
+                out[rid] = "accepted"
+        for rid, ref, ts in sorted(cancels, key=lambda r: (r[2], r[0])):
+            st = status.get(ref)
+            if st is None:
+                out[rid] = "not_found"
+            elif st[0] == "cancelled":
+                out[rid] = "already_cancelled"
+            elif st[0] == "completed":
+                out[rid] = "refused_completed"
+            else:
+                status[ref] = ("cancelled", st[1], st[2])
+                out[rid] = "cancelled"
+                freed.append((st[1], st[2], st[0]))
+        for sid, seat, was in freed:
+            sched[sid]["avail"] += 1
+            if was in ("confirmed", "pending"):
+                held.discard((sid, seat))
+    return out
+
+
+def test_booking_and_cancel_stream_over_several_batches(spark):
+    import datetime as dt
+    import random
+    sdf, rdf, hdf, _qdf, scheds, routes, hist, reqs = _world(spark, 21, n_req=240)
+    rnd = random.Random(4)
+    reqs = sorted(reqs, key=lambda r: (r[1], r[0]))
+    batches = []
+    rows = []
+    for i in range(3):
+        part = reqs[i * 80:(i + 1) * 80]
+        pool = [r[0] for r in reqs[:(i + 1) * 80]] + [h[0] for h in hist] + ["NOPE"]
+        cancels = [(f"X{i}-{k}", rnd.choice(pool), part[-1][1] + dt.timedelta(seconds=k + 1))
+                   for k in range(25)]
+        batches.append((part, cancels))
+        for r in part:
+            rows.append(("book", r[0], r[1], r[2], r[3], r[4], r[5], None, i))
+        for c in cancels:
+            rows.append(("cancel", c[0], c[2], None, None, None, None, c[1], i))
+    schema = ("kind string, request_id string, ts timestamp_ntz, user_id long, schedule_id long, "
+              "seat_number string, payment_method string, booking_ref string, part int")
+    src = scratch_path(spark, "bc-src")
+    df = spark.createDataFrame(rows, schema)
+    for i in range(3):
+        df.where(F.col("part") == i).drop("part").coalesce(1).write.parquet(f"{src}/p{i}")
+    stream = (spark.readStream.schema(schema.rsplit(",", 1)[0]).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    out = scratch_path(spark, "bc-out")
+    got = {r.request_id: r.outcome
+           for r in J.run_booking_stream(spark, stream, sdf, hdf, rdf, out).collect()}
+    assert got == _replay_with_cancels(scheds, routes, hist, batches)
+    assert {"cancelled", "not_found", "already_cancelled"} <= set(got.values())

@@ -93,3 +93,50 @@ SELECT CAST(time_bucket(INTERVAL 15 MINUTE, ts) AS TIMESTAMP) AS window_start, u
        COUNT(*) > 100 AS over_limit, COUNT(CASE WHEN event_type = 'signup' THEN 1 END) > 10 AS auth_over_limit
 FROM events GROUP BY 1, 2
 """, "STR3 (batch): requests per user in 15-minute tumbling windows with limit flags.")
+
+
+def _run_booking_stream(spark, sf_dir):
+    t = J.StreamingRail(spark, sf_dir, ["lineitem"])
+    static = J.RailTables(spark, sf_dir)
+    start = X.ntz(dt.datetime(1998, 6, 15))
+    week = X.ntz(dt.datetime(1998, 6, 8))
+    history = static.bookings.where(F.col("created_at") < start)
+    b = t.bookings
+    books = b.where(F.col("created_at") >= start).select(
+        F.lit("book").alias("kind"), F.col("booking_ref").alias("request_id"),
+        F.col("created_at").alias("ts"), "user_id", "schedule_id", "seat_number",
+        "payment_method", F.lit(None).cast("string").alias("booking_ref"))
+    # bookings that ended cancelled are cancelled a day after they were made;
+    # stored bookings of the last week get a cancel request too
+    cancels = b.where(((F.col("created_at") >= start) & (F.col("booking_status") == "cancelled"))
+                      | ((F.col("created_at") >= week) & (F.col("created_at") < start))).select(
+        F.lit("cancel").alias("kind"), F.concat(F.lit("X-"), "booking_ref").alias("request_id"),
+        (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("ts"),
+        F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("bigint").alias("schedule_id"),
+        F.lit(None).cast("string").alias("seat_number"),
+        F.lit(None).cast("string").alias("payment_method"), "booking_ref")
+    out = scratch_path(spark, "booking_stream")
+    return J.run_booking_stream(spark, books.unionByName(cancels), static.schedules, history,
+                                static.routes, out)
+
+
+_register("stream_bookings_cancels", _run_booking_stream, ADMISSION_SQL + """
+, cur AS (
+  SELECT booking_ref, schedule_id, booking_status FROM bookings WHERE created_at < TIMESTAMP '1998-06-15'
+  UNION ALL SELECT request_id, schedule_id, 'confirmed' FROM res WHERE outcome = 'accepted'
+), creq AS (
+  SELECT concat('X-', booking_ref) AS request_id, booking_ref FROM bookings
+  WHERE (created_at >= TIMESTAMP '1998-06-15' AND booking_status = 'cancelled')
+     OR (created_at >= TIMESTAMP '1998-06-08' AND created_at < TIMESTAMP '1998-06-15')
+)
+SELECT request_id, 'book' AS kind, schedule_id, seat_number, CAST(NULL AS VARCHAR) AS booking_ref, outcome,
+       CASE WHEN outcome = 'accepted' THEN fare END AS amount_paid
+FROM res
+UNION ALL
+SELECT q.request_id, 'cancel', c.schedule_id, NULL, q.booking_ref,
+       CASE WHEN c.booking_ref IS NULL THEN 'not_found'
+            WHEN c.booking_status = 'cancelled' THEN 'already_cancelled'
+            WHEN c.booking_status = 'completed' THEN 'refused_completed'
+            ELSE 'cancelled' END, NULL
+FROM creq q LEFT JOIN cur c ON c.booking_ref = q.booking_ref
+""", "STR2: bookings and cancellations on one request stream; cancels act at batch boundaries.")

@@ -205,3 +205,82 @@ def run_admission(spark: SparkSession, requests: DataFrame, schedules: DataFrame
     q.awaitTermination()
     o = spark.read.parquet(f"{out}/outcomes")
     return o.select("request_id", "schedule_id", "seat_number", "outcome", "amount_paid")
+
+
+OUTCOME_COLS = ("request_id", "kind", "schedule_id", "seat_number", "booking_ref", "outcome",
+                "amount_paid")
+
+
+# STR2 with cancellations: bookings and cancels on one ordered request stream.
+def run_booking_stream(spark: SparkSession, requests: DataFrame, schedules: DataFrame,
+                       bookings: DataFrame, routes: DataFrame, out: str) -> DataFrame:
+    """``requests``: kind ('book' | 'cancel'), request_id, ts, user_id,
+    schedule_id, seat_number, payment_method (book) and booking_ref (cancel).
+
+    Micro-batch N first admits its bookings (ADM1) against the state left by
+    batches < N (seat deltas, accepted bookings, cancellations), then
+    applies its cancels (SNK12) to the stored bookings plus every accepted
+    one, including those accepted in batch N; an accepted booking's
+    reference is its request id.  A seat freed by a cancel becomes
+    available from batch N+1 on (cancels take effect at the micro-batch
+    boundary).  All state is in written tables under ``out``.
+    """
+    from trackyard.operators.mutate import cancel_bookings
+
+    def prior(kind: str, batch_id: int) -> DataFrame | None:
+        df = read_batches(spark, f"{out}/{kind}")
+        return None if df is None else df.where(F.col("batch_id") < batch_id).drop("batch_id")
+
+    def current(batch_id: int, extra: DataFrame | None = None) -> DataFrame:
+        cur = bookings.select("booking_ref", "schedule_id", "seat_number", "booking_status")
+        acc = prior("accepted", batch_id)
+        for a in (acc, extra):
+            if a is not None:
+                cur = cur.unionByName(a.select(F.col("request_id").alias("booking_ref"),
+                                               "schedule_id", "seat_number",
+                                               F.lit("confirmed").alias("booking_status")))
+        gone = prior("cancelled", batch_id)
+        if gone is not None:
+            g = gone.select(F.col("booking_ref").alias("_gref")).withColumn("_g", F.lit(1))
+            cur = cur.join(g, cur.booking_ref == g["_gref"], "left").select(
+                "booking_ref", "schedule_id", "seat_number",
+                F.when(F.col("_g").isNotNull(), F.lit("cancelled"))
+                 .otherwise(F.col("booking_status")).alias("booking_status"))
+        return cur
+
+    def process(df: DataFrame, batch_id: int) -> None:
+        d = prior("deltas", batch_id)
+        sched = schedules if d is None else apply_deltas(schedules, d)
+        books = df.where(F.col("kind") == "book").drop("kind", "booking_ref")
+        cancels = df.where(F.col("kind") == "cancel").select("request_id", "booking_ref", "ts",
+                                                              F.lit(None).cast("string")
+                                                              .alias("reason"))
+        adm = S.admit_bookings(books, sched, current(batch_id), routes)
+        bpath = f"{out}/book_outcomes/batch_id={batch_id}"
+        adm.outcomes.write.mode("overwrite").parquet(bpath)
+        written = S.admission_parts(spark.read.parquet(bpath))
+        written.accepted.write.mode("overwrite").parquet(f"{out}/accepted/batch_id={batch_id}")
+        acc_now = spark.read.parquet(f"{out}/accepted/batch_id={batch_id}")
+        c = cancel_bookings(current(batch_id, acc_now), cancels)
+        cpath = f"{out}/cancel_outcomes/batch_id={batch_id}"
+        c.outcomes.write.mode("overwrite").parquet(cpath)
+        co = spark.read.parquet(cpath)
+        co.where(F.col("outcome") == "cancelled").select("booking_ref") \
+            .write.mode("overwrite").parquet(f"{out}/cancelled/batch_id={batch_id}")
+        plus = (co.where(F.col("outcome") == "cancelled").groupBy("schedule_id")
+                .agg(F.count(F.lit(1)).alias("delta")))
+        written.deltas.unionByName(plus).write.mode("overwrite").parquet(
+            f"{out}/deltas/batch_id={batch_id}")
+
+    q = (requests.writeStream.foreachBatch(process)
+         .option("checkpointLocation", f"{out}/_checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    b = spark.read.parquet(f"{out}/book_outcomes").select(
+        "request_id", F.lit("book").alias("kind"), "schedule_id", "seat_number",
+        F.lit(None).cast("string").alias("booking_ref"), "outcome", "amount_paid")
+    c = spark.read.parquet(f"{out}/cancel_outcomes").select(
+        "request_id", F.lit("cancel").alias("kind"), "schedule_id",
+        F.lit(None).cast("string").alias("seat_number"), "booking_ref", "outcome",
+        F.lit(None).cast("decimal(10,2)").alias("amount_paid"))
+    return b.unionByName(c)
