@@ -177,7 +177,9 @@ def run_admission(spark: SparkSession, requests: DataFrame, schedules: DataFrame
     bookings accepted in batches < N.  Batch N writes its outcomes,
     accepted rows and deltas to ``batch_id=N`` folders (overwrite), so a
     retried batch recomputes from the same inputs.  Exact with respect to a
-    sequential replay when later batches carry later requests.
+    sequential replay when later batches carry later requests.  The
+    micro-batch is read once per use (measured cheaper than persisting it
+    for file sources); for a costly source, persist it inside ``process``.
     """
     def prior(kind: str, batch_id: int) -> DataFrame | None:
         df = read_batches(spark, f"{out}/{kind}")
