@@ -24,12 +24,8 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
-    """SNK14: CSV export with a header row.
-
-    Written in parallel (one file per partition); ``single_file`` funnels
-    the rows through one task and is only for small, bounded exports.
-    """
-    out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+def export_csv(df: DataFrame, path: str) -> str:
+    """SNK14: CSV export with a header row, written in parallel (one file per
+    partition; readers take the folder)."""
+    df.write.mode("overwrite").option("header", True).csv(path)
     return path
