@@ -42,3 +42,19 @@ def test_paginate_clamps_low_pages(spark):
     df = spark.range(25).withColumnRenamed("id", "k")
     assert [r.k for r in FL.paginate(df, ["k"], page=0, limit=10).collect()] == list(range(10))
     assert [r.k for r in FL.paginate(df, ["k"], page=3, limit=10).collect()] == list(range(20, 25))
+
+
+def test_rail_store_through_spark_io(spark):
+    """The shared-storage publishing path (marker dataset) gives the same rows."""
+    import uuid
+    from trackyard.sources.tables import RailTables
+    a = RailTables(spark, "/root/testdata/sf0.001", materialize=True)
+    a.force_spark_fs = True
+    a.store_salt = uuid.uuid4().hex
+    b = RailTables(spark, "/root/testdata/sf0.001", materialize=False)
+    got = a.bookings
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, b.bookings.collect()))
+    # a second reader finds the published copy instead of writing another
+    c = RailTables(spark, "/root/testdata/sf0.001", materialize=True)
+    c.force_spark_fs, c.store_salt = True, a.store_salt
+    assert c.bookings.inputFiles() == got.inputFiles()

@@ -69,41 +69,72 @@ class RailTables:
         self.sf_dir = sf_dir
         self.materialize = materialize
         self.store_salt = ""          # a new salt forces a fresh store (bench)
+        self.force_spark_fs = False   # use the shared-storage code path (tests)
 
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
-    def _store_dir(self) -> str | None:
+    def _store_dir(self) -> str:
         from trackyard.session import ensure_checkpoint_dir
-        base = _local(ensure_checkpoint_dir(self.spark))
-        src = _local(self.sf_dir)
-        if base is None or src is None:
-            return None
+        base = ensure_checkpoint_dir(self.spark).rstrip("/")
         h = hashlib.sha1(open(__file__, "rb").read())
-        for t in sorted(os.listdir(src)):
-            st = os.stat(os.path.join(src, t))
-            h.update(f"{t}:{st.st_size}:{st.st_mtime_ns}".encode())
-        h.update(os.path.abspath(src).encode())
+        src = None if self.force_spark_fs else _local(self.sf_dir)
+        if src is not None:
+            for t in sorted(os.listdir(src)):
+                st = os.stat(os.path.join(src, t))
+                h.update(f"{t}:{st.st_size}:{st.st_mtime_ns}".encode())
+            h.update(os.path.abspath(src).encode())
+        else:
+            # shared storage: key on the input file names (immutable inputs)
+            for t in sorted(set(sum(self.SOURCES.values(), ()))):
+                for f in sorted(self.raw(t).inputFiles()):
+                    h.update(f.encode())
         h.update(self.store_salt.encode())
-        return os.path.join(base, "trackyard", "rail", h.hexdigest()[:16])
+        local = None if self.force_spark_fs else _local(base)
+        root = local if local is not None else base
+        return f"{root}/trackyard/rail/{h.hexdigest()[:16]}"
 
     def _stored(self, name: str, build) -> DataFrame:
         if not self.materialize:
             return build()
         d = self._store_dir()
-        if d is None:
-            return build()
-        marker = os.path.join(d, f"{name}.done")
-        if not os.path.exists(marker):
-            os.makedirs(d, exist_ok=True)
-            target = os.path.join(d, f"{name}-{uuid.uuid4().hex[:8]}")
+        local = not self.force_spark_fs and _local(d) is not None
+        marker = f"{d}/{name}.done"
+        target = self._published(marker, local)
+        if target is None:
+            target = f"{d}/{name}-{uuid.uuid4().hex[:8]}"
             self._layout(name, build()).write.parquet(target)
+            target = self._publish(marker, target, local)
+        return self.spark.read.parquet(target)
+
+    def _published(self, marker: str, local: bool) -> str | None:
+        if local:
+            if not os.path.exists(marker):
+                return None
+            with open(marker) as f:
+                return f.read().strip()
+        from pyspark.errors import AnalysisException
+        try:
+            return self.spark.read.text(marker).first()[0]
+        except AnalysisException:
+            return None
+
+    def _publish(self, marker: str, target: str, local: bool) -> str:
+        """Publish ``target`` under ``marker``; if another writer won, use theirs."""
+        if local:
+            os.makedirs(os.path.dirname(marker), exist_ok=True)
             tmp = f"{marker}.{uuid.uuid4().hex[:8]}"
             with open(tmp, "w") as f:
                 f.write(target)
-            os.replace(tmp, marker)   # atomic publish; a racing writer just wins
-        with open(marker) as f:
-            return self.spark.read.parquet(f.read().strip())
+            os.replace(tmp, marker)   # atomic; a racing writer just wins
+            return target
+        from pyspark.errors import AnalysisException
+        try:
+            (self.spark.createDataFrame([(target,)], "value string").coalesce(1)
+             .write.mode("errorifexists").text(marker))
+            return target
+        except AnalysisException:
+            return self._published(marker, local) or target
 
     # Stored layout: time-clustered files so date filters prune whole files
     # (Parquet min/max), about one file per 128 MB of source data and at
@@ -115,10 +146,14 @@ class RailTables:
     FILE_BYTES = 128 << 20
 
     def _layout(self, name: str, df: DataFrame) -> DataFrame:
+        par = self.spark.sparkContext.defaultParallelism
         src = _local(self.sf_dir)
-        size = sum(os.path.getsize(os.path.join(src, f"{t}.parquet"))
-                   for t in self.SOURCES[name])
-        n = max(self.spark.sparkContext.defaultParallelism, -(-size // self.FILE_BYTES))
+        if src is not None:
+            size = sum(os.path.getsize(os.path.join(src, f"{t}.parquet"))
+                       for t in self.SOURCES[name])
+            n = max(par, -(-size // self.FILE_BYTES))
+        else:
+            n = 4 * par
         key = self.CLUSTER.get(name)
         if key:
             return df.repartitionByRange(n, key).sortWithinPartitions(key)
