@@ -232,3 +232,34 @@ def test_assign_booking_refs_unique(spark):
     taken = {r.booking_ref for r in existing.collect()}
     assert not taken & {r.booking_ref for r in out.collect()}
     assert out.where(F.col("ref_attempts") > 1).count() >= 50
+
+
+def test_route_performance_equals_direct_fan_out(spark):
+    """AGG6: the pre-aggregated form equals the source's join-then-AVG form."""
+    from trackyard.operators import metrics as M
+    from trackyard.sources.tables import rail
+    t = rail(spark, "/root/testdata/sf0.001", materialize=False)
+    fast = {r.route_code: tuple(r)[3:] for r in
+            M.route_performance(t.routes, t.stations, t.schedules, t.bookings).collect()}
+    r, s, b = t.routes.alias("r"), t.schedules.alias("s"), t.bookings.alias("b")
+    travelled = b.where(F.col("b.booking_status").isin("confirmed", "completed"))
+    j = (r.join(s, F.col("s.route_id") == F.col("r.id"), "left")
+         .join(travelled, F.col("b.schedule_id") == F.col("s.id"), "left"))
+    load = ((F.col("s.total_seats") - F.col("s.available_seats")) / F.col("s.total_seats") * 100)
+    direct = j.groupBy("r.id", "r.route_code").agg(
+        F.countDistinct("s.id").alias("trips"), F.count("b.booking_ref").alias("pax"),
+        F.coalesce(F.sum("b.amount_paid"), F.lit(0)).cast("double").alias("rev"),
+        F.round(F.avg(load), 1).alias("load"))
+    slow = {x.route_code: (x.trips, x.pax, x.rev, x.load) for x in direct.collect()}
+    assert fast == slow
+
+
+def test_patch_is_idempotent(spark):
+    target = spark.createDataFrame([(1, "active", 10, 0), (2, "delayed", 12, 5)],
+                                   "id long, status string, total_seats int, delay_minutes int")
+    p = spark.createDataFrame([(1, "cancelled", 0, 3, True, 1), (2, "", 20, None, False, 1)],
+                              "id long, status string, total_seats int, delay_minutes int, "
+                              "has_delay_minutes boolean, ts int")
+    once = MU.patch(target, p, ["id"], ["status", "total_seats"], ["delay_minutes"], ["ts"]).table
+    twice = MU.patch(once, p, ["id"], ["status", "total_seats"], ["delay_minutes"], ["ts"]).table
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
