@@ -314,6 +314,9 @@ def purge_expired(tokens: DataFrame, as_of_ts) -> DataFrame:
 
 
 # SC8: booking references with collision re-salting (at most ``attempts`` tries).
+BROADCAST_MAX_ROWS = 2_000_000   # pending rows small enough to broadcast (checked count)
+
+
 def assign_booking_refs(rows: DataFrame, existing: DataFrame, key: str = "request_id",
                         attempts: int = 10) -> DataFrame:
     """Give every row a reference 'BK-' + 5 symbols of the 32-symbol alphabet.
@@ -324,11 +327,16 @@ def assign_booking_refs(rows: DataFrame, existing: DataFrame, key: str = "reques
     even if it collides (as the source does); ``ref_attempts`` records the
     try used.  Each round is checkpointed (reliable checkpoint in
     ``spark.checkpoint.dir``) so the plan does not grow with the rounds, and
-    the loop stops as soon as nothing is pending.  The ref space is 32^5,
-    so tables with tens of millions of bookings need a longer reference.
+    the loop stops as soon as nothing is pending.  Later rounds only have a
+    few rows: once their counted number is at most ``BROADCAST_MAX_ROWS``
+    their references are broadcast into a semi join with the taken ones, so
+    the taken references are scanned but not shuffled again.  The ref space
+    is 32^5, so tables with tens of millions of bookings need a longer
+    reference.
     """
     taken = existing.select(F.col("booking_ref").alias("_ref")).distinct()
     pending = rows
+    n_pending = None
     parts = []
     for a in range(attempts):
         cand = pending.withColumn("booking_ref", X.booking_ref(key, F.lit(a))) \
@@ -336,9 +344,14 @@ def assign_booking_refs(rows: DataFrame, existing: DataFrame, key: str = "reques
         if a == attempts - 1:
             parts.append(cand)
             break
+        if n_pending is not None and n_pending <= BROADCAST_MAX_ROWS:
+            refs = cand.select(F.col("booking_ref").alias("_cref")).distinct()
+            hits = taken.join(F.broadcast(refs), taken["_ref"] == refs["_cref"], "left_semi")
+        else:
+            hits = taken
         winners = cand.groupBy(F.col("booking_ref").alias("_wref")).agg(F.min(key).alias("_win"))
         cand2 = (cand.join(winners, cand.booking_ref == winners["_wref"], "left")
-                 .join(taken, cand.booking_ref == taken["_ref"], "left")
+                 .join(hits, cand.booking_ref == hits["_ref"], "left")
                  .withColumn("_good", (F.col(key) == F.col("_win")) & F.col("_ref").isNull())
                  .drop("_wref", "_win", "_ref")
                  .checkpoint(eager=True))
@@ -346,7 +359,8 @@ def assign_booking_refs(rows: DataFrame, existing: DataFrame, key: str = "reques
         pending = cand2.where(~F.col("_good")).drop("_good", "booking_ref", "ref_attempts")
         taken = taken.unionByName(cand2.where(F.col("_good"))
                                   .select(F.col("booking_ref").alias("_ref")))
-        if pending.isEmpty():
+        n_pending = pending.count()
+        if n_pending == 0:
             break
     out = parts[0]
     for p in parts[1:]:
