@@ -1,7 +1,5 @@
 """Every registered query against its DuckDB oracle on the sf0.001 tables."""
 
-import collections
-
 import duckdb
 import pytest
 

@@ -4,8 +4,6 @@ import datetime as dt
 import random
 from decimal import Decimal
 
-from pyspark.sql import functions as F
-
 from trackyard.operators import metrics as M
 from trackyard.operators import mutate as MU
 from trackyard.operators import seats as S

@@ -34,7 +34,6 @@ def test_admission_stream_over_several_batches(spark):
 
 
 def test_rerun_from_checkpoint_adds_nothing(spark):
-    import tempfile
     t = J.StreamingRail(spark, "/root/testdata/sf0.001", ["lineitem"])
     out = scratch_path(spark, "rev-rerun")
     J.run_batches(J.revenue_stream(t.bookings), out, "update")

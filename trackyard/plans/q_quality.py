@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from trackyard.operators import quality as Q
 from trackyard.plans.registry import query
 from trackyard.sources import requests as RQ
-from trackyard.sources.schema import DOMAINS, MAX_LENGTH, NOT_NULL
+from trackyard.sources.schema import DOMAINS, MAX_LENGTH
 
 
 @query("dq_unique", """

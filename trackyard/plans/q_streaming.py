@@ -11,7 +11,6 @@ from trackyard.plans.q_seats import ADMISSION_SQL
 from trackyard.plans.registry import REGISTRY, Query, output
 from trackyard.plans.rail_sql import with_rail
 from trackyard.session import scratch_path
-from trackyard.sources.tables import AS_OF
 from trackyard.streaming import jobs as J
 
 

@@ -21,7 +21,7 @@ from trackyard.functions import expr as X
 from trackyard.operators import seats as S
 from trackyard.operators.mutate import apply_deltas
 from trackyard.operators.skew import pick_per_key
-from trackyard.operators.views import route_dim, travelled
+from trackyard.operators.views import route_dim
 from trackyard.session import scratch_path
 from trackyard.sources.tables import RailTables
 
