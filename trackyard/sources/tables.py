@@ -160,8 +160,12 @@ class RailTables:
         return df.repartition(n)
 
     def materialize_all(self) -> None:
-        for n in ("stations", "routes", "schedules", "bookings", "users", "user_permissions"):
-            getattr(self, n)
+        """Store all six views, submitting the independent writes as
+        concurrent Spark jobs (small dimensions do not wait behind the facts)."""
+        from concurrent.futures import ThreadPoolExecutor
+        names = ("bookings", "schedules", "users", "user_permissions", "routes", "stations")
+        with ThreadPoolExecutor(max_workers=len(names)) as pool:
+            list(pool.map(lambda n: getattr(self, n), names))
 
     @cached_property
     def stations(self) -> DataFrame:
