@@ -334,7 +334,8 @@ def assign_booking_refs(rows: DataFrame, existing: DataFrame, key: str = "reques
     is 32^5, so tables with tens of millions of bookings need a longer
     reference.
     """
-    taken = existing.select(F.col("booking_ref").alias("_ref")).distinct()
+    # stored and newly given references; de-duplicated only where joined
+    taken = existing.select(F.col("booking_ref").alias("_ref"))
     pending = rows
     n_pending = None
     parts = []
@@ -345,10 +346,12 @@ def assign_booking_refs(rows: DataFrame, existing: DataFrame, key: str = "reques
             parts.append(cand)
             break
         if n_pending is not None and n_pending <= BROADCAST_MAX_ROWS:
+            # filter the taken refs map-side against the few candidates first
             refs = cand.select(F.col("booking_ref").alias("_cref")).distinct()
-            hits = taken.join(F.broadcast(refs), taken["_ref"] == refs["_cref"], "left_semi")
+            hits = taken.join(F.broadcast(refs), taken["_ref"] == refs["_cref"],
+                              "left_semi").distinct()
         else:
-            hits = taken
+            hits = taken.distinct()
         winners = cand.groupBy(F.col("booking_ref").alias("_wref")).agg(F.min(key).alias("_win"))
         cand2 = (cand.join(winners, cand.booking_ref == winners["_wref"], "left")
                  .join(hits, cand.booking_ref == hits["_ref"], "left")
