@@ -58,3 +58,20 @@ def test_rail_store_through_spark_io(spark):
     c = RailTables(spark, "/root/testdata/sf0.001", materialize=True)
     c.force_spark_fs, c.store_salt = True, a.store_salt
     assert c.bookings.inputFiles() == got.inputFiles()
+
+
+def test_rate_limit_flags(spark):
+    import datetime as dt
+    from trackyard.streaming.jobs import rate_windows
+    t0 = dt.datetime(2026, 1, 1, 10, 0)
+    rows = [(k, t0 + dt.timedelta(seconds=k), 1, "signup" if k < 11 else "view", 1.0, "{}")
+            for k in range(101)]
+    rows += [(1000, t0, 2, "view", 1.0, "{}"), (1001, t0 + dt.timedelta(minutes=20), 1, "view", 1.0, "{}")]
+    ev = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, "
+                                     "event_type string, value double, props string")
+    got = {(str(r.window_start), r.user_id): (r.requests, r.auth_requests, r.over_limit,
+                                               r.auth_over_limit)
+           for r in rate_windows(ev).collect()}
+    assert got == {("2026-01-01 10:00:00", 1): (101, 11, True, True),
+                   ("2026-01-01 10:00:00", 2): (1, 0, False, False),
+                   ("2026-01-01 10:15:00", 1): (1, 0, False, False)}
