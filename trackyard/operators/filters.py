@@ -107,3 +107,18 @@ def live_sessions(tokens: DataFrame, users: DataFrame, as_of_ts) -> DataFrame:
 def paginate(df: DataFrame, order: Sequence[Column | str], page: int = 1, limit: int = 20) -> DataFrame:
     page = max(1, int(page))
     return df.orderBy(*[c(o) for o in order]).offset((page - 1) * limit).limit(limit)
+
+
+def visibility_counts(users: DataFrame, bookings: DataFrame, owner_col: str = "user_id") -> DataFrame:
+    """FLT11 for every user at once: how many bookings each user may see.
+
+    Passengers see their own rows, other roles all rows.  Computed from
+    per-owner counts and one global count, never as viewers x bookings.
+    """
+    own = bookings.groupBy(F.col(owner_col).alias("_o")).agg(F.count(F.lit(1)).alias("_own"))
+    total = bookings.select(F.count(F.lit(1))).scalar()
+    j = users.join(own, users.id == own["_o"], "left")
+    own_n = F.coalesce(F.col("_own"), F.lit(0))
+    return j.select("id", "role", own_n.alias("own_bookings"),
+                    F.when(F.col("role") == "passenger", own_n).otherwise(total)
+                     .alias("visible_bookings"))

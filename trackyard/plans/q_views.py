@@ -251,3 +251,13 @@ def booking_cards(t):
         X.minutes_to_hours("duration_minutes").alias("duration_hours"),
         X.boarding_pass("booking_ref", "train_id", "from_code", "to_code", "travel_date",
                         "seat_number", "_name").alias("boarding_pass"))
+
+
+@query("booking_visibility", """
+SELECT u.id, u.role, COALESCE(o.n, 0) AS own_bookings,
+       CASE WHEN u.role = 'passenger' THEN COALESCE(o.n, 0) ELSE (SELECT COUNT(*) FROM bookings) END AS visible_bookings
+FROM users u LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM bookings GROUP BY user_id) o ON o.user_id = u.id
+""")
+def booking_visibility(t):
+    """FLT11: bookings each user may see (own for passengers, all for other roles)."""
+    return FL.visibility_counts(t.users, t.bookings)
