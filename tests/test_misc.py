@@ -75,3 +75,26 @@ def test_rate_limit_flags(spark):
     assert got == {("2026-01-01 10:00:00", 1): (101, 11, True, True),
                    ("2026-01-01 10:00:00", 2): (1, 0, False, False),
                    ("2026-01-01 10:15:00", 1): (1, 0, False, False)}
+
+
+def test_notification_log(spark):
+    import datetime as dt
+    from trackyard.streaming.jobs import notification_counts, notification_log
+    t0 = dt.datetime(2026, 1, 1, 9)
+    outbox = spark.createDataFrame(
+        [("B1", "sms", "+9665", None, "body1"), ("B1", "email", "a@x", "Subj B1", "conf B1"),
+         ("B2", "email", "b@x", "Subj B2", "conf B2")],
+        "booking_ref string, type string, channel string, subject string, message string")
+    receipts = spark.createDataFrame(
+        [("B1", "sms", t0, True, None), ("B1", "email", t0, False, "smtp down"),
+         ("B1", "email", t0 - dt.timedelta(hours=1), True, None)],
+        "booking_ref string, type string, ts timestamp_ntz, ok boolean, error string")
+    log = {(r.booking_ref, r.type): r for r in notification_log(outbox, receipts).collect()}
+    assert log[("B1", "sms")].status == "sent" and log[("B1", "sms")].sent_at == t0
+    f = log[("B1", "email")]
+    assert (f.status, f.sent_at, f.error_msg, f.message, f.subject) == \
+        ("failed", None, "smtp down", "smtp down", "Booking confirmation")
+    assert log[("B2", "email")].status == "pending"
+    counts = {(r.type, r.status): r.notifications
+              for r in notification_counts(notification_log(outbox, receipts)).collect()}
+    assert counts == {("sms", "sent"): 1, ("email", "failed"): 1, ("email", "pending"): 1}

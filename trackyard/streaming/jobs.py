@@ -286,3 +286,35 @@ def run_booking_stream(spark: SparkSession, requests: DataFrame, schedules: Data
         F.lit(None).cast("string").alias("seat_number"), "booking_ref", "outcome",
         F.lit(None).cast("decimal(10,2)").alias("amount_paid"))
     return b.unionByName(c)
+
+
+# SC11: notification log rows from outbox rows and delivery receipts.
+def notification_log(outbox_rows: DataFrame, receipts: DataFrame) -> DataFrame:
+    """outbox_rows: booking_ref, type, channel, subject, message (STR5);
+    receipts: booking_ref, type, ts, ok, error.
+
+    status 'sent' / 'failed' / 'pending' (no receipt); sent_at only when
+    sent; a failed row carries the error as its message and error_msg, and
+    a failed e-mail the generic subject, as the source logs them.  A
+    receipt per (booking_ref, type) is expected; the latest one counts.
+    """
+    last = pick_per_key(receipts, ["booking_ref", "type"], ["ts"], last=True) \
+        .select(F.col("booking_ref").alias("_rr"), F.col("type").alias("_rt"),
+                F.col("ts").alias("_ts"), F.col("ok").alias("_ok"), F.col("error").alias("_err"))
+    j = outbox_rows.join(last, (outbox_rows.booking_ref == last["_rr"])
+                         & (outbox_rows.type == last["_rt"]), "left")
+    status = (F.when(F.col("_ok").isNull(), "pending").when(F.col("_ok"), "sent")
+              .otherwise("failed"))
+    failed = status == "failed"
+    return j.select(
+        "booking_ref", "type", "channel",
+        F.when(failed & (F.col("type") == "email"), F.lit("Booking confirmation"))
+         .otherwise(F.col("subject")).alias("subject"),
+        F.when(failed, F.col("_err")).otherwise(F.col("message")).alias("message"),
+        status.alias("status"),
+        F.when(status == "sent", F.col("_ts")).alias("sent_at"),
+        F.when(failed, F.col("_err")).alias("error_msg"))
+
+
+def notification_counts(log: DataFrame) -> DataFrame:
+    return log.groupBy("type", "status").agg(F.count(F.lit(1)).alias("notifications"))
