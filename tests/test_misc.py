@@ -98,3 +98,15 @@ def test_notification_log(spark):
     counts = {(r.type, r.status): r.notifications
               for r in notification_counts(notification_log(outbox, receipts)).collect()}
     assert counts == {("sms", "sent"): 1, ("email", "failed"): 1, ("email", "pending"): 1}
+
+
+def test_validation_errors_array_and_long_form(spark):
+    df = spark.createDataFrame([("r1", 0, "1A", "visa"), ("r2", 5, "", "bitcoin"), ("r3", 5, "2B", "cash")],
+                               "request_id string, schedule_id long, seat_number string, payment_method string")
+    arr = {r.request_id: [(e.field, e.message) for e in r.errors]
+           for r in Q.validation_errors(df, "request_id", Q.booking_request_rules()).collect()}
+    assert arr == {"r1": [("scheduleId", "Invalid value")],
+                   "r2": [("seatNumber", "Invalid value"), ("paymentMethod", "Invalid value")]}
+    long = sorted((r.request_id, r.field) for r in
+                  Q.validate(df, "request_id", Q.booking_request_rules()).collect())
+    assert long == [("r1", "scheduleId"), ("r2", "paymentMethod"), ("r2", "seatNumber")]

@@ -117,6 +117,16 @@ def validate(df: DataFrame, key: str, rules: Sequence[tuple[str, Column]]) -> Da
     return e.select(key, F.col("e.field").alias("field"), F.col("e.message").alias("message"))
 
 
+def validation_errors(df: DataFrame, key: str, rules: Sequence[tuple[str, Column]]) -> DataFrame:
+    """DQ5 in the validator's response shape: one row per invalid input row with
+    ``errors`` = array of {field, message}; built per row, no grouping."""
+    errs = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)),
+                                     F.struct(F.lit(field).alias("field"),
+                                              F.lit(INVALID).alias("message")))
+                              for field, ok in rules]), lambda x: x.isNotNull())
+    return df.select(key, errs.alias("errors")).where(F.size("errors") > 0)
+
+
 def booking_request_rules() -> list[tuple[str, Column]]:
     seat = F.col("seat_number")
     return [
