@@ -102,7 +102,7 @@ def upsert(target: DataFrame, rows: DataFrame, keys: Sequence[str], cols: Sequen
 
 # SNK5: find-or-create users by national id (+ default permission row).
 def find_or_create(users: DataFrame, permissions: DataFrame, national_ids: DataFrame) -> tuple:
-    """Returns (users, permissions, mapping national_id -> user id, created flag).
+    """Returns (users, permissions, mapping national_id -> user id, created flag, role).
 
     New users get e-mail '<id>@nafath.sa', names 'Nafath User', role
     passenger, status active, verified 1 and a deterministic id derived from
@@ -110,7 +110,8 @@ def find_or_create(users: DataFrame, permissions: DataFrame, national_ids: DataF
     """
     ids = national_ids.select("national_id").where(F.col("national_id").isNotNull()).distinct()
     existing = users.where(F.col("national_id").isNotNull()).select(
-        F.col("national_id").alias("_nid"), F.col("id").alias("_uid"))
+        F.col("national_id").alias("_nid"), F.col("id").alias("_uid"),
+        F.col("role").alias("_urole"))
     j = ids.join(existing, ids.national_id == existing["_nid"], "left")
     new = j.where(F.col("_uid").isNull()).select("national_id")
     new_id = F.abs(F.xxhash64(F.lit("nafath"), F.col("national_id")))
@@ -125,10 +126,21 @@ def find_or_create(users: DataFrame, permissions: DataFrame, national_ids: DataF
                                 F.lit(1).alias("can_bookings"), F.lit(0).alias("can_routes"))
     perms2 = permissions.unionByName(perm_new, allowMissingColumns=True)
     mapping = j.select("national_id", F.coalesce(F.col("_uid"), new_id).alias("user_id"),
-                       F.col("_uid").isNull().alias("created"))
+                       F.col("_uid").isNull().alias("created"),
+                       F.coalesce(F.col("_urole"), F.lit("passenger")).alias("user_role"))
     return users2, perms2, mapping
 
 
+def sign_on_checks(mapping: DataFrame, requests: DataFrame) -> DataFrame:
+    """Role check of a national sign-on request: refused when the requested
+    role differs from the user's and is not 'passenger'.
+    requests: national_id, requested_role."""
+    m = mapping.select(F.col("national_id").alias("_n"), "user_id", "created", "user_role")
+    j = requests.join(m, requests.national_id == m["_n"], "left").drop("_n")
+    ok = (F.col("requested_role") == "passenger") | (F.col("requested_role") == F.col("user_role"))
+    return j.withColumn("role_ok", F.coalesce(ok, F.lit(False)))
+
+
 def _truthy(col: Column, dtype: str) -> Column:
     if dtype == "string":
         return col.isNotNull() & (col != "")

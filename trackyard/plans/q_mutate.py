@@ -121,6 +121,25 @@ def find_or_create_users(t):
     return mapping.join(u, mapping.user_id == u["_uid"]).select("national_id", "created", "email")
 
 
+@query("sign_on_role_checks", _SIGNUPS + """
+, req AS (SELECT national_id, event_id, CASE WHEN ts >= TIMESTAMP '2024-01-16' THEN 'staff' ELSE 'passenger' END AS requested_role
+          FROM rows)
+SELECT req.national_id, req.event_id, req.requested_role, u.id IS NULL AS created,
+       COALESCE(u.role, 'passenger') AS user_role,
+       req.requested_role = 'passenger' OR req.requested_role = COALESCE(u.role, 'passenger') AS role_ok
+FROM req LEFT JOIN users u ON u.national_id = req.national_id
+""")
+def sign_on_role_checks(t):
+    """SNK5: role check per sign-on request (requested role must match unless passenger)."""
+    s = _signups(t)
+    _, _, mapping = MU.find_or_create(t.users, t.user_permissions, s)
+    req = s.select("national_id", "event_id",
+                   F.when(F.col("ts") >= X.ntz("2024-01-16 00:00:00"), "staff")
+                    .otherwise("passenger").alias("requested_role"))
+    return MU.sign_on_checks(mapping, req).select(
+        "national_id", "event_id", "requested_role", "created", "user_role", "role_ok")
+
+
 @query("upsert_permissions", """
 , rows AS (
   SELECT e.user_id, CASE WHEN u.role IN ('admin', 'staff') THEN 1 ELSE 0 END AS can_schedules, 1 AS can_bookings,
