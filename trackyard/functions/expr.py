@@ -17,7 +17,7 @@ BOOKING_REF_PREFIX = "BK-"
 QR_PREFIX = "RWSA-"
 BOARDING_PASS_TAG = "RWSA"
 PHONE_COUNTRY_PREFIX = "+966"
-NAFATH_EMAIL_DOMAIN = "@nafath.sa"
+SIGN_ON_EMAIL_DOMAIN = "@nafath.sa"
 # booking status labels
 BOOKING_STATUS_LABELS = {
     "en": {"confirmed": "Confirmed", "completed": "Completed", "cancelled": "Cancelled",
@@ -253,8 +253,8 @@ def normalize_email(e) -> Column:
     return F.lower(F.trim(c(e)))
 
 
-def nafath_email(national_id) -> Column:
-    return F.concat(c(national_id), F.lit(NAFATH_EMAIL_DOMAIN))
+def sign_on_email(national_id) -> Column:
+    return F.concat(c(national_id), F.lit(SIGN_ON_EMAIL_DOMAIN))
 
 
 # SC21: row as JSON text.

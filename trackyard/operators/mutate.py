@@ -116,7 +116,7 @@ def find_or_create(users: DataFrame, permissions: DataFrame, national_ids: DataF
     new = j.where(F.col("_uid").isNull()).select("national_id")
     new_id = F.abs(F.xxhash64(F.lit("nafath"), F.col("national_id")))
     new_users = new.select(
-        new_id.alias("id"), X.nafath_email("national_id").alias("email"),
+        new_id.alias("id"), X.sign_on_email("national_id").alias("email"),
         F.lit("Nafath").alias("first_name"), F.lit("User").alias("last_name"),
         F.lit(None).cast("string").alias("phone"), "national_id",
         F.lit("passenger").alias("role"), F.lit("active").alias("status"),
