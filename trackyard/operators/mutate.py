@@ -114,7 +114,7 @@ def find_or_create(users: DataFrame, permissions: DataFrame, national_ids: DataF
         F.col("role").alias("_urole"))
     j = ids.join(existing, ids.national_id == existing["_nid"], "left")
     new = j.where(F.col("_uid").isNull()).select("national_id")
-    new_id = F.abs(F.xxhash64(F.lit("nafath"), F.col("national_id")))
+    new_id = F.abs(F.xxhash64(F.lit("sign_on"), F.col("national_id")))
     new_users = new.select(
         new_id.alias("id"), X.sign_on_email("national_id").alias("email"),
         F.lit("Nafath").alias("first_name"), F.lit("User").alias("last_name"),
