@@ -18,6 +18,9 @@ QR_PREFIX = "RWSA-"
 BOARDING_PASS_TAG = "RWSA"
 PHONE_COUNTRY_PREFIX = "+966"
 SIGN_ON_EMAIL_DOMAIN = "@nafath.sa"
+# names and auth method given to users created by national sign-on
+SIGN_ON_FIRST_NAME = "Nafath"
+SIGN_ON_LAST_NAME = "User"
 # booking status labels
 BOOKING_STATUS_LABELS = {
     "en": {"confirmed": "Confirmed", "completed": "Completed", "cancelled": "Cancelled",

@@ -104,9 +104,10 @@ def upsert(target: DataFrame, rows: DataFrame, keys: Sequence[str], cols: Sequen
 def find_or_create(users: DataFrame, permissions: DataFrame, national_ids: DataFrame) -> tuple:
     """Returns (users, permissions, mapping national_id -> user id, created flag, role).
 
-    New users get e-mail '<id>@nafath.sa', names 'Nafath User', role
-    passenger, status active, verified 1 and a deterministic id derived from
-    the national id (xxhash64, non-negative), so reruns give the same ids.
+    New users get the sign-on e-mail ('<id>' + SIGN_ON_EMAIL_DOMAIN) and
+    names (expr fixed values), role passenger, status active, verified 1 and
+    a deterministic id derived from the national id (xxhash64,
+    non-negative), so reruns give the same ids.
     """
     ids = national_ids.select("national_id").where(F.col("national_id").isNotNull()).distinct()
     existing = users.where(F.col("national_id").isNotNull()).select(
@@ -117,7 +118,8 @@ def find_or_create(users: DataFrame, permissions: DataFrame, national_ids: DataF
     new_id = F.abs(F.xxhash64(F.lit("sign_on"), F.col("national_id")))
     new_users = new.select(
         new_id.alias("id"), X.sign_on_email("national_id").alias("email"),
-        F.lit("Nafath").alias("first_name"), F.lit("User").alias("last_name"),
+        F.lit(X.SIGN_ON_FIRST_NAME).alias("first_name"),
+        F.lit(X.SIGN_ON_LAST_NAME).alias("last_name"),
         F.lit(None).cast("string").alias("phone"), "national_id",
         F.lit("passenger").alias("role"), F.lit("active").alias("status"),
         F.lit(1).alias("verified"))
