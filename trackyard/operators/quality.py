@@ -39,12 +39,18 @@ def union_all(parts: Iterable[DataFrame]) -> DataFrame:
 
 # DQ1: a unique key value held by more than one row (NULLs may repeat).
 def unique_violations(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
-    parts = []
-    for c in columns:
-        g = (df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-             .where(F.col("_n") > 1))
-        parts.append(_report(g, "unique", table, c, F.col(c), F.col("_n")))
-    return union_all(parts)
+    """All key columns of a table in one scan: (column, value) pairs are
+    stacked and counted with one aggregation."""
+    pairs = F.filter(F.array(*[F.when(F.col(c).isNotNull(),
+                                      F.struct(F.lit(c).alias("c"),
+                                               F.col(c).cast("string").alias("v")))
+                               for c in columns]), lambda x: x.isNotNull())
+    g = (df.select(F.explode(pairs).alias("p"))
+         .groupBy(F.col("p.c").alias("_c"), F.col("p.v").alias("_v"))
+         .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1))
+    return g.select(F.lit("unique").alias("check"), F.lit(table).alias("table_name"),
+                    F.col("_c").alias("column_name"), F.col("_v").alias("value"),
+                    F.col("_n").cast("bigint").alias("rows"))
 
 
 # DQ2: child rows whose non-NULL key has no parent.
@@ -79,12 +85,18 @@ def fk_effects(parent_deleted: DataFrame, child: DataFrame, col: str, on_delete:
 
 # DQ3: values outside an enum domain.
 def domain_violations(df: DataFrame, table: str, domains: Mapping[str, Sequence[str]]) -> DataFrame:
-    parts = []
-    for c, dom in domains.items():
-        g = (df.where(F.col(c).isNotNull() & ~F.col(c).isin(*dom))
-             .groupBy(c).agg(F.count(F.lit(1)).alias("_n")))
-        parts.append(_report(g, "domain", table, c, F.col(c), F.col("_n")))
-    return union_all(parts)
+    """All enum columns of a table in one scan: only violating (column,
+    value) pairs leave the row, then one aggregation counts them."""
+    bad = F.filter(F.array(*[F.when(F.col(c).isNotNull() & ~F.col(c).isin(*dom),
+                                    F.struct(F.lit(c).alias("c"),
+                                             F.col(c).cast("string").alias("v")))
+                             for c, dom in domains.items()]), lambda x: x.isNotNull())
+    g = (df.select(F.explode(bad).alias("p"))
+         .groupBy(F.col("p.c").alias("_c"), F.col("p.v").alias("_v"))
+         .agg(F.count(F.lit(1)).alias("_n")))
+    return g.select(F.lit("domain").alias("check"), F.lit(table).alias("table_name"),
+                    F.col("_c").alias("column_name"), F.col("_v").alias("value"),
+                    F.col("_n").cast("bigint").alias("rows"))
 
 
 # DQ4: NULL counts of NOT NULL columns and over-long strings, one scan.

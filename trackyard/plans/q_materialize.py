@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trackyard.functions import expr as X
 from trackyard.operators import materialize as MT
-from trackyard.plans.q_mutate import _append, _patch
+from trackyard.plans.q_mutate import _new_trips, _patch
 from trackyard.operators import mutate as MU
 from trackyard.plans.registry import query
 
@@ -112,9 +112,8 @@ def audit_schedules(t):
     """MAT3: audit rows between the schedules table and its state after
     patches, appended trips and guarded deletes."""
     cols = ["id", "status", "delay_minutes"]
-    new = _patch(t).table
-    appended = _append(t).table.join(t.schedules.select("id"), "id", "left_anti")
-    new = new.unionByName(appended)
-    new = MU.delete_schedules(new, t.bookings, t.schedules.select("id")).table
+    patched = _patch(t).table
+    appended = MU.append_schedules(patched, t.routes, _new_trips(t)).table
+    new = MU.delete_schedules(appended, t.bookings, t.schedules.select("id")).table
     d = MT.audit_diff(t.schedules.select(*cols), new.select(*cols), ["id"], "schedules")
     return d.select("id", "entity_type", "action", "changed_columns")

@@ -312,16 +312,19 @@ _NEW_TRIPS = """
 """
 
 
-def _append(t):
+def _new_trips(t):
     e = t.events.where(F.col("event_type") == "signup")
-    rows = e.select((F.col("event_id") + 1000000).alias("id"),
+    return e.select((F.col("event_id") + 1000000).alias("id"),
                     F.concat(F.lit("IR-N"), F.col("event_id").cast("string")).alias("train_id"),
                     F.col("user_id").alias("route_id"),
                     F.lit("08:00:00").alias("departure_time"), F.lit("11:00:00").alias("arrival_time"),
                     F.to_date("ts").alias("travel_date"),
                     (8 + 4 * (F.col("event_id") % 5)).cast("int").alias("total_seats"),
                     F.lit("Economy").alias("class"))
-    return MU.append_schedules(t.schedules, t.routes, rows)
+
+
+def _append(t):
+    return MU.append_schedules(t.schedules, t.routes, _new_trips(t))
 
 
 @query("append_schedules", _NEW_TRIPS + """
