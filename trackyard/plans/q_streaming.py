@@ -66,7 +66,7 @@ _register("stream_outbox", J.run_outbox, _OUTBOX_SQL,
 
 def _run_admission(spark, sf_dir):
     t = J.StreamingRail(spark, sf_dir, ["lineitem"])
-    static = J.RailTables(spark, sf_dir)
+    static = J.RailTables(spark, sf_dir, materialize=True)
     history = static.bookings.where(F.col("created_at") < X.ntz(dt.datetime(1998, 6, 15)))
     reqs = t.bookings.where(F.col("created_at") >= X.ntz(dt.datetime(1998, 6, 15))).select(
         F.col("booking_ref").alias("request_id"), F.col("created_at").alias("ts"), "user_id",
@@ -83,7 +83,7 @@ FROM res
 
 
 def _rate_limit_batch(spark, sf_dir):
-    return J.rate_windows(J.RailTables(spark, sf_dir).events)
+    return J.rate_windows(J.RailTables(spark, sf_dir, materialize=True).events)
 
 
 _register("rate_limit", _rate_limit_batch, """
@@ -96,7 +96,7 @@ FROM events GROUP BY 1, 2
 
 def _run_booking_stream(spark, sf_dir):
     t = J.StreamingRail(spark, sf_dir, ["lineitem"])
-    static = J.RailTables(spark, sf_dir)
+    static = J.RailTables(spark, sf_dir, materialize=True)
     start = X.ntz(dt.datetime(1998, 6, 15))
     week = X.ntz(dt.datetime(1998, 6, 8))
     history = static.bookings.where(F.col("created_at") < start)

@@ -30,11 +30,17 @@ class StreamingRail(RailTables):
     """Rail views whose ``stream`` tables are read with ``readStream``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, stream: Sequence[str],
-                 max_files_per_trigger: int = 1):
-        super().__init__(spark, sf_dir)
+                 max_files_per_trigger: int = 1, materialize: bool = True):
+        super().__init__(spark, sf_dir, materialize)
         self.stream = set(stream)
         self.max_files = max_files_per_trigger
 
+    def _stored(self, name: str, build) -> DataFrame:
+        # views over a streamed table stay streaming; the rest use the stored tables
+        if set(self.SOURCES[name]) & self.stream:
+            return build()
+        return super()._stored(name, build)
+
     def raw(self, name: str) -> DataFrame:
         if name not in self.stream:
             return super().raw(name)
@@ -162,7 +168,7 @@ def outbox(bookings: DataFrame, schedules: DataFrame, routes: DataFrame, station
 
 def run_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = StreamingRail(spark, sf_dir, ["lineitem"])
-    static = RailTables(spark, sf_dir)
+    static = RailTables(spark, sf_dir, materialize=True)
     out = scratch_path(spark, "outbox_stream")
     run_batches(outbox(t.bookings, static.schedules, static.routes, static.stations,
                        static.users), out, "append")
