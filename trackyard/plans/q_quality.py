@@ -20,14 +20,17 @@ UNION ALL SELECT 'unique', 'user_permissions', 'user_id', CAST(user_id AS VARCHA
 """)
 def dq_unique(t):
     """DQ1: duplicate values of declared unique keys (plus live seat holders)."""
-    live = t.bookings.where(F.col("booking_status").isin("confirmed", "pending")).select(
-        F.concat(F.col("schedule_id").cast("string"), F.lit("/"), "seat_number").alias("seat_key"))
+    # one scan of bookings: the seat key is NULL (skipped) for rows that hold no seat
+    b = t.bookings.select(
+        "booking_ref",
+        F.when(F.col("booking_status").isin("confirmed", "pending"),
+               F.concat(F.col("schedule_id").cast("string"), F.lit("/"), "seat_number"))
+         .alias("seat_key"))
     return Q.union_all([
         Q.unique_violations(t.users, "users", ["email", "national_id"]),
         Q.unique_violations(t.stations, "stations", ["code"]),
         Q.unique_violations(t.routes, "routes", ["route_code"]),
-        Q.unique_violations(t.bookings, "bookings", ["booking_ref"]),
-        Q.unique_violations(live, "bookings", ["seat_key"]),
+        Q.unique_violations(b, "bookings", ["booking_ref", "seat_key"]),
         Q.unique_violations(t.user_permissions, "user_permissions", ["user_id"])])
 
 
