@@ -63,6 +63,35 @@ def orphan_rows(child: DataFrame, child_table: str, col: str, parent: DataFrame,
     return _report(o, "foreign_key", child_table, col, F.col(col), F.col("_n"))
 
 
+def orphan_report(children: Sequence[tuple[DataFrame, Sequence[tuple[str, str, str, DataFrame, str]]]]
+                  ) -> DataFrame:
+    """Several foreign-key checks with one read per child table and one join.
+
+    ``children``: (child DataFrame, checks) with checks = (table_name,
+    column, ..., parent DataFrame, parent column); the third field is unused
+    and kept for readability.  Each child row emits its non-NULL keys as
+    (table_name, column, value) pairs; parent keys are stacked the same way;
+    one anti join finds the orphans.
+    """
+    pairs, parents = [], []
+    for df, checks in children:
+        arr = F.filter(F.array(*[F.when(F.col(col).isNotNull(),
+                                        F.struct(F.lit(tn).alias("t"), F.lit(col).alias("c"),
+                                                 F.col(col).cast("string").alias("v")))
+                                 for tn, col, _, _, _ in checks]), lambda x: x.isNotNull())
+        pairs.append(df.select(F.explode(arr).alias("p")).select("p.*"))
+        for tn, col, _, pdf, pcol in checks:
+            parents.append(pdf.select(F.lit(tn).alias("t"), F.lit(col).alias("c"),
+                                      F.col(pcol).cast("string").alias("v")))
+    k = union_all(pairs)
+    pk = union_all(parents).distinct()
+    o = k.join(pk, ["t", "c", "v"], "left_anti").groupBy("t", "c", "v").agg(
+        F.count(F.lit(1)).alias("_n"))
+    return o.select(F.lit("foreign_key").alias("check"), F.col("t").alias("table_name"),
+                    F.col("c").alias("column_name"), F.col("v").alias("value"),
+                    F.col("_n").cast("bigint").alias("rows"))
+
+
 def fk_effects(parent_deleted: DataFrame, child: DataFrame, col: str, on_delete: str,
                parent_col: str = "id") -> DataFrame:
     """Effect of deleting ``parent_deleted`` rows on ``child``.

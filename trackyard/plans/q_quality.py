@@ -54,14 +54,14 @@ def dq_foreign_keys(t):
     """DQ2: orphan child rows for the declared foreign keys; the last check
     shows the rows a delete of inactive users would orphan."""
     active = t.users.where(F.col("status") == "active")
-    return Q.union_all([
-        Q.orphan_rows(t.bookings, "bookings", "user_id", t.users),
-        Q.orphan_rows(t.bookings, "bookings", "schedule_id", t.schedules),
-        Q.orphan_rows(t.schedules, "schedules", "route_id", t.routes),
-        Q.orphan_rows(t.routes, "routes", "from_station_id", t.stations),
-        Q.orphan_rows(t.routes, "routes", "to_station_id", t.stations),
-        Q.orphan_rows(t.user_permissions, "user_permissions", "user_id", t.users),
-        Q.orphan_rows(t.bookings, "bookings_after_purge", "user_id", active)])
+    return Q.orphan_report([
+        (t.bookings, [("bookings", "user_id", "users", t.users, "id"),
+                      ("bookings", "schedule_id", "schedules", t.schedules, "id"),
+                      ("bookings_after_purge", "user_id", "active users", active, "id")]),
+        (t.schedules, [("schedules", "route_id", "routes", t.routes, "id")]),
+        (t.routes, [("routes", "from_station_id", "stations", t.stations, "id"),
+                    ("routes", "to_station_id", "stations", t.stations, "id")]),
+        (t.user_permissions, [("user_permissions", "user_id", "users", t.users, "id")])])
 
 
 @query("fk_cascade_permissions", """
