@@ -148,7 +148,7 @@ def booking_ref(key, attempt) -> Column:
 def phone_e164(p) -> Column:
     return (F.when(c(p).isNull(), F.lit(None).cast("string"))
             .when(c(p).startswith("+"), c(p))
-            .otherwise(F.concat(F.lit(PHONE_COUNTRY_PREFIX), F.substring(c(p), 2, 1 << 20))))
+            .otherwise(F.concat(F.lit(PHONE_COUNTRY_PREFIX), F.substr(c(p), F.lit(2)))))
 
 
 # SC10: confirmation / cancellation texts, filled from columns.
