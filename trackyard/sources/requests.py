@@ -50,25 +50,6 @@ def cancel_requests(t: RailTables) -> DataFrame:
     return first.unionByName(again).unionByName(unknown)
 
 
-def schedule_patches(t: RailTables) -> DataFrame:
-    """Patch rows for schedules from events: event id -> schedule id.
-
-    status: 'error' -> 'cancelled', 'purchase' -> 'active', else '' (falsy);
-    delay_minutes given (explicitly, even 0) for 'click' and 'error' events.
-    """
-    e = t.events
-    et = F.col("event_type")
-    return e.select(
-        F.col("event_id").alias("id"),
-        F.when(et == "error", "cancelled").when(et == "purchase", "active")
-         .otherwise("").alias("status"),
-        F.when(et == "view", 0).otherwise(F.lit(None)).cast("int").alias("total_seats"),
-        F.when(et.isin("click", "error"), F.floor(F.col("value")).cast("int"))
-         .alias("delay_minutes"),
-        et.isin("click", "error").alias("has_delay_minutes"),
-        F.col("ts"))
-
-
 def permission_rows(t: RailTables) -> DataFrame:
     """New permission rows: staff get reports access, admins everything;
     several rows per user (one per event of the user), last one wins."""
@@ -86,18 +67,6 @@ def permission_rows(t: RailTables) -> DataFrame:
         "ts", "event_id")
 
 
-def signup_rows(t: RailTables) -> DataFrame:
-    """Sign-up rows from 'signup' events: an e-mail per event user (many
-    already registered) and a national id."""
-    e = t.events.where(F.col("event_type") == "signup")
-    return e.select(
-        F.concat(F.lit("customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0"),
-                 F.lit("@example.com")).alias("email"),
-        F.concat(F.lit("10"), F.lpad((F.col("user_id") * 7).cast("string"), 8, "0"))
-         .alias("national_id"),
-        F.col("ts"), F.col("event_id"))
-
-
 def tokens(t: RailTables) -> DataFrame:
     """Refresh tokens: one per event, valid 30 days."""
     return t.events.select(
