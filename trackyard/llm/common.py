@@ -54,18 +54,35 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Columns by which a document row is found again: the id (a NULL id has a place of its own) and a hash of its text.
+KEY = ["kid", "th"]
+NULL_ID = -(1 << 63)
+
+
 def pick(docs: DataFrame, keep_row: bool = False) -> DataFrame:
-    """(doc_id, text, th[, row]): ``th`` tells rows of one id apart, ``row`` is the whole input row."""
+    """(doc_id, text, kid, th[, row]): ``KEY`` columns are never NULL, ``row`` is the whole input row."""
+    doc_id = F.col("doc_id").cast("long")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    cols = [F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.hash(text).alias("th")]
+    cols = [doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(NULL_ID)).alias("kid"),
+            F.hash(text).alias("th")]
     if keep_row:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return docs.select(*cols)
 
 
-def same_row(a: DataFrame, b: DataFrame):
-    """Join condition: the same document row (ids may be NULL)."""
-    return (a["th"] == b["th"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+def unpick(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The input rows back from their ``row`` struct."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
+def appended(batch: pa.RecordBatch, keep: list[str], **more: pa.Array) -> pa.RecordBatch:
+    """The kept columns of a batch with new ones after them."""
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *more.values()], [*keep, *more])
+
+
+def ddl(df: DataFrame, keep: list[str], more: str) -> str:
+    """Schema text of the kept columns followed by ``more``."""
+    return ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [more])
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -218,3 +235,28 @@ def cover(n: int, start: np.ndarray, length: np.ndarray) -> np.ndarray:
 def span_digest(spans: list[tuple[str, int, int]], order: dict[str, int]) -> str:
     """kind:start:end by start, then kind as listed, comma-joined."""
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], order[x[0]], x[2])))
+
+
+def held_out(doc_id, divisor: int, rest: int):
+    """True where crc32 of the id as text leaves ``rest``; a NULL id is never held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % divisor == rest, F.lit(False))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 40) -> np.ndarray:
+    """Weights (last: intercept) of a ridge-penalised logistic regression, by damped Newton steps."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], l2)
+    penalty[-1] = 1e-3
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - y) + penalty * w
+        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
+        step = np.linalg.solve(hess, grad)
+        w -= step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
