@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1          # odd multiplier of the polynomial hashes (mod 2^64)
 INVERSE = pow(BASE, -1, 1 << 64)
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SLICE_BYTES = 4 << 20                  # text handled by one round of numpy calls
 
 
@@ -47,13 +48,29 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    # the rows are on shared disk now: their shuffle files need not wait for garbage collection
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to ``spark.sql.shuffle.partitions`` tasks by key and sorted by it, for a task that streams over keys.
+
+    Dealt by a hash of the keys: by plain keys, the exchange could be left out in favour of a
+    join's own partitioning, which adaptive execution may still change.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.xxhash64(*keys)).sortWithinPartitions(*keys)
+
+
 #: Columns by which a document row is found again: the id (a NULL id has a place of its own) and a hash of its text.
 KEY = ["kid", "th"]
 NULL_ID = -(1 << 63)

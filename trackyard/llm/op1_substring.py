@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackyard.llm.common import (KEY, U, Words, appended, column_bytes, cover, ddl, grams, pick, prefix_hash,
+from trackyard.llm.common import (KEY, U, Words, appended, column_bytes, cover, ddl, dealt, grams, pick, prefix_hash,
                                   range_hash, read, sliding_min, stored, text_slices, unpick)
 
 WINDOW = 50
@@ -191,8 +191,6 @@ def _runs(lows: list, window: int) -> list[dict]:
 
 def by_automaton(refs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Smallest documents of the windows of each stretch, anchor by anchor."""
-    parts = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
     def solve(held: list[dict]) -> list[tuple]:
         automaton = SuffixAutomaton()
         for x in held:
@@ -214,7 +212,7 @@ def by_automaton(refs: DataFrame, window: int = WINDOW) -> DataFrame:
         if held:
             yield _resolved(solve(held))
 
-    return refs.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(run, RESOLVED)
+    return dealt(refs, "anchor").mapInArrow(run, RESOLVED)
 
 
 def _resolved(found: list[tuple]) -> pa.RecordBatch:
@@ -248,6 +246,7 @@ def duplicate_spans(rows: DataFrame, shard: int = SHARD) -> DataFrame:
     anchors = (found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
                                            F.min("body").alias("b1"), F.max("body").alias("b2"))
                .where("lo < hi").select("anchor", "lo", (F.col("b1") == F.col("b2")).alias("one")))
+    anchors = stored(anchors, "anchors")       # so that a hot anchor's rows can be split in the join
     shared = stored(found.join(anchors, "anchor"), "shared")
     same = shared.where("one and doc_id > lo").select("doc_id", "th", "start", "n")
     several = shared.where("not one")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackyard.llm.common import KEY, U, appended, ddl, pick, read, stored, text_slices, unpick
+from trackyard.llm.common import KEY, U, appended, ddl, dealt, pick, read, stored, text_slices, unpick
 from trackyard.llm.components import components
 
 SHINGLE = 4
@@ -179,7 +179,6 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
 def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp), enough to connect what all links connect."""
     n = fps.count()
-    spark = fps.sparkSession
     share = max(1, n // SAMPLE)
     # about SAMPLE fingerprints; the limit only guards the driver
     sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).limit(2 * SAMPLE).toPandas()["fp"]
@@ -189,15 +188,14 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Dat
              .select("bucket", F.ceil(2 * F.col("n") / bucket).cast("int").alias("chunks")))
     large = stored(large, "large")
     if large.isEmpty():
-        dealt = sent.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+        buckets = sent.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
     else:
         mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))
-        dealt = (sent.join(large, "bucket", "left").withColumn("mine", F.coalesce(mine, F.lit(0)))
-                 .withColumn("other", other)
-                 .select("bucket", "fp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
-    parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts_n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        buckets = (sent.join(large, "bucket", "left").withColumn("mine", F.coalesce(mine, F.lit(0)))
+                   .withColumn("other", other)
+                   .select("bucket", "fp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
+    buckets = dealt(buckets, "bucket", "i", "j")
 
     def verify(batches):
         held, name = [], None                      # the bucket that may go on in the next batch
@@ -217,7 +215,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Dat
         if held:
             yield _pairs(forest(np.concatenate(held), distance))
 
-    return dealt.mapInArrow(verify, "u long, v long")
+    return buckets.mapInArrow(verify, "u long, v long")
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
