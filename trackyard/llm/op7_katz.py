@@ -36,13 +36,14 @@ from pyspark.sql import functions as F
 from trackyard.llm.common import LOWER, U, Words, column_bytes, held_out, mix, pick, read, stored, text_slices
 
 K = 5                          # counts up to K are discounted
-BLOCK_BYTES = 12 << 20         # text of one block
+BLOCK_BYTES = 10 << 20         # text of one block
 OWNED = 1_500_000              # entries that an owner gets on average
 END = np.array([0x7F4A7C159E3779B9], U)    # stands for the end token; a word's hash equals it by chance only
 START_ID = (1 << 62)
+SLICES = 1 << 20               # parts of the token space that are dealt to owners
 
 ENCODED = ("block long, doc_ids array<long>, counts array<int>, held array<boolean>, n_tokens long, n_words long, "
-           "words binary, codes binary")
+           "words binary, slices binary, codes binary")
 MESSAGE = "kind string, bucket int, block long, parts array<binary>"
 SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
           "score double")
@@ -52,7 +53,7 @@ def packed(values: np.ndarray) -> bytes:
     """Non-negative integers in the narrowest type, compressed."""
     top = int(values.max()) if len(values) else 0
     width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
-    return bytes([width]) + zstandard.ZstdCompressor(1).compress(values.astype(f"<u{width}").tobytes())
+    return bytes([width]) + zstandard.ZstdCompressor(3).compress(values.astype(f"<u{width}").tobytes())
 
 
 def unpacked(raw: bytes, dtype=np.int64) -> np.ndarray:
@@ -85,11 +86,13 @@ def _block(name: int, held: list) -> pa.RecordBatch:
     order = np.argsort(-n, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
+    words = words[order]
     row = {"block": name, "doc_ids": [x for c in ids for x in c.to_pylist()], "counts": np.concatenate(counts),
            "held": [x for c in flags for x in c.to_pylist()], "n_tokens": int(n.sum()), "n_words": len(words),
-           "words": packed(words[order].view(np.uint64)), "codes": packed(place[codes.ravel()])}
+           "words": packed(words), "slices": packed((mix(words) % U(SLICES)).astype(np.int64)),
+           "codes": packed(place[codes.ravel()])}
     types = {"doc_ids": pa.list_(pa.int64()), "counts": pa.list_(pa.int32()), "held": pa.list_(pa.bool_()),
-             "words": pa.binary(), "codes": pa.binary()}
+             "words": pa.binary(), "slices": pa.binary(), "codes": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array([v], types.get(k, pa.int64())) for k, v in row.items()], list(row))
 
 
@@ -100,18 +103,20 @@ class Block:
         row = table.slice(0, 1).to_pylist()[0]
         self.name, self.doc_ids, self.held = row["block"], row["doc_ids"], row["held"]
         self.counts = np.array(row["counts"], np.int64)
-        self.words, self.codes = unpacked(row["words"], U), unpacked(row["codes"])
+        self.slices, self.codes = unpacked(row["slices"]), unpacked(row["codes"])
+        self.n_words = row["n_words"]
+        self.words = unpacked(row["words"], U) if "words" in row else None
         self.train = np.repeat(~np.array(self.held, bool), self.counts)
 
     def token_bucket(self, buckets: int) -> np.ndarray:
-        return (mix(self.words) % U(buckets)).astype(np.int64)
+        return self.slices % buckets
 
     def token_counts(self) -> np.ndarray:
-        return np.bincount(self.codes[self.train], minlength=len(self.words))
+        return np.bincount(self.codes[self.train], minlength=self.n_words)
 
     def told_tokens(self, answers: list[dict], buckets: int, train_docs: int) -> None:
         """Takes ids and corpus counts; the start mark gets the last place of both."""
-        self.ids, self.total = np.empty(len(self.words) + 1, np.int64), np.empty(len(self.words) + 1, np.int64)
+        self.ids, self.total = (np.empty(self.n_words + 1, np.int64) for _ in range(2))
         self.ids[-1], self.total[-1] = START_ID, train_docs
         where = self.token_bucket(buckets)
         for a in answers:
@@ -120,7 +125,7 @@ class Block:
 
     def pairs(self) -> None:
         """Distinct (context, follower) codes, the pair of each token, and training counts."""
-        n = len(self.words) + 1
+        n = self.n_words + 1
         before = np.empty(len(self.codes), np.int64)
         before[1:] = self.codes[:-1]
         before[np.cumsum(self.counts) - self.counts] = n - 1
@@ -288,7 +293,7 @@ def scores(blocks: DataFrame, answers: DataFrame, buckets: int, pair_buckets: in
         block.pairs()
         told = {r["bucket"]: [unpacked(p) for p in r["parts"]] for r in rows if r["kind"] == "pairs"}
         c = np.zeros(len(block.v), np.int64)
-        sums = np.zeros((3 + K, len(block.words) + 1), np.int64)
+        sums = np.zeros((3 + K, block.n_words + 1), np.int64)
         for b, contexts, pairs in block.pair_buckets(pair_buckets, hot):
             c[pairs] = told[b][0]
             for s, part in zip(sums, told[b][1:]):
@@ -316,12 +321,14 @@ def train_and_score(docs: DataFrame, held: Column, owned: int = OWNED) -> tuple[
                       F.sum(F.aggregate("held", F.lit(0).cast("long"), lambda a, h: a + F.when(h, 0).otherwise(1)))
                       .alias("docs")).first()
     buckets, pair_buckets = (max(1, -(-(x or 0) // owned)) for x in (size.words, size.tokens))
+    buckets = min(buckets, SLICES)
     train_docs = size.docs or 0
     tokens = stored(token_answers(blocks, buckets), "tokens", ("kind",))
     found = [unpacked(r.parts[0]) for r in tokens.where("kind = 'sums'").select("parts").collect()]   # one per owner
     n, v = (int(x) for x in np.sum(found, axis=0)) if found else (0, 0)
     hot = max(1, n // (4 * pair_buckets))
     known = tokens.where("kind = 'tokens'")
+    blocks = blocks.drop("words")                     # from here on tokens go by their ids
     pairs = stored(pair_answers(blocks, known, buckets, pair_buckets, hot, train_docs), "pairs", ("kind",))
     found = [unpacked(r.parts[0]) for r in pairs.where("kind = 'sums'").select("parts").collect()]
     discounts = Discounts(np.sum(found, axis=0) if found else np.zeros(K + 3))
