@@ -10,116 +10,131 @@ from trackyard.streaming import jobs as J
 from test_properties import _world
 
 
-def test_admission_stream_over_several_batches(spark):
+def test_admission_is_free_of_file_layout_and_sliced_by_time(spark):
     sdf, rdf, hdf, qdf, *_ = _world(spark, 11, n_req=300)
-    src = scratch_path(spark, "req-src")
-    # three files in time order -> three micro-batches (one file per trigger)
-    cuts = [0, 15, 30, 51]
-    for i in range(3):
-        lo = F.lit(f"2026-01-01 00:00:{cuts[i]:02d}").cast("timestamp_ntz")
-        hi = F.lit(f"2026-01-01 00:00:{cuts[i + 1]:02d}").cast("timestamp_ntz") if cuts[i + 1] < 60 \
-            else F.lit("2026-01-01 00:01:00").cast("timestamp_ntz")
-        part = qdf.where((F.col("ts") >= lo) & (F.col("ts") < hi))
-        part.coalesce(1).write.parquet(f"{src}/part{i}")
-    stream = (spark.readStream.schema(SC.REQUESTS).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(src))
-    out = scratch_path(spark, "adm-out")
-    got = J.run_admission(spark, stream, sdf, hdf, rdf, out)
-    n_batches = spark.read.parquet(f"{out}/outcomes").select("batch_id").distinct().count()
-    assert n_batches == 3
-    exp = S.admission_result(S.admit_bookings(qdf, sdf, hdf, rdf))
-    g = sorted((r.request_id, r.outcome) for r in got.collect())
-    e = sorted((r.request_id, r.outcome) for r in exp.collect())
-    assert g == e
+    exp = sorted((r.request_id, r.outcome)
+                 for r in S.admission_result(S.admit_bookings(qdf, sdf, hdf, rdf)).collect())
+    for name, files in (("one", qdf.coalesce(1)), ("many", qdf.repartition(5))):
+        src = scratch_path(spark, f"req-{name}")
+        files.write.parquet(src)
+        stream = spark.readStream.schema(SC.REQUESTS).option("maxFilesPerTrigger", 1).parquet(src)
+        out = scratch_path(spark, "adm-out")
+        got = J.run_admission(spark, stream, sdf, hdf, rdf, out)
+        assert sorted((r.request_id, r.outcome) for r in got.collect()) == exp
+    # the same in three slices of event time
+    s = J.Slices(spark, scratch_path(spark, "adm-slices"))
+    s.land(spark.readStream.schema(SC.REQUESTS).option("maxFilesPerTrigger", 1).parquet(src))
+    for upto in ("2026-01-01 00:00:15", "2026-01-01 00:00:30", None):
+        J.admit_due(s, sdf, hdf, rdf, upto)
+    rows = spark.read.parquet(f"{s.out}/outcomes")
+    assert rows.select("slice").distinct().count() == 3
+    assert sorted((r.request_id, r.outcome) for r in rows.collect()) == exp
+    assert s.due().count() == 0
+
+
+def _layouts(spark, sf_dir, names):
+    """The small tables again, ``names`` cut into four files in shuffled order."""
+    out = scratch_path(spark, "layout")
+    import os
+    for f in os.listdir(sf_dir):
+        t = f.removesuffix(".parquet")
+        df = spark.read.parquet(f"{sf_dir}/{f}")
+        df = df.orderBy(F.xxhash64(*df.columns)).repartition(4) if t in names else df.coalesce(1)
+        if t in (*names, "orders", "supplier", "customer", "nation", "region"):
+            df.write.parquet(f"{out}/{f}")
+    return out
+
+
+def test_streams_do_not_depend_on_the_files(spark):
+    """Every stream gives the same rows for one file and for four shuffled ones."""
+    from trackyard.plans.registry import load_all
+    other = _layouts(spark, "/root/testdata/sf0.001", ["lineitem", "events"])
+    for name in ("stream_revenue_daily", "stream_outbox", "stream_admission", "stream_bookings_cancels",
+                 "stream_occupancy", "stream_rate_limit"):
+        q = load_all()[name]
+        one = sorted(map(str, q.build(spark, "/root/testdata/sf0.001").collect()))
+        many = sorted(map(str, q.build(spark, other).collect()))
+        assert one == many and one, name
 
 
 def test_rerun_from_checkpoint_adds_nothing(spark):
-    t = J.StreamingRail(spark, "/root/testdata/sf0.001", ["lineitem"])
     out = scratch_path(spark, "rev-rerun")
-    J.run_batches(J.revenue_stream(t.bookings), out, "update")
-    first = sorted(map(tuple, J.latest_per_key(spark, out, ["report_date"]).collect()))
-    t2 = J.StreamingRail(spark, "/root/testdata/sf0.001", ["lineitem"])
-    J.run_batches(J.revenue_stream(t2.bookings), out, "update")
+    got = []
+    for _ in range(2):
+        t = J.StreamingRail(spark, "/root/testdata/sf0.001", ["lineitem"])
+        got.append(sorted(map(tuple, J.run_totals(spark, t.bookings, out, ["report_date"], J.revenue_sums).collect())))
     assert spark.read.parquet(out).select("batch_id").distinct().count() == 1
-    assert sorted(map(tuple, J.latest_per_key(spark, out, ["report_date"]).collect())) == first
+    assert got[0] == got[1]
+
+
+def test_folded_totals_equal_plain_ones(spark):
+    rows = [(f"s{i % 3}", i, i % 7) for i in range(70)]
+    stream = _file_stream(spark, rows, "k string, n int", "fold")
+    totals = J.run_totals(spark, stream, scratch_path(spark, "fold-out"), ["k"],
+                          lambda df: df.groupBy("k").agg(F.sum("n").alias("n")), compact_every=3)
+    assert {r.k: r.n for r in totals.collect()} == {f"s{j}": sum(i for i in range(70) if i % 3 == j) for j in range(3)}
 
 
-def _replay_with_cancels(scheds, routes, hist, batches):
-    """Sequential replay: per batch, bookings in (ts, id) order, then cancels in
-    (ts, id) order; seats freed by cancels count from the next batch."""
-    sched = {s[0]: dict(status=s[9], avail=s[7], cls=s[8], route=s[2]) for s in scheds}
-    price = {r[0]: (r[6], r[7], r[8]) for r in routes}
-    status = {h[0]: (h[7], h[2], h[3].strip().upper()) for h in hist}
-    held = {(h[2], h[3].strip().upper()) for h in hist if h[7] in ("confirmed", "pending")}
+def _replay_in_order(scheds, hist, requests):
+    """One request after the other; a cancel frees its seat at once."""
+    sched = {s[0]: dict(status=s[9], avail=s[7]) for s in scheds}
+    refs = {h[0]: [h[7], h[2], h[3].rstrip().upper()] for h in hist}
     out = {}
-    for books, cancels in batches:
-        freed = []
-        for rid, ts, _u, sid, seat, _pm in sorted(books, key=lambda r: (r[1], r[0])):
+    for kind, rid, ts, sid, seat, ref in sorted(requests, key=lambda r: (r[2], r[1])):
+        held = {(x[1], x[2]) for x in refs.values() if x[0] in ("confirmed", "pending")}
+        if kind == "book":
             s = sched.get(sid)
-            key = (sid, seat.strip().upper())
             if s is None:
                 out[rid] = "not_found"
             elif s["status"] == "cancelled":
                 out[rid] = "schedule_cancelled"
             elif s["avail"] <= 0:
                 out[rid] = "no_seats"
-            elif key in held:
+            elif (sid, seat.rstrip().upper()) in held:
                 out[rid] = "seat_taken"
             else:
-                held.add(key)
                 s["avail"] -= 1
-                status[rid] = ("confirmed", sid, key[1])
+                refs[rid] = ["confirmed", sid, seat.rstrip().upper()]
                 out[rid] = "accepted"
-        for rid, ref, ts in sorted(cancels, key=lambda r: (r[2], r[0])):
-            st = status.get(ref)
-            if st is None:
-                out[rid] = "not_found"
-            elif st[0] == "cancelled":
-                out[rid] = "already_cancelled"
-            elif st[0] == "completed":
-                out[rid] = "refused_completed"
-            else:
-                status[ref] = ("cancelled", st[1], st[2])
-                out[rid] = "cancelled"
-                freed.append((st[1], st[2], st[0]))
-        for sid, seat, was in freed:
-            sched[sid]["avail"] += 1
-            if was in ("confirmed", "pending"):
-                held.discard((sid, seat))
+        elif ref not in refs:
+            out[rid] = "not_found"
+        elif refs[ref][0] in ("cancelled", "completed"):
+            out[rid] = "already_cancelled" if refs[ref][0] == "cancelled" else "refused_completed"
+        else:
+            refs[ref][0] = "cancelled"
+            if refs[ref][1] in sched:
+                sched[refs[ref][1]]["avail"] += 1
+            out[rid] = "cancelled"
     return out
 
 
-def test_booking_and_cancel_stream_over_several_batches(spark):
+def test_bookings_and_cancels_in_request_order(spark):
     import datetime as dt
     import random
-    sdf, rdf, hdf, _qdf, scheds, routes, hist, reqs = _world(spark, 21, n_req=240)
+    sdf, rdf, hdf, _qdf, scheds, _routes, hist, reqs = _world(spark, 21, n_req=240)
     rnd = random.Random(4)
     reqs = sorted(reqs, key=lambda r: (r[1], r[0]))
-    batches = []
-    rows = []
-    for i in range(3):
-        part = reqs[i * 80:(i + 1) * 80]
-        pool = [r[0] for r in reqs[:(i + 1) * 80]] + [h[0] for h in hist] + ["NOPE"]
-        cancels = [(f"X{i}-{k}", rnd.choice(pool), part[-1][1] + dt.timedelta(seconds=k + 1))
-                   for k in range(25)]
-        batches.append((part, cancels))
-        for r in part:
-            rows.append(("book", r[0], r[1], r[2], r[3], r[4], r[5], None, i))
-        for c in cancels:
-            rows.append(("cancel", c[0], c[2], None, None, None, None, c[1], i))
+    pool = [r[0] for r in reqs] + [h[0] for h in hist] + ["NOPE"]
+    known = {s[0] for s in scheds}
+    pool = [p for p in pool if p == "NOPE" or dict([(r[0], r[3]) for r in reqs] + [(h[0], h[2]) for h in hist])[p] in known]
+    events = [("book", r[0], r[1], r[3], r[4], None) for r in reqs]
+    events += [("cancel", f"X{k}", rnd.choice(reqs)[1] + dt.timedelta(milliseconds=500), None, None, rnd.choice(pool))
+               for k in range(120)]
+    want = _replay_in_order(scheds, hist, events)
     schema = ("kind string, request_id string, ts timestamp_ntz, user_id long, schedule_id long, "
-              "seat_number string, payment_method string, booking_ref string, part int")
-    src = scratch_path(spark, "bc-src")
-    df = spark.createDataFrame(rows, schema)
-    for i in range(3):
-        df.where(F.col("part") == i).drop("part").coalesce(1).write.parquet(f"{src}/p{i}")
-    stream = (spark.readStream.schema(schema.rsplit(",", 1)[0]).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(src))
+              "seat_number string, payment_method string, booking_ref string")
+    rows = [(k, rid, ts, None, sid, seat, None, ref, rnd.randrange(4)) for k, rid, ts, sid, seat, ref in events]
     out = scratch_path(spark, "bc-out")
-    got = {r.request_id: r.outcome
-           for r in J.run_booking_stream(spark, stream, sdf, hdf, rdf, out).collect()}
-    assert got == _replay_with_cancels(scheds, routes, hist, batches)
-    assert {"cancelled", "not_found", "already_cancelled"} <= set(got.values())
+    got = {r.request_id: r.outcome for r in J.run_booking_stream(
+        spark, _file_stream(spark, rows, schema, "bc-src"), sdf, hdf, rdf, out).collect()}
+    assert got == want
+    assert {"cancelled", "not_found", "already_cancelled", "accepted", "seat_taken"} <= set(got.values())
+    # in slices: state is carried over
+    s = J.Slices(spark, scratch_path(spark, "bc-slices"))
+    s.land(_file_stream(spark, rows, schema, "bc-src2"))
+    for upto in ("2026-01-01 00:00:20", "2026-01-01 00:00:40", None):
+        J.replay_due(s, sdf, hdf, rdf, upto)
+    assert {r.request_id: r.outcome for r in spark.read.parquet(f"{s.out}/outcomes").collect()} == want
 
 
 def _file_stream(spark, rows, schema, name):
@@ -131,10 +146,7 @@ def _file_stream(spark, rows, schema, name):
             .option("recursiveFileLookup", "true").parquet(src))
 
 
-def test_revenue_stream_across_batches_with_watermark(spark):
-    """On-time rows are exact across micro-batches.  Spark's watermark is a
-    one-way guarantee: a row later than the delay may or may not be
-    aggregated, but it is never counted twice."""
+def test_revenue_stream_counts_late_rows(spark):
     import datetime as dt
     from decimal import Decimal
     schema = ("booking_ref string, payment_status string, amount_paid decimal(12,2), "
@@ -143,29 +155,19 @@ def test_revenue_stream_across_batches_with_watermark(spark):
     rows = [("a", "paid", Decimal("10.00"), d(10), 0), ("b", "paid", Decimal("5.00"), d(10, 13), 0),
             ("c", "paid", Decimal("7.00"), d(12), 1), ("late", "paid", Decimal("99.00"), d(1), 1),
             ("e", "paid", Decimal("2.00"), d(11, 20), 1), ("d", "refunded", Decimal("1.00"), d(12), 1)]
-    stream = _file_stream(spark, rows, schema, "rev-late")
     out = scratch_path(spark, "rev-late-out")
-    J.run_batches(J.revenue_stream(stream, watermark="1 day"), out, "update")
-    assert spark.read.parquet(out).select("batch_id").distinct().count() >= 2
-    got = {str(r.report_date): (r.bookings, r.revenue)
-           for r in J.latest_per_key(spark, out, ["report_date"]).collect()}
-    late = got.pop("2026-01-01", None)
-    assert got == {"2026-01-10": (2, 15.0), "2026-01-11": (1, 2.0), "2026-01-12": (1, 7.0)}
-    assert late in (None, (1, 99.0))
+    totals = J.run_totals(spark, _file_stream(spark, rows, schema, "rev-late"), out, ["report_date"], J.revenue_sums)
+    assert spark.read.parquet(out).select("batch_id").distinct().count() == 2
+    assert {str(r.report_date): (r.bookings, float(r.revenue)) for r in totals.collect()} == {
+        "2026-01-01": (1, 99.0), "2026-01-10": (2, 15.0), "2026-01-11": (1, 2.0), "2026-01-12": (1, 7.0)}
 
 
 def test_outbox_deduplicates_across_batches(spark, seed):
-    import datetime as dt
-    from decimal import Decimal
-    from trackyard.sources import schema as SC
     b = seed.bookings.where(F.col("booking_status") == "confirmed").first()
     row = tuple(b[c] for c in SC.BOOKINGS.fieldNames())
-    later = row[:-1] + (row[-1] + dt.timedelta(hours=1),)
-    rows = [row + (0,), later + (1,)]
+    rows = [row + (0,), row + (1,), row + (1,)]
     stream = _file_stream(spark, rows, SC.BOOKINGS.simpleString()[7:-1].replace(":", " "),
                           "outbox-dup")
     out = scratch_path(spark, "outbox-dup-out")
-    J.run_batches(J.outbox(stream, seed.schedules, seed.routes, seed.stations, seed.users), out,
-                  "append")
-    got = spark.read.parquet(out)
+    got = J.run_outbox_stream(spark, stream, seed.schedules, seed.routes, seed.stations, seed.users, out)
     assert got.select("booking_ref", "type").distinct().count() == got.count() == 2  # sms + email

@@ -23,7 +23,7 @@ _register("stream_occupancy", J.run_occupancy, """
 SELECT schedule_id, COUNT(CASE WHEN booking_status IN ('confirmed', 'completed') THEN 1 END) AS occupied,
        COUNT(CASE WHEN booking_status = 'pending' THEN 1 END) AS reserved
 FROM bookings GROUP BY schedule_id
-""", "STR1: running occupancy per schedule from the booking stream (update mode).")
+""", "STR1: running occupancy per schedule from booking and cancel events (additive changes).")
 
 _register("stream_rate_limit", J.run_rate_limit, """
 SELECT CAST(time_bucket(INTERVAL 15 MINUTE, ts) AS TIMESTAMP) AS window_start, user_id,
@@ -35,7 +35,7 @@ FROM events GROUP BY 1, 2
 _register("stream_revenue_daily", J.run_revenue, """
 SELECT CAST(created_at AS DATE) AS report_date, COUNT(*) AS bookings, CAST(SUM(amount_paid) AS DOUBLE) AS revenue
 FROM bookings WHERE payment_status = 'paid' GROUP BY 1
-""", "STR4: paid revenue per day, 1-day tumbling windows with watermark.")
+""", "STR4: paid revenue per day from additive sums of every micro-batch.")
 
 _OUTBOX_SQL = """
 , b AS (SELECT DISTINCT ON (booking_ref) * FROM bookings WHERE booking_status = 'confirmed'),
@@ -79,7 +79,7 @@ _register("stream_admission", _run_admission, ADMISSION_SQL + """
 SELECT request_id, schedule_id, seat_number, outcome,
        CASE WHEN outcome = 'accepted' THEN fare END AS amount_paid
 FROM res
-""", "STR2: seat admission per micro-batch against state from earlier batches.")
+""", "STR2: seat admission of a request stream, decided in event-time slices.")
 
 
 def _rate_limit_batch(spark, sf_dir):
@@ -119,23 +119,70 @@ def _run_booking_stream(spark, sf_dir):
                                 static.routes, out)
 
 
-_register("stream_bookings_cancels", _run_booking_stream, ADMISSION_SQL + """
-, cur AS (
-  SELECT booking_ref, schedule_id, booking_status FROM bookings WHERE created_at < TIMESTAMP '1998-06-15'
-  UNION ALL SELECT request_id, schedule_id, 'confirmed' FROM res WHERE outcome = 'accepted'
-), creq AS (
-  SELECT concat('X-', booking_ref) AS request_id, booking_ref FROM bookings
-  WHERE (created_at >= TIMESTAMP '1998-06-15' AND booking_status = 'cancelled')
-     OR (created_at >= TIMESTAMP '1998-06-08' AND created_at < TIMESTAMP '1998-06-15')
+_register("stream_bookings_cancels", _run_booking_stream, """
+, ask AS (
+  SELECT 'book' AS kind, booking_ref AS request_id, created_at AS ts, booking_ref AS ref, schedule_id AS sid, seat_number
+  FROM bookings WHERE created_at >= TIMESTAMP '1998-06-15'
+  UNION ALL
+  SELECT 'cancel', concat('X-', booking_ref), created_at + INTERVAL 1 DAY, booking_ref, schedule_id, NULL
+  FROM bookings WHERE created_at >= TIMESTAMP '1998-06-08'
+                  AND (created_at < TIMESTAMP '1998-06-15' OR booking_status = 'cancelled')
+), ev AS (
+  SELECT ask.*, upper(rtrim(b.seat_number)) AS seat, b.created_at < TIMESTAMP '1998-06-15' AS old, b.booking_status AS old_status,
+         row_number() OVER (PARTITION BY ask.sid ORDER BY ask.ts, ask.request_id) AS k
+  FROM ask JOIN (SELECT DISTINCT ON (booking_ref) * FROM bookings ORDER BY booking_ref, created_at) b ON b.booking_ref = ask.ref
+), st AS (
+  SELECT s.id AS sid, CAST(0 AS BIGINT) AS k, s.available_seats AS free,
+         COALESCE((SELECT list(upper(rtrim(b.seat_number))) FROM bookings b
+                   WHERE b.schedule_id = s.id AND b.created_at < TIMESTAMP '1998-06-15'
+                     AND b.booking_status IN ('confirmed', 'pending')), CAST([] AS VARCHAR[])) AS held,
+         CAST([] AS VARCHAR[]) AS sold, CAST([] AS VARCHAR[]) AS gone, CAST(NULL AS VARCHAR) AS request_id,
+         CAST(NULL AS VARCHAR) AS outcome
+  FROM schedules s WHERE s.id IN (SELECT sid FROM ev)
+  UNION ALL
+  SELECT sid, k, free + CASE outcome WHEN 'accepted' THEN -1 WHEN 'cancelled' THEN 1 ELSE 0 END,
+         CASE WHEN outcome = 'accepted' THEN list_append(held, seat)
+              WHEN outcome = 'cancelled' AND list_contains(held, seat)
+                THEN list_concat(held[:list_position(held, seat) - 1], held[list_position(held, seat) + 1:])
+              ELSE held END,
+         CASE WHEN outcome = 'accepted' THEN list_append(sold, ref) ELSE sold END,
+         CASE WHEN outcome = 'cancelled' THEN list_append(gone, ref) ELSE gone END, request_id, outcome
+  FROM (SELECT st.sid, ev.k, st.free, st.held, st.sold, st.gone, ev.seat, ev.ref, ev.request_id,
+               CASE WHEN ev.kind = 'book' THEN
+                      CASE WHEN s.status = 'cancelled' THEN 'schedule_cancelled' WHEN st.free <= 0 THEN 'no_seats'
+                           WHEN list_contains(st.held, ev.seat) THEN 'seat_taken' ELSE 'accepted' END
+                    WHEN NOT ev.old AND NOT list_contains(st.sold, ev.ref) THEN 'not_found'
+                    WHEN list_contains(st.gone, ev.ref) OR (ev.old AND ev.old_status = 'cancelled') THEN 'already_cancelled'
+                    WHEN ev.old AND ev.old_status = 'completed' THEN 'refused_completed' ELSE 'cancelled' END AS outcome
+        FROM st JOIN ev ON ev.sid = st.sid AND ev.k = st.k + 1 JOIN schedules s ON s.id = st.sid)
 )
-SELECT request_id, 'book' AS kind, schedule_id, seat_number, CAST(NULL AS VARCHAR) AS booking_ref, outcome,
-       CASE WHEN outcome = 'accepted' THEN fare END AS amount_paid
-FROM res
-UNION ALL
-SELECT q.request_id, 'cancel', c.schedule_id, NULL, q.booking_ref,
-       CASE WHEN c.booking_ref IS NULL THEN 'not_found'
-            WHEN c.booking_status = 'cancelled' THEN 'already_cancelled'
-            WHEN c.booking_status = 'completed' THEN 'refused_completed'
-            ELSE 'cancelled' END, NULL
-FROM creq q LEFT JOIN cur c ON c.booking_ref = q.booking_ref
-""", "STR2: bookings and cancellations on one request stream; cancels act at batch boundaries.")
+SELECT ev.request_id, ev.kind, ev.sid AS schedule_id, ev.seat_number,
+       CASE WHEN ev.kind = 'cancel' THEN ev.ref END AS booking_ref, COALESCE(st.outcome, 'not_found') AS outcome,
+       CASE WHEN st.outcome = 'accepted' THEN CAST(COALESCE(NULLIF(
+         CASE s.class WHEN 'First Class' THEN r.price_first_class WHEN 'Economy' THEN r.price_economy
+                      WHEN 'Student' THEN r.price_student END, 0), r.price_economy) AS DOUBLE) END AS amount_paid
+FROM ev LEFT JOIN st ON st.request_id = ev.request_id LEFT JOIN schedules s ON s.id = ev.sid LEFT JOIN routes r ON r.id = s.route_id
+""", "STR2: bookings and cancellations on one request stream, decided in request order.")
+
+
+def _notification_log(spark, sf_dir):
+    """Outbox rows with delivery receipts: by payment method sent, failed, or none yet."""
+    t = J.RailTables(spark, sf_dir, materialize=True)
+    rows = J.outbox(t.bookings, t.schedules, t.routes, t.stations, t.users)
+    method = F.col("payment_method")
+    receipts = t.bookings.where(method.isin("visa", "mada", "cash")).select(
+        "booking_ref", F.explode(F.array(F.lit("sms"), F.lit("email"))).alias("type"),
+        (F.col("created_at") + F.expr("INTERVAL 5 MINUTES")).alias("ts"), (method != "cash").alias("ok"),
+        F.when(method == "cash", "No route to host").alias("error")).dropDuplicates(["booking_ref", "type"])
+    return J.notification_log(rows.drop("created_at"), receipts)
+
+
+_register("notification_log", _notification_log, _OUTBOX_SQL.replace("SELECT booking_ref, 'sms'", ", o AS (SELECT booking_ref, 'sms'", 1) + """
+), l AS (SELECT o.* EXCLUDE (status), b.payment_method AS m, b.created_at AS c FROM o JOIN b USING (booking_ref))
+SELECT booking_ref, type, channel, if(m = 'cash' AND type = 'email', 'Booking confirmation', subject) AS subject,
+       if(m = 'cash', 'No route to host', message) AS message,
+       CASE WHEN m IN ('visa', 'mada') THEN 'sent' WHEN m = 'cash' THEN 'failed' ELSE 'pending' END AS status,
+       CASE WHEN m IN ('visa', 'mada') THEN c + INTERVAL 5 MINUTE END AS sent_at,
+       CASE WHEN m = 'cash' THEN 'No route to host' END AS error_msg
+FROM l
+""", "SC11: notification log from outbox rows and delivery receipts.")

@@ -4,10 +4,8 @@ Same definitions as ``trackyard.sources.tables.RailTables``; every oracle
 query is ``RAIL_CTES + <query>`` so both engines start from identical rows.
 """
 
-AS_OF_SQL = "DATE '1998-06-15'"
-
 RAIL_CTES = """
-WITH stations AS (
+WITH RECURSIVE stations AS (
   SELECT CAST(n_nationkey + 1 AS BIGINT) AS id,
          concat('N', lpad(CAST(n_nationkey AS VARCHAR), 2, '0')) AS code,
          n_name AS name_en, concat('AR_', n_name) AS name_ar,
@@ -67,6 +65,23 @@ WITH stations AS (
 """
 
 
+# Routes with both ends (leg), schedules on them (trip) and bookings of those (sale).
+TRIPS = """
+, ends AS (
+  SELECT id, {'code': code, 'name_en': name_en, 'name_ar': name_ar, 'city_en': city_en, 'city_ar': city_ar} AS st FROM stations
+), leg AS (
+  SELECT routes.id AS route_id, routes.* EXCLUDE (id), o.st.name_en AS from_name_en, o.st.name_ar AS from_name_ar,
+         o.st.code AS from_code, d.st.name_en AS to_name_en, d.st.name_ar AS to_name_ar, d.st.code AS to_code,
+         o.st AS origin, d.st AS target
+  FROM routes, ends o, ends d WHERE o.id = from_station_id AND d.id = to_station_id
+), trip AS (
+  SELECT * FROM schedules JOIN leg USING (route_id)
+), sale AS (
+  SELECT bookings.*, trip.* EXCLUDE (id) FROM bookings JOIN trip ON trip.id = schedule_id
+)
+"""
+
+
 def with_rail(sql: str) -> str:
     """Prefix a query over the rail views with their definitions."""
     return RAIL_CTES + sql

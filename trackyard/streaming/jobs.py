@@ -4,22 +4,32 @@ Sources are file streams over the driver tables (the rail stand-in views
 are built on the streaming scan, so the same projections apply).  Sinks
 are ``foreachBatch`` writers that put micro-batch ``N`` into
 ``<out>/batch_id=N`` with overwrite: a retried batch rewrites its own
-folder, so output stays exactly-once with the checkpoint.  Update-mode
-results are read back as the last row per key.  All folders live under
-the shared ``spark.checkpoint.dir``.
+folder, so output stays exactly-once with the checkpoint.  All folders live
+under the shared ``spark.checkpoint.dir``.
+
+No answer depends on how rows are dealt to files, batches or arrival times:
+
+* Running totals (STR1, STR3, STR4) are additive: a batch writes its own
+  sums per key, the reader adds them up, and ``COMPACT_EVERY`` batches are
+  folded into one.  There is no watermark, so no row is ever too late.
+* The outbox (STR5) drops references that an earlier batch wrote, looked up
+  in the days of the batch only.
+* Admission (STR2) lands its requests first and decides them in slices of
+  event time, so that file order plays no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from trackyard.functions import expr as X
 from trackyard.operators import seats as S
 from trackyard.operators.mutate import apply_deltas
+from trackyard.operators.replay import replay
 from trackyard.operators.skew import pick_per_key
 from trackyard.operators.views import route_dim
 from trackyard.session import scratch_path
@@ -52,100 +62,138 @@ class StreamingRail(RailTables):
                 .parquet(path[:-1] + "[" + path[-1] + "]"))
 
 
-def run_batches(stream: DataFrame, out: str, mode: str = "update",
-                process: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
+COMPACT_EVERY = 50      # batches whose sums are folded into one
+
+
+def run_batches(stream: DataFrame, out: str, process: Callable[[DataFrame, int], DataFrame] | None = None,
+                partition_by: Sequence[str] = (), after: Callable[[int], None] | None = None) -> None:
     """Run ``stream`` to completion (availableNow) into ``out/batch_id=N``."""
     def sink(df: DataFrame, batch_id: int) -> None:
         res = process(df, batch_id) if process else df
-        res.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        res.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{out}/batch_id={batch_id}")
+        if after:
+            after(batch_id)
 
-    q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
+    q = (stream.writeStream.foreachBatch(sink)
          .option("checkpointLocation", f"{out}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def read_batches(spark: SparkSession, out: str, schema=None) -> DataFrame | None:
+def read_batches(spark: SparkSession, out: str) -> DataFrame | None:
+    """What the batches wrote, with their ``batch_id``; None before the first one."""
     try:
         return spark.read.parquet(out)
     except AnalysisException:
         return None
 
 
-def latest_per_key(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
-    df = spark.read.parquet(out)
-    return pick_per_key(df, keys, ["batch_id"], last=True).drop("batch_id")
-
-
-def _ts(col: str):
-    # watermarks need TIMESTAMP (not TIMESTAMP_NTZ): the UTC wall clock as an
-    # instant, so windows align to UTC days whatever the session zone
-    return X.utc_instant(col)
+def read_totals(spark: SparkSession, out: str, keys: Sequence[str], before: int | None = None) -> DataFrame:
+    """Sums per key over all batches (below ``before``): the newest fold and the batches after it."""
+    def add(df: DataFrame) -> DataFrame:
+        return df.groupBy(*keys).agg(*[F.sum(c).cast(df.schema[c].dataType).alias(c)
+                                       for c in df.columns if c not in (*keys, "batch_id", "upto")])
+    parts = spark.read.parquet(out)
+    if before is not None:
+        parts = parts.where(F.col("batch_id") < before)
+    folds = read_batches(spark, f"{out}-folds")
+    if folds is not None:
+        if before is not None:
+            folds = folds.where(F.col("upto") <= before)
+        newest = folds.agg(F.max("upto")).first()[0]
+        if newest is not None:
+            parts = parts.where(F.col("batch_id") >= newest).drop("batch_id").unionByName(
+                folds.where(F.col("upto") == newest).drop("upto"))
+    return add(parts)
+
+
+def run_totals(spark: SparkSession, stream: DataFrame, out: str, keys: Sequence[str],
+               sums: Callable[[DataFrame], DataFrame], compact_every: int = COMPACT_EVERY) -> DataFrame:
+    """Write ``sums`` (additive columns per key) of each batch; returns the totals."""
+    def fold(batch_id: int) -> None:
+        upto = batch_id + 1
+        if upto % compact_every == 0:
+            read_totals(spark, out, keys, upto).write.mode("overwrite").parquet(f"{out}-folds/upto={upto}")
+
+    run_batches(stream, out, lambda df, _: sums(df), after=fold)
+    return read_totals(spark, out, keys)
+
+
+def _day(col: str):
+    return F.to_date(F.col(col).cast("timestamp_ntz"))
+
+
+# STR1: running occupancy per schedule, as changes that add up.
+def occupancy_changes(events: DataFrame) -> DataFrame:
+    """events: schedule_id, booking_status and optionally ``sign`` (1: a booking, -1: it was
+    cancelled while in that status)."""
+    sign = F.col("sign") if "sign" in events.columns else F.lit(1)
+    st = F.col("booking_status")
+    return events.groupBy("schedule_id").agg(
+        F.sum(F.when(st.isin("confirmed", "completed"), sign).otherwise(0)).cast("bigint").alias("occupied"),
+        F.sum(F.when(st == "pending", sign).otherwise(0)).cast("bigint").alias("reserved"))
 
 
-# STR1: running occupancy per schedule.
-def occupancy_stream(bookings: DataFrame) -> DataFrame:
-    st = F.col("booking_status")
-    return bookings.groupBy("schedule_id").agg(
-        F.count(F.when(st.isin("confirmed", "completed"), 1)).alias("occupied"),
-        F.count(F.when(st == "pending", 1)).alias("reserved"))
+def booking_events(bookings: DataFrame) -> DataFrame:
+    """Stand-in events: every booking as made, and a cancel event for those that ended cancelled
+    (they had been confirmed)."""
+    cancelled = F.col("booking_status") == "cancelled"
+    steps = F.when(cancelled, F.array(F.struct(F.lit("confirmed").alias("booking_status"), F.lit(1).alias("sign")),
+                                      F.struct(F.lit("confirmed").alias("booking_status"), F.lit(-1).alias("sign")))) \
+        .otherwise(F.array(F.struct("booking_status", F.lit(1).alias("sign"))))
+    return bookings.select("schedule_id", F.explode(steps).alias("_e")).select("schedule_id", "_e.*")
 
 
 def run_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = StreamingRail(spark, sf_dir, ["lineitem"])
     out = scratch_path(spark, "occupancy_stream")
-    run_batches(occupancy_stream(t.bookings), out, "update")
-    return latest_per_key(spark, out, ["schedule_id"])
+    return run_totals(spark, booking_events(t.bookings), out, ["schedule_id"], occupancy_changes)
 
 
 # STR3: request counts per user in 15-minute tumbling windows.
-def rate_windows(events: DataFrame, limit: int = 100, auth_limit: int = 10,
-                 auth_types: Sequence[str] = ("signup",), watermark: str = "15 minutes") -> DataFrame:
-    e = events.withColumn("_ts", _ts("ts"))
-    if events.isStreaming:
-        e = e.withWatermark("_ts", watermark)
+def window_counts(events: DataFrame, auth_types: Sequence[str] = ("signup",)) -> DataFrame:
+    # windows over an instant align to UTC whatever the session zone
+    e = events.withColumn("_ts", X.utc_instant("ts"))
     g = e.groupBy(F.window("_ts", "15 minutes").alias("w"), "user_id").agg(
         F.count(F.lit(1)).alias("requests"),
         F.count(F.when(F.col("event_type").isin(*auth_types), 1)).alias("auth_requests"))
-    return g.select(X.utc_wall("w.start").alias("window_start"), "user_id",
-                    "requests", "auth_requests",
-                    (F.col("requests") > limit).alias("over_limit"),
-                    (F.col("auth_requests") > auth_limit).alias("auth_over_limit"))
+    return g.select(X.utc_wall("w.start").alias("window_start"), "user_id", "requests", "auth_requests")
+
+
+def over_limits(counts: DataFrame, limit: int = 100, auth_limit: int = 10) -> DataFrame:
+    return counts.select("*", (F.col("requests") > limit).alias("over_limit"),
+                         (F.col("auth_requests") > auth_limit).alias("auth_over_limit"))
+
+
+def rate_windows(events: DataFrame, limit: int = 100, auth_limit: int = 10,
+                 auth_types: Sequence[str] = ("signup",)) -> DataFrame:
+    return over_limits(window_counts(events, auth_types), limit, auth_limit)
 
 
 def run_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = StreamingRail(spark, sf_dir, ["events"])
     out = scratch_path(spark, "rate_limit_stream")
-    run_batches(rate_windows(t.events), out, "update")
-    return latest_per_key(spark, out, ["window_start", "user_id"])
+    return over_limits(run_totals(spark, t.events, out, ["window_start", "user_id"], window_counts))
 
 
 # STR4: paid revenue per day as bookings arrive.
-def revenue_stream(bookings: DataFrame, watermark: str = "1 day") -> DataFrame:
-    b = bookings.where(F.col("payment_status") == "paid").withColumn("_ts", _ts("created_at"))
-    if bookings.isStreaming:
-        b = b.withWatermark("_ts", watermark)
-    g = b.groupBy(F.window("_ts", "1 day").alias("w")).agg(
+def revenue_sums(bookings: DataFrame) -> DataFrame:
+    b = bookings.where(F.col("payment_status") == "paid")
+    return b.groupBy(_day("created_at").alias("report_date")).agg(
         F.count(F.lit(1)).alias("bookings"), F.sum("amount_paid").alias("revenue"))
-    return g.select(F.to_date(X.utc_wall("w.start")).alias("report_date"), "bookings",
-                    F.col("revenue").cast("double").alias("revenue"))
 
 
 def run_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = StreamingRail(spark, sf_dir, ["lineitem"])
     out = scratch_path(spark, "revenue_stream")
-    run_batches(revenue_stream(t.bookings), out, "update")
-    return latest_per_key(spark, out, ["report_date"])
+    return run_totals(spark, t.bookings, out, ["report_date"], revenue_sums).withColumn(
+        "revenue", F.col("revenue").cast("double"))
 
 
-# STR5: notification outbox for confirmed bookings (deduplicated by reference).
+# STR5: notification outbox for confirmed bookings (one set of messages per reference).
 def outbox(bookings: DataFrame, schedules: DataFrame, routes: DataFrame, stations: DataFrame,
-           users: DataFrame, watermark: str = "1 day") -> DataFrame:
-    b = bookings.where(F.col("booking_status") == "confirmed").withColumn("_ts", _ts("created_at"))
-    if bookings.isStreaming:
-        b = b.withWatermark("_ts", watermark).dropDuplicatesWithinWatermark(["booking_ref"])
-    else:
-        b = b.dropDuplicates(["booking_ref"])
+           users: DataFrame) -> DataFrame:
+    b = bookings.where(F.col("booking_status") == "confirmed").dropDuplicates(["booking_ref"])
     rd = route_dim(routes, stations, ("name_en",)).select(
         F.col("id").alias("_rid"), "from_name_en", "to_name_en")
     s = schedules.select(F.col("id").alias("_sid"), F.col("route_id").alias("_srid"),
@@ -154,144 +202,165 @@ def outbox(bookings: DataFrame, schedules: DataFrame, routes: DataFrame, station
     j = (b.join(s, b.schedule_id == s["_sid"], "inner")
          .join(u, b.user_id == u["_uid"], "left"))
     amount = F.regexp_replace(F.col("amount_paid").cast("string"), r"\.?0+$", "")
-    sms = j.where(F.col("phone").isNotNull()).select(
-        "booking_ref", F.lit("sms").alias("type"), X.phone_e164("phone").alias("channel"),
-        F.lit(None).cast("string").alias("subject"),
-        X.confirmation_sms("booking_ref", "from_name_en", "to_name_en", "travel_date",
-                           "departure_time", "seat_number", amount).alias("message"))
-    mail = j.where(F.col("email").isNotNull()).select(
-        "booking_ref", F.lit("email").alias("type"), F.col("email").alias("channel"),
-        X.confirmation_subject("booking_ref").alias("subject"),
-        F.concat(F.lit("Booking confirmation for "), F.col("booking_ref")).alias("message"))
-    return sms.unionByName(mail).withColumn("status", F.lit("pending"))
+    sms = F.struct(F.lit("sms").alias("type"), X.phone_e164("phone").alias("channel"),
+                   F.lit(None).cast("string").alias("subject"),
+                   X.confirmation_sms("booking_ref", "from_name_en", "to_name_en", "travel_date",
+                                      "departure_time", "seat_number", amount).alias("message"))
+    mail = F.struct(F.lit("email").alias("type"), F.col("email").alias("channel"),
+                    X.confirmation_subject("booking_ref").alias("subject"),
+                    F.concat(F.lit("Booking confirmation for "), F.col("booking_ref")).alias("message"))
+    return X.notices(j, sms, mail, ["booking_ref", "created_at"]).withColumn("status", F.lit("pending"))
+
+
+def run_outbox_stream(spark: SparkSession, bookings: DataFrame, schedules: DataFrame, routes: DataFrame,
+                      stations: DataFrame, users: DataFrame, out: str) -> DataFrame:
+    """Messages of new references per micro-batch, stored by booking day.
+
+    A reference that an earlier batch wrote is dropped; a repeated delivery
+    carries the booking's own creation time, so only the days of the batch
+    are looked up (partition pruning)."""
+    def process(df: DataFrame, batch_id: int) -> DataFrame:
+        b = df.withColumn("day", _day("created_at"))
+        earlier = read_batches(spark, out)
+        if earlier is not None:
+            days = b.select("day").distinct()
+            known = (earlier.where(F.col("batch_id") < batch_id).join(days, "day", "left_semi")
+                     .select("day", "booking_ref").distinct())
+            b = b.join(known, ["day", "booking_ref"], "left_anti")
+        return outbox(b, schedules, routes, stations, users).withColumn("day", _day("created_at"))
+
+    run_batches(bookings, out, process, partition_by=["day"])
+    return spark.read.parquet(out).drop("batch_id", "day", "created_at")
 
 
 def run_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = StreamingRail(spark, sf_dir, ["lineitem"])
     static = RailTables(spark, sf_dir, materialize=True)
     out = scratch_path(spark, "outbox_stream")
-    run_batches(outbox(t.bookings, static.schedules, static.routes, static.stations,
-                       static.users), out, "append")
-    return spark.read.parquet(out).drop("batch_id")
+    return run_outbox_stream(spark, t.bookings, static.schedules, static.routes, static.stations,
+                             static.users, out)
 
 
-# STR2: seat admission per micro-batch against the state left by earlier batches.
-def run_admission(spark: SparkSession, requests: DataFrame, schedules: DataFrame,
-                  bookings: DataFrame, routes: DataFrame, out: str) -> DataFrame:
-    """Each micro-batch N is admitted (ADM1) against the schedules with the
-    seat deltas of batches < N applied and the stored bookings plus the
-    bookings accepted in batches < N.  Batch N writes its outcomes,
-    accepted rows and deltas to ``batch_id=N`` folders (overwrite), so a
-    retried batch recomputes from the same inputs.  Exact with respect to a
-    sequential replay when later batches carry later requests.  The
-    micro-batch is read once per use (measured cheaper than persisting it
-    for file sources); for a costly source, persist it inside ``process``.
+class Slices:
+    """Requests landed from a stream and decided in slices of event time.
+
+    ``land`` stores micro-batches as they come.  ``due(upto)`` gives the
+    landed requests with ts <= upto that no earlier slice decided: all
+    requests in event-time order when they arrive in time, and a request
+    that arrives after its slice joins the next one; none is lost.  Slice
+    ``k`` writes to ``<kind>/slice=k`` and is closed by an entry in the
+    slice log, so a slice that failed is run again from the same input.
     """
-    def prior(kind: str, batch_id: int) -> DataFrame | None:
-        df = read_batches(spark, f"{out}/{kind}")
-        return None if df is None else df.where(F.col("batch_id") < batch_id).drop("batch_id")
-
-    def process(df: DataFrame, batch_id: int) -> None:
-        d = prior("deltas", batch_id)
-        sched = schedules if d is None else apply_deltas(schedules, d)
-        acc = prior("accepted", batch_id)
-        hist = bookings.select("schedule_id", "seat_number", "booking_status")
-        if acc is not None:
-            hist = hist.unionByName(acc.select("schedule_id", "seat_number",
-                                               F.lit("confirmed").alias("booking_status")))
-        adm = S.admit_bookings(df, sched, hist, routes)
-        path = f"{out}/outcomes/batch_id={batch_id}"
-        adm.outcomes.write.mode("overwrite").parquet(path)
-        # accepted rows and deltas come from the written outcomes (lineage cut)
-        written = S.admission_parts(spark.read.parquet(path))
-        written.accepted.write.mode("overwrite").parquet(f"{out}/accepted/batch_id={batch_id}")
-        written.deltas.write.mode("overwrite").parquet(f"{out}/deltas/batch_id={batch_id}")
-
-    q = (requests.writeStream.foreachBatch(process)
-         .option("checkpointLocation", f"{out}/_checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    o = spark.read.parquet(f"{out}/outcomes")
-    return o.select("request_id", "schedule_id", "seat_number", "outcome", "amount_paid")
+
+    def __init__(self, spark: SparkSession, out: str):
+        self.spark, self.out = spark, out
+
+    def land(self, requests: DataFrame) -> None:
+        run_batches(requests, f"{self.out}/landing")
+
+    def log(self) -> tuple[int, object, int]:
+        """(number of closed slices, their last time, their last batch)."""
+        df = read_batches(self.spark, f"{self.out}/log")
+        if df is None:
+            return 0, None, -1
+        r = df.agg(F.count(F.lit(1)).alias("n"), F.max("upto").alias("upto"), F.max("batch").alias("batch")).first()
+        return r.n, r.upto, r.batch
+
+    def due(self, upto=None) -> DataFrame:
+        _, last, batch = self.log()
+        df = self.spark.read.parquet(f"{self.out}/landing")
+        if last is not None:
+            df = df.where((F.col("ts") > F.lit(last)) | (F.col("batch_id") > batch))
+        if upto is not None:
+            df = df.where(F.col("ts") <= X.ntz(upto))
+        return df.drop("batch_id")
+
+    def write(self, kind: str, df: DataFrame) -> DataFrame:
+        path = f"{self.out}/{kind}/slice={self.log()[0]}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def prior(self, kind: str) -> DataFrame | None:
+        """What the closed slices wrote."""
+        df = read_batches(self.spark, f"{self.out}/{kind}")
+        return None if df is None else df.where(F.col("slice") < self.log()[0]).drop("slice")
+
+    def close(self, upto=None) -> None:
+        landed = self.spark.read.parquet(f"{self.out}/landing")
+        end = landed.agg(F.max("batch_id").alias("batch"),
+                         (F.max("ts") if upto is None else F.lit(X.ntz(upto))).alias("upto"))
+        end.write.mode("overwrite").parquet(f"{self.out}/log/slice={self.log()[0]}")
+
+
+def _seats_left(schedules: DataFrame, deltas: DataFrame | None) -> DataFrame:
+    return schedules if deltas is None else apply_deltas(schedules, deltas)
+
+
+# STR2: seat admission over a request stream.
+def admit_due(s: Slices, schedules: DataFrame, bookings: DataFrame, routes: DataFrame, upto=None) -> None:
+    """Admit (ADM1) the requests due up to a time against the stored bookings and the state that
+    earlier slices left.  Only the state of the schedules asked for is read on."""
+    due = s.due(upto)
+    asked = due.select("schedule_id").distinct()
+    held = bookings.select("schedule_id", "seat_number", "booking_status")
+    accepted = s.prior("accepted")
+    if accepted is not None:
+        held = held.unionByName(accepted.select("schedule_id", "seat_number",
+                                                F.lit("confirmed").alias("booking_status")))
+    adm = S.admit_bookings(due, _seats_left(schedules, s.prior("deltas")),
+                           held.join(asked, "schedule_id", "left_semi"), routes)
+    # accepted rows and deltas come from the written outcomes (lineage cut)
+    parts = S.admission_parts(s.write("outcomes", adm.outcomes))
+    s.write("accepted", parts.accepted)
+    s.write("deltas", parts.deltas)
+    s.close(upto)
 
 
-OUTCOME_COLS = ("request_id", "kind", "schedule_id", "seat_number", "booking_ref", "outcome",
-                "amount_paid")
+def run_admission(spark: SparkSession, requests: DataFrame, schedules: DataFrame,
+                  bookings: DataFrame, routes: DataFrame, out: str) -> DataFrame:
+    """Land the stream, then decide all of it; in steady use ``admit_due`` runs with the time
+    up to which requests have surely arrived."""
+    s = Slices(spark, out)
+    s.land(requests)
+    admit_due(s, schedules, bookings, routes)
+    return spark.read.parquet(f"{out}/outcomes").select("request_id", "schedule_id", "seat_number",
+                                                        "outcome", "amount_paid")
+
+
+# STR2 with cancellations: bookings and cancels on one request stream, in request order.
+def replay_due(s: Slices, schedules: DataFrame, bookings: DataFrame, routes: DataFrame, upto=None) -> None:
+    """Decide the bookings and cancels due up to a time one after the other (``replay``): a
+    cancel frees its seat for the very next request."""
+    known = bookings.select("booking_ref", "schedule_id", "seat_number", "booking_status")
+    accepted, gone = s.prior("accepted"), s.prior("cancelled")
+    if accepted is not None:
+        known = known.unionByName(accepted)
+    if gone is not None:
+        known = (known.join(gone.withColumn("_gone", F.lit(True)), "booking_ref", "left")
+                 .withColumn("booking_status", F.when(F.col("_gone"), "cancelled").otherwise(F.col("booking_status")))
+                 .drop("_gone"))
+    done = s.write("outcomes", replay(s.due(upto), _seats_left(schedules, s.prior("deltas")), known, routes))
+    booked = done.where("kind = 'book' and outcome = 'accepted'")
+    freed = done.where("kind = 'cancel' and outcome = 'cancelled'")
+    s.write("accepted", booked.select(F.col("request_id").alias("booking_ref"), "schedule_id", "seat_number",
+                                      F.lit("confirmed").alias("booking_status")))
+    s.write("cancelled", freed.select("booking_ref").distinct())
+    s.write("deltas", booked.select("schedule_id", F.lit(-1).alias("delta"))
+            .unionByName(freed.select("schedule_id", F.lit(1).alias("delta")))
+            .groupBy("schedule_id").agg(F.sum("delta").alias("delta")))
+    s.close(upto)
 
 
-# STR2 with cancellations: bookings and cancels on one ordered request stream.
 def run_booking_stream(spark: SparkSession, requests: DataFrame, schedules: DataFrame,
                        bookings: DataFrame, routes: DataFrame, out: str) -> DataFrame:
     """``requests``: kind ('book' | 'cancel'), request_id, ts, user_id,
-    schedule_id, seat_number, payment_method (book) and booking_ref (cancel).
-
-    Micro-batch N first admits its bookings (ADM1) against the state left by
-    batches < N (seat deltas, accepted bookings, cancellations), then
-    applies its cancels (SNK12) to the stored bookings plus every accepted
-    one, including those accepted in batch N; an accepted booking's
-    reference is its request id.  A seat freed by a cancel becomes
-    available from batch N+1 on (cancels take effect at the micro-batch
-    boundary).  All state is in written tables under ``out``.
-    """
-    from trackyard.operators.mutate import cancel_bookings
-
-    def prior(kind: str, batch_id: int) -> DataFrame | None:
-        df = read_batches(spark, f"{out}/{kind}")
-        return None if df is None else df.where(F.col("batch_id") < batch_id).drop("batch_id")
-
-    def current(batch_id: int, extra: DataFrame | None = None) -> DataFrame:
-        cur = bookings.select("booking_ref", "schedule_id", "seat_number", "booking_status")
-        acc = prior("accepted", batch_id)
-        for a in (acc, extra):
-            if a is not None:
-                cur = cur.unionByName(a.select(F.col("request_id").alias("booking_ref"),
-                                               "schedule_id", "seat_number",
-                                               F.lit("confirmed").alias("booking_status")))
-        gone = prior("cancelled", batch_id)
-        if gone is not None:
-            g = gone.select(F.col("booking_ref").alias("_gref")).withColumn("_g", F.lit(1))
-            cur = cur.join(g, cur.booking_ref == g["_gref"], "left").select(
-                "booking_ref", "schedule_id", "seat_number",
-                F.when(F.col("_g").isNotNull(), F.lit("cancelled"))
-                 .otherwise(F.col("booking_status")).alias("booking_status"))
-        return cur
-
-    def process(df: DataFrame, batch_id: int) -> None:
-        d = prior("deltas", batch_id)
-        sched = schedules if d is None else apply_deltas(schedules, d)
-        books = df.where(F.col("kind") == "book").drop("kind", "booking_ref")
-        cancels = df.where(F.col("kind") == "cancel").select("request_id", "booking_ref", "ts",
-                                                              F.lit(None).cast("string")
-                                                              .alias("reason"))
-        adm = S.admit_bookings(books, sched, current(batch_id), routes)
-        bpath = f"{out}/book_outcomes/batch_id={batch_id}"
-        adm.outcomes.write.mode("overwrite").parquet(bpath)
-        written = S.admission_parts(spark.read.parquet(bpath))
-        written.accepted.write.mode("overwrite").parquet(f"{out}/accepted/batch_id={batch_id}")
-        acc_now = spark.read.parquet(f"{out}/accepted/batch_id={batch_id}")
-        c = cancel_bookings(current(batch_id, acc_now), cancels)
-        cpath = f"{out}/cancel_outcomes/batch_id={batch_id}"
-        c.outcomes.write.mode("overwrite").parquet(cpath)
-        co = spark.read.parquet(cpath)
-        co.where(F.col("outcome") == "cancelled").select("booking_ref") \
-            .write.mode("overwrite").parquet(f"{out}/cancelled/batch_id={batch_id}")
-        plus = (co.where(F.col("outcome") == "cancelled").groupBy("schedule_id")
-                .agg(F.count(F.lit(1)).alias("delta")))
-        written.deltas.unionByName(plus).write.mode("overwrite").parquet(
-            f"{out}/deltas/batch_id={batch_id}")
-
-    q = (requests.writeStream.foreachBatch(process)
-         .option("checkpointLocation", f"{out}/_checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    b = spark.read.parquet(f"{out}/book_outcomes").select(
-        "request_id", F.lit("book").alias("kind"), "schedule_id", "seat_number",
-        F.lit(None).cast("string").alias("booking_ref"), "outcome", "amount_paid")
-    c = spark.read.parquet(f"{out}/cancel_outcomes").select(
-        "request_id", F.lit("cancel").alias("kind"), "schedule_id",
-        F.lit(None).cast("string").alias("seat_number"), "booking_ref", "outcome",
-        F.lit(None).cast("decimal(10,2)").alias("amount_paid"))
-    return b.unionByName(c)
+    schedule_id, seat_number, payment_method (book) and booking_ref (cancel);
+    an accepted booking's reference is its request id."""
+    s = Slices(spark, out)
+    s.land(requests)
+    replay_due(s, schedules, bookings, routes)
+    return spark.read.parquet(f"{out}/outcomes").select(
+        "request_id", "kind", "schedule_id", "seat_number", "booking_ref", "outcome", "amount_paid")
 
 
 # SC11: notification log rows from outbox rows and delivery receipts.
