@@ -13,7 +13,9 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackyard.sources.schema import SEAT_HOLDING
+from trackyard.functions import expr as X
+from trackyard.sources.schema import (DOMAINS, FOREIGN_KEYS, MAX_LENGTH, NOT_NULL, PAYMENT_METHODS, ROLES,
+                                      SCHEDULE_STATUSES, SEAT_HOLDING, TRAIN_CLASSES, UNIQUE_KEYS, USER_STATUSES)
 
 REPORT_COLS = ("check", "table_name", "column_name", "value", "rows")
 
@@ -53,43 +55,49 @@ def unique_violations(df: DataFrame, table: str, columns: Sequence[str]) -> Data
                     F.col("_n").cast("bigint").alias("rows"))
 
 
-# DQ2: child rows whose non-NULL key has no parent.
+# DQ2: child keys without a parent row.
 def orphan_rows(child: DataFrame, child_table: str, col: str, parent: DataFrame,
                 parent_col: str = "id") -> DataFrame:
-    p = parent.select(F.col(parent_col).alias("_pk")).distinct()
-    o = (child.where(F.col(col).isNotNull())
-         .join(p, child[col] == p["_pk"], "left_anti")
-         .groupBy(col).agg(F.count(F.lit(1)).alias("_n")))
+    """Orphan keys and their rows: child rows are counted per key before the
+    anti join, so a hot key is one row there; keys keep their own type."""
+    p = parent.select(F.col(parent_col).alias("_pk"))
+    keys = child.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    o = keys.join(p, keys[col] == p["_pk"], "left_anti")
     return _report(o, "foreign_key", child_table, col, F.col(col), F.col("_n"))
 
 
-def orphan_report(children: Sequence[tuple[DataFrame, Sequence[tuple[str, str, str, DataFrame, str]]]]
-                  ) -> DataFrame:
-    """Several foreign-key checks with one read per child table and one join.
+# One runner over the declared keys, domains, NOT NULL columns and lengths
+# (sources/schema.py) for whatever declared tables and columns are at hand.
+Tables = Mapping[str, DataFrame]
+
+
+def _declared(tables: Tables, declared: Mapping[str, Iterable[str]]):
+    for name, cols in declared.items():
+        have = [c for c in cols if name in tables and c in tables[name].columns]
+        if have:
+            yield name, tables[name], have
+
+
+def declared_unique(tables: Tables) -> DataFrame:
+    return union_all(unique_violations(df, name, cols) for name, df, cols in _declared(tables, UNIQUE_KEYS))
+
+
+def declared_foreign_keys(tables: Tables) -> DataFrame:
+    return union_all(orphan_rows(tables[child], child, col, tables[parent], pcol)
+                     for child, col, parent, pcol, _ in FOREIGN_KEYS
+                     if child in tables and parent in tables and col in tables[child].columns)
 
-    ``children``: (child DataFrame, checks) with checks = (table_name,
-    column, ..., parent DataFrame, parent column); the third field is unused
-    and kept for readability.  Each child row emits its non-NULL keys as
-    (table_name, column, value) pairs; parent keys are stacked the same way;
-    one anti join finds the orphans.
-    """
-    pairs, parents = [], []
-    for df, checks in children:
-        arr = F.filter(F.array(*[F.when(F.col(col).isNotNull(),
-                                        F.struct(F.lit(tn).alias("t"), F.lit(col).alias("c"),
-                                                 F.col(col).cast("string").alias("v")))
-                                 for tn, col, _, _, _ in checks]), lambda x: x.isNotNull())
-        pairs.append(df.select(F.explode(arr).alias("p")).select("p.*"))
-        for tn, col, _, pdf, pcol in checks:
-            parents.append(pdf.select(F.lit(tn).alias("t"), F.lit(col).alias("c"),
-                                      F.col(pcol).cast("string").alias("v")))
-    k = union_all(pairs)
-    pk = union_all(parents).distinct()
-    o = k.join(pk, ["t", "c", "v"], "left_anti").groupBy("t", "c", "v").agg(
-        F.count(F.lit(1)).alias("_n"))
-    return o.select(F.lit("foreign_key").alias("check"), F.col("t").alias("table_name"),
-                    F.col("c").alias("column_name"), F.col("v").alias("value"),
-                    F.col("_n").cast("bigint").alias("rows"))
+
+def declared_domains(tables: Tables) -> DataFrame:
+    return union_all(domain_violations(df, name, {c: DOMAINS[name][c] for c in cols})
+                     for name, df, cols in _declared(tables, DOMAINS))
+
+
+def declared_nulls_lengths(tables: Tables) -> DataFrame:
+    both = {n: dict.fromkeys([*NOT_NULL.get(n, ()), *MAX_LENGTH.get(n, ())]) for n in {**NOT_NULL, **MAX_LENGTH}}
+    return union_all(null_and_length(df, name, [c for c in NOT_NULL.get(name, ()) if c in cols],
+                                     {c: n for c, n in MAX_LENGTH.get(name, {}).items() if c in cols})
+                     for name, df, cols in _declared(tables, both))
 
 
 def fk_effects(parent_deleted: DataFrame, child: DataFrame, col: str, on_delete: str,
@@ -173,8 +181,7 @@ def booking_request_rules() -> list[tuple[str, Column]]:
     return [
         ("scheduleId", F.col("schedule_id") >= 1),
         ("seatNumber", seat.isNotNull() & (F.length(seat) > 0) & (F.length(seat) <= 10)),
-        ("paymentMethod", F.col("payment_method").isin("mada", "visa", "mastercard",
-                                                       "apple_pay", "cash")),
+        ("paymentMethod", F.col("payment_method").isin(*PAYMENT_METHODS)),
     ]
 
 
@@ -186,10 +193,62 @@ def schedule_rules() -> list[tuple[str, Column]]:
         ("arrivalTime", F.col("arrival_time").rlike(TIME_PATTERN)),
         ("travelDate", F.col("travel_date").isNotNull()),
         ("totalSeats", F.col("total_seats").between(1, 1000)),
-        ("class", F.col("class").isin("First Class", "Economy", "Student")),
+        ("class", F.col("class").isin(*TRAIN_CLASSES)),
     ]
 
 
+def _text(col: str, most: int | None = None) -> Column:
+    ok = F.col(col).isNotNull() & (F.length(col) > 0)
+    return ok if most is None else ok & (F.length(col) <= most)
+
+
+def _optional(col: str, ok: Column) -> Column:
+    return F.col(col).isNull() | ok
+
+
+# fixed value: shape of an address (one @, dotted domain)
+EMAIL_PATTERN = r"^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$"
+PHONE_PATTERN = r"^\+?[0-9]{7,15}$"
+
+
+def route_rules() -> list[tuple[str, Column]]:
+    """A new route."""
+    return [("routeCode", _text("route_code", 20)),
+            ("fromStationId", F.col("from_station_id") >= 1), ("toStationId", F.col("to_station_id") >= 1),
+            ("distanceKm", F.col("distance_km") >= 1), ("durationMinutes", F.col("duration_minutes") >= 1),
+            *((field, F.col(col) >= 0) for field, col in PRICES)]
+
+
+PRICES = (("priceFirstClass", "price_first_class"), ("priceEconomy", "price_economy"),
+          ("priceStudent", "price_student"))
+
+
+def route_patch_rules() -> list[tuple[str, Column]]:
+    return [(field, _optional(col, F.col(col) >= 0)) for field, col in PRICES]
+
+
+def user_rules() -> list[tuple[str, Column]]:
+    """A new user."""
+    return [("email", F.col("email").rlike(EMAIL_PATTERN)), ("password", F.length("password") >= 6),
+            ("firstName", _text("first_name", 100)), ("lastName", _text("last_name", 100)),
+            ("role", F.col("role").isin(*ROLES)), ("phone", _optional("phone", F.col("phone").rlike(PHONE_PATTERN))),
+            ("nationalId", _optional("national_id", F.length("national_id") == 10))]
+
+
+def user_patch_rules() -> list[tuple[str, Column]]:
+    return [("email", _optional("email", F.col("email").rlike(EMAIL_PATTERN))),
+            ("role", _optional("role", F.col("role").isin(*ROLES))),
+            ("status", _optional("status", F.col("status").isin(*USER_STATUSES)))]
+
+
+def sign_on_rules() -> list[tuple[str, Column]]:
+    return [("nationalId", F.col("national_id").rlike("^[0-9]{10}$")), ("role", F.col("role").isin(*ROLES))]
+
+
+def schedule_patch_rules() -> list[tuple[str, Column]]:
+    return [("status", _optional("status", F.col("status").isin(*SCHEDULE_STATUSES)))]
+
+
 # DQ6: cross-column rules.
 def cross_column(routes: DataFrame, schedules: DataFrame) -> DataFrame:
     same = (routes.where(F.col("from_station_id") == F.col("to_station_id"))
@@ -216,10 +275,10 @@ def seat_drift(schedules: DataFrame, bookings: DataFrame) -> DataFrame:
             .where(F.col("drift") != 0))
 
 
-# DQ8: seats held by more than one live booking.
+# DQ8: seats held by more than one live booking (labels compared as admission does).
 def double_sold(bookings: DataFrame) -> DataFrame:
     return (bookings.where(F.col("booking_status").isin(*SEAT_HOLDING))
-            .groupBy("schedule_id", "seat_number")
+            .groupBy("schedule_id", X.seat_key("seat_number").alias("seat_number"))
             .agg(F.count(F.lit(1)).alias("bookings"))
             .where(F.col("bookings") > 1))
 
@@ -229,5 +288,5 @@ def double_sold_rows(bookings: DataFrame) -> DataFrame:
     g = double_sold(bookings).select(F.col("schedule_id").alias("_s"),
                                      F.col("seat_number").alias("_seat"))
     live = bookings.where(F.col("booking_status").isin(*SEAT_HOLDING))
-    return live.join(g, (live.schedule_id == g["_s"]) & (live.seat_number == g["_seat"]),
+    return live.join(g, (live.schedule_id == g["_s"]) & (X.seat_key(live.seat_number) == g["_seat"]),
                      "left_semi")

@@ -2,66 +2,72 @@
 
 from pyspark.sql import functions as F
 
+from trackyard.operators import materialize as MT
 from trackyard.operators import quality as Q
 from trackyard.plans.registry import query
 from trackyard.sources import requests as RQ
-from trackyard.sources.schema import DOMAINS, MAX_LENGTH
-
-
-@query("dq_unique", """
-SELECT 'unique' AS "check", 'users' AS table_name, 'email' AS column_name, email AS value, COUNT(*) AS rows FROM users WHERE email IS NOT NULL GROUP BY email HAVING COUNT(*) > 1
-UNION ALL SELECT 'unique', 'users', 'national_id', national_id, COUNT(*) FROM users WHERE national_id IS NOT NULL GROUP BY national_id HAVING COUNT(*) > 1
-UNION ALL SELECT 'unique', 'stations', 'code', code, COUNT(*) FROM stations GROUP BY code HAVING COUNT(*) > 1
-UNION ALL SELECT 'unique', 'routes', 'route_code', route_code, COUNT(*) FROM routes GROUP BY route_code HAVING COUNT(*) > 1
-UNION ALL SELECT 'unique', 'bookings', 'booking_ref', booking_ref, COUNT(*) FROM bookings GROUP BY booking_ref HAVING COUNT(*) > 1
-UNION ALL SELECT 'unique', 'bookings', 'seat_key', concat(CAST(schedule_id AS VARCHAR), '/', seat_number), COUNT(*) FROM bookings
-          WHERE booking_status IN ('confirmed', 'pending') GROUP BY schedule_id, seat_number HAVING COUNT(*) > 1
-UNION ALL SELECT 'unique', 'user_permissions', 'user_id', CAST(user_id AS VARCHAR), COUNT(*) FROM user_permissions GROUP BY user_id HAVING COUNT(*) > 1
-""")
+from trackyard.sources.requests import AS_OF_TS
+from trackyard.sources.schema import (DOMAINS, FOREIGN_KEYS, MAX_LENGTH, NOT_NULL, ROLES, SCHEDULE_STATUSES,
+                                      UNIQUE_KEYS)
+
+
+_STORED = """
+, refresh_tokens AS (SELECT concat('tok-', CAST(event_id AS VARCHAR)) AS token, user_id FROM events),
+occupancy_snapshots AS (SELECT id AS schedule_id FROM schedules),
+revenue_daily AS (SELECT DISTINCT CAST(created_at AS DATE) AS report_date FROM bookings)
+"""
+_COLUMNS = {"users": "email national_id role status first_name last_name phone", "user_permissions": "user_id",
+            "refresh_tokens": "token user_id", "stations": "code name_en name_ar city_en city_ar",
+            "routes": "route_code from_station_id to_station_id distance_km duration_minutes price_first_class "
+                      "price_economy price_student",
+            "schedules": "route_id train_id departure_time arrival_time travel_date total_seats available_seats class status",
+            "bookings": "booking_ref user_id schedule_id seat_number amount_paid payment_method payment_status booking_status",
+            "revenue_daily": "report_date", "occupancy_snapshots": "schedule_id"}
+_COLUMNS = {k: v.split() for k, v in _COLUMNS.items()}
+
+
+def _tables(t):
+    """The declared tables that the data can supply."""
+    return {"users": t.users, "user_permissions": t.user_permissions, "refresh_tokens": RQ.tokens(t),
+            "stations": t.stations, "routes": t.routes, "schedules": t.schedules, "bookings": t.bookings,
+            "revenue_daily": MT.revenue_daily(t.bookings),
+            "occupancy_snapshots": MT.occupancy_snapshot(t.schedules, t.bookings, AS_OF_TS)}
+
+
+def _each(parts):
+    return _STORED + "\nUNION ALL ".join(parts)
+
+
+def _listed(values):
+    return ", ".join(f"'{v}'" for v in values)
+
+
+@query("dq_unique", _each(
+    f"""SELECT 'unique' AS "check", '{n}' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS rows
+        FROM {n} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1"""
+    for n, cols in UNIQUE_KEYS.items() for c in cols if c in _COLUMNS.get(n, ())))
 def dq_unique(t):
-    """DQ1: duplicate values of declared unique keys (plus live seat holders)."""
-    # one scan of bookings: the seat key is NULL (skipped) for rows that hold no seat
-    b = t.bookings.select(
-        "booking_ref",
-        F.when(F.col("booking_status").isin("confirmed", "pending"),
-               F.concat(F.col("schedule_id").cast("string"), F.lit("/"), "seat_number"))
-         .alias("seat_key"))
-    return Q.union_all([
-        Q.unique_violations(t.users, "users", ["email", "national_id"]),
-        Q.unique_violations(t.stations, "stations", ["code"]),
-        Q.unique_violations(t.routes, "routes", ["route_code"]),
-        Q.unique_violations(b, "bookings", ["booking_ref", "seat_key"]),
-        Q.unique_violations(t.user_permissions, "user_permissions", ["user_id"])])
-
-
-@query("dq_foreign_keys", """
-SELECT 'foreign_key' AS "check", 'bookings' AS table_name, 'user_id' AS column_name, CAST(user_id AS VARCHAR) AS value, COUNT(*) AS rows
-FROM bookings WHERE user_id NOT IN (SELECT id FROM users) GROUP BY user_id
-UNION ALL SELECT 'foreign_key', 'bookings', 'schedule_id', CAST(schedule_id AS VARCHAR), COUNT(*) FROM bookings
-          WHERE schedule_id NOT IN (SELECT id FROM schedules) GROUP BY schedule_id
-UNION ALL SELECT 'foreign_key', 'schedules', 'route_id', CAST(route_id AS VARCHAR), COUNT(*) FROM schedules
-          WHERE route_id NOT IN (SELECT id FROM routes) GROUP BY route_id
-UNION ALL SELECT 'foreign_key', 'routes', 'from_station_id', CAST(from_station_id AS VARCHAR), COUNT(*) FROM routes
-          WHERE from_station_id NOT IN (SELECT id FROM stations) GROUP BY from_station_id
-UNION ALL SELECT 'foreign_key', 'routes', 'to_station_id', CAST(to_station_id AS VARCHAR), COUNT(*) FROM routes
-          WHERE to_station_id NOT IN (SELECT id FROM stations) GROUP BY to_station_id
-UNION ALL SELECT 'foreign_key', 'user_permissions', 'user_id', CAST(user_id AS VARCHAR), COUNT(*) FROM user_permissions
-          WHERE user_id NOT IN (SELECT id FROM users) GROUP BY user_id
-UNION ALL SELECT 'foreign_key', 'bookings_after_purge', 'user_id', CAST(b.user_id AS VARCHAR), COUNT(*)
-          FROM bookings b WHERE b.user_id NOT IN (SELECT id FROM users WHERE status = 'active') GROUP BY b.user_id
-""")
+    """DQ1: duplicate values of every declared unique key."""
+    return Q.declared_unique(_tables(t))
+
+
+def _fk_sql(users="users"):
+    return _each(
+        f"""SELECT 'foreign_key' AS "check", '{n}' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS rows
+            FROM {n} ANTI JOIN {users if p == 'users' else p} parent ON parent.{pc} = {n}.{c} WHERE {c} IS NOT NULL GROUP BY {c}"""
+        for n, c, p, pc, _ in FOREIGN_KEYS if c in _COLUMNS.get(n, ()))
+
+
+@query("dq_foreign_keys", _fk_sql())
 def dq_foreign_keys(t):
-    """DQ2: orphan child rows for the declared foreign keys; the last check
-    shows the rows a delete of inactive users would orphan."""
-    active = t.users.where(F.col("status") == "active")
-    return Q.orphan_report([
-        (t.bookings, [("bookings", "user_id", "users", t.users, "id"),
-                      ("bookings", "schedule_id", "schedules", t.schedules, "id"),
-                      ("bookings_after_purge", "user_id", "active users", active, "id")]),
-        (t.schedules, [("schedules", "route_id", "routes", t.routes, "id")]),
-        (t.routes, [("routes", "from_station_id", "stations", t.stations, "id"),
-                    ("routes", "to_station_id", "stations", t.stations, "id")]),
-        (t.user_permissions, [("user_permissions", "user_id", "users", t.users, "id")])])
+    """DQ2: child keys without a parent, for every declared foreign key."""
+    return Q.declared_foreign_keys(_tables(t))
+
+
+@query("dq_foreign_keys_after_purge", _fk_sql("(SELECT * FROM users WHERE status = 'active')"))
+def dq_foreign_keys_after_purge(t):
+    """DQ2: the rows that deleting all users who are not active would orphan."""
+    return Q.declared_foreign_keys(_tables(t) | {"users": t.users.where(F.col("status") == "active")})
 
 
 @query("fk_cascade_permissions", """
@@ -85,47 +91,68 @@ def fk_restrict_bookings(t):
                  F.countDistinct("user_id").alias("blocked_users"))
 
 
-@query("dq_domains", """
-SELECT 'domain' AS "check", 'users' AS table_name, 'role' AS column_name, role AS value, COUNT(*) AS rows FROM users
-WHERE role NOT IN ('admin', 'staff', 'passenger') GROUP BY role
-UNION ALL SELECT 'domain', 'users', 'status', status, COUNT(*) FROM users WHERE status NOT IN ('active', 'inactive', 'pending') GROUP BY status
-UNION ALL SELECT 'domain', 'schedules', 'class', class, COUNT(*) FROM schedules WHERE class NOT IN ('First Class', 'Economy', 'Student') GROUP BY class
-UNION ALL SELECT 'domain', 'schedules', 'status', status, COUNT(*) FROM schedules WHERE status NOT IN ('scheduled', 'active', 'delayed', 'cancelled') GROUP BY status
-UNION ALL SELECT 'domain', 'bookings', 'payment_method', payment_method, COUNT(*) FROM bookings WHERE payment_method NOT IN ('mada', 'visa', 'mastercard', 'apple_pay', 'cash') GROUP BY 4
-UNION ALL SELECT 'domain', 'bookings', 'payment_status', payment_status, COUNT(*) FROM bookings WHERE payment_status NOT IN ('pending', 'paid', 'refunded', 'failed') GROUP BY 4
-UNION ALL SELECT 'domain', 'bookings', 'booking_status', booking_status, COUNT(*) FROM bookings WHERE booking_status NOT IN ('confirmed', 'completed', 'cancelled', 'pending') GROUP BY 4
-UNION ALL SELECT 'domain', 'events', 'event_type', event_type, COUNT(*) FROM events WHERE event_type NOT IN ('view', 'click', 'purchase') GROUP BY 4
-""")
+@query("dq_domains", _each(
+    f"""SELECT 'domain' AS "check", '{n}' AS table_name, '{c}' AS column_name, {c} AS value, count(*) AS rows
+        FROM {n} WHERE {c} NOT IN ({_listed(domain)}) GROUP BY {c}"""
+    for n, cols in DOMAINS.items() for c, domain in cols.items() if c in _COLUMNS.get(n, ())))
 def dq_domains(t):
-    """DQ3: values outside the declared enum domains (events checked against a
-    narrower domain to show violations)."""
-    return Q.union_all([
-        Q.domain_violations(t.users, "users", {k: v for k, v in DOMAINS["users"].items()
-                                               if k in ("role", "status")}),
-        Q.domain_violations(t.schedules, "schedules", DOMAINS["schedules"]),
-        Q.domain_violations(t.bookings, "bookings", DOMAINS["bookings"]),
-        Q.domain_violations(t.events, "events", {"event_type": ("view", "click", "purchase")})])
-
-
-@query("dq_nulls_lengths", """
-SELECT 'not_null' AS "check", 'users' AS table_name, 'email' AS column_name, CAST(NULL AS VARCHAR) AS value, COUNT(*) - COUNT(email) AS rows FROM users
-UNION ALL SELECT 'not_null', 'users', 'phone', NULL, COUNT(*) - COUNT(phone) FROM users
-UNION ALL SELECT 'not_null', 'users', 'national_id', NULL, COUNT(*) - COUNT(national_id) FROM users
-UNION ALL SELECT 'max_length', 'users', 'email', '255', COUNT(CASE WHEN length(email) > 255 THEN 1 END) FROM users
-UNION ALL SELECT 'max_length', 'users', 'last_name', '15', COUNT(CASE WHEN length(last_name) > 15 THEN 1 END) FROM users
-UNION ALL SELECT 'not_null', 'bookings', 'seat_number', NULL, COUNT(*) - COUNT(seat_number) FROM bookings
-UNION ALL SELECT 'max_length', 'bookings', 'booking_ref', '20', COUNT(CASE WHEN length(booking_ref) > 20 THEN 1 END) FROM bookings
-UNION ALL SELECT 'max_length', 'bookings', 'seat_number', '10', COUNT(CASE WHEN length(seat_number) > 10 THEN 1 END) FROM bookings
-""")
+    """DQ3: values outside every declared enum domain."""
+    return Q.declared_domains(_tables(t))
+
+
+@query("dq_nulls_lengths", _each(
+    [f"""SELECT 'not_null' AS "check", '{n}' AS table_name, '{c}' AS column_name, CAST(NULL AS VARCHAR) AS value,
+                count(*) FILTER ({c} IS NULL) AS rows FROM {n}"""
+     for n, cols in NOT_NULL.items() for c in cols if c in _COLUMNS.get(n, ())]
+    + [f"SELECT 'max_length', '{n}', '{c}', '{most}', count(*) FILTER (length({c}) > {most}) FROM {n}"
+       for n, cols in MAX_LENGTH.items() for c, most in cols.items() if c in _COLUMNS.get(n, ())]))
 def dq_nulls_lengths(t):
-    """DQ4: NULLs in NOT NULL columns (phone/national_id shown as nullable
-    contrast) and over-long strings (last_name against a 15-char limit)."""
-    return Q.union_all([
-        Q.null_and_length(t.users, "users", ["email", "phone", "national_id"],
-                          {"email": MAX_LENGTH["users"]["email"], "last_name": 15}),
-        Q.null_and_length(t.bookings, "bookings", ["seat_number"],
-                          {"booking_ref": MAX_LENGTH["bookings"]["booking_ref"],
-                           "seat_number": MAX_LENGTH["bookings"]["seat_number"]})])
+    """DQ4: NULLs in NOT NULL columns and over-long strings, for every declared one."""
+    return Q.declared_nulls_lengths(_tables(t))
+
+
+def _broken(key, rules):
+    return "SELECT %s, field, 'Invalid value' AS message FROM (%s)" % (key, " UNION ALL ".join(
+        f"SELECT {key}, '{field}' AS field FROM rows WHERE NOT coalesce({ok}, false)" for field, ok in rules))
+
+
+@query("dq_route_rules", """
+, rows AS (SELECT s_suppkey AS id, if(s_suppkey % 9 = 0, '', concat('NR-', CAST(s_suppkey AS VARCHAR))) AS route_code,
+                  s_nationkey AS from_station_id, s_nationkey + 1 AS to_station_id, CAST(s_suppkey % 5 AS DECIMAL(8,2)) AS distance_km,
+                  CAST(s_suppkey % 4 AS INT) AS duration_minutes, CAST(s_acctbal AS DECIMAL(10,2)) AS price_first_class,
+                  CAST(s_acctbal AS DECIMAL(10,2)) AS price_economy, CAST(NULL AS DECIMAL(10,2)) AS price_student FROM supplier)
+""" + _broken("id", [("routeCode", "length(route_code) BETWEEN 1 AND 20"), ("fromStationId", "from_station_id >= 1"),
+                     ("toStationId", "to_station_id >= 1"), ("distanceKm", "distance_km >= 1"),
+                     ("durationMinutes", "duration_minutes >= 1"), ("priceFirstClass", "price_first_class >= 0"),
+                     ("priceEconomy", "price_economy >= 0"), ("priceStudent", "price_student >= 0")]))
+def dq_route_rules(t):
+    """DQ5: validator rules on new routes."""
+    return Q.validate(RQ.route_rows(t), "id", Q.route_rules())
+
+
+@query("dq_user_rules", """
+, rows AS (SELECT event_id AS id, if(event_type = 'click', 'no address', concat('u', CAST(user_id AS VARCHAR), '@example.com')) AS email,
+                  left(concat('pw', CAST(event_id AS VARCHAR)), 5 + event_id % 3) AS password, if(event_type = 'error', '', 'New') AS first_name,
+                  'User' AS last_name, if(event_type = 'view', 'guest', 'staff') AS role,
+                  if(event_id % 2 = 0, concat('+9665', CAST(10000000 + event_id AS VARCHAR)), 'none') AS phone,
+                  if(event_id % 3 = 0, NULL, left(CAST(10000000000 + event_id AS VARCHAR), 9 + event_id % 2)) AS national_id FROM events)
+""" + _broken("id", [("email", "regexp_matches(email, '^[^@[:space:]]+@[^@[:space:].]+([.][^@[:space:].]+)+$')"),
+                     ("password", "length(password) >= 6"), ("firstName", "length(first_name) BETWEEN 1 AND 100"),
+                     ("lastName", "length(last_name) BETWEEN 1 AND 100"), ("role", f"role IN ({_listed(ROLES)})"),
+                     ("phone", "phone IS NULL OR regexp_matches(phone, '^[+]?[0-9]{7,15}$')"),
+                     ("nationalId", "national_id IS NULL OR length(national_id) = 10")]))
+def dq_user_rules(t):
+    """DQ5: validator rules on new users."""
+    return Q.validate(RQ.user_rows(t), "id", Q.user_rules())
+
+
+@query("dq_patch_rules", """
+, rows AS (SELECT event_id AS id, if(event_type = 'error', 'lost', NULL) AS status FROM events)
+""" + _broken("id", [("status", f"status IS NULL OR status IN ({_listed(SCHEDULE_STATUSES)})")]))
+def dq_patch_rules(t):
+    """DQ5: validator rules on schedule patches."""
+    rows = t.events.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "lost").alias("status"))
+    return Q.validate(rows, "id", Q.schedule_patch_rules())
 
 
 @query("dq_request_rules", """
