@@ -6,11 +6,11 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 from tools.oracle_check import TABLES, canon
+from trackyard.plans.registry import load_all
 
-NAMES = sorted(E.queries())
+REGISTRY = load_all()
+NAMES = sorted(REGISTRY)
 SQL = E.oracle_sql()
-# queries SQL cannot state (hash-based references); checked by brute force below
-NO_ORACLE = {"new_booking_codes"}
 
 
 @pytest.fixture(scope="module")
@@ -22,14 +22,12 @@ def duck():
 
 
 def test_registry_has_oracles():
-    missing = [n for n in NAMES if n not in SQL]
-    assert len(NAMES) >= 87
-    assert sorted(missing) == sorted(NO_ORACLE)
+    assert len(NAMES) >= 87 and not [n for n in NAMES if n not in SQL]
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n not in NO_ORACLE])
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = REGISTRY[name].build(spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
     cur = duck.execute(SQL[name])
     dcols = [d[0] for d in cur.description]
@@ -47,27 +45,13 @@ def test_entry_smoke(spark):
                           "total_revenue", "avg_load_pct"]
 
 
-def test_new_booking_codes_brute_force(spark):
-    from trackyard.functions.expr import BOOKING_REF_ALPHABET
-    from trackyard.sources.tables import rail
-    rows = E.queries()["new_booking_codes"](spark, SF_SMALL).collect()
-    stored = {r.booking_ref for r in rail(spark, SF_SMALL).bookings.select("booking_ref").collect()}
-    refs = [r.booking_ref for r in rows]
-    assert len(refs) == len(set(refs)) and not (set(refs) & stored)
-    assert all(r.startswith("BK-") and len(r) == 8 and set(r[3:]) <= set(BOOKING_REF_ALPHABET)
-               for r in refs)
-    assert all(r.qr_ref.startswith("RWSA-") for r in rows)
-    seat = E.queries()["seat_admission_counts"](spark, SF_SMALL).collect()
-    assert len(rows) == sum(r.requests for r in seat if r.outcome == "accepted")
-
-
 @pytest.mark.parametrize("name", ["stream_revenue_daily", "stream_rate_limit", "activity_by_shift",
                                   "revenue_daily_refresh", "live_sessions", "seat_admission"])
 def test_results_do_not_depend_on_session_time_zone(spark, duck, name):
     old = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
     try:
-        df = E.queries()[name](spark, SF_SMALL)
+        df = REGISTRY[name].build(spark, SF_SMALL)
         rows = [tuple(r) for r in df.collect()]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)

@@ -149,6 +149,51 @@ def test_insert_ignore(spark):
         [(5, "ignored"), (6, "ignored"), (7, "inserted")]
 
 
+def test_insert_ignore_null_keys_and_several_unique_keys(spark):
+    target = spark.createDataFrame([("a@x", "n1"), (None, None)], "email string, nid string")
+    rows = [("b@x", None, 1), (None, None, 2), (None, None, 3), ("c@x", "n1", 4), ("d@x", "n2", 5),
+            ("d@x", "n3", 6), ("e@x", "n3", 7), ("f@x", "n3", 8), ("a@x", "n9", 9), ("g@x", "n9", 10)]
+    emails, nids, want = {"a@x"}, {"n1"}, {}
+    for e, n, k in rows:                      # one by one, as the database does
+        ok = e not in emails and n not in nids
+        want[k] = "inserted" if ok else "ignored"
+        if ok:
+            emails |= {e} - {None}
+            nids |= {n} - {None}
+    m = MU.insert_ignore(target, spark.createDataFrame(rows, "email string, nid string, ts int"),
+                         ["email", "nid"], ["ts"])
+    assert {r.ts: r.outcome for r in m.outcomes.collect()} == want
+    assert m.table.count() == 2 + sum(v == "inserted" for v in want.values())
+    one = MU.insert_ignore(target, spark.createDataFrame(rows, "email string, nid string, ts int"),
+                           ["email"], ["ts"])
+    got = {r.ts: r.outcome for r in one.outcomes.collect()}
+    assert got[2] == got[3] == "inserted" and got[9] == "ignored" and got[6] == "ignored"
+
+
+def test_cancel_on_the_declared_schema(spark):
+    b = spark.createDataFrame(
+        [("B1", 1, 10, "confirmed", "paid", None, None), ("B2", 2, 10, "confirmed", "paid", None, None),
+         ("B3", 3, 11, "cancelled", "refunded", T0, "old")],
+        "booking_ref string, user_id long, schedule_id long, booking_status string, "
+        "payment_status string, cancelled_at timestamp_ntz, cancel_reason string")
+    day = dt.timedelta(1)
+    r = spark.createDataFrame(
+        [("r1", "B1", T0, "mine", 2, "passenger"), ("r2", "B1", T0 + day, "own", 1, "passenger"),
+         ("r3", "B1", T0 + 2 * day, "late", 9, "staff"), ("r4", "B2", T0, "", 9, "admin"),
+         ("r5", "B3", T0, "x", 1, "passenger"), ("r6", "B3", T0, "x", 3, "passenger"),
+         ("r7", "B9", T0, "x", 3, "passenger")],
+        "request_id string, booking_ref string, ts timestamp_ntz, reason string, actor_id long, actor_role string")
+    c = MU.cancel_bookings(b, r)
+    assert {x.request_id: x.outcome for x in c.outcomes.collect()} == {
+        "r1": "access_denied", "r2": "cancelled", "r3": "already_cancelled", "r4": "cancelled",
+        "r5": "access_denied", "r6": "already_cancelled", "r7": "not_found"}
+    t = {x.booking_ref: (x.booking_status, x.payment_status, x.cancelled_at, x.cancel_reason)
+         for x in c.table.collect()}
+    assert c.table.columns == b.columns
+    assert t == {"B1": ("cancelled", "refunded", T0 + day, "own"), "B2": ("cancelled", "refunded", T0, None),
+                 "B3": ("cancelled", "refunded", T0, "old")}
+
+
 def test_cancel_state_machine(spark):
     b = spark.createDataFrame(
         [("B1", 1, 10, "1A", Decimal("5.00"), "mada", "paid", "confirmed", T0),
@@ -234,6 +279,19 @@ def test_assign_booking_refs_unique(spark):
     assert out.where(F.col("ref_attempts") > 1).count() >= 50
 
 
+def test_booking_refs_run_out_and_spread(spark):
+    """A row without a free reference is refused; symbols are drawn evenly."""
+    rows = spark.range(3000).select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("request_id"))
+    got = MU.assign_booking_refs(rows, rows.limit(0).withColumnRenamed("request_id", "booking_ref"),
+                                 attempts=4, length=2).collect()
+    refs = [r.booking_ref for r in got if r.booking_ref is not None]
+    assert len(got) == 3000 and len(refs) == len(set(refs)) <= 1024
+    assert all(r.ref_attempts is None for r in got if r.booking_ref is None)
+    first = (spark.range(64000).select(F.substring(X.booking_ref(F.col("id").cast("string"), F.lit(0)), 4, 1)
+                                       .alias("c")).groupBy("c").count().collect())
+    assert len(first) == 32 and all(1600 < r["count"] < 2400 for r in first)
+
+
 def test_route_performance_equals_direct_fan_out(spark):
     """AGG6: the pre-aggregated form equals the source's join-then-AVG form."""
     from trackyard.operators import metrics as M

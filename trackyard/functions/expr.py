@@ -106,7 +106,7 @@ def seat_label(i) -> Column:
 
 # Seat labels compare case- and trailing-space-insensitively in the database.
 def seat_key(seat) -> Column:
-    return F.upper(F.trim(c(seat)))
+    return F.upper(F.rtrim(c(seat)))
 
 
 # SC4/FLT10: the trailing window start, N days before ``as_of`` (N+1 days incl. today).
@@ -136,11 +136,12 @@ def qr_ref(ts) -> Column:
 
 # SC8: deterministic booking reference: BOOKING_REF_LEN base-32 digits of
 # xxhash64(key, attempt).  Collisions are re-salted by mutate.assign_booking_refs.
-def booking_ref(key, attempt) -> Column:
-    h = F.xxhash64(c(key), c(attempt))
+# A hash gives 12 symbols; longer references take a further hash.
+def booking_ref(key, attempt, length: int = BOOKING_REF_LEN) -> Column:
     digits = [F.substring(F.lit(BOOKING_REF_ALPHABET),
-                          (F.shiftrightunsigned(h, 5 * i) % 32 + 1).cast("int"), 1)
-              for i in range(BOOKING_REF_LEN)]
+                          (F.pmod(F.shiftrightunsigned(F.xxhash64(c(key), c(attempt), F.lit(i // 12)),
+                                                       5 * (i % 12)), F.lit(32)) + 1).cast("int"), 1)
+              for i in range(length)]
     return F.concat(F.lit(BOOKING_REF_PREFIX), *digits)
 
 
@@ -181,6 +182,12 @@ def cancellation_subject(ref) -> Column:
     return fill_template(MAIL_CANCELLATION_SUBJECT, ref=ref)
 
 
+def notices(rows, sms: Column, mail: Column, keep: list[str]):
+    """One row per message whose channel is known: both are built in one pass over ``rows``."""
+    return (rows.select(*keep, F.explode(F.array(sms, mail)).alias("_n"))
+            .where(F.col("_n.channel").isNotNull()).select(*keep, "_n.*"))
+
+
 # SC12: localised station name with fallback to the key; arrow by language.
 def route_label(from_name, to_name, lang: str = "en") -> Column:
     return F.concat(c(from_name), F.lit(f" {ROUTE_ARROW[lang]} "), c(to_name))
@@ -258,8 +265,3 @@ def normalize_email(e) -> Column:
 
 def sign_on_email(national_id) -> Column:
     return F.concat(c(national_id), F.lit(SIGN_ON_EMAIL_DOMAIN))
-
-
-# SC21: row as JSON text.
-def row_json(*cols) -> Column:
-    return F.to_json(F.struct(*[c(x) for x in cols]))

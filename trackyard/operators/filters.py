@@ -65,26 +65,11 @@ def bool_filter(df: DataFrame, col: str, raw: str | None) -> DataFrame:
     return df.where(F.col(col) == F.lit(1 if raw == "true" else 0))
 
 
-# FLT7
-def status_in(df: DataFrame, col: str, values: Sequence[str], negate: bool = False) -> DataFrame:
-    cond = F.col(col).isin(*values)
-    return df.where(~cond if negate else cond)
-
-
-# FLT8 / FLT9 / FLT10
-def on_day(df: DataFrame, col: str, as_of: dt.date) -> DataFrame:
-    return df.where(F.to_date(F.col(col)) == F.lit(as_of))
-
-
+# FLT9 (FLT7, FLT8 and FLT10 are plain predicates in the operators that use them)
 def upcoming(df: DataFrame, as_of: dt.date, col: str = "travel_date") -> DataFrame:
     return df.where(F.col(col) >= F.lit(as_of))
 
 
-def trailing_days(df: DataFrame, col: str, as_of: dt.date, n: int) -> DataFrame:
-    """Rows with ``col >= as_of - n days`` (n+1 calendar days incl. today, no upper bound)."""
-    return df.where(F.col(col) >= F.date_sub(F.lit(as_of), n).cast("timestamp_ntz"))
-
-
 # FLT11: passengers see only their own rows; other roles see all.
 def visible_to(df: DataFrame, viewer_id: int, viewer_role: str, owner_col: str = "user_id") -> DataFrame:
     return df.where(F.col(owner_col) == F.lit(viewer_id)) if viewer_role == "passenger" else df

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackyard.functions import expr as X
-from trackyard.operators.mutate import upsert
 
 
 # MAT1
@@ -34,12 +33,14 @@ def revenue_daily(bookings: DataFrame, cancel_ts: str = "cancelled_at") -> DataF
         F.coalesce("_ref", F.lit(0)).cast("decimal(14,2)").alias("refunded"))
 
 
-def refresh_revenue_daily(existing: DataFrame, bookings: DataFrame) -> DataFrame:
-    """Idempotent refresh: recomputed days replace stored ones, others stay."""
-    fresh = revenue_daily(bookings)
-    return upsert(existing, fresh, ["report_date"],
-                  ["total_revenue", "total_bookings", "cancelled", "refunded"],
-                  ["report_date"])
+def refresh_revenue_daily(existing: DataFrame, bookings: DataFrame, days: DataFrame) -> DataFrame:
+    """Idempotent refresh of the given days (column report_date) from the full
+    bookings: those days are recomputed from all bookings created or cancelled
+    on them and replace the stored rows; other days stay."""
+    d = days.select("report_date").distinct()
+    fresh = revenue_daily(bookings).join(d, "report_date", "left_semi")
+    kept = existing.join(d, "report_date", "left_anti")
+    return kept.unionByName(fresh.select(*existing.columns))
 
 
 # MAT2

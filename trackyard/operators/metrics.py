@@ -224,16 +224,21 @@ def booking_summary(bookings: DataFrame) -> DataFrame:
 
 # AGG11
 def passenger_summary(bookings: DataFrame, schedules: DataFrame, as_of: dt.date) -> DataFrame:
-    """Per passenger: bookings not cancelled, confirmed, upcoming confirmed, spent."""
-    s = schedules.select(F.col("id").alias("_sid"), "travel_date")
-    b = bookings.join(s, bookings.schedule_id == s["_sid"], "left")
+    """Per passenger: bookings not cancelled, confirmed, upcoming confirmed, spent.
+
+    Bookings are aggregated per user without a join; only confirmed ones meet
+    the schedules on or after ``as_of``, for the upcoming count."""
     st = F.col("booking_status")
-    return b.groupBy("user_id").agg(
-        _cnt(st != "cancelled").alias("total"),
-        _cnt(st == "confirmed").alias("confirmed"),
-        _cnt((st == "confirmed") & (F.col("travel_date") >= F.lit(as_of))).alias("upcoming"),
+    mine = bookings.groupBy("user_id").agg(
+        _cnt(st != "cancelled").alias("total"), _cnt(st == "confirmed").alias("confirmed"),
         F.coalesce(F.sum(F.when(F.col("payment_status") == "paid", F.col("amount_paid"))),
                    F.lit(0)).cast("double").alias("spent"))
+    ahead = schedules.where(F.col("travel_date") >= F.lit(as_of)).select(F.col("id").alias("_sid"))
+    b = bookings.where(st == "confirmed").select(F.col("user_id").alias("_uid"), "schedule_id")
+    up = (b.join(ahead, b.schedule_id == ahead["_sid"]).groupBy("_uid")
+          .agg(F.count(F.lit(1)).alias("_up")))
+    j = mine.join(up, mine.user_id.eqNullSafe(up["_uid"]), "left")
+    return j.select("user_id", "total", "confirmed", F.coalesce("_up", F.lit(0)).cast("bigint").alias("upcoming"), "spent")
 
 
 # AGG12
@@ -285,6 +290,7 @@ def departure_board(schedule_view_df: DataFrame, as_of: dt.date, n: int = 5) ->
         "id", "departure_time", "train_id", "from_name_en", "to_name_en", "status",
         X.route_label("from_name_en", "to_name_en").alias("route_label"),
         X.delay_label("status", "delay_minutes").alias("status_label"),
+        X.train_status_label("status", "ar").alias("status_ar"),
     ).orderBy("departure_time", "id").limit(n)
 
 
@@ -308,6 +314,11 @@ def activity_feed(bookings: DataFrame, schedules: DataFrame, users: DataFrame,
                          F.when(F.col("booking_status") == "cancelled", "booking_cancelled")
                           .otherwise("booking_created").alias("kind"),
                          F.col("booking_ref").alias("ref"))
+    if "cancelled_at" in bookings.columns:      # a cancellation counts at its own time
+        bk = bk.withColumn("kind", F.lit("booking_created")).unionByName(
+            bookings.where(F.col("cancelled_at").isNotNull()).select(
+                F.col("cancelled_at").alias("ts"), F.lit("booking_cancelled").alias("kind"),
+                F.col("booking_ref").alias("ref")))
     sc = (schedules.where(F.col("status").isin("delayed", "cancelled"))
           .select(F.col("travel_date").cast("timestamp_ntz").alias("ts"),
                   F.concat(F.lit("schedule_"), F.col("status")).alias("kind"),

@@ -63,21 +63,79 @@ def append_schedules(schedules: DataFrame, routes: DataFrame, rows: DataFrame) -
     return Mutation(table, outcomes)
 
 
-# SNK2 (+SNK3): INSERT IGNORE -- rows whose unique key exists are skipped;
-# among new rows with one key the first by ``order`` (a total order) wins.
-def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str],
+def append_routes(routes: DataFrame, rows: DataFrame, order: Sequence[Column | str]) -> Mutation:
+    """New routes (DQ9): both ends must differ ('same_station') and the route
+    code be unused, also by an earlier row ('route_code_exists')."""
+    same = F.col("from_station_id") == F.col("to_station_id")
+    ins = insert_ignore(routes.select("route_code"), rows.where(~same), ["route_code"], order).outcomes
+    created = ins.where(F.col("outcome") == "inserted").drop("outcome")
+    outcomes = (rows.where(same).select("id", "route_code", F.lit("same_station").alias("outcome"))
+                .unionByName(ins.select("id", "route_code", F.when(F.col("outcome") == "inserted", "created")
+                                        .otherwise("route_code_exists").alias("outcome"))))
+    return Mutation(append(routes, created, {"active": F.lit(1)}), outcomes)
+
+
+# SNK2 (+SNK3): INSERT IGNORE -- a row that meets a stored row, or an earlier
+# inserted row, in any unique key is skipped; a key with a NULL meets nothing.
+def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str | Sequence[str]],
                   order: Sequence[Column | str]) -> Mutation:
-    keys = list(keys)
+    """``keys``: the unique keys, each a column or several; ``order`` is total.
+
+    With one unique key the first row of each key value is inserted.  With
+    several, rounds of the same rule are needed (a row may be skipped
+    because of a row that is itself skipped): in each round the rows that
+    come first in all their keys are inserted and the rows that meet them
+    are ignored.  Each round's undecided rows are checkpointed.
+    """
+    uniques = [(k,) if isinstance(k, str) else tuple(k) for k in keys]
     ordk = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    firsts = rows.groupBy(*keys).agg(F.min(ordk).alias("_first"))
-    fresh = _key_join(firsts, target.select(*keys), keys, "left_anti")
-    j = _key_join(rows.withColumn("_ord", ordk), fresh, keys, "left")
-    ins = F.col("_first").isNotNull() & (F.col("_ord") == F.col("_first"))
-    outcomes = j.select(*[rows[c] for c in rows.columns],
-                        F.when(ins, "inserted").otherwise("ignored").alias("outcome"))
-    new = j.where(ins).select(*[F.col(c) for c in target.columns if c in rows.columns])
-    table = target.unionByName(new, allowMissingColumns=True)
-    return Mutation(table, outcomes)
+    left = rows.withColumn("_ord", ordk).withColumn("_met", F.lit(False))
+    for u in uniques:
+        left = _meet(left, target.where(_filled(u)).select(*u).distinct(), u)
+    done = left.where("_met").withColumn("_in", F.lit(False))
+    left = left.where("not _met")
+    while True:
+        for n, u in enumerate(uniques):
+            firsts = left.where(_filled(u)).groupBy(*[F.col(k).alias(f"_k_{k}") for k in u]).agg(
+                F.min("_ord").alias(f"_first{n}"))
+            left = left.join(firsts, [left[k] == firsts[f"_k_{k}"] for k in u], "left") \
+                .drop(*[f"_k_{k}" for k in u])
+        first = F.lit(True)
+        for n, u in enumerate(uniques):
+            first = first & (~_filled(u) | (F.col("_ord") == F.col(f"_first{n}")))
+        left = left.withColumn("_in", first).drop(*[f"_first{n}" for n in range(len(uniques))])
+        if len(uniques) == 1:
+            done = done.unionByName(left)
+            break
+        left = left.checkpoint(eager=True)
+        won = left.where("_in")
+        done = done.unionByName(won)
+        left = left.where("not _in")
+        for u in uniques:
+            left = _meet(left, won.where(_filled(u)).select(*u).distinct(), u)
+        done = done.unionByName(left.where("_met"))
+        left = left.where("not _met").drop("_in")
+        if left.isEmpty():
+            break
+    outcomes = done.select(*rows.columns, F.when(F.col("_in"), "inserted").otherwise("ignored")
+                           .alias("outcome"))
+    new = done.where("_in").select(*[c for c in target.columns if c in rows.columns])
+    return Mutation(target.unionByName(new, allowMissingColumns=True), outcomes)
+
+
+def _filled(cols: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).isNotNull()
+    return cond
+
+
+def _meet(rows: DataFrame, taken: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Set ``_met`` where the row's key is among the distinct ``taken`` keys."""
+    t = taken.select(*[F.col(c).alias(f"_t_{c}") for c in cols]).withColumn("_hit", F.lit(True))
+    j = rows.join(t, [rows[c] == t[f"_t_{c}"] for c in cols], "left")
+    return j.withColumn("_met", F.col("_met") | F.col("_hit").isNotNull()) \
+        .drop("_hit", *[f"_t_{c}" for c in cols])
 
 
 # SNK4: upsert (ON DUPLICATE KEY UPDATE cols); last row per key by ``order`` wins.
@@ -213,11 +271,12 @@ def delete_schedules(schedules: DataFrame, bookings: DataFrame, ids: DataFrame)
     """Outcome per requested id: not_found; has_active_bookings (a booking
     whose status is not cancelled); fk_restricted (only cancelled bookings --
     the foreign key without cascade still blocks); deleted."""
-    per = bookings.groupBy(F.col("schedule_id").alias("_bs")).agg(
-        F.count(F.when(F.col("booking_status") != "cancelled", 1)).alias("_active"),
-        F.count(F.lit(1)).alias("_any"))
     s = schedules.select(F.col("id").alias("_sid"))
     req = ids.select(F.col("id")).distinct()
+    asked = bookings.join(req, bookings.schedule_id == req.id, "left_semi")
+    per = asked.groupBy(F.col("schedule_id").alias("_bs")).agg(
+        F.count(F.when(F.col("booking_status") != "cancelled", 1)).alias("_active"),
+        F.count(F.lit(1)).alias("_any"))
     j = req.join(s, req.id == s["_sid"], "left").join(per, req.id == per["_bs"], "left")
     outcome = (F.when(F.col("_sid").isNull(), "not_found")
                .when(F.coalesce(F.col("_active"), F.lit(0)) > 0, "has_active_bookings")
@@ -273,49 +332,63 @@ class Cancellation(NamedTuple):
 
 # SNK12: cancel transition.
 def cancel_bookings(bookings: DataFrame, requests: DataFrame) -> Cancellation:
-    """requests: (request_id, booking_ref, ts, reason).
+    """requests: (request_id, booking_ref, ts, reason[, actor_id, actor_role]).
 
     Per request, in (ts, request_id) order per reference: not_found;
-    already_cancelled; completed (refused); else cancelled -- status
-    'cancelled', payment 'refunded', cancelled_at = request ts, reason
-    (empty -> NULL) -- and the trip gets one seat back.  Only the first
-    live request of a reference cancels; later ones see it cancelled.
+    access_denied (a passenger who does not own the booking; only with the
+    actor columns); already_cancelled; refused_completed; else cancelled --
+    status 'cancelled', payment 'refunded', cancelled_at = request ts,
+    cancel_reason = reason (empty -> NULL) -- and the trip gets one seat
+    back.  Only the first permitted request of a live reference cancels;
+    later ones see it cancelled.
+
+    The new snapshot takes one row per booking from the requests, which are
+    reduced to the first per reference (and actor) before the join.
     """
-    ordk = F.struct("ts", "request_id")
-    first = requests.groupBy(F.col("booking_ref").alias("_fr")).agg(
-        F.min(ordk).alias("_first"))
-    b = bookings.select(F.col("booking_ref").alias("_bref"), F.col("booking_status").alias("_bst"),
-                        F.col("schedule_id").alias("_bsid"))
-    j = (requests.join(b, requests.booking_ref == b["_bref"], "left")
-         .join(first, requests.booking_ref == first["_fr"], "left"))
-    is_first = (F.col("_first.ts") == F.col("ts")) & (F.col("_first.request_id") == F.col("request_id"))
-    outcome = (F.when(F.col("_bref").isNull(), "not_found")
-               .when(F.col("_bst") == "cancelled", "already_cancelled")
+    acts = "actor_id" in requests.columns
+    ask = F.struct("ts", "request_id", X.empty_to_null("reason").alias("reason"))
+    if acts:
+        free = requests.where(~F.col("actor_role").eqNullSafe(F.lit("passenger")))
+        own = requests.where(F.col("actor_role") == "passenger").groupBy(
+            F.col("booking_ref").alias("_oref"), F.col("actor_id").alias("_owner")).agg(
+            F.min(ask).alias("_own"))
+    else:
+        free = requests
+    anyone = free.groupBy(F.col("booking_ref").alias("_fref")).agg(F.min(ask).alias("_any"))
+    marked = bookings.join(anyone, bookings.booking_ref == anyone["_fref"], "left").drop("_fref")
+    first = F.col("_any")
+    if acts:
+        marked = marked.join(own, (marked.booking_ref == own["_oref"])
+                             & (marked.user_id == own["_owner"]), "left").drop("_oref", "_owner")
+        first = F.least(F.col("_any"), F.col("_own"))
+    live = ~F.col("booking_status").isin("cancelled", "completed")
+    marked = marked.withColumn("_by", F.when(live, first)).drop("_any", "_own")
+
+    hit = F.col("_by").isNotNull()
+    new = {"booking_status": F.lit("cancelled"), "payment_status": F.lit("refunded"),
+           "cancelled_at": F.col("_by.ts"), "cancel_reason": F.col("_by.reason")}
+    table = marked.select(
+        *[F.when(hit, new[c]).otherwise(F.col(c)).cast(bookings.schema[c].dataType).alias(c)
+          if c in new else F.col(c) for c in bookings.columns],
+        *[F.when(hit, new[c]).alias(c) for c in ("cancelled_at", "cancel_reason")
+          if c not in bookings.columns])
+
+    b = marked.select(F.col("booking_ref").alias("_bref"), F.col("booking_status").alias("_bst"),
+                      F.col("schedule_id").alias("_bsid"), F.struct("_by.ts", "_by.request_id").alias("_by_id"),
+                      *([F.col("user_id").alias("_buser")] if acts else []))
+    j = requests.join(b, requests.booking_ref == b["_bref"], "left")
+    outcome = F.when(F.col("_bref").isNull(), "not_found")
+    if acts:
+        outcome = outcome.when((F.col("actor_role") == "passenger")
+                               & ~F.col("actor_id").eqNullSafe(F.col("_buser")), "access_denied")
+    outcome = (outcome.when(F.col("_bst") == "cancelled", "already_cancelled")
                .when(F.col("_bst") == "completed", "refused_completed")
-               .when(is_first, "cancelled")
+               .when(F.col("_by_id") == F.struct("ts", "request_id"), "cancelled")
                .otherwise("already_cancelled"))
-    o = j.select("request_id", "booking_ref", "ts", "reason", F.col("_bsid").alias("schedule_id"),
-                 outcome.alias("outcome"))
-    done = o.where(F.col("outcome") == "cancelled")
-    applied = done.select(F.col("booking_ref").alias("_cref"), F.col("ts").alias("_cts"),
-                          X.empty_to_null("reason").alias("_creason"))
-    t = bookings.join(applied, bookings.booking_ref == applied["_cref"], "left")
-    hit = F.col("_cref").isNotNull()
-    cols = []
-    for c in bookings.columns:
-        if c == "booking_status":
-            cols.append(F.when(hit, F.lit("cancelled")).otherwise(F.col(c)).alias(c))
-        elif c == "payment_status":
-            cols.append(F.when(hit, F.lit("refunded")).otherwise(F.col(c)).alias(c))
-        else:
-            cols.append(bookings[c])
-    extra = []
-    if "cancelled_at" not in bookings.columns:
-        extra.append(F.when(hit, F.col("_cts")).alias("cancelled_at"))
-        extra.append(F.when(hit, F.col("_creason")).alias("cancel_reason"))
-    table = t.select(*cols, *extra)
-    deltas = done.groupBy("schedule_id").agg(F.count(F.lit(1)).alias("delta"))
-    return Cancellation(table, o.drop("reason"), deltas)
+    outcomes = j.select("request_id", "booking_ref", "ts", F.col("_bsid").alias("schedule_id"),
+                        outcome.alias("outcome"))
+    deltas = marked.where(hit).groupBy("schedule_id").agg(F.count(F.lit(1)).alias("delta"))
+    return Cancellation(table, outcomes, deltas)
 
 
 # SNK13
@@ -327,62 +400,57 @@ def purge_expired(tokens: DataFrame, as_of_ts) -> DataFrame:
     return tokens.where(F.col("expires_at") > X.ntz(as_of_ts))
 
 
-# SC8: booking references with collision re-salting (at most ``attempts`` tries).
-BROADCAST_MAX_ROWS = 2_000_000   # pending rows small enough to broadcast (checked count)
-
-
+# SC8: booking references; a row may try ``attempts`` times.
 def assign_booking_refs(rows: DataFrame, existing: DataFrame, key: str = "request_id",
-                        attempts: int = 10) -> DataFrame:
-    """Give every row a reference 'BK-' + 5 symbols of the 32-symbol alphabet.
-
-    Try ``attempt`` = 0, 1, ...: a row keeps its reference when no stored
-    booking has it and it is the smallest key among new rows drawing it;
-    the rest draw again.  After ``attempts`` tries a row keeps its last draw
-    even if it collides (as the source does); ``ref_attempts`` records the
-    try used.  Each round is checkpointed (reliable checkpoint in
-    ``spark.checkpoint.dir``) so the plan does not grow with the rounds, and
-    the loop stops as soon as nothing is pending.  Later rounds only have a
-    few rows: once their counted number is at most ``BROADCAST_MAX_ROWS``
-    their references are broadcast into a semi join with the taken ones, so
-    the taken references are scanned but not shuffled again.  The ref space
-    is 32^5, so tables with tens of millions of bookings need a longer
-    reference.
+                        attempts: int = 10, length: int = X.BOOKING_REF_LEN) -> DataFrame:
+    """Give rows a reference 'BK-' + ``length`` symbols of the 32-symbol alphabet.
+
+    Try 1, 2, ...: a row takes its drawn reference when no stored booking
+    has it, no row took it in an earlier try, and it is the smallest key
+    that draws it now.  A row without a free draw after ``attempts`` tries
+    is refused: booking_ref and ref_attempts are NULL, as the database
+    refuses a row that repeats a UNIQUE value.  32^length references exist;
+    choose the length so that the bookings fill a small share of them.
+
+    All draws are made at once and only draws that meet a stored reference
+    are dropped by a join with the stored ones (once, whatever the number of
+    tries); the tries are then rounds over the drawn references, each
+    checkpointed, until nothing is pending.
     """
-    # stored and newly given references; de-duplicated only where joined
-    taken = existing.select(F.col("booking_ref").alias("_ref"))
-    pending = rows
-    n_pending = None
-    parts = []
-    for a in range(attempts):
-        cand = pending.withColumn("booking_ref", X.booking_ref(key, F.lit(a))) \
-            .withColumn("ref_attempts", F.lit(a + 1))
-        if a == attempts - 1:
-            parts.append(cand)
-            break
-        if n_pending is not None and n_pending <= BROADCAST_MAX_ROWS:
-            # filter the taken refs map-side against the few candidates first
-            refs = cand.select(F.col("booking_ref").alias("_cref")).distinct()
-            hits = taken.join(F.broadcast(refs), taken["_ref"] == refs["_cref"],
-                              "left_semi").distinct()
-        else:
-            hits = taken.distinct()
-        winners = cand.groupBy(F.col("booking_ref").alias("_wref")).agg(F.min(key).alias("_win"))
-        cand2 = (cand.join(winners, cand.booking_ref == winners["_wref"], "left")
-                 .join(hits, cand.booking_ref == hits["_ref"], "left")
-                 .withColumn("_good", (F.col(key) == F.col("_win")) & F.col("_ref").isNull())
-                 .drop("_wref", "_win", "_ref")
-                 .checkpoint(eager=True))
-        parts.append(cand2.where(F.col("_good")).drop("_good"))
-        pending = cand2.where(~F.col("_good")).drop("_good", "booking_ref", "ref_attempts")
-        taken = taken.unionByName(cand2.where(F.col("_good"))
-                                  .select(F.col("booking_ref").alias("_ref")))
-        n_pending = pending.count()
-        if n_pending == 0:
+    tries = F.explode(F.array(*[
+        F.struct(F.lit(a + 1).alias("ref_attempts"), X.booking_ref(key, F.lit(a), length).alias("booking_ref"))
+        for a in range(attempts)]))
+    drawn = rows.select(F.col(key).alias("_key"), tries.alias("_t")).select("_key", "_t.*")
+    stored = existing.select(F.col("booking_ref").alias("_ref"))
+    pending = drawn.join(stored, drawn.booking_ref == stored["_ref"], "left_anti").checkpoint(eager=True)
+    given = None
+    for a in range(1, attempts + 1):
+        now = pending.where(F.col("ref_attempts") == a)
+        won = now.groupBy("booking_ref").agg(F.min("_key").alias("_key")) \
+            .withColumn("ref_attempts", F.lit(a))
+        given = won if given is None else given.unionByName(won)
+        keys, refs = won.select("_key"), won.select("booking_ref")
+        pending = (pending.where(F.col("ref_attempts") > a).join(keys, "_key", "left_anti")
+                   .join(refs, "booking_ref", "left_anti").checkpoint(eager=True))
+        if pending.isEmpty():
             break
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return rows.join(given, rows[key] == given["_key"], "left").drop("_key")
+
+
+# SNK1 (bookings): accepted requests as booking rows.
+def new_bookings(accepted: DataFrame, users: DataFrame, existing: DataFrame,
+                 length: int = X.BOOKING_REF_LEN) -> DataFrame:
+    """Accepted requests (ADM1) as rows of the bookings table: confirmed and
+    paid, with a reference (SC8), a QR reference of the request time (SC7)
+    and the user's name as passenger.  Requests that no reference is left
+    for are not among the rows."""
+    u = users.select(F.col("id").alias("_uid"), F.col("first_name").alias("passenger_first"),
+                     F.col("last_name").alias("passenger_last"))
+    rows = assign_booking_refs(accepted, existing, length=length).where(F.col("booking_ref").isNotNull())
+    return rows.join(u, rows.user_id == u["_uid"], "left").select(
+        "request_id", "booking_ref", "user_id", "schedule_id", "seat_number", "amount_paid", "payment_method",
+        F.lit("paid").alias("payment_status"), F.lit("confirmed").alias("booking_status"),
+        F.col("ts").alias("created_at"), "passenger_first", "passenger_last", X.qr_ref("ts").alias("qr_ref"))
 
 
 class UserCreation(NamedTuple):

@@ -136,9 +136,10 @@ def admit_bookings(requests: DataFrame, schedules: DataFrame, bookings: DataFram
     the k-th candidate of a schedule is accepted iff k <= available_seats.
     So a request gets ``no_seats`` iff the schedule's available-th
     candidate comes before it.  That threshold is found per schedule by a
-    salted top-k over candidates (at most available_seats kept per salt), so
-    no task ever holds a whole hot schedule; raw requests only pass through
-    partial aggregations and joins.
+    top-k over candidates joined and ranked by (schedule, salt) (at most
+    available_seats kept per salt); raw requests only pass through partial
+    aggregations and two joins whose sides are exchanged for them alone, so
+    AQE can split a hot schedule there.
     """
     ordk = F.struct(F.col("ts"), F.col("request_id"))
     req = requests.withColumn("_seat", X.seat_key("seat_number"))
@@ -150,22 +151,19 @@ def admit_bookings(requests: DataFrame, schedules: DataFrame, bookings: DataFram
     free = first.join(held, (first.schedule_id == held["_hs"]) & (first["_seat"] == held["_hseat"]),
                       "left_anti")
 
-    # one row per schedule with everything the outcome needs (fare included)
-    prices = routes.select(F.col("id").alias("_prid"), "price_first_class", "price_economy",
-                           "price_student")
-    sched = (schedules.join(prices, schedules.route_id == prices["_prid"], "left")
-             .select(F.col("id").alias("_sid"), F.col("status").alias("_status"),
-                     F.col("available_seats").alias("_avail"),
-                     X.fare_for_class("class", "price_first_class", "price_economy",
-                                      "price_student").alias("_fare")))
-
-    # the available-th candidate of each live schedule (salted top-k)
+    # the available-th candidate of each live schedule that has as many candidates
+    # as seats, or more; its row is repeated per salt, so the join and the first
+    # window are on (schedule, salt) and no task gets a whole schedule
     cand = free.select("schedule_id", F.col("_k.ts").alias("ts"),
                        F.col("_k.request_id").alias("request_id"))
-    live = (schedules.where((F.col("status") != "cancelled") & (F.col("available_seats") > 0))
-            .select(F.col("id").alias("_lid"), F.col("available_seats").alias("_avail")))
-    c2 = cand.join(live, cand.schedule_id == live["_lid"], "inner")
-    c2 = c2.withColumn("_salt", F.pmod(F.xxhash64("request_id"), F.lit(salt_buckets)))
+    wanted = cand.groupBy(F.col("schedule_id").alias("_ws")).agg(F.count(F.lit(1)).alias("_wanted"))
+    live = schedules.where((F.col("status") != "cancelled") & (F.col("available_seats") > 0))
+    full = (live.join(wanted, live.id == wanted["_ws"], "inner")
+            .where(F.col("_wanted") >= F.col("available_seats"))
+            .select(F.col("id").alias("_lid"), F.col("available_seats").alias("_avail"),
+                    F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))).alias("_lsalt")))
+    c2 = cand.withColumn("_salt", F.pmod(F.xxhash64("request_id"), F.lit(salt_buckets)).cast("int"))
+    c2 = c2.join(full, (c2.schedule_id == full["_lid"]) & (c2["_salt"] == full["_lsalt"]), "inner")
     w1 = Window.partitionBy("schedule_id", "_salt").orderBy("ts", "request_id")
     pruned = c2.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= F.col("_avail"))
     w2 = Window.partitionBy("schedule_id").orderBy("ts", "request_id")
@@ -174,13 +172,23 @@ def admit_bookings(requests: DataFrame, schedules: DataFrame, bookings: DataFram
                  .select(F.col("schedule_id").alias("_ts_sid"), F.col("ts").alias("_t_ts"),
                          F.col("request_id").alias("_t_id")))
 
+    # one row per schedule with everything the outcome needs (fare and threshold
+    # included): requests are joined with schedules once
+    prices = routes.select(F.col("id").alias("_prid"), "price_first_class", "price_economy",
+                           "price_student")
+    sched = (schedules.join(prices, schedules.route_id == prices["_prid"], "left")
+             .select(F.col("id").alias("_sid"), F.col("status").alias("_status"),
+                     F.col("available_seats").alias("_avail"),
+                     X.fare_for_class("class", "price_first_class", "price_economy",
+                                      "price_student").alias("_fare")))
+    sched = sched.join(threshold, sched["_sid"] == threshold["_ts_sid"], "left")
+
     # candidate flag per request: it is the first free request of its seat
     f2 = free.select(F.col("schedule_id").alias("_fs"), F.col("_seat").alias("_fseat"),
                      F.col("_k").alias("_fk"))
     r = req.join(f2, (req.schedule_id == f2["_fs"]) & (req["_seat"] == f2["_fseat"]), "left")
     r = r.withColumn("_cand", F.coalesce(F.col("_fk") == ordk, F.lit(False)))
-    r = (r.join(sched, r.schedule_id == sched["_sid"], "left")
-         .join(threshold, r.schedule_id == threshold["_ts_sid"], "left"))
+    r = r.join(sched, r.schedule_id == sched["_sid"], "left")
     after_t = F.col("_t_ts").isNotNull() & (
         (F.col("ts") > F.col("_t_ts")) | ((F.col("ts") == F.col("_t_ts"))
                                           & (F.col("request_id") > F.col("_t_id"))))

@@ -4,11 +4,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from trackyard.functions import expr as X
 from trackyard.operators import materialize as MT
-from trackyard.plans.q_mutate import _new_trips, _patch
+from trackyard.plans.q_mutate import _CANCEL_REQ, _cancel, _new_trips, _patch
 from trackyard.operators import mutate as MU
 from trackyard.plans.registry import query
+from trackyard.sources.tables import AS_OF
 
 SNAPSHOT_AT = dt.datetime(1998, 6, 15, 12, 0, 0)
 
@@ -30,41 +30,35 @@ def revenue_daily(t):
     return MT.revenue_daily(t.bookings)
 
 
-@query("revenue_daily_refresh", """
-, made AS (SELECT CAST(created_at AS DATE) AS report_date,
-                  SUM(CASE WHEN payment_status = 'paid' THEN amount_paid END) AS rev, COUNT(*) AS n
-           FROM bookings WHERE created_at >= TIMESTAMP '1998-06-15' GROUP BY 1),
-canc AS (SELECT CAST(created_at AS DATE) AS report_date, COUNT(*) AS c,
-                SUM(CASE WHEN payment_status = 'refunded' THEN amount_paid END) AS ref
-         FROM bookings WHERE booking_status = 'cancelled' AND created_at >= TIMESTAMP '1998-06-15' GROUP BY 1),
-fresh AS (SELECT COALESCE(made.report_date, canc.report_date) AS report_date,
-                 COALESCE(rev, 0) AS total_revenue, COALESCE(n, 0) AS total_bookings,
-                 COALESCE(c, 0) AS cancelled, COALESCE(ref, 0) AS refunded
-          FROM made FULL OUTER JOIN canc ON made.report_date = canc.report_date),
-made0 AS (SELECT CAST(created_at AS DATE) AS report_date,
-                 SUM(CASE WHEN payment_status = 'paid' THEN amount_paid END) AS rev, COUNT(*) AS n
-          FROM bookings WHERE created_at < TIMESTAMP '1998-06-22' GROUP BY 1),
-canc0 AS (SELECT CAST(created_at AS DATE) AS report_date, COUNT(*) AS c,
-                 SUM(CASE WHEN payment_status = 'refunded' THEN amount_paid END) AS ref
-          FROM bookings WHERE booking_status = 'cancelled' AND created_at < TIMESTAMP '1998-06-22' GROUP BY 1),
-stored AS (SELECT COALESCE(made0.report_date, canc0.report_date) AS report_date,
-                  COALESCE(rev, 0) AS total_revenue, COALESCE(n, 0) AS total_bookings,
-                  COALESCE(c, 0) AS cancelled, COALESCE(ref, 0) AS refunded
-           FROM made0 FULL OUTER JOIN canc0 ON made0.report_date = canc0.report_date)
-SELECT COALESCE(s.report_date, f.report_date) AS report_date,
-       CAST(CASE WHEN f.report_date IS NOT NULL THEN f.total_revenue ELSE s.total_revenue END AS DOUBLE) AS total_revenue,
-       CASE WHEN f.report_date IS NOT NULL THEN f.total_bookings ELSE s.total_bookings END AS total_bookings,
-       CASE WHEN f.report_date IS NOT NULL THEN f.cancelled ELSE s.cancelled END AS cancelled,
-       CAST(CASE WHEN f.report_date IS NOT NULL THEN f.refunded ELSE s.refunded END AS DOUBLE) AS refunded
-FROM stored s FULL OUTER JOIN fresh f ON f.report_date = s.report_date
+@query("revenue_daily_refresh", _CANCEL_REQ + """
+, done AS (SELECT DISTINCT booking_ref, ts FROM res WHERE outcome = 'cancelled'),
+b AS (SELECT bookings.created_at::DATE AS made, done.ts::DATE AS gone, amount_paid,
+             payment_status = 'paid' AND done.booking_ref IS NULL AS paid,
+             booking_status = 'cancelled' OR done.booking_ref IS NOT NULL AS cancelled,
+             payment_status = 'refunded' OR done.booking_ref IS NOT NULL AS refunded
+      FROM bookings LEFT JOIN done USING (booking_ref)),
+days AS (SELECT made AS report_date, (sum(amount_paid) FILTER (paid))::DECIMAL(18,2) AS rev, count(*) AS n, 0 AS c, 0::DECIMAL(18,2) AS ref FROM b GROUP BY ALL
+         UNION ALL
+         SELECT gone, 0::DECIMAL(18,2), 0, count(*), (sum(amount_paid) FILTER (refunded))::DECIMAL(18,2) FROM b WHERE cancelled AND gone IS NOT NULL GROUP BY ALL),
+fresh AS (SELECT report_date, sum(rev) AS rev, sum(n) AS n, sum(c) AS c, sum(ref) AS ref FROM days GROUP BY report_date),
+old AS (SELECT created_at::DATE AS report_date, sum(amount_paid) FILTER (payment_status = 'paid') AS rev, count(*) AS n,
+               count(*) FILTER (booking_status = 'cancelled') AS c,
+               sum(amount_paid) FILTER (booking_status = 'cancelled' AND payment_status = 'refunded') AS ref
+        FROM bookings GROUP BY ALL),
+chosen AS (SELECT * FROM old WHERE report_date < DATE '1998-06-15'
+           UNION ALL SELECT * FROM fresh WHERE report_date >= DATE '1998-06-15')
+SELECT report_date, CAST(coalesce(rev, 0) AS DOUBLE) AS total_revenue, CAST(n AS BIGINT) AS total_bookings,
+       CAST(c AS BIGINT) AS cancelled, CAST(coalesce(ref, 0) AS DOUBLE) AS refunded
+FROM chosen
 """)
 def revenue_daily_refresh(t):
-    """MAT1 refresh: a table built from bookings before 1998-06-22 is
-    refreshed with bookings from 1998-06-15 on; touched days are replaced."""
-    b = t.bookings
-    stored = MT.revenue_daily(b.where(F.col("created_at") < X.ntz(dt.datetime(1998, 6, 22))))
-    fresh_input = b.where(F.col("created_at") >= X.ntz(dt.datetime(1998, 6, 15)))
-    return MT.refresh_revenue_daily(stored, fresh_input)
+    """MAT1 refresh: the table of the stored bookings, refreshed for the days from 1998-06-15 on
+    after the cancel requests were applied; cancellations count on their own day."""
+    after = _cancel(t).table
+    day = F.to_date("created_at").alias("report_date")
+    days = after.select(day).unionByName(after.select(F.to_date("cancelled_at").alias("report_date")))
+    days = days.where(F.col("report_date") >= F.lit(AS_OF))
+    return MT.refresh_revenue_daily(MT.revenue_daily(t.bookings), after, days)
 
 
 @query("occupancy_snapshot", """
@@ -99,21 +93,24 @@ patched AS (SELECT s.id, COALESCE(ls.status, s.status) AS status,
             FROM schedules s LEFT JOIN ls ON ls.id = s.id LEFT JOIN ld ON ld.id = s.id),
 upd AS (SELECT id, 'schedules' AS entity_type, 'updated' AS action,
                concat_ws(',', CASE WHEN status IS DISTINCT FROM old_status THEN 'status' END,
-                              CASE WHEN delay_minutes IS DISTINCT FROM old_delay THEN 'delay_minutes' END) AS changed_columns
+                              CASE WHEN delay_minutes IS DISTINCT FROM old_delay THEN 'delay_minutes' END) AS changed_columns,
+               {'status': old_status, 'delay_minutes': old_delay}::JSON::VARCHAR AS old_value,
+               {'status': status, 'delay_minutes': delay_minutes}::JSON::VARCHAR AS new_value
         FROM patched WHERE status IS DISTINCT FROM old_status OR delay_minutes IS DISTINCT FROM old_delay),
-ins AS (SELECT 1000000 + event_id AS id, 'schedules' AS entity_type, 'inserted' AS action, CAST(NULL AS VARCHAR) AS changed_columns
+ins AS (SELECT 1000000 + event_id AS id, 'schedules' AS entity_type, 'inserted' AS action, CAST(NULL AS VARCHAR) AS changed_columns,
+               CAST(NULL AS VARCHAR) AS old_value, {'status': 'scheduled', 'delay_minutes': 0}::JSON::VARCHAR AS new_value
         FROM events e WHERE event_type = 'signup' AND EXISTS (SELECT 1 FROM routes r WHERE r.id = e.user_id AND r.active = 1)),
-del AS (SELECT id, 'schedules' AS entity_type, 'deleted' AS action, CAST(NULL AS VARCHAR) AS changed_columns
+del AS (SELECT id, 'schedules' AS entity_type, 'deleted' AS action, CAST(NULL AS VARCHAR) AS changed_columns,
+               {'status': status, 'delay_minutes': delay_minutes}::JSON::VARCHAR AS old_value, CAST(NULL AS VARCHAR) AS new_value
         FROM schedules s WHERE NOT EXISTS (SELECT 1 FROM bookings b WHERE b.schedule_id = s.id))
 SELECT * FROM upd WHERE id NOT IN (SELECT id FROM del)
 UNION ALL SELECT * FROM ins UNION ALL SELECT * FROM del
 """)
 def audit_schedules(t):
-    """MAT3: audit rows between the schedules table and its state after
-    patches, appended trips and guarded deletes."""
+    """MAT3/SC21: audit rows, with old and new values as JSON, between the schedules
+    table and its state after patches, appended trips and guarded deletes."""
     cols = ["id", "status", "delay_minutes"]
     patched = _patch(t).table
     appended = MU.append_schedules(patched, t.routes, _new_trips(t)).table
     new = MU.delete_schedules(appended, t.bookings, t.schedules.select("id")).table
-    d = MT.audit_diff(t.schedules.select(*cols), new.select(*cols), ["id"], "schedules")
-    return d.select("id", "entity_type", "action", "changed_columns")
+    return MT.audit_diff(t.schedules.select(*cols), new.select(*cols), ["id"], "schedules")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackyard.functions import expr as X
 from trackyard.operators import filters as FL
 from trackyard.operators import mutate as MU
+from trackyard.plans.q_seats import ADMISSION_SQL
 from trackyard.plans.registry import query
 from trackyard.sources import requests as RQ
 from trackyard.sources.tables import AS_OF
@@ -43,17 +44,39 @@ def cancel_bookings(t):
 
 
 @query("bookings_after_cancel", _CANCEL_REQ + """
-SELECT CASE WHEN c.booking_ref IS NOT NULL THEN 'cancelled' ELSE b.booking_status END AS booking_status,
-       CASE WHEN c.booking_ref IS NOT NULL THEN 'refunded' ELSE b.payment_status END AS payment_status,
-       COUNT(*) AS bookings, COUNT(c.booking_ref) AS cancelled_now
-FROM bookings b LEFT JOIN (SELECT booking_ref FROM res WHERE outcome = 'cancelled') c ON c.booking_ref = b.booking_ref
-GROUP BY 1, 2
+SELECT b.* REPLACE (CAST(b.amount_paid AS DOUBLE) AS amount_paid,
+                    IF(c.booking_ref IS NULL, b.booking_status, 'cancelled') AS booking_status,
+                    IF(c.booking_ref IS NULL, b.payment_status, 'refunded') AS payment_status),
+       c.ts AS cancelled_at, NULLIF(c.reason, '') AS cancel_reason
+FROM bookings b LEFT JOIN (SELECT DISTINCT res.booking_ref, res.ts, req.reason FROM res JOIN req USING (request_id, ts)
+                           WHERE outcome = 'cancelled') c ON c.booking_ref = b.booking_ref
 """)
 def bookings_after_cancel(t):
-    """SNK12: the new bookings snapshot, counted by status pair."""
-    tb = _cancel(t).table
-    return tb.groupBy("booking_status", "payment_status").agg(
-        F.count(F.lit(1)).alias("bookings"), F.count("cancelled_at").alias("cancelled_now"))
+    """SNK12: the new bookings snapshot with cancel time and reason."""
+    return _cancel(t).table
+
+
+@query("cancel_bookings_by_owner", """
+, req AS (
+  SELECT concat('A-', booking_ref) AS request_id, booking_ref, created_at + INTERVAL 1 DAY AS ts,
+         user_id + (CASE payment_method WHEN 'visa' THEN 1 ELSE 0 END) AS actor_id,
+         CASE payment_method WHEN 'cash' THEN 'staff' ELSE 'passenger' END AS actor_role FROM bookings
+  UNION ALL SELECT concat('B-', booking_ref), booking_ref, created_at + INTERVAL 2 DAY, user_id, 'passenger' FROM bookings
+), seen AS (
+  SELECT req.request_id, req.booking_ref, req.ts, b.schedule_id, b.booking_status,
+         req.actor_role = 'passenger' AND req.actor_id <> b.user_id AS denied
+  FROM req JOIN bookings b USING (booking_ref)
+), nth AS (
+  SELECT *, rank() OVER (PARTITION BY booking_ref, denied ORDER BY ts, request_id) AS k FROM seen
+)
+SELECT request_id, booking_ref, ts, schedule_id,
+       CASE WHEN denied THEN 'access_denied' WHEN booking_status = 'completed' THEN 'refused_completed'
+            WHEN booking_status <> 'cancelled' AND k = 1 THEN 'cancelled' ELSE 'already_cancelled' END AS outcome
+FROM nth
+""")
+def cancel_bookings_by_owner(t):
+    """SNK12: cancels with their actor; passengers may cancel only their own bookings."""
+    return MU.cancel_bookings(t.bookings, RQ.owner_cancel_requests(t)).outcomes
 
 
 @query("schedules_after_cancel", _CANCEL_REQ + """
@@ -99,15 +122,13 @@ def insert_ignore_users(t):
 
 @query("users_after_insert_ignore", _SIGNUPS + """
 , f AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY ts, event_id) AS rn FROM rows)
-SELECT COUNT(*) AS users, COUNT(DISTINCT email) AS emails FROM (
-  SELECT email FROM users
-  UNION ALL SELECT email FROM f WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM users u WHERE u.email = f.email)
-)
+SELECT id, email, national_id, status FROM users
+UNION ALL SELECT NULL, f.email, f.national_id, NULL FROM f ANTI JOIN users u ON u.email = f.email WHERE rn = 1
 """)
 def users_after_insert_ignore(t):
-    """SNK2: the new users snapshot keeps e-mails unique."""
-    tb = MU.insert_ignore(t.users, _signups(t), ["email"], ["ts", "event_id"]).table
-    return tb.agg(F.count(F.lit(1)).alias("users"), F.countDistinct("email").alias("emails"))
+    """SNK2: the new users snapshot."""
+    return MU.insert_ignore(t.users, _signups(t), ["email"], ["ts", "event_id"]).table.select(
+        "id", "email", "national_id", "status")
 
 
 @query("find_or_create_users", _SIGNUPS + """
@@ -267,13 +288,12 @@ def deactivate_users(t):
 
 
 @query("users_after_deactivate", _DEACT + """
-SELECT CASE WHEN u.id IN (SELECT id FROM req WHERE id <> actor_id) THEN 'inactive' ELSE u.status END AS status,
-       COUNT(*) AS users
-FROM users u GROUP BY 1
+SELECT u.* REPLACE (CASE WHEN u.id IN (SELECT id FROM req WHERE id <> actor_id) THEN 'inactive' ELSE u.status END AS status)
+FROM users u
 """)
 def users_after_deactivate(t):
-    """SNK11: the new users snapshot by status."""
-    return _deactivate(t).table.groupBy("status").agg(F.count(F.lit(1)).alias("users"))
+    """SNK11: the new users snapshot."""
+    return _deactivate(t).table
 
 
 _TOKENS = """
@@ -339,56 +359,83 @@ def append_schedules(t):
 
 
 @query("schedules_after_append", _NEW_TRIPS + """
-SELECT status, COUNT(*) AS trips, CAST(SUM(available_seats) AS BIGINT) AS seats FROM (
-  SELECT status, available_seats FROM schedules
-  UNION ALL SELECT 'scheduled', total_seats FROM rows
-  WHERE EXISTS (SELECT 1 FROM routes r WHERE r.id = rows.route_id AND r.active = 1)
-) GROUP BY status
+SELECT * FROM schedules
+UNION ALL BY NAME
+SELECT rows.*, total_seats AS available_seats, 'scheduled' AS status, CAST(0 AS INT) AS delay_minutes
+FROM rows SEMI JOIN (SELECT id FROM routes WHERE active = 1) r ON r.id = rows.route_id
 """)
 def schedules_after_append(t):
-    """SNK1: new trips start 'scheduled' with available = total seats."""
-    return _append(t).table.groupBy("status").agg(
-        F.count(F.lit(1)).alias("trips"), F.sum("available_seats").cast("bigint").alias("seats"))
+    """SNK1: the new schedules snapshot; new trips start 'scheduled' with available = total seats."""
+    return _append(t).table
 
 
 @query("cancellation_notices", _CANCEL_REQ + """
-SELECT r.booking_ref, 'sms' AS type,
-       CASE WHEN u.phone LIKE '+%' THEN u.phone ELSE concat('+966', substring(u.phone, 2)) END AS channel,
-       concat('RailWay SA: Booking ', r.booking_ref, ' cancelled. Refund in 3-5 days. | تم إلغاء الحجز ', r.booking_ref) AS message
-FROM res r JOIN bookings b ON b.booking_ref = r.booking_ref JOIN users u ON u.id = b.user_id
-WHERE r.outcome = 'cancelled' AND u.phone IS NOT NULL
+, gone AS (SELECT b.booking_ref, u.phone, u.email FROM bookings b
+           SEMI JOIN (SELECT booking_ref FROM res WHERE outcome = 'cancelled') r ON r.booking_ref = b.booking_ref
+           JOIN users u ON u.id = b.user_id)
+SELECT booking_ref, 'sms' AS type,
+       CASE WHEN phone LIKE '+%' THEN phone ELSE concat('+966', substring(phone, 2)) END AS channel,
+       concat('RailWay SA: Booking ', booking_ref, ' cancelled. Refund in 3-5 days. | تم إلغاء الحجز ', booking_ref) AS message
+FROM gone WHERE phone IS NOT NULL
 UNION ALL
-SELECT r.booking_ref, 'email', u.email,
-       concat('Booking Cancelled — ', r.booking_ref, ' | تم الإلغاء')
-FROM res r JOIN bookings b ON b.booking_ref = r.booking_ref JOIN users u ON u.id = b.user_id
-WHERE r.outcome = 'cancelled' AND u.email IS NOT NULL
+SELECT booking_ref, 'email', email, concat('Booking Cancelled — ', booking_ref, ' | تم الإلغاء') FROM gone WHERE email IS NOT NULL
 """)
 def cancellation_notices(t):
     """SC9/SC10: SMS text and e-mail subject for every accepted cancellation."""
-    from trackyard.functions import expr as X
-    c = _cancel(t)
-    done = c.outcomes.where(F.col("outcome") == "cancelled").select("booking_ref")
-    b = t.bookings.select(F.col("booking_ref").alias("_r"), "user_id")
+    done = _cancel(t).table.where(F.col("cancelled_at").isNotNull()).select("booking_ref", "user_id")
     u = t.users.select(F.col("id").alias("_uid"), "phone", "email")
-    j = done.join(b, done.booking_ref == b["_r"]).join(u, F.col("user_id") == u["_uid"])
-    sms = j.where(F.col("phone").isNotNull()).select(
-        "booking_ref", F.lit("sms").alias("type"), X.phone_e164("phone").alias("channel"),
-        X.cancellation_sms("booking_ref").alias("message"))
-    mail = j.where(F.col("email").isNotNull()).select(
-        "booking_ref", F.lit("email").alias("type"), F.col("email").alias("channel"),
-        X.cancellation_subject("booking_ref").alias("message"))
-    return sms.unionByName(mail)
+    j = done.join(u, done.user_id == u["_uid"])
+    return X.notices(j, F.struct(F.lit("sms").alias("type"), X.phone_e164("phone").alias("channel"),
+                                 X.cancellation_sms("booking_ref").alias("message")),
+                     F.struct(F.lit("email").alias("type"), F.col("email").alias("channel"),
+                              X.cancellation_subject("booking_ref").alias("message")),
+                     ["booking_ref"])
 
 
-@query("new_booking_codes")
-def new_booking_codes(t):
-    """SC7/SC8: booking references (re-salted on collision with stored or new
-    ones) and QR references for every accepted admission request."""
-    from trackyard.functions import expr as X
+def _codes(t):
+    """Accepted admission requests as full booking rows (references, payment, status, passenger)."""
     from trackyard.plans.q_seats import _admission
-    acc = _admission(t).accepted
-    refs = MU.assign_booking_refs(acc.select("request_id", "ts"), t.bookings)
-    return refs.select("request_id", "booking_ref", "ref_attempts", X.qr_ref("ts").alias("qr_ref"))
+    return MU.new_bookings(_admission(t).accepted, t.users, t.bookings)
+
+
+@query("new_booking_codes", ADMISSION_SQL + """
+SELECT COUNT(*) AS bookings, COUNT(*) AS refs, COUNT(*) AS well_formed, CAST(0 AS BIGINT) AS also_stored,
+       COUNT(*) AS qr_well_formed
+FROM res WHERE outcome = 'accepted'
+""")
+def new_booking_codes(t):
+    """SC8: every accepted request gets a reference: distinct, well formed, held by no stored booking."""
+    new = _codes(t)
+    old = t.bookings.select(F.col("booking_ref").alias("_old"))
+    j = new.join(old, new.booking_ref == old["_old"], "left")
+    ref = f"^{X.BOOKING_REF_PREFIX}[{X.BOOKING_REF_ALPHABET}]{{{X.BOOKING_REF_LEN}}}$"
+    return j.agg(F.count(F.lit(1)).alias("bookings"), F.countDistinct("booking_ref").alias("refs"),
+                 F.count(F.when(F.col("booking_ref").rlike(ref), 1)).alias("well_formed"),
+                 F.count("_old").alias("also_stored"),
+                 F.count(F.when(F.col("qr_ref").rlike(f"^{X.QR_PREFIX}[0-9A-Z]+$"), 1)).alias("qr_well_formed"))
+
+
+@query("bookings_after_admission", ADMISSION_SQL + """
+, old AS (SELECT booking_ref AS "key", * EXCLUDE (booking_ref) FROM bookings WHERE created_at < TIMESTAMP '1998-06-15')
+SELECT "key", user_id, schedule_id, seat_number, CAST(amount_paid AS DOUBLE) AS amount_paid, payment_method,
+       payment_status, booking_status, created_at, CAST(NULL AS VARCHAR) AS passenger_first,
+       CAST(NULL AS VARCHAR) AS passenger_last, CAST(NULL AS VARCHAR) AS qr_millis FROM old
+UNION ALL
+SELECT res.request_id, b.user_id, res.schedule_id, res.seat_number, res.fare, b.payment_method, 'paid', 'confirmed',
+       b.created_at, u.first_name, u.last_name, CAST(epoch_ms(b.created_at) AS VARCHAR)
+FROM res JOIN bookings b ON b.booking_ref = res.request_id LEFT JOIN users u ON u.id = b.user_id
+WHERE res.outcome = 'accepted'
+""")
+def bookings_after_admission(t):
+    """SNK1/SC7: stored bookings plus one full row per accepted request (keyed by request,
+    as new references are drawn); the QR reference is shown decoded to its milliseconds."""
+    history, _ = RQ.history_and_requests(t)
+    table = MU.append(history.withColumns({c: F.lit(None).cast("string") for c in
+                                           ("passenger_first", "passenger_last", "qr_ref", "request_id")}), _codes(t))
+    millis = F.conv(F.substring("qr_ref", len(X.QR_PREFIX) + 1, 20), 36, 10)
+    return table.select(F.coalesce("request_id", "booking_ref").alias("key"), "user_id", "schedule_id", "seat_number",
+                        "amount_paid", "payment_method", "payment_status", "booking_status", "created_at",
+                        "passenger_first", "passenger_last", millis.alias("qr_millis"))
 
 
 _NEW_USERS = """
@@ -427,14 +474,99 @@ def create_users(t):
 
 
 @query("permissions_after_create", _NEW_USERS + """
-SELECT can_schedules, can_bookings, can_routes, COUNT(*) AS users FROM (
-  SELECT can_schedules, can_bookings, can_routes FROM user_permissions
-  UNION ALL SELECT CAST(can_schedules AS INT), CAST(can_bookings AS INT), CAST(can_routes AS INT)
-  FROM res WHERE outcome = 'created'
-) GROUP BY 1, 2, 3
+SELECT u.email, p.can_schedules, p.can_bookings, p.can_routes
+FROM user_permissions p JOIN users u ON u.id = p.user_id
+UNION ALL SELECT email, CAST(can_schedules AS INT), CAST(can_bookings AS INT), CAST(can_routes AS INT)
+FROM res WHERE outcome = 'created'
 """)
 def permissions_after_create(t):
-    """SNK1: permission rows after user creation, counted by flag combination."""
-    p = _create_users(t).permissions
-    return p.groupBy("can_schedules", "can_bookings", "can_routes").agg(
-        F.count(F.lit(1)).alias("users"))
+    """SNK1: the new permission snapshot, named by the users' e-mails."""
+    new = _create_users(t)
+    u = new.users.select(F.col("id").alias("_uid"), "email")
+    return new.permissions.join(u, F.col("user_id") == u["_uid"]).select(
+        "email", "can_schedules", "can_bookings", "can_routes")
+
+
+_NEW_ROUTES = """
+, rows AS (SELECT 1000000 + event_id AS id, concat('RT-', lpad(CAST(user_id AS VARCHAR), 5, '0')) AS route_code,
+                  user_id % 25 + 1 AS from_station_id, event_id % 25 + 1 AS to_station_id, CAST(100 AS DECIMAL(8,2)) AS distance_km,
+                  CAST(60 AS INT) AS duration_minutes, CAST(20 AS DECIMAL(10,2)) AS price_first_class,
+                  CAST(10 AS DECIMAL(10,2)) AS price_economy, CAST(5 AS DECIMAL(10,2)) AS price_student
+           FROM events),
+res AS (SELECT rows.*, from_station_id = to_station_id AS same,
+               count(*) FILTER (from_station_id <> to_station_id) OVER (PARTITION BY route_code ORDER BY id) = 1
+                 AND route_code NOT IN (SELECT route_code FROM routes) AS fresh
+        FROM rows)
+"""
+
+
+def _new_routes(t):
+    e = t.events
+    rows = e.select((F.col("event_id") + 1000000).alias("id"),
+                    F.concat(F.lit("RT-"), F.lpad(F.col("user_id").cast("string"), 5, "0")).alias("route_code"),
+                    (F.col("user_id") % 25 + 1).alias("from_station_id"), (F.col("event_id") % 25 + 1).alias("to_station_id"),
+                    F.lit(100).cast("decimal(8,2)").alias("distance_km"), F.lit(60).alias("duration_minutes"),
+                    F.lit(20).cast("decimal(10,2)").alias("price_first_class"),
+                    F.lit(10).cast("decimal(10,2)").alias("price_economy"), F.lit(5).cast("decimal(10,2)").alias("price_student"))
+    return MU.append_routes(t.routes, rows, ["id"])
+
+
+@query("append_routes", _NEW_ROUTES + """
+SELECT id, route_code, CASE WHEN same THEN 'same_station' WHEN fresh THEN 'created' ELSE 'route_code_exists' END AS outcome FROM res
+""")
+def append_routes(t):
+    """SNK1/DQ9: new routes need two different ends and an unused code."""
+    return _new_routes(t).outcomes
+
+
+@query("routes_after_append", _NEW_ROUTES + """
+SELECT * REPLACE (distance_km::DOUBLE AS distance_km, price_first_class::DOUBLE AS price_first_class,
+                  price_economy::DOUBLE AS price_economy, price_student::DOUBLE AS price_student) FROM (
+  SELECT * FROM routes UNION ALL BY NAME
+  SELECT * EXCLUDE (same, fresh), CAST(1 AS INT) AS active FROM res WHERE fresh AND NOT same)
+""")
+def routes_after_append(t):
+    """SNK1: the new routes snapshot."""
+    return _new_routes(t).table
+
+
+@query("patch_routes", """
+, p AS (SELECT user_id AS id, CAST(if(event_type = 'view', 0, 50 + event_id % 100) AS DECIMAL(8,2)) AS distance_km,
+               CAST(value AS DECIMAL(10,2)) AS price_student, event_type = 'purchase' AS has_price_student,
+               CAST(event_type <> 'error' AS INT) AS active, event_type IN ('error', 'click') AS has_active, ts, event_id FROM events),
+d AS (SELECT id, arg_max(distance_km, (ts, event_id)) AS v FROM p WHERE distance_km <> 0 GROUP BY id),
+s AS (SELECT id, arg_max(price_student, (ts, event_id)) AS v FROM p WHERE has_price_student GROUP BY id),
+a AS (SELECT id, arg_max(active, (ts, event_id)) AS v FROM p WHERE has_active GROUP BY id)
+SELECT r.id, coalesce(d.v, r.distance_km)::DOUBLE AS distance_km, if(s.id IS NULL, r.price_student, s.v)::DOUBLE AS price_student,
+       coalesce(a.v, r.active) AS active
+FROM routes r LEFT JOIN d USING (id) LEFT JOIN s ON s.id = r.id LEFT JOIN a ON a.id = r.id
+""")
+def patch_routes(t):
+    """SNK6/SNK7: route patches; the active flag is stored as 0/1 (SC18)."""
+    e, kind = t.events, F.col("event_type")
+    p = e.select(F.col("user_id").alias("id"),
+                 F.when(kind == "view", 0).otherwise(50 + F.col("event_id") % 100).cast("decimal(8,2)").alias("distance_km"),
+                 F.col("value").cast("decimal(10,2)").alias("price_student"), (kind == "purchase").alias("has_price_student"),
+                 X.flag01(kind != "error").alias("active"), kind.isin("error", "click").alias("has_active"), "ts", "event_id")
+    return MU.patch(t.routes, p, ["id"], falsy_keeps=["distance_km"], present_wins=["price_student", "active"],
+                    order=["ts", "event_id"]).table.select("id", "distance_km", "price_student", "active")
+
+
+@query("patch_users", """
+, p AS (SELECT user_id AS id, if(event_type = 'view', '', concat('F', CAST(event_id AS VARCHAR))) AS first_name,
+               if(event_type = 'error', NULL, concat('05', CAST(event_id AS VARCHAR))) AS phone,
+               event_type IN ('error', 'click') AS has_phone, ts, event_id FROM events),
+f AS (SELECT id, arg_max(first_name, (ts, event_id)) AS v FROM p WHERE first_name <> '' GROUP BY id),
+n AS (SELECT id, arg_max({'v': phone}, (ts, event_id)) AS v FROM p WHERE has_phone GROUP BY id)
+SELECT u.id, coalesce(f.v, u.first_name) AS first_name, if(n.id IS NULL, u.phone, n.v.v) AS phone
+FROM users u LEFT JOIN f USING (id) LEFT JOIN n ON n.id = u.id
+""")
+def patch_users(t):
+    """SNK6/SNK7: user patches; an empty first name keeps the old one, a phone given as NULL clears it."""
+    e, kind = t.events, F.col("event_type")
+    text = F.col("event_id").cast("string")
+    p = e.select(F.col("user_id").alias("id"), F.when(kind == "view", "").otherwise(F.concat(F.lit("F"), text)).alias("first_name"),
+                 F.when(kind != "error", F.concat(F.lit("05"), text)).alias("phone"),
+                 kind.isin("error", "click").alias("has_phone"), "ts", "event_id")
+    return MU.patch(t.users, p, ["id"], falsy_keeps=["first_name"], present_wins=["phone"],
+                    order=["ts", "event_id"]).table.select("id", "first_name", "phone")

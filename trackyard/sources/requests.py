@@ -50,6 +50,22 @@ def cancel_requests(t: RailTables) -> DataFrame:
     return first.unionByName(again).unionByName(unknown)
 
 
+def owner_cancel_requests(t: RailTables) -> DataFrame:
+    """Two cancel requests per booking with their actor: the first by another
+    passenger (visa), a staff member (cash) or the owner, the second by the owner."""
+    b = t.bookings
+    method = F.col("payment_method")
+    none = F.lit(None).cast("string").alias("reason")
+    first = b.select(F.concat(F.lit("A-"), "booking_ref").alias("request_id"), "booking_ref",
+                     (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("ts"), none,
+                     (F.col("user_id") + F.when(method == "visa", 1).otherwise(0)).alias("actor_id"),
+                     F.when(method == "cash", "staff").otherwise("passenger").alias("actor_role"))
+    again = b.select(F.concat(F.lit("B-"), "booking_ref").alias("request_id"), "booking_ref",
+                     (F.col("created_at") + F.expr("INTERVAL 2 DAY")).alias("ts"), none,
+                     F.col("user_id").alias("actor_id"), F.lit("passenger").alias("actor_role"))
+    return first.unionByName(again)
+
+
 def permission_rows(t: RailTables) -> DataFrame:
     """New permission rows: staff get reports access, admins everything;
     several rows per user (one per event of the user), last one wins."""
@@ -67,6 +83,32 @@ def permission_rows(t: RailTables) -> DataFrame:
         "ts", "event_id")
 
 
+def route_rows(t: RailTables) -> DataFrame:
+    """New routes, one per supplier, some of them not valid."""
+    k = F.col("s_suppkey")
+    price = F.col("s_acctbal").cast("decimal(10,2)")
+    return t.raw("supplier").select(
+        k.alias("id"), F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("NR-"), k.cast("string"))).alias("route_code"),
+        F.col("s_nationkey").alias("from_station_id"), (F.col("s_nationkey") + 1).alias("to_station_id"),
+        (k % 5).cast("decimal(8,2)").alias("distance_km"), (k % 4).cast("int").alias("duration_minutes"),
+        price.alias("price_first_class"), price.alias("price_economy"),
+        F.lit(None).cast("decimal(10,2)").alias("price_student"))
+
+
+def user_rows(t: RailTables) -> DataFrame:
+    """New users, one per event, some of them not valid."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    return t.events.select(
+        k.alias("id"), F.when(kind == "click", "no address").otherwise(
+            F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.com"))).alias("email"),
+        F.substring(F.concat(F.lit("pw"), k.cast("string")), F.lit(1), (5 + k % 3).cast("int")).alias("password"),
+        F.when(kind == "error", "").otherwise("New").alias("first_name"), F.lit("User").alias("last_name"),
+        F.when(kind == "view", "guest").otherwise("staff").alias("role"),
+        F.when(k % 2 == 0, F.concat(F.lit("+9665"), (k + 10000000).cast("string"))).otherwise("none").alias("phone"),
+        F.when(k % 3 != 0, F.substring((k + 10000000000).cast("string"), F.lit(1), (9 + k % 2).cast("int")))
+         .alias("national_id"))
+
+
 def tokens(t: RailTables) -> DataFrame:
     """Refresh tokens: one per event, valid 30 days."""
     return t.events.select(

@@ -19,11 +19,6 @@ def write_snapshot(df: DataFrame, base: str, mode: str = "errorifexists") -> str
     return path
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    """SNK1: append rows to a Parquet table folder."""
-    df.write.mode("append").parquet(path)
-
-
 def export_csv(df: DataFrame, path: str) -> str:
     """SNK14: CSV export with a header row, written in parallel (one file per
     partition; readers take the folder)."""
