@@ -260,6 +260,7 @@ def brute_terms(corpus):
     """(entity, term) pairs by the definition."""
     both, contexts, with_e, with_t = (defaultdict(set) for _ in range(4))
     for i, (_, text) in enumerate(corpus):
+        text = text or ""
         spans = brute_pii(text)
         for t in re.findall(r"[A-Za-z\x80-\U0010ffff]+", text):
             with_t[t.lower()].add(i)
