@@ -20,6 +20,47 @@ def test_fk_effects(spark):
     assert rs == [10]
 
 
+def test_rules_of_requests(spark):
+    users = spark.createDataFrame(
+        [(1, "a@b.cd", "secret", "A", "B", "staff", "+966512345678", "1234567890"),
+         (2, "a@b", "short", "", "B", "guest", "12", "123"), (3, None, None, None, "x" * 101, None, None, None)],
+        "id long, email string, password string, first_name string, last_name string, role string, phone string, national_id string")
+    bad = {i: sorted(r.field for r in Q.validate(users, "id", Q.user_rules()).collect() if r.id == i) for i in (1, 2, 3)}
+    assert bad == {1: [], 2: ["email", "firstName", "nationalId", "password", "phone", "role"],
+                   3: ["email", "firstName", "lastName", "password", "role"]}
+    on = spark.createDataFrame([(1, "1234567890", "staff"), (2, "12345678a0", "boss")], "id long, national_id string, role string")
+    assert sorted((r.id, r.field) for r in Q.validate(on, "id", Q.sign_on_rules()).collect()) == [(2, "nationalId"), (2, "role")]
+    patch = spark.createDataFrame([(1, None, "lost", "x"), (2, -1.0, None, None)],
+                                  "id long, price_economy double, status string, role string") \
+        .withColumns({"price_first_class": F.lit(None).cast("double"), "price_student": F.lit(0.0),
+                      "email": F.lit(None).cast("string")})
+    assert [(r.id, r.field) for r in Q.validate(patch, "id", Q.route_patch_rules()).collect()] == [(2, "priceEconomy")]
+    assert [(r.id, r.field) for r in Q.validate(patch, "id", Q.schedule_patch_rules()).collect()] == [(1, "status")]
+    assert sorted((r.id, r.field) for r in Q.validate(patch, "id", Q.user_patch_rules()).collect()) == [(1, "role"), (1, "status")]
+
+
+def test_double_sold_compares_labels_as_admission_does(spark):
+    b = spark.createDataFrame([(1, "1a ", "confirmed"), (1, "1A", "pending"), (1, " 1A", "confirmed"), (2, "1A", "cancelled")],
+                              "schedule_id long, seat_number string, booking_status string")
+    assert [(r.schedule_id, r.seat_number, r.bookings) for r in Q.double_sold(b).collect()] == [(1, "1A", 2)]
+    assert Q.double_sold_rows(b).count() == 2
+
+
+def test_refresh_takes_whole_days(spark):
+    import datetime as dt
+    from trackyard.operators import materialize as MT
+    d = lambda n: dt.datetime(2026, 1, n)
+    rows = [("a", d(1), "confirmed", "paid", 5.0, None), ("b", d(1), "cancelled", "refunded", 7.0, d(3)),
+            ("c", d(3), "confirmed", "paid", 2.0, None)]
+    b = spark.createDataFrame(rows, "booking_ref string, created_at timestamp_ntz, booking_status string, "
+                                    "payment_status string, amount_paid double, cancelled_at timestamp_ntz")
+    stored = MT.revenue_daily(b.where("created_at < '2026-01-03'").withColumn("cancelled_at", F.lit(None).cast("timestamp_ntz")))
+    days = spark.createDataFrame([(dt.date(2026, 1, 3),)], "report_date date")
+    got = {str(r.report_date): (float(r.total_revenue), r.total_bookings, r.cancelled, float(r.refunded))
+           for r in MT.refresh_revenue_daily(stored, b, days).collect() if r.report_date}
+    assert got == {"2026-01-01": (5.0, 2, 0, 0.0), "2026-01-03": (2.0, 1, 1, 7.0)}
+
+
 def test_export_csv_and_snapshots(spark):
     df = spark.createDataFrame([("BK-1", 1.5), ("BK-2", None)], "ref string, amount double")
     path = sinks.export_csv(df, scratch_path(spark, "export"))
@@ -44,20 +85,32 @@ def test_paginate_clamps_low_pages(spark):
     assert [r.k for r in FL.paginate(df, ["k"], page=3, limit=10).collect()] == list(range(20, 25))
 
 
-def test_rail_store_through_spark_io(spark):
-    """The shared-storage publishing path (marker dataset) gives the same rows."""
+def test_rail_store_is_published_once(spark):
+    """The stored tables have the views' rows; a second reader finds the copy; the layout follows
+    the bytes of a folder of part files; new source files make a new store."""
     import uuid
     from trackyard.sources.tables import RailTables
-    a = RailTables(spark, "/root/testdata/sf0.001", materialize=True)
-    a.force_spark_fs = True
+    src = scratch_path(spark, "parts")
+    for t in ("nation", "region", "supplier", "orders", "customer"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{src}/{t}.parquet")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    lines.repartition(5).write.parquet(f"{src}/lineitem.parquet")
+    a = RailTables(spark, src, materialize=True)
     a.store_salt = uuid.uuid4().hex
     b = RailTables(spark, "/root/testdata/sf0.001", materialize=False)
     got = a.bookings
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, b.bookings.collect()))
-    # a second reader finds the published copy instead of writing another
-    c = RailTables(spark, "/root/testdata/sf0.001", materialize=True)
-    c.force_spark_fs, c.store_salt = True, a.store_salt
+    assert sum(n for _, n, _ in a._listing("lineitem")) > 50_000
+    c = RailTables(spark, src, materialize=True)
+    c.store_salt = a.store_salt
     assert c.bookings.inputFiles() == got.inputFiles()
+    assert a.storage.write_marker(f"{a._store_dir()}/bookings.done", "other") != "other"
+    small = RailTables(spark, src, materialize=True)
+    small.store_salt, small.FILE_BYTES = uuid.uuid4().hex, 2000
+    assert len(small.bookings.inputFiles()) > len(got.inputFiles())
+    before = c._store_dir()
+    lines.limit(1).write.mode("append").parquet(f"{src}/lineitem.parquet")
+    assert c._store_dir() != before
 
 
 def test_rate_limit_flags(spark):

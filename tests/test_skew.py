@@ -4,6 +4,8 @@ import datetime as dt
 import random
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from trackyard.operators import metrics as M
 from trackyard.operators import mutate as MU
 from trackyard.operators import seats as S
@@ -65,3 +67,36 @@ def test_upsert_and_cancel_with_hot_key(spark):
     counts = {r.outcome: r["count"] for r in c.outcomes.groupBy("outcome").count().collect()}
     assert counts == {"cancelled": 1, "already_cancelled": 999}
     assert c.deltas.first().delta == 1
+
+
+def test_admission_splits_a_hot_schedule(spark):
+    """The first window runs on (schedule, salt): no task ranks a whole hot schedule."""
+    import contextlib
+    import io
+    reqs = spark.range(20000).select(
+        F.format_string("R%06d", F.col("id")).alias("request_id"),
+        F.expr("timestamp_ntz'2026-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id)").alias("ts"),
+        F.lit(1).cast("long").alias("user_id"), F.when(F.col("id") % 5 < 4, 1).otherwise(F.col("id") % 50 + 2).alias("schedule_id"),
+        F.format_string("S%d", F.col("id")).alias("seat_number"), F.lit("visa").alias("payment_method"))
+    sched = spark.range(1, 60).select(F.col("id"), F.lit(1).cast("long").alias("route_id"), F.lit("active").alias("status"),
+                                      F.lit("Economy").alias("class"), F.lit(50).alias("available_seats"))
+    routes = spark.createDataFrame([(1, 3.0, 2.0, 1.0)], "id long, price_first_class double, price_economy double, price_student double")
+    held = spark.createDataFrame([], "schedule_id long, seat_number string, booking_status string")
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        adm = S.admit_bookings(reqs, sched, held, routes, salt_buckets=16)
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            adm.outcomes.explain()
+        plan = buf.getvalue()
+        assert "hashpartitioning(schedule_id" in plan and "_salt" in plan
+        import re
+        ranked = re.findall(r"Window \[row_number.*?\[schedule_id#\d+L?, _salt#\d+\]", plan)
+        assert len(ranked) == 1 and re.search(r"hashpartitioning\(schedule_id#\d+L, _salt#\d+, \d+\)", plan)
+        got = {r.outcome: r["count"] for r in adm.outcomes.groupBy("outcome").count().collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got["accepted"] == 50 * 11 and got["no_seats"] == 20000 - 50 * 11

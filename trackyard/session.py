@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -33,7 +32,7 @@ def cluster_conf(shuffle_bytes: int, target_partition_bytes: int = 256 * MB) ->
     stages.  Scan splits stay at 256 MB; a shuffle partition 5x the median
     and over 1 GB counts as skewed and is split by AQE.
     """
-    parts = max(200, min(200_000, -(-shuffle_bytes // target_partition_bytes)))
+    parts = max(200, -(-shuffle_bytes // target_partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
@@ -96,10 +95,4 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint dir."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    path = f"{base}/trackyard/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-    return path
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/trackyard/{name}-{uuid.uuid4().hex[:12]}"

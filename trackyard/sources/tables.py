@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import os
 import uuid
 from functools import cached_property
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,21 +47,46 @@ def _lpad_str(c: Column, n: int) -> Column:
     return F.lpad(c.cast("string"), n, "0")
 
 
-def _local(path: str) -> str | None:
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return None if "://" in path else path
+class Storage:
+    """Paths through Spark's own file systems (local, HDFS, object stores, mounts alike)."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def listing(self, path: str) -> list[tuple[str, int, int]]:
+        """(name, bytes, time) of a file, or of the files of a folder of part files."""
+        p, fs = self._at(path)
+        found = [s for s in fs.listStatus(p) if s.isFile()]
+        return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found)
+
+    def read_marker(self, path: str) -> str | None:
+        p, fs = self._at(path)
+        return self.spark.read.text(path).first()[0] if fs.exists(p) else None
+
+    def write_marker(self, path: str, text: str) -> str:
+        """Create the marker once; returns the text of whoever created it."""
+        p, fs = self._at(path)
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError:                      # another writer was first
+            return self.read_marker(path)
+        out.write(bytearray(text.encode()))
+        out.close()
+        return text
 
 
 class RailTables:
     """Lazily built rail views over one driver data folder.
 
     With ``materialize=True`` each view is written once as Parquet under the
-    shared ``spark.checkpoint.dir`` (folder keyed by the driver files' sizes
-    and times and by this module's code) and read back from there, as a
-    deployment would store the rail tables instead of re-deriving them per
-    query.  Only local/``file:`` checkpoint folders are used for this;
-    elsewhere the views stay derived on the fly.
+    shared ``spark.checkpoint.dir`` (folder keyed by the driver files' names,
+    sizes and times and by this module's source) and read back from there, as
+    a deployment would store the rail tables instead of re-deriving them per
+    query.  A marker file names the finished copy; of several writers one wins.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = False):
@@ -69,73 +94,33 @@ class RailTables:
         self.sf_dir = sf_dir
         self.materialize = materialize
         self.store_salt = ""          # a new salt forces a fresh store (bench)
-        self.force_spark_fs = False   # use the shared-storage code path (tests)
+        self.storage = Storage(spark)
 
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    def _listing(self, table: str) -> list[tuple[str, int, int]]:
+        return self.storage.listing(f"{self.sf_dir.rstrip('/')}/{table}.parquet")
+
     def _store_dir(self) -> str:
         from trackyard.session import ensure_checkpoint_dir
-        base = ensure_checkpoint_dir(self.spark).rstrip("/")
-        h = hashlib.sha1(open(__file__, "rb").read())
-        src = None if self.force_spark_fs else _local(self.sf_dir)
-        if src is not None:
-            for t in sorted(os.listdir(src)):
-                st = os.stat(os.path.join(src, t))
-                h.update(f"{t}:{st.st_size}:{st.st_mtime_ns}".encode())
-            h.update(os.path.abspath(src).encode())
-        else:
-            # shared storage: key on the input file names (immutable inputs)
-            for t in sorted(set(sum(self.SOURCES.values(), ()))):
-                for f in sorted(self.raw(t).inputFiles()):
-                    h.update(f.encode())
-        h.update(self.store_salt.encode())
-        local = None if self.force_spark_fs else _local(base)
-        root = local if local is not None else base
-        return f"{root}/trackyard/rail/{h.hexdigest()[:16]}"
+        h = hashlib.sha1(__loader__.get_source(__name__).encode())
+        for t in sorted(set(sum(self.SOURCES.values(), ()))):
+            h.update(repr((t, self._listing(t))).encode())
+        h.update(f"{self.sf_dir.rstrip('/')} {self.store_salt}".encode())
+        return f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/trackyard/rail/{h.hexdigest()[:16]}"
 
     def _stored(self, name: str, build) -> DataFrame:
         if not self.materialize:
             return build()
         d = self._store_dir()
-        local = not self.force_spark_fs and _local(d) is not None
-        marker = f"{d}/{name}.done"
-        target = self._published(marker, local)
+        target = self.storage.read_marker(f"{d}/{name}.done")
         if target is None:
             target = f"{d}/{name}-{uuid.uuid4().hex[:8]}"
             self._layout(name, build()).write.parquet(target)
-            target = self._publish(marker, target, local)
+            target = self.storage.write_marker(f"{d}/{name}.done", target)
         return self.spark.read.parquet(target)
 
-    def _published(self, marker: str, local: bool) -> str | None:
-        if local:
-            if not os.path.exists(marker):
-                return None
-            with open(marker) as f:
-                return f.read().strip()
-        from pyspark.errors import AnalysisException
-        try:
-            return self.spark.read.text(marker).first()[0]
-        except AnalysisException:
-            return None
-
-    def _publish(self, marker: str, target: str, local: bool) -> str:
-        """Publish ``target`` under ``marker``; if another writer won, use theirs."""
-        if local:
-            os.makedirs(os.path.dirname(marker), exist_ok=True)
-            tmp = f"{marker}.{uuid.uuid4().hex[:8]}"
-            with open(tmp, "w") as f:
-                f.write(target)
-            os.replace(tmp, marker)   # atomic; a racing writer just wins
-            return target
-        from pyspark.errors import AnalysisException
-        try:
-            (self.spark.createDataFrame([(target,)], "value string").coalesce(1)
-             .write.mode("errorifexists").text(marker))
-            return target
-        except AnalysisException:
-            return self._published(marker, local) or target
-
     # Stored layout: time-clustered files so date filters prune whole files
     # (Parquet min/max), about one file per 128 MB of source data and at
     # least one per core so scans run in parallel.
@@ -146,14 +131,8 @@ class RailTables:
     FILE_BYTES = 128 << 20
 
     def _layout(self, name: str, df: DataFrame) -> DataFrame:
-        par = self.spark.sparkContext.defaultParallelism
-        src = _local(self.sf_dir)
-        if src is not None:
-            size = sum(os.path.getsize(os.path.join(src, f"{t}.parquet"))
-                       for t in self.SOURCES[name])
-            n = max(par, -(-size // self.FILE_BYTES))
-        else:
-            n = 4 * par
+        size = sum(n for t in self.SOURCES[name] for _, n, _ in self._listing(t))
+        n = max(self.spark.sparkContext.defaultParallelism, -(-size // self.FILE_BYTES))
         key = self.CLUSTER.get(name)
         if key:
             return df.repartitionByRange(n, key).sortWithinPartitions(key)
