@@ -43,8 +43,6 @@ class WordTokenizer:
     its normaliser and splitter first; what may hold a special token goes through the whole.
     """
 
-    CACHE = 700_000
-
     def __init__(self, name: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -52,36 +50,45 @@ class WordTokenizer:
             import public_tokenizers
             name = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(name)
-        self.model = self.tokenizer.model
-        self.seen: dict[bytes, bytes] = {}
+        self.seen = _Seen(self)
 
-    def _word(self, word: bytes) -> bytes:
+    def word(self, word: bytes) -> bytes:
+        tok = self.tokenizer
         low = word.lower()
         if low.isalpha() and low.isascii():
-            ids = [t.id for t in self.model.tokenize(low.decode())]
+            ids = [t.id for t in tok.model.tokenize(low.decode())]
         elif len(low) > 1 and low[-1] in b".," and low[:-1].isalpha() and low.isascii():
-            return self[low[:-1]] + self[low[-1:]]     # letters and marks never merge
+            return self.seen[low[:-1]] + self.seen[low[-1:]]     # letters and marks never merge
         elif b"<|" in low:
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            ids = tok.encode(word.decode(), add_special_tokens=False).ids
         else:
-            plain = self.tokenizer.normalizer.normalize_str(word.decode())
-            ids = [t.id for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)
-                   for t in self.model.tokenize(piece)]
+            plain = tok.normalizer.normalize_str(word.decode())
+            ids = [t.id for piece, _ in tok.pre_tokenizer.pre_tokenize_str(plain) for t in tok.model.tokenize(piece)]
         return np.array(ids, "<u4").tobytes()
 
-    def __getitem__(self, word: bytes) -> bytes:
-        got = self.seen.get(word)
+    def ids(self, text: bytes) -> bytes:
+        return b"".join(map(self.seen.__getitem__, text.split()))
+
+
+class _Seen(dict):
+    """Ids of words seen lately: at most two generations of ``MOST`` words."""
+
+    MOST = 350_000
+
+    def __init__(self, owner: WordTokenizer):
+        self.owner, self.before = owner, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = self.before.get(word)
         if got is None:
-            got = self._word(word)
-            if len(word) <= 40:
-                if len(self.seen) >= self.CACHE:
-                    self.seen.clear()
-                self.seen[word] = got
+            got = self.owner.word(word)
+        if len(word) <= 40:
+            if len(self) >= self.MOST:
+                self.before = dict(self)
+                self.clear()
+            self[word] = got
         return got
 
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
-
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
