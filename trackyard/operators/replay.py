@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackyard.functions import expr as X
+from trackyard.session import tell_workers
 from trackyard.sources.schema import SEAT_HOLDING
 
 RESULT = ("request_id string, kind string, schedule_id long, seat_number string, booking_ref string, "
@@ -65,6 +66,7 @@ def replay(requests: DataFrame, schedules: DataFrame, bookings: DataFrame, route
     requests: kind, request_id, ts, schedule_id, seat_number (book), booking_ref
     (cancel); bookings: booking_ref, schedule_id, seat_number, booking_status.
     """
+    tell_workers(requests.sparkSession)
     prices = routes.select(F.col("id").alias("_rid"), "price_first_class", "price_economy", "price_student")
     trips = (schedules.join(prices, schedules.route_id == prices["_rid"], "left")
              .select(F.col("id").alias("_sid"), F.col("status").alias("_status"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -93,6 +94,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def tell_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    On a cluster that has the package installed or shipped (--py-files) this adds nothing.
+    """
+    import trackyard
+    root = os.path.dirname(os.path.dirname(os.path.abspath(trackyard.__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint dir."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/trackyard/{name}-{uuid.uuid4().hex[:12]}"
