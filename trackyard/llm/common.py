@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackyard.session import tell_workers
+
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1          # odd multiplier of the polynomial hashes (mod 2^64)
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -78,6 +80,7 @@ NULL_ID = -(1 << 63)
 
 def pick(docs: DataFrame, keep_row: bool = False) -> DataFrame:
     """(doc_id, text, kid, th[, row]): ``KEY`` columns are never NULL, ``row`` is the whole input row."""
+    tell_workers(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     cols = [doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(NULL_ID)).alias("kid"),
