@@ -238,11 +238,16 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Model:
     # terms of three toxic rows at least: bounded by the sample
     often = {r["term"]: r["n"] for r in _counts(rows, 1).where(F.col("n") >= 3).collect()}
     clean = {r["term"]: r["n"] for r in _counts(rows, 0, set(often)).collect()}
-    found = []
+    found, whole = [], {}
+    for word, a in often.items():
+        if not word.endswith("*"):
+            for k in STEMS:
+                whole[word[:k] + "*"] = max(a, whole.get(word[:k] + "*", 0))
     for term, a in often.items():
         b = clean.get(term, 0)
         share = a / (a + b)
-        if share < 0.7:
+        # a stem that stands for one word only says nothing about other words
+        if share < 0.8 or term.endswith("*") and whole.get(term, 0) > 0.8 * a:
             continue
         # log likelihood ratio against the base rate, beyond what so many tries give by chance
         gain = a * np.log(share / base) + (b * np.log((1 - share) / (1 - base)) if b else 0.0)
