@@ -21,7 +21,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1          # odd multiplier of the polynomial hashes (mod 2^64)
 INVERSE = pow(BASE, -1, 1 << 64)
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-SLICE_BYTES = 4 << 20                  # text handled by one round of numpy calls
+SLICE_BYTES = (4 << 20) - 16                  # text handled by one round of numpy calls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once under the shared folder and return a scan of it.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation.  The
     folder is removed when the driver's JVM ends.
     """
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """``stored``, and the folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}"
     writer = df.write
@@ -60,7 +65,13 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a stored folder that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
@@ -145,7 +156,7 @@ def powers(base: int, n: int) -> np.ndarray:
     have = _POWERS[base]
     while len(have) < n:
         have = np.concatenate([have, have * U(pow(base, len(have), 1 << 64))])
-    if len(have) <= 8 << 20:           # keep no tables of the longest texts
+    if len(have) <= 4 << 20:           # keep no tables of the longest texts
         _POWERS[base] = have
     return have[:n]
 

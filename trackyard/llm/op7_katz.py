@@ -33,17 +33,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackyard.llm.common import LOWER, U, Words, column_bytes, held_out, mix, pick, read, stored, text_slices
+from trackyard.llm.common import LOWER, U, Words, column_bytes, discard, held_out, mix, pick, read, stored_at, text_slices
 
 K = 5                          # counts up to K are discounted
-BLOCK_BYTES = 10 << 20         # text of one block
-OWNED = 1_500_000              # entries that an owner gets on average
+BLOCK_BYTES = 8 << 20          # text of one block
+OWNED = 1_000_000              # entries that an owner gets on average
 END = np.array([0x7F4A7C159E3779B9], U)    # stands for the end token; a word's hash equals it by chance only
 START_ID = (1 << 62)
 SLICES = 1 << 20               # parts of the token space that are dealt to owners
 
-ENCODED = ("block long, doc_ids array<long>, counts array<int>, held array<boolean>, n_tokens long, n_words long, "
-           "words binary, slices binary, codes binary")
+ENCODED = ("kind string, block long, doc_ids array<long>, counts array<int>, held array<boolean>, n_tokens long, "
+           "n_words long, slices binary, codes binary, words binary, seen binary")
 MESSAGE = "kind string, bucket int, block long, parts array<binary>"
 SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
           "score double")
@@ -61,7 +61,8 @@ def unpacked(raw: bytes, dtype=np.int64) -> np.ndarray:
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """Blocks of documents (doc_id, text, held) as token codes; codes of frequent tokens are small."""
+    """Blocks of documents (doc_id, text, held): a row of token codes (those of frequent tokens are
+    small) and one of the block's distinct words with their training counts."""
 
     def run(batches):
         part, seq, size, held = TaskContext.get().partitionId(), 0, 0, []
@@ -86,14 +87,19 @@ def _block(name: int, held: list) -> pa.RecordBatch:
     order = np.argsort(-n, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    words = words[order]
-    row = {"block": name, "doc_ids": [x for c in ids for x in c.to_pylist()], "counts": np.concatenate(counts),
-           "held": [x for c in flags for x in c.to_pylist()], "n_tokens": int(n.sum()), "n_words": len(words),
-           "words": packed(words), "slices": packed((mix(words) % U(SLICES)).astype(np.int64)),
-           "codes": packed(place[codes.ravel()])}
-    types = {"doc_ids": pa.list_(pa.int64()), "counts": pa.list_(pa.int32()), "held": pa.list_(pa.bool_()),
-             "words": pa.binary(), "slices": pa.binary(), "codes": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array([v], types.get(k, pa.int64())) for k, v in row.items()], list(row))
+    words, codes = words[order], place[codes.ravel()]
+    counts, flags = np.concatenate(counts), [x for c in flags for x in c.to_pylist()]
+    train = np.repeat(~np.array(flags, bool), counts)
+    slices = packed((mix(words) % U(SLICES)).astype(np.int64))
+    body = {"kind": "codes", "doc_ids": [x for c in ids for x in c.to_pylist()], "counts": counts, "held": flags,
+            "n_tokens": int(n.sum()), "n_words": len(words), "slices": slices, "codes": packed(codes)}
+    asked = {"kind": "words", "slices": slices, "words": packed(words),
+             "seen": packed(np.bincount(codes[train], minlength=len(words)))}
+    types = {"kind": pa.string(), "block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "counts": pa.list_(pa.int32()),
+             "held": pa.list_(pa.bool_()), "n_tokens": pa.int64(), "n_words": pa.int64(), "slices": pa.binary(),
+             "codes": pa.binary(), "words": pa.binary(), "seen": pa.binary()}
+    return pa.RecordBatch.from_arrays(
+        [pa.array([{"block": name, **row}.get(k) for row in (body, asked)], t) for k, t in types.items()], list(types))
 
 
 class Block:
@@ -105,20 +111,13 @@ class Block:
         self.counts = np.array(row["counts"], np.int64)
         self.slices, self.codes = unpacked(row["slices"]), unpacked(row["codes"])
         self.n_words = row["n_words"]
-        self.words = unpacked(row["words"], U) if "words" in row else None
         self.train = np.repeat(~np.array(self.held, bool), self.counts)
 
-    def token_bucket(self, buckets: int) -> np.ndarray:
-        return self.slices % buckets
-
-    def token_counts(self) -> np.ndarray:
-        return np.bincount(self.codes[self.train], minlength=self.n_words)
-
     def told_tokens(self, answers: list[dict], buckets: int, train_docs: int) -> None:
         """Takes ids and corpus counts; the start mark gets the last place of both."""
         self.ids, self.total = (np.empty(self.n_words + 1, np.int64) for _ in range(2))
         self.ids[-1], self.total[-1] = START_ID, train_docs
-        where = self.token_bucket(buckets)
+        where = self.slices % buckets
         for a in answers:
             mine = where == a["bucket"]
             self.ids[:-1][mine], self.total[:-1][mine] = (unpacked(p) for p in a["parts"])
@@ -162,17 +161,16 @@ def _table(batches: list[pa.RecordBatch]) -> pa.Table:
     return pa.Table.from_batches(batches)
 
 
-def token_answers(blocks: DataFrame, buckets: int) -> DataFrame:
+def token_answers(words: DataFrame, buckets: int) -> DataFrame:
     """Token owners: ids and counts for each block, the unigram table and its sums (``MESSAGE``)."""
 
     def ask(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                block = Block(pa.Table.from_batches([b.slice(i, 1)]))
-                where, counts = block.token_bucket(buckets), block.token_counts()
+            for row in b.to_pylist():
+                where, words, seen = unpacked(row["slices"]) % buckets, unpacked(row["words"], U), unpacked(row["seen"])
                 for k in np.unique(where):
                     mine = where == k
-                    yield _message("ask", k, block.name, [packed(block.words[mine]), packed(counts[mine])])
+                    yield _message("ask", k, row["block"], [packed(words[mine]), packed(seen[mine])])
 
     def own(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -180,7 +178,8 @@ def token_answers(blocks: DataFrame, buckets: int) -> DataFrame:
         words = [unpacked(r["parts"][0], U) for r in rows]
         all_, inv = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(inv.ravel(), np.concatenate([unpacked(r["parts"][1]) for r in rows]), len(all_))
-        total, ids = total.astype(np.int64), np.arange(len(all_)) * buckets + bucket
+        total, ids = total.astype(np.int64), np.empty(len(all_), np.int64)
+        ids[np.argsort(-total, kind="stable")] = np.arange(len(all_)) * buckets + bucket      # frequent: small
         out, at = [], 0
         for r, w in zip(rows, words):
             mine = inv.ravel()[at:at + len(w)]
@@ -190,7 +189,7 @@ def token_answers(blocks: DataFrame, buckets: int) -> DataFrame:
         out.append(_message("sums", bucket, -1, [packed(np.array([total.sum(), (total > 0).sum()]))]))
         return _table(out)
 
-    return blocks.mapInArrow(ask, MESSAGE).groupBy("bucket").applyInArrow(own, MESSAGE)
+    return words.mapInArrow(ask, MESSAGE).groupBy("bucket").applyInArrow(own, MESSAGE)
 
 
 def pair_answers(blocks: DataFrame, tokens: DataFrame, buckets: int, pair_buckets: int, hot: int,
@@ -316,20 +315,22 @@ def scores(blocks: DataFrame, answers: DataFrame, buckets: int, pair_buckets: in
 def train_and_score(docs: DataFrame, held: Column, owned: int = OWNED) -> tuple[DataFrame, DataFrame]:
     """(``SCORED`` rows of all documents, model tables): the tables are rows of ``MESSAGE`` of the
     kinds ``unigrams`` (hashes, ids, counts) and ``bigrams`` (contexts, runs, followers, counts, sums)."""
-    blocks = stored(encode(pick(docs).withColumn("held", held)), "blocks")
+    encoded, path = stored_at(encode(pick(docs).withColumn("held", held)), "blocks", ("kind",))
+    blocks = encoded.where("kind = 'codes'").drop("kind", "words", "seen")
     size = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words"),
                       F.sum(F.aggregate("held", F.lit(0).cast("long"), lambda a, h: a + F.when(h, 0).otherwise(1)))
                       .alias("docs")).first()
     buckets, pair_buckets = (max(1, -(-(x or 0) // owned)) for x in (size.words, size.tokens))
     buckets = min(buckets, SLICES)
     train_docs = size.docs or 0
-    tokens = stored(token_answers(blocks, buckets), "tokens", ("kind",))
+    words = encoded.where("kind = 'words'").select("block", "slices", "words", "seen")
+    tokens, _ = stored_at(token_answers(words, buckets), "tokens", ("kind",))
+    discard(docs.sparkSession, f"{path}/kind=words")      # from here on tokens go by their ids
     found = [unpacked(r.parts[0]) for r in tokens.where("kind = 'sums'").select("parts").collect()]   # one per owner
     n, v = (int(x) for x in np.sum(found, axis=0)) if found else (0, 0)
     hot = max(1, n // (4 * pair_buckets))
     known = tokens.where("kind = 'tokens'")
-    blocks = blocks.drop("words")                     # from here on tokens go by their ids
-    pairs = stored(pair_answers(blocks, known, buckets, pair_buckets, hot, train_docs), "pairs", ("kind",))
+    pairs, _ = stored_at(pair_answers(blocks, known, buckets, pair_buckets, hot, train_docs), "pairs", ("kind",))
     found = [unpacked(r.parts[0]) for r in pairs.where("kind = 'sums'").select("parts").collect()]
     discounts = Discounts(np.sum(found, axis=0) if found else np.zeros(K + 3))
     answers = known.unionByName(pairs.where("kind = 'pairs'"))
