@@ -43,11 +43,11 @@ def _world(spark, seed, n_sched=12, n_req=400):
 def _replay(scheds, routes, hist, reqs):
     sched = {s[0]: dict(status=s[9], avail=s[7], cls=s[8], route=s[2]) for s in scheds}
     price = {r[0]: (r[6], r[7], r[8]) for r in routes}
-    held = {(h[2], h[3].strip().upper()) for h in hist if h[7] in ("confirmed", "pending")}
+    held = {(h[2], h[3].rstrip().upper()) for h in hist if h[7] in ("confirmed", "pending")}
     out = {}
     for rid, ts, _u, sid, seat, _pm in sorted(reqs, key=lambda r: (r[1], r[0])):
         s = sched.get(sid)
-        key = (sid, seat.strip().upper())
+        key = (sid, seat.rstrip().upper())
         if s is None:
             out[rid] = ("not_found", None)
         elif s["status"] == "cancelled":

@@ -79,8 +79,8 @@ def trip_stats(t):
 
 ADMISSION_SQL = """
 , req AS (SELECT booking_ref AS request_id, created_at AS ts, user_id, schedule_id, seat_number,
-                 upper(trim(seat_number)) AS sk FROM bookings WHERE created_at >= TIMESTAMP '1998-06-15'),
-taken AS (SELECT DISTINCT schedule_id, upper(trim(seat_number)) AS sk FROM bookings
+                 upper(rtrim(seat_number)) AS sk FROM bookings WHERE created_at >= TIMESTAMP '1998-06-15'),
+taken AS (SELECT DISTINCT schedule_id, upper(rtrim(seat_number)) AS sk FROM bookings
           WHERE created_at < TIMESTAMP '1998-06-15' AND booking_status IN ('confirmed', 'pending')),
 r2 AS (SELECT req.*, row_number() OVER (PARTITION BY req.schedule_id, req.sk ORDER BY ts, request_id) AS rn,
               t.sk IS NULL AS free
