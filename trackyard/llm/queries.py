@@ -7,7 +7,7 @@ cannot express an operator, tests/llm holds it against a brute-force version.
 from __future__ import annotations
 
 from trackyard.llm import (op1_substring, op2_decontaminate, op3_quality, op4_secrets, op5_toxicity, op6_repetition,
-                           op7_katz, op8_simhash, op9_pii, op10_packing, op13_urls)
+                           op7_katz, op8_simhash, op9_pii, op10_packing, op11_whitening, op13_urls)
 
 QUERIES = {
     "op1_substring_dedup": (op1_substring.query, None),
@@ -20,5 +20,6 @@ QUERIES = {
     "op8_simhash": (op8_simhash.query, None),
     "op9_pii": (op9_pii.query, None),
     "op10_packing": (op10_packing.query, None),
+    "op11_whitening": (op11_whitening.query, None),
     "op13_url_filters": (op13_urls.query, op13_urls.oracle()),
 }
