@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from trackyard.operators import integrity as I
 from trackyard.operators import materialize as MT
 from trackyard.operators import quality as Q
 from trackyard.plans.registry import query
@@ -91,6 +92,94 @@ def fk_restrict_bookings(t):
                  F.countDistinct("user_id").alias("blocked_users"))
 
 
+def _purge(t):
+    """The declared tables with stand-in notifications and audit logs, and a batch of deletes over six of them:
+    accounts that are inactive, everything stored for the verified ones, and what is cancelled or out of use."""
+    bookings = t.bookings.dropDuplicates(["booking_ref"]).withColumn("id", F.col("booking_ref"))
+    tables = {"users": t.users, "user_permissions": t.user_permissions, "refresh_tokens": RQ.tokens(t),
+              "stations": t.stations, "routes": t.routes.withColumn("created_by", F.col("id")),
+              "schedules": t.schedules.withColumn("created_by", F.col("route_id")), "bookings": bookings,
+              "notifications": bookings.where("payment_method = 'visa'").select("id", "user_id", F.col("id").alias("booking_id")),
+              "audit_logs": t.events.select(F.col("event_id").alias("id"), "user_id"),
+              "occupancy_snapshots": t.schedules.select(F.col("id").alias("schedule_id"), "travel_date")}
+    left = t.users.where("status = 'inactive'")
+    verified = left.where("verified = 1").select(F.col("id").alias("user_id"))
+    mine = tables["bookings"].join(verified, "user_id", "left_semi").select("id")
+    told = tables["notifications"].join(left.where("verified = 1 AND phone IS NOT NULL").select(F.col("id").alias("user_id")),
+                                        "user_id", "left_semi").select("id")
+    trips = t.schedules.where("status = 'cancelled'").select("id")
+    of_trips = bookings.join(trips.select(F.col("id").alias("schedule_id")), "schedule_id", "left_semi").where("user_id % 4 > 0")
+    return tables, {"users": left, "bookings": mine.unionByName(of_trips.select("id")), "notifications": told,
+                    "schedules": trips, "routes": t.routes.where("active = 0"), "stations": t.stations.where("active = 0")}
+
+
+_PURGE_SQL = """
+, b AS (SELECT DISTINCT ON (booking_ref) booking_ref AS id, user_id, schedule_id, payment_method FROM bookings),
+n AS (SELECT id, user_id, id AS booking_id FROM b WHERE payment_method = 'visa'),
+off AS (SELECT id, verified, phone FROM users WHERE status = 'inactive'),
+asked(t, k) AS (
+  SELECT 'users', CAST(id AS VARCHAR) FROM off
+  UNION SELECT 'bookings', id FROM b WHERE user_id IN (SELECT id FROM off WHERE verified = 1)
+     OR (user_id % 4 > 0 AND schedule_id IN (SELECT id FROM schedules WHERE status = 'cancelled'))
+  UNION SELECT 'notifications', id FROM n WHERE user_id IN (SELECT id FROM off WHERE verified = 1 AND phone IS NOT NULL)
+  UNION SELECT 'schedules', CAST(id AS VARCHAR) FROM schedules WHERE status = 'cancelled'
+  UNION SELECT 'routes', CAST(id AS VARCHAR) FROM routes WHERE active = 0
+  UNION SELECT 'stations', CAST(id AS VARCHAR) FROM stations WHERE active = 0),
+held(ct, ck, t, k) AS (
+  SELECT 'bookings', id, 'users', CAST(user_id AS VARCHAR) FROM b
+  UNION ALL SELECT 'bookings', id, 'schedules', CAST(schedule_id AS VARCHAR) FROM b
+  UNION ALL SELECT 'notifications', id, 'users', CAST(user_id AS VARCHAR) FROM n
+  UNION ALL SELECT 'schedules', CAST(id AS VARCHAR), 'routes', CAST(route_id AS VARCHAR) FROM schedules
+  UNION ALL SELECT 'routes', CAST(id AS VARCHAR), 'stations', CAST(from_station_id AS VARCHAR) FROM routes
+  UNION ALL SELECT 'routes', CAST(id AS VARCHAR), 'stations', CAST(to_station_id AS VARCHAR) FROM routes),
+e AS (SELECT held.* FROM held SEMI JOIN asked USING (t, k)),
+refused(t, k) AS (
+  SELECT t, k FROM e WHERE NOT EXISTS (FROM asked a WHERE a.t = e.ct AND a.k = e.ck)
+  UNION
+  SELECT e.t, e.k FROM refused r JOIN e ON e.ct = r.t AND e.ck = r.k),
+gone AS (SELECT * FROM asked ANTI JOIN refused USING (t, k)),
+gone_users AS (SELECT CAST(k AS BIGINT) AS id FROM gone WHERE t = 'users'),
+gone_trips AS (SELECT CAST(k AS BIGINT) AS id FROM gone WHERE t = 'schedules')
+"""
+
+_PURGE_EFFECTS = _PURGE_SQL + """
+SELECT t AS table_name, CAST(NULL AS VARCHAR) AS column_name, 'deleted' AS effect, count(*) AS rows FROM gone GROUP BY t
+UNION ALL SELECT t, NULL, 'restricted', count(*) FROM refused SEMI JOIN asked USING (t, k) GROUP BY t
+UNION ALL SELECT 'user_permissions', 'user_id', 'cascade', count(*) FROM user_permissions WHERE user_id IN (FROM gone_users)
+UNION ALL SELECT 'refresh_tokens', 'user_id', 'cascade', count(*) FROM events WHERE user_id IN (FROM gone_users)
+UNION ALL SELECT 'audit_logs', 'user_id', 'set_null', count(*) FROM events WHERE user_id IN (FROM gone_users)
+UNION ALL SELECT 'occupancy_snapshots', 'schedule_id', 'cascade', count(*) FROM gone_trips
+UNION ALL SELECT 'routes', 'created_by', 'set_null', count(*) FROM routes
+  WHERE id IN (FROM gone_users) AND CAST(id AS VARCHAR) NOT IN (SELECT k FROM gone WHERE t = 'routes')
+UNION ALL SELECT 'schedules', 'created_by', 'set_null', count(*) FROM schedules
+  WHERE route_id IN (FROM gone_users) AND id NOT IN (FROM gone_trips)
+UNION ALL SELECT 'notifications', 'booking_id', 'set_null', count(*) FROM n
+  WHERE booking_id IN (SELECT k FROM gone WHERE t = 'bookings') AND id NOT IN (SELECT k FROM gone WHERE t = 'notifications')
+"""
+
+
+@query("delete_effects", _PURGE_EFFECTS)
+def delete_effects(t):
+    """DQ2: a batch of deletes over the whole key graph, rows per table and effect."""
+    return I.delete_rows(*_purge(t)).effects
+
+
+@query("delete_outcomes", _PURGE_SQL + """
+SELECT t AS table_name, k AS key, if((t, k) IN (SELECT (t, k) FROM gone), 'deleted', 'restricted') AS outcome FROM asked
+""")
+def delete_outcomes(t):
+    """DQ2: what became of each requested delete."""
+    return I.delete_rows(*_purge(t)).outcomes
+
+
+@query("audit_logs_after_delete", _PURGE_SQL + """
+SELECT event_id AS id, if(user_id IN (FROM gone_users), NULL, user_id) AS user_id FROM events
+""")
+def audit_logs_after_delete(t):
+    """DQ2: audit logs once the deletes are done: ON DELETE SET NULL."""
+    return I.delete_rows(*_purge(t)).tables["audit_logs"]
+
+
 @query("dq_domains", _each(
     f"""SELECT 'domain' AS "check", '{n}' AS table_name, '{c}' AS column_name, {c} AS value, count(*) AS rows
         FROM {n} WHERE {c} NOT IN ({_listed(domain)}) GROUP BY {c}"""
