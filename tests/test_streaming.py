@@ -1,37 +1,18 @@
 """Streaming jobs: multi-batch results equal the batch answer; reruns are no-ops."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from trackyard.operators import seats as S
 from trackyard.session import scratch_path
 from trackyard.sources import schema as SC
 from trackyard.streaming import jobs as J
+from trackyard.streaming import seat_state as SS
+from trackyard.streaming.batches import read_batches
 
 from test_properties import _world
 
 
-def test_admission_is_free_of_file_layout_and_sliced_by_time(spark):
-    sdf, rdf, hdf, qdf, *_ = _world(spark, 11, n_req=300)
-    exp = sorted((r.request_id, r.outcome)
-                 for r in S.admission_result(S.admit_bookings(qdf, sdf, hdf, rdf)).collect())
-    for name, files in (("one", qdf.coalesce(1)), ("many", qdf.repartition(5))):
-        src = scratch_path(spark, f"req-{name}")
-        files.write.parquet(src)
-        stream = spark.readStream.schema(SC.REQUESTS).option("maxFilesPerTrigger", 1).parquet(src)
-        out = scratch_path(spark, "adm-out")
-        got = J.run_admission(spark, stream, sdf, hdf, rdf, out)
-        assert sorted((r.request_id, r.outcome) for r in got.collect()) == exp
-    # the same in three slices of event time
-    s = J.Slices(spark, scratch_path(spark, "adm-slices"))
-    s.land(spark.readStream.schema(SC.REQUESTS).option("maxFilesPerTrigger", 1).parquet(src))
-    for upto in ("2026-01-01 00:00:15", "2026-01-01 00:00:30", None):
-        J.admit_due(s, sdf, hdf, rdf, upto)
-    rows = spark.read.parquet(f"{s.out}/outcomes")
-    assert rows.select("slice").distinct().count() == 3
-    assert sorted((r.request_id, r.outcome) for r in rows.collect()) == exp
-    assert s.due().count() == 0
-
-
 def _layouts(spark, sf_dir, names):
     """The small tables again, ``names`` cut into four files in shuffled order."""
     out = scratch_path(spark, "layout")
@@ -108,33 +89,128 @@ def _replay_in_order(scheds, hist, requests):
     return out
 
 
-def test_bookings_and_cancels_in_request_order(spark):
+def _booking_events(spark, seed, n_req=240, n_cancel=120):
+    """(static tables, events (kind, id, ts, schedule, seat, ref), outcomes of a replay)."""
     import datetime as dt
     import random
-    sdf, rdf, hdf, _qdf, scheds, _routes, hist, reqs = _world(spark, 21, n_req=240)
+    sdf, rdf, hdf, _qdf, scheds, _routes, hist, reqs = _world(spark, seed, n_req=n_req)
     rnd = random.Random(4)
     reqs = sorted(reqs, key=lambda r: (r[1], r[0]))
-    pool = [r[0] for r in reqs] + [h[0] for h in hist] + ["NOPE"]
+    trip = dict([(r[0], r[3]) for r in reqs] + [(h[0], h[2]) for h in hist])
     known = {s[0] for s in scheds}
-    pool = [p for p in pool if p == "NOPE" or dict([(r[0], r[3]) for r in reqs] + [(h[0], h[2]) for h in hist])[p] in known]
+    pool = [p for p in trip if trip[p] in known] + ["NOPE"]
     events = [("book", r[0], r[1], r[3], r[4], None) for r in reqs]
-    events += [("cancel", f"X{k}", rnd.choice(reqs)[1] + dt.timedelta(milliseconds=500), None, None, rnd.choice(pool))
-               for k in range(120)]
-    want = _replay_in_order(scheds, hist, events)
-    schema = ("kind string, request_id string, ts timestamp_ntz, user_id long, schedule_id long, "
-              "seat_number string, payment_method string, booking_ref string")
-    rows = [(k, rid, ts, None, sid, seat, None, ref, rnd.randrange(4)) for k, rid, ts, sid, seat, ref in events]
+    made = {r[0] for r in reqs}
+    for k in range(n_cancel):
+        ref = rnd.choice(pool)
+        # a cancel of a booking made on the stream names its schedule, one of a stored booking need not
+        events.append(("cancel", f"X{k}", rnd.choice(reqs)[1] + dt.timedelta(milliseconds=500),
+                       trip[ref] if ref in made else None, None, ref))
+    return (sdf, hdf, rdf), events, _replay_in_order(scheds, hist, events)
+
+
+def _requests(spark, events, name, part):
+    return _file_stream(spark, [(*e, part(k, e)) for k, e in enumerate(events)], SS.REQUEST, name)
+
+
+def _decided(df):
+    return {r.request_id: r.outcome for r in df.collect()}
+
+
+def test_admission_is_free_of_file_layout(spark):
+    sdf, rdf, hdf, qdf, *_ = _world(spark, 11, n_req=300)
+    want = sorted((r.request_id, r.outcome, r.amount_paid)
+                  for r in S.admission_result(S.admit_bookings(qdf, sdf, hdf, rdf)).collect())
+    for name, files in (("one", qdf.coalesce(1)), ("many", qdf.repartition(5))):
+        src = scratch_path(spark, f"req-{name}")
+        files.write.parquet(src)
+        stream = (spark.readStream.schema(SC.REQUESTS).option("maxFilesPerTrigger", 1).parquet(src)
+                  .withColumn("kind", F.lit("book")))
+        # files in any order: requests are waited for as long as all of them span
+        got = SS.run(spark, stream, sdf, hdf, rdf, scratch_path(spark, "adm-out"), cancels=False, delay="1 hour")
+        assert sorted((r.request_id, r.outcome, r.amount_paid) for r in got.collect()) == want
+
+
+def test_bookings_and_cancels_in_request_order(spark):
+    (sdf, hdf, rdf), events, want = _booking_events(spark, 21)
+    assert {"cancelled", "not_found", "already_cancelled", "accepted", "seat_taken"} <= set(want.values())
+    # in order of time over six files: the watermark releases requests while others still come
+    ordered = sorted(events, key=lambda e: (e[2], e[1]))
     out = scratch_path(spark, "bc-out")
-    got = {r.request_id: r.outcome for r in J.run_booking_stream(
-        spark, _file_stream(spark, rows, schema, "bc-src"), sdf, hdf, rdf, out).collect()}
-    assert got == want
-    assert {"cancelled", "not_found", "already_cancelled", "accepted", "seat_taken"} <= set(got.values())
-    # in slices: state is carried over
-    s = J.Slices(spark, scratch_path(spark, "bc-slices"))
-    s.land(_file_stream(spark, rows, schema, "bc-src2"))
-    for upto in ("2026-01-01 00:00:20", "2026-01-01 00:00:40", None):
-        J.replay_due(s, sdf, hdf, rdf, upto)
-    assert {r.request_id: r.outcome for r in spark.read.parquet(f"{s.out}/outcomes").collect()} == want
+    stream = _requests(spark, ordered, "bc-src", lambda k, e: k * 6 // len(ordered))
+    assert _decided(SS.run(spark, stream, sdf, hdf, rdf, out)) == want
+    outcomes = spark.read.parquet(f"{out}/outcomes")
+    assert outcomes.select("batch_id").distinct().count() > 3
+    # out of order within the delay
+    stream = _requests(spark, events, "bc-mixed", lambda k, e: k % 3)
+    assert _decided(SS.run(spark, stream, sdf, hdf, rdf, scratch_path(spark, "bc-out2"), delay="1 hour")) == want
+
+
+def test_restart_of_the_booking_stream(spark):
+    """Requests that wait survive a restart in the state; a restart without new requests adds nothing."""
+    (sdf, hdf, rdf), events, want = _booking_events(spark, 22, n_req=120, n_cancel=50)
+    ordered = sorted(events, key=lambda e: (e[2], e[1]))
+    out, src = scratch_path(spark, "bc-restart"), scratch_path(spark, "bc-restart-src")
+    half = len(ordered) // 2
+
+    def run(upto):
+        stream = spark.readStream.schema(SS.REQUEST).option("maxFilesPerTrigger", 1).parquet(src)
+        return _decided(SS.run(spark, stream, sdf, hdf, rdf, out, upto=upto))
+
+    spark.createDataFrame(ordered[:half], SS.REQUEST).coalesce(1).write.mode("append").parquet(src)
+    first = run(None)
+    assert set(first.items()) < set(want.items())          # the last ones wait
+    spark.createDataFrame(ordered[half:], SS.REQUEST).coalesce(1).write.mode("append").parquet(src)
+    assert run(SS.END) == want
+    rows = spark.read.parquet(f"{out}/outcomes").count()
+    assert run(SS.END) == want and spark.read.parquet(f"{out}/outcomes").count() == rows
+
+
+def test_late_requests_are_decided_and_none_is_lost(spark):
+    """A request of an earlier time that lands after its time was released: decided on arrival."""
+    import datetime as dt
+    (sdf, hdf, rdf), events, _ = _booking_events(spark, 23, n_req=60, n_cancel=0)
+    ordered = sorted(events, key=lambda e: (e[2], e[1]))
+    late = ordered[5]
+    rest = [e for e in ordered if e is not late]
+    stream = _requests(spark, [*rest[:30], *rest[30:], late], "late-src", lambda k, e: 2 if e is late else k // 30)
+    got = _decided(SS.run(spark, stream, sdf, hdf, rdf, scratch_path(spark, "late-out")))
+    assert set(got) == {e[1] for e in events}
+    # as if it had been made after all of the first 30
+    moved = (*late[:2], rest[-1][2] + dt.timedelta(hours=1), *late[3:])
+    _, _, _, _, scheds, _, hist, _ = _world(spark, 23, n_req=60)
+    want = _replay_in_order(scheds, hist, [*rest, moved])
+    assert {k for k in got if got[k] != want[k]} <= {e[1] for e in rest[30:]} | {late[1]}
+    assert {k: got[k] for k in (e[1] for e in rest[:30])} == {k: want[k] for k in (e[1] for e in rest[:30])}
+
+
+def test_state_of_departed_trips_ends(spark):
+    """State goes after the trip; a request for it then is refused without a state of its own."""
+    import datetime as dt
+    (sdf, hdf, rdf), events, _ = _booking_events(spark, 24, n_req=40, n_cancel=0)
+    sdf = sdf.withColumns({"travel_date": F.lit(dt.date(2026, 1, 2)), "departure_time": F.lit("08:00:00")})
+    trip = sdf.where("status <> 'cancelled'").first().id
+    after = ("book", "after", dt.datetime(2026, 3, 1), trip, "9Z", None)
+    out = scratch_path(spark, "ends-out")
+    stream = _requests(spark, [*events, after], "ends-src", lambda k, e: 1 if e is after else 0)
+    got = _decided(SS.run(spark, stream, sdf, hdf, rdf, out, retention_days=1))
+    assert got["after"] == "departed" and len(got) == len(events) + 1
+    state = spark.read.format("statestore").load(f"{out}/outcomes/_checkpoint")
+    assert state.count() == 0
+    # without retention the state stays
+    SS.run(spark, _requests(spark, [*events, after], "stays-src", lambda k, e: 0), sdf, hdf, rdf,
+           keeps := scratch_path(spark, "stays-out"))
+    assert spark.read.format("statestore").load(f"{keeps}/outcomes/_checkpoint").count() > 0
+
+
+def test_a_read_error_is_no_empty_history(spark):
+    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
+    out = scratch_path(spark, "broken")
+    assert read_batches(spark, out) is None
+    spark.range(3).selectExpr("CAST(id AS STRING) AS v").write.text(f"{out}/batch_id=0")
+    with pytest.raises((PySparkException, Py4JError)):
+        read_batches(spark, out)
 
 
 def _file_stream(spark, rows, schema, name):

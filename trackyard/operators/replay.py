@@ -25,7 +25,7 @@ RESULT = ("request_id string, kind string, schedule_id long, seat_number string,
           "outcome string, amount_paid decimal(10,2)")
 
 
-class _Trip:
+class Trip:
     """Seat state of one schedule."""
 
     def __init__(self, schedule_id: int, free: int):
@@ -114,7 +114,7 @@ def replay(requests: DataFrame, schedules: DataFrame, bookings: DataFrame, route
                     pdf["step"], pdf["request_id"], pdf["kind"], pdf["schedule_id"], pdf["seat_number"],
                     pdf["_seat"], pdf["booking_ref"], pdf["status"], pdf["_free"], pdf["_fare"]):
                 if trip is None or trip.schedule_id != sid:
-                    trip = _Trip(sid, None)
+                    trip = Trip(sid, None)
                 if step == 0:
                     trip.store(ref, status, key)
                     continue

@@ -7,11 +7,13 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from trackyard.functions import expr as X
+from trackyard.operators.replay import replay
 from trackyard.plans.q_seats import ADMISSION_SQL
 from trackyard.plans.registry import REGISTRY, Query, output
 from trackyard.plans.rail_sql import with_rail
 from trackyard.session import scratch_path
 from trackyard.streaming import jobs as J
+from trackyard.streaming import seat_state as SS
 
 
 def _register(name, fn, sql, doc):
@@ -64,22 +66,46 @@ _register("stream_outbox", J.run_outbox, _OUTBOX_SQL,
           "STR5/SC9/SC10: SMS and e-mail outbox rows per confirmed booking, deduplicated.")
 
 
+START = dt.datetime(1998, 6, 15)
+# the stand-in requests come in any order, and years before or after the trip
+TIMES = {"delay": "3650 days", "retention_days": 3650}
+
+
+def _split(t):
+    """(stored bookings, bookings that arrive as requests)."""
+    return t.where(F.col("created_at") < X.ntz(START)), t.where(F.col("created_at") >= X.ntz(START))
+
+
+def _book_requests(bookings):
+    return _split(bookings)[1].select(F.lit("book").alias("kind"), F.col("booking_ref").alias("request_id"),
+                                      F.col("created_at").alias("ts"), "schedule_id", "seat_number",
+                                      F.lit(None).cast("string").alias("booking_ref"))
+
+
+def _cancel_requests(bookings):
+    """Bookings that ended cancelled are cancelled a day after they were made; stored bookings of the
+    last week get a cancel request too."""
+    made, week = F.col("created_at"), X.ntz(START - dt.timedelta(days=7))
+    asked = bookings.where(((made >= X.ntz(START)) & (F.col("booking_status") == "cancelled"))
+                           | ((made >= week) & (made < X.ntz(START))))
+    return asked.select(F.lit("cancel").alias("kind"), F.concat(F.lit("X-"), "booking_ref").alias("request_id"),
+                        (made + F.expr("INTERVAL 1 DAY")).alias("ts"), "schedule_id",
+                        F.lit(None).cast("string").alias("seat_number"), "booking_ref")
+
+
 def _run_admission(spark, sf_dir):
     t = J.StreamingRail(spark, sf_dir, ["lineitem"])
     static = J.RailTables(spark, sf_dir, materialize=True)
-    history = static.bookings.where(F.col("created_at") < X.ntz(dt.datetime(1998, 6, 15)))
-    reqs = t.bookings.where(F.col("created_at") >= X.ntz(dt.datetime(1998, 6, 15))).select(
-        F.col("booking_ref").alias("request_id"), F.col("created_at").alias("ts"), "user_id",
-        "schedule_id", "seat_number", "payment_method")
-    out = scratch_path(spark, "admission_stream")
-    return J.run_admission(spark, reqs, static.schedules, history, static.routes, out)
+    done = SS.run(spark, _book_requests(t.bookings), static.schedules, _split(static.bookings)[0], static.routes,
+                  scratch_path(spark, "admission_stream"), cancels=False, **TIMES)
+    return done.select("request_id", "schedule_id", "seat_number", "outcome", "amount_paid")
 
 
 _register("stream_admission", _run_admission, ADMISSION_SQL + """
 SELECT request_id, schedule_id, seat_number, outcome,
        CASE WHEN outcome = 'accepted' THEN fare END AS amount_paid
 FROM res
-""", "STR2: seat admission of a request stream, decided in event-time slices.")
+""", "STR2: seat admission of a request stream, decided by keyed state as requests arrive.")
 
 
 def _rate_limit_batch(spark, sf_dir):
@@ -97,29 +123,19 @@ FROM events GROUP BY 1, 2
 def _run_booking_stream(spark, sf_dir):
     t = J.StreamingRail(spark, sf_dir, ["lineitem"])
     static = J.RailTables(spark, sf_dir, materialize=True)
-    start = X.ntz(dt.datetime(1998, 6, 15))
-    week = X.ntz(dt.datetime(1998, 6, 8))
-    history = static.bookings.where(F.col("created_at") < start)
-    b = t.bookings
-    books = b.where(F.col("created_at") >= start).select(
-        F.lit("book").alias("kind"), F.col("booking_ref").alias("request_id"),
-        F.col("created_at").alias("ts"), "user_id", "schedule_id", "seat_number",
-        "payment_method", F.lit(None).cast("string").alias("booking_ref"))
-    # bookings that ended cancelled are cancelled a day after they were made;
-    # stored bookings of the last week get a cancel request too
-    cancels = b.where(((F.col("created_at") >= start) & (F.col("booking_status") == "cancelled"))
-                      | ((F.col("created_at") >= week) & (F.col("created_at") < start))).select(
-        F.lit("cancel").alias("kind"), F.concat(F.lit("X-"), "booking_ref").alias("request_id"),
-        (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("ts"),
-        F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("bigint").alias("schedule_id"),
-        F.lit(None).cast("string").alias("seat_number"),
-        F.lit(None).cast("string").alias("payment_method"), "booking_ref")
-    out = scratch_path(spark, "booking_stream")
-    return J.run_booking_stream(spark, books.unionByName(cancels), static.schedules, history,
-                                static.routes, out)
-
-
-_register("stream_bookings_cancels", _run_booking_stream, """
+    asked = _book_requests(t.bookings).unionByName(_cancel_requests(t.bookings))
+    return SS.run(spark, asked, static.schedules, _split(static.bookings)[0], static.routes,
+                  scratch_path(spark, "booking_stream"), **TIMES)
+
+
+def _bookings_cancels(spark, sf_dir):
+    t = J.RailTables(spark, sf_dir, materialize=True)
+    asked = _book_requests(t.bookings).unionByName(_cancel_requests(t.bookings).withColumn(
+        "schedule_id", F.lit(None).cast("long")))
+    return replay(asked, t.schedules, _split(t.bookings)[0], t.routes)
+
+
+_BOOKINGS_CANCELS_SQL = """
 , ask AS (
   SELECT 'book' AS kind, booking_ref AS request_id, created_at AS ts, booking_ref AS ref, schedule_id AS sid, seat_number
   FROM bookings WHERE created_at >= TIMESTAMP '1998-06-15'
@@ -162,7 +178,12 @@ SELECT ev.request_id, ev.kind, ev.sid AS schedule_id, ev.seat_number,
          CASE s.class WHEN 'First Class' THEN r.price_first_class WHEN 'Economy' THEN r.price_economy
                       WHEN 'Student' THEN r.price_student END, 0), r.price_economy) AS DOUBLE) END AS amount_paid
 FROM ev LEFT JOIN st ON st.request_id = ev.request_id LEFT JOIN schedules s ON s.id = ev.sid LEFT JOIN routes r ON r.id = s.route_id
-""", "STR2: bookings and cancellations on one request stream, decided in request order.")
+"""
+
+_register("stream_bookings_cancels", _run_booking_stream, _BOOKINGS_CANCELS_SQL,
+          "STR2: bookings and cancellations on one request stream, decided in request order by keyed state.")
+_register("bookings_cancels", _bookings_cancels, _BOOKINGS_CANCELS_SQL,
+          "ADM1 with SNK12 (batch): bookings and cancellations replayed in request order.")
 
 
 def _notification_log(spark, sf_dir):

@@ -63,6 +63,11 @@ class Storage:
         found = [s for s in fs.listStatus(p) if s.isFile()]
         return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found)
 
+    def folders(self, path: str) -> list[str]:
+        """Names of the folders in a folder; none if it does not exist."""
+        p, fs = self._at(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
     def read_marker(self, path: str) -> str | None:
         p, fs = self._at(path)
         return self.spark.read.text(path).first()[0] if fs.exists(p) else None

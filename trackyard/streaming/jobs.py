@@ -14,26 +14,22 @@ No answer depends on how rows are dealt to files, batches or arrival times:
   folded into one.  There is no watermark, so no row is ever too late.
 * The outbox (STR5) drops references that an earlier batch wrote, looked up
   in the days of the batch only.
-* Admission (STR2) lands its requests first and decides them in slices of
-  event time, so that file order plays no part.
+* Bookings and cancels (STR2) are decided by keyed state in event-time order: ``seat_state``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackyard.functions import expr as X
-from trackyard.operators import seats as S
-from trackyard.operators.mutate import apply_deltas
-from trackyard.operators.replay import replay
 from trackyard.operators.skew import pick_per_key
 from trackyard.operators.views import route_dim
 from trackyard.session import scratch_path
 from trackyard.sources.tables import RailTables
+from trackyard.streaming.batches import read_batches, read_totals, run_batches
 
 
 class StreamingRail(RailTables):
@@ -65,48 +61,6 @@ class StreamingRail(RailTables):
 COMPACT_EVERY = 50      # batches whose sums are folded into one
 
 
-def run_batches(stream: DataFrame, out: str, process: Callable[[DataFrame, int], DataFrame] | None = None,
-                partition_by: Sequence[str] = (), after: Callable[[int], None] | None = None) -> None:
-    """Run ``stream`` to completion (availableNow) into ``out/batch_id=N``."""
-    def sink(df: DataFrame, batch_id: int) -> None:
-        res = process(df, batch_id) if process else df
-        res.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{out}/batch_id={batch_id}")
-        if after:
-            after(batch_id)
-
-    q = (stream.writeStream.foreachBatch(sink)
-         .option("checkpointLocation", f"{out}/_checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
-def read_batches(spark: SparkSession, out: str) -> DataFrame | None:
-    """What the batches wrote, with their ``batch_id``; None before the first one."""
-    try:
-        return spark.read.parquet(out)
-    except AnalysisException:
-        return None
-
-
-def read_totals(spark: SparkSession, out: str, keys: Sequence[str], before: int | None = None) -> DataFrame:
-    """Sums per key over all batches (below ``before``): the newest fold and the batches after it."""
-    def add(df: DataFrame) -> DataFrame:
-        return df.groupBy(*keys).agg(*[F.sum(c).cast(df.schema[c].dataType).alias(c)
-                                       for c in df.columns if c not in (*keys, "batch_id", "upto")])
-    parts = spark.read.parquet(out)
-    if before is not None:
-        parts = parts.where(F.col("batch_id") < before)
-    folds = read_batches(spark, f"{out}-folds")
-    if folds is not None:
-        if before is not None:
-            folds = folds.where(F.col("upto") <= before)
-        newest = folds.agg(F.max("upto")).first()[0]
-        if newest is not None:
-            parts = parts.where(F.col("batch_id") >= newest).drop("batch_id").unionByName(
-                folds.where(F.col("upto") == newest).drop("upto"))
-    return add(parts)
-
-
 def run_totals(spark: SparkSession, stream: DataFrame, out: str, keys: Sequence[str],
                sums: Callable[[DataFrame], DataFrame], compact_every: int = COMPACT_EVERY) -> DataFrame:
     """Write ``sums`` (additive columns per key) of each batch; returns the totals."""
@@ -241,128 +195,6 @@ def run_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
                              static.users, out)
 
 
-class Slices:
-    """Requests landed from a stream and decided in slices of event time.
-
-    ``land`` stores micro-batches as they come.  ``due(upto)`` gives the
-    landed requests with ts <= upto that no earlier slice decided: all
-    requests in event-time order when they arrive in time, and a request
-    that arrives after its slice joins the next one; none is lost.  Slice
-    ``k`` writes to ``<kind>/slice=k`` and is closed by an entry in the
-    slice log, so a slice that failed is run again from the same input.
-    """
-
-    def __init__(self, spark: SparkSession, out: str):
-        self.spark, self.out = spark, out
-
-    def land(self, requests: DataFrame) -> None:
-        run_batches(requests, f"{self.out}/landing")
-
-    def log(self) -> tuple[int, object, int]:
-        """(number of closed slices, their last time, their last batch)."""
-        df = read_batches(self.spark, f"{self.out}/log")
-        if df is None:
-            return 0, None, -1
-        r = df.agg(F.count(F.lit(1)).alias("n"), F.max("upto").alias("upto"), F.max("batch").alias("batch")).first()
-        return r.n, r.upto, r.batch
-
-    def due(self, upto=None) -> DataFrame:
-        _, last, batch = self.log()
-        df = self.spark.read.parquet(f"{self.out}/landing")
-        if last is not None:
-            df = df.where((F.col("ts") > F.lit(last)) | (F.col("batch_id") > batch))
-        if upto is not None:
-            df = df.where(F.col("ts") <= X.ntz(upto))
-        return df.drop("batch_id")
-
-    def write(self, kind: str, df: DataFrame) -> DataFrame:
-        path = f"{self.out}/{kind}/slice={self.log()[0]}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
-
-    def prior(self, kind: str) -> DataFrame | None:
-        """What the closed slices wrote."""
-        df = read_batches(self.spark, f"{self.out}/{kind}")
-        return None if df is None else df.where(F.col("slice") < self.log()[0]).drop("slice")
-
-    def close(self, upto=None) -> None:
-        landed = self.spark.read.parquet(f"{self.out}/landing")
-        end = landed.agg(F.max("batch_id").alias("batch"),
-                         (F.max("ts") if upto is None else F.lit(X.ntz(upto))).alias("upto"))
-        end.write.mode("overwrite").parquet(f"{self.out}/log/slice={self.log()[0]}")
-
-
-def _seats_left(schedules: DataFrame, deltas: DataFrame | None) -> DataFrame:
-    return schedules if deltas is None else apply_deltas(schedules, deltas)
-
-
-# STR2: seat admission over a request stream.
-def admit_due(s: Slices, schedules: DataFrame, bookings: DataFrame, routes: DataFrame, upto=None) -> None:
-    """Admit (ADM1) the requests due up to a time against the stored bookings and the state that
-    earlier slices left.  Only the state of the schedules asked for is read on."""
-    due = s.due(upto)
-    asked = due.select("schedule_id").distinct()
-    held = bookings.select("schedule_id", "seat_number", "booking_status")
-    accepted = s.prior("accepted")
-    if accepted is not None:
-        held = held.unionByName(accepted.select("schedule_id", "seat_number",
-                                                F.lit("confirmed").alias("booking_status")))
-    adm = S.admit_bookings(due, _seats_left(schedules, s.prior("deltas")),
-                           held.join(asked, "schedule_id", "left_semi"), routes)
-    # accepted rows and deltas come from the written outcomes (lineage cut)
-    parts = S.admission_parts(s.write("outcomes", adm.outcomes))
-    s.write("accepted", parts.accepted)
-    s.write("deltas", parts.deltas)
-    s.close(upto)
-
-
-def run_admission(spark: SparkSession, requests: DataFrame, schedules: DataFrame,
-                  bookings: DataFrame, routes: DataFrame, out: str) -> DataFrame:
-    """Land the stream, then decide all of it; in steady use ``admit_due`` runs with the time
-    up to which requests have surely arrived."""
-    s = Slices(spark, out)
-    s.land(requests)
-    admit_due(s, schedules, bookings, routes)
-    return spark.read.parquet(f"{out}/outcomes").select("request_id", "schedule_id", "seat_number",
-                                                        "outcome", "amount_paid")
-
-
-# STR2 with cancellations: bookings and cancels on one request stream, in request order.
-def replay_due(s: Slices, schedules: DataFrame, bookings: DataFrame, routes: DataFrame, upto=None) -> None:
-    """Decide the bookings and cancels due up to a time one after the other (``replay``): a
-    cancel frees its seat for the very next request."""
-    known = bookings.select("booking_ref", "schedule_id", "seat_number", "booking_status")
-    accepted, gone = s.prior("accepted"), s.prior("cancelled")
-    if accepted is not None:
-        known = known.unionByName(accepted)
-    if gone is not None:
-        known = (known.join(gone.withColumn("_gone", F.lit(True)), "booking_ref", "left")
-                 .withColumn("booking_status", F.when(F.col("_gone"), "cancelled").otherwise(F.col("booking_status")))
-                 .drop("_gone"))
-    done = s.write("outcomes", replay(s.due(upto), _seats_left(schedules, s.prior("deltas")), known, routes))
-    booked = done.where("kind = 'book' and outcome = 'accepted'")
-    freed = done.where("kind = 'cancel' and outcome = 'cancelled'")
-    s.write("accepted", booked.select(F.col("request_id").alias("booking_ref"), "schedule_id", "seat_number",
-                                      F.lit("confirmed").alias("booking_status")))
-    s.write("cancelled", freed.select("booking_ref").distinct())
-    s.write("deltas", booked.select("schedule_id", F.lit(-1).alias("delta"))
-            .unionByName(freed.select("schedule_id", F.lit(1).alias("delta")))
-            .groupBy("schedule_id").agg(F.sum("delta").alias("delta")))
-    s.close(upto)
-
-
-def run_booking_stream(spark: SparkSession, requests: DataFrame, schedules: DataFrame,
-                       bookings: DataFrame, routes: DataFrame, out: str) -> DataFrame:
-    """``requests``: kind ('book' | 'cancel'), request_id, ts, user_id,
-    schedule_id, seat_number, payment_method (book) and booking_ref (cancel);
-    an accepted booking's reference is its request id."""
-    s = Slices(spark, out)
-    s.land(requests)
-    replay_due(s, schedules, bookings, routes)
-    return spark.read.parquet(f"{out}/outcomes").select(
-        "request_id", "kind", "schedule_id", "seat_number", "booking_ref", "outcome", "amount_paid")
-
-
 # SC11: notification log rows from outbox rows and delivery receipts.
 def notification_log(outbox_rows: DataFrame, receipts: DataFrame) -> DataFrame:
     """outbox_rows: booking_ref, type, channel, subject, message (STR5);
