@@ -249,8 +249,7 @@ def test_scalar_expressions(spark):
                                "i int, p string, pct double, ts timestamp_ntz")
     r = df.select(X.seat_label("i").alias("s"), X.phone_e164("p").alias("e"),
                   X.occupancy_band("pct").alias("b"), X.shift_of_day("ts").alias("sh"),
-                  X.qr_ref("ts").alias("q"), X.booking_ref(F.col("p"), F.lit(0)).alias("ref")
-                  ).collect()
+                  X.qr_ref("ts").alias("q")).collect()
     assert [x.s for x in r] == ["1A", "2B"]
     assert [x.e for x in r] == ["+966551234567", "+15550001"]
     assert [x.b for x in r] == ["red", "green"]
@@ -262,34 +261,6 @@ def test_scalar_expressions(spark):
         millis, d = divmod(millis, 36)
         b36 = digits[d] + b36
     assert r[0].q == "RWSA-" + b36
-    for x in r:
-        assert x.ref.startswith("BK-") and len(x.ref) == 8
-        assert all(ch in X.BOOKING_REF_ALPHABET for ch in x.ref[3:])
-
-
-def test_assign_booking_refs_unique(spark):
-    rows = spark.range(3000).select(F.concat(F.lit("q"), F.col("id").cast("string"))
-                                    .alias("request_id"))
-    existing = rows.limit(50).select(X.booking_ref("request_id", F.lit(0)).alias("booking_ref"))
-    out = MU.assign_booking_refs(rows, existing, attempts=10)
-    assert out.count() == 3000
-    assert out.select("booking_ref").distinct().count() == 3000
-    taken = {r.booking_ref for r in existing.collect()}
-    assert not taken & {r.booking_ref for r in out.collect()}
-    assert out.where(F.col("ref_attempts") > 1).count() >= 50
-
-
-def test_booking_refs_run_out_and_spread(spark):
-    """A row without a free reference is refused; symbols are drawn evenly."""
-    rows = spark.range(3000).select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("request_id"))
-    got = MU.assign_booking_refs(rows, rows.limit(0).withColumnRenamed("request_id", "booking_ref"),
-                                 attempts=4, length=2).collect()
-    refs = [r.booking_ref for r in got if r.booking_ref is not None]
-    assert len(got) == 3000 and len(refs) == len(set(refs)) <= 1024
-    assert all(r.ref_attempts is None for r in got if r.booking_ref is None)
-    first = (spark.range(64000).select(F.substring(X.booking_ref(F.col("id").cast("string"), F.lit(0)), 4, 1)
-                                       .alias("c")).groupBy("c").count().collect())
-    assert len(first) == 32 and all(1600 < r["count"] < 2400 for r in first)
 
 
 def test_route_performance_equals_direct_fan_out(spark):

@@ -134,17 +134,6 @@ def qr_ref(ts) -> Column:
     return F.concat(F.lit(QR_PREFIX), F.upper(F.conv(millis.cast("string"), 10, 36)))
 
 
-# SC8: deterministic booking reference: BOOKING_REF_LEN base-32 digits of
-# xxhash64(key, attempt).  Collisions are re-salted by mutate.assign_booking_refs.
-# A hash gives 12 symbols; longer references take a further hash.
-def booking_ref(key, attempt, length: int = BOOKING_REF_LEN) -> Column:
-    digits = [F.substring(F.lit(BOOKING_REF_ALPHABET),
-                          (F.pmod(F.shiftrightunsigned(F.xxhash64(c(key), c(attempt), F.lit(i // 12)),
-                                                       5 * (i % 12)), F.lit(32)) + 1).cast("int"), 1)
-              for i in range(length)]
-    return F.concat(F.lit(BOOKING_REF_PREFIX), *digits)
-
-
 # SC9: phone to E.164: '+...' kept, else country prefix + number without its first char.
 def phone_e164(p) -> Column:
     return (F.when(c(p).isNull(), F.lit(None).cast("string"))

@@ -400,59 +400,6 @@ def purge_expired(tokens: DataFrame, as_of_ts) -> DataFrame:
     return tokens.where(F.col("expires_at") > X.ntz(as_of_ts))
 
 
-# SC8: booking references; a row may try ``attempts`` times.
-def assign_booking_refs(rows: DataFrame, existing: DataFrame, key: str = "request_id",
-                        attempts: int = 10, length: int = X.BOOKING_REF_LEN) -> DataFrame:
-    """Give rows a reference 'BK-' + ``length`` symbols of the 32-symbol alphabet.
-
-    Try 1, 2, ...: a row takes its drawn reference when no stored booking
-    has it, no row took it in an earlier try, and it is the smallest key
-    that draws it now.  A row without a free draw after ``attempts`` tries
-    is refused: booking_ref and ref_attempts are NULL, as the database
-    refuses a row that repeats a UNIQUE value.  32^length references exist;
-    choose the length so that the bookings fill a small share of them.
-
-    All draws are made at once and only draws that meet a stored reference
-    are dropped by a join with the stored ones (once, whatever the number of
-    tries); the tries are then rounds over the drawn references, each
-    checkpointed, until nothing is pending.
-    """
-    tries = F.explode(F.array(*[
-        F.struct(F.lit(a + 1).alias("ref_attempts"), X.booking_ref(key, F.lit(a), length).alias("booking_ref"))
-        for a in range(attempts)]))
-    drawn = rows.select(F.col(key).alias("_key"), tries.alias("_t")).select("_key", "_t.*")
-    stored = existing.select(F.col("booking_ref").alias("_ref"))
-    pending = drawn.join(stored, drawn.booking_ref == stored["_ref"], "left_anti").checkpoint(eager=True)
-    given = None
-    for a in range(1, attempts + 1):
-        now = pending.where(F.col("ref_attempts") == a)
-        won = now.groupBy("booking_ref").agg(F.min("_key").alias("_key")) \
-            .withColumn("ref_attempts", F.lit(a))
-        given = won if given is None else given.unionByName(won)
-        keys, refs = won.select("_key"), won.select("booking_ref")
-        pending = (pending.where(F.col("ref_attempts") > a).join(keys, "_key", "left_anti")
-                   .join(refs, "booking_ref", "left_anti").checkpoint(eager=True))
-        if pending.isEmpty():
-            break
-    return rows.join(given, rows[key] == given["_key"], "left").drop("_key")
-
-
-# SNK1 (bookings): accepted requests as booking rows.
-def new_bookings(accepted: DataFrame, users: DataFrame, existing: DataFrame,
-                 length: int = X.BOOKING_REF_LEN) -> DataFrame:
-    """Accepted requests (ADM1) as rows of the bookings table: confirmed and
-    paid, with a reference (SC8), a QR reference of the request time (SC7)
-    and the user's name as passenger.  Requests that no reference is left
-    for are not among the rows."""
-    u = users.select(F.col("id").alias("_uid"), F.col("first_name").alias("passenger_first"),
-                     F.col("last_name").alias("passenger_last"))
-    rows = assign_booking_refs(accepted, existing, length=length).where(F.col("booking_ref").isNotNull())
-    return rows.join(u, rows.user_id == u["_uid"], "left").select(
-        "request_id", "booking_ref", "user_id", "schedule_id", "seat_number", "amount_paid", "payment_method",
-        F.lit("paid").alias("payment_status"), F.lit("confirmed").alias("booking_status"),
-        F.col("ts").alias("created_at"), "passenger_first", "passenger_last", X.qr_ref("ts").alias("qr_ref"))
-
-
 class UserCreation(NamedTuple):
     users: DataFrame
     permissions: DataFrame

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackyard.functions import expr as X
 from trackyard.operators import filters as FL
 from trackyard.operators import mutate as MU
+from trackyard.operators import references as R
 from trackyard.plans.q_seats import ADMISSION_SQL
 from trackyard.plans.registry import query
 from trackyard.sources import requests as RQ
@@ -394,8 +395,8 @@ def cancellation_notices(t):
 
 def _codes(t):
     """Accepted admission requests as full booking rows (references, payment, status, passenger)."""
-    from trackyard.plans.q_seats import _admission
-    return MU.new_bookings(_admission(t).accepted, t.users, t.bookings)
+    history, requests = RQ.history_and_requests(t)
+    return R.book(requests, t.schedules, history, t.routes, t.users).bookings
 
 
 @query("new_booking_codes", ADMISSION_SQL + """

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from trackyard.operators import mutate as MU
+from trackyard.operators import references as R
 from trackyard.operators import seats as S
 from trackyard.plans.registry import query
 from trackyard.sources import requests as RQ
@@ -133,6 +134,6 @@ FROM schedules s LEFT JOIN d ON d.schedule_id = s.id
 """)
 def schedules_after_admission(t):
     """SNK8: seat counters after applying the admission's -1 per accepted booking."""
-    adm = _admission(t)
-    out = MU.apply_deltas(t.schedules, adm.deltas)
+    history, requests = RQ.history_and_requests(t)
+    out = MU.apply_deltas(t.schedules, R.book(requests, t.schedules, history, t.routes, t.users).deltas)
     return out.select("id", "total_seats", "available_seats")
