@@ -238,12 +238,26 @@ def test_revenue_stream_counts_late_rows(spark):
         "2026-01-01": (1, 99.0), "2026-01-10": (2, 15.0), "2026-01-11": (1, 2.0), "2026-01-12": (1, 7.0)}
 
 
-def test_outbox_deduplicates_across_batches(spark, seed):
+@pytest.mark.parametrize("repeats", ["7 days", "0 seconds"])
+def test_outbox_deduplicates_across_batches(spark, seed, repeats):
+    """With a horizon in the state store; without one, by the messages already written."""
     b = seed.bookings.where(F.col("booking_status") == "confirmed").first()
     row = tuple(b[c] for c in SC.BOOKINGS.fieldNames())
-    rows = [row + (0,), row + (1,), row + (1,)]
-    stream = _file_stream(spark, rows, SC.BOOKINGS.simpleString()[7:-1].replace(":", " "),
-                          "outbox-dup")
+    other = ("BK-OTHER", *row[1:])
+    rows = [(*row, 0), (*row, 1), (*row, 1), (*other, 2), (*row, 3), (*other, 3)]
+    stream = _file_stream(spark, rows, SC.BOOKINGS.simpleString()[7:-1].replace(":", " "), "outbox-dup")
     out = scratch_path(spark, "outbox-dup-out")
-    got = J.run_outbox_stream(spark, stream, seed.schedules, seed.routes, seed.stations, seed.users, out)
-    assert got.select("booking_ref", "type").distinct().count() == got.count() == 2  # sms + email
+    got = J.run_outbox_stream(spark, stream, seed.schedules, seed.routes, seed.stations, seed.users, out, repeats)
+    assert got.select("booking_ref", "type").distinct().count() == got.count() == 4  # sms + email
+    assert spark.read.parquet(out).select("batch_id").distinct().count() == 2
+
+
+def test_outbox_files_are_bounded(spark):
+    """Bookings of many days make no more files than there are shuffle partitions."""
+    out = scratch_path(spark, "outbox-files")
+    t = J.StreamingRail(spark, "/root/testdata/sf0.001", ["lineitem"])
+    static = J.RailTables(spark, "/root/testdata/sf0.001", materialize=True)
+    got = J.run_outbox_stream(spark, t.bookings, static.schedules, static.routes, static.stations, static.users, out)
+    files = [f.split("/")[-2] for f in got.inputFiles()]
+    assert files and all(files.count(batch) <= int(spark.conf.get("spark.sql.shuffle.partitions")) for batch in files)
+    assert spark.read.parquet(out).selectExpr("count(DISTINCT to_date(created_at))").first()[0] > 100

@@ -12,8 +12,8 @@ No answer depends on how rows are dealt to files, batches or arrival times:
 * Running totals (STR1, STR3, STR4) are additive: a batch writes its own
   sums per key, the reader adds them up, and ``COMPACT_EVERY`` batches are
   folded into one.  There is no watermark, so no row is ever too late.
-* The outbox (STR5) drops references that an earlier batch wrote, looked up
-  in the days of the batch only.
+* The outbox (STR5) drops repeated references: recent ones by the state store, older ones by the
+  messages already written.
 * Bookings and cancels (STR2) are decided by keyed state in event-time order: ``seat_state``.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,25 +167,50 @@ def outbox(bookings: DataFrame, schedules: DataFrame, routes: DataFrame, station
     return X.notices(j, sms, mail, ["booking_ref", "created_at"]).withColumn("status", F.lit("pending"))
 
 
+REPEATS = "7 days"      # of arrival, within which a repeated reference is known from the state store
+
+
+def first_deliveries(bookings: DataFrame, repeats: str = REPEATS) -> DataFrame:
+    """Confirmed bookings of a stream, each reference once within ``repeats`` of arrival.
+
+    The clock is the arrival (the micro-batch's time, which a retried batch keeps), so no row is late
+    however old its booking is; the state store forgets a reference after the horizon.
+    """
+    seen = bookings.where(F.col("booking_status") == "confirmed").withColumn("arrived", F.current_timestamp())
+    return seen.withWatermark("arrived", repeats).dropDuplicatesWithinWatermark(["booking_ref"]).drop("arrived")
+
+
 def run_outbox_stream(spark: SparkSession, bookings: DataFrame, schedules: DataFrame, routes: DataFrame,
-                      stations: DataFrame, users: DataFrame, out: str) -> DataFrame:
-    """Messages of new references per micro-batch, stored by booking day.
+                      stations: DataFrame, users: DataFrame, out: str, repeats: str = REPEATS) -> DataFrame:
+    """Messages of new references per micro-batch.
+
+    Repeats within the horizon end in the state store.  Older ones are looked up among the written
+    messages: a repeated delivery carries the booking's own creation time, and the messages are stored in
+    ranges of it, so only files of the batch's own span are read.  A batch writes at most
+    ``spark.sql.shuffle.partitions`` files.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held: list[DataFrame] = []
+
+    def release(_: int) -> None:
+        while held:
+            held.pop().unpersist()
 
-    A reference that an earlier batch wrote is dropped; a repeated delivery
-    carries the booking's own creation time, so only the days of the batch
-    are looked up (partition pruning)."""
     def process(df: DataFrame, batch_id: int) -> DataFrame:
-        b = df.withColumn("day", _day("created_at"))
         earlier = read_batches(spark, out)
         if earlier is not None:
-            days = b.select("day").distinct()
-            known = (earlier.where(F.col("batch_id") < batch_id).join(days, "day", "left_semi")
-                     .select("day", "booking_ref").distinct())
-            b = b.join(known, ["day", "booking_ref"], "left_anti")
-        return outbox(b, schedules, routes, stations, users).withColumn("day", _day("created_at"))
-
-    run_batches(bookings, out, process, partition_by=["day"])
-    return spark.read.parquet(out).drop("batch_id", "day", "created_at")
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)      # the state is asked once for both uses
+            held.append(df)
+            span = df.agg(F.min("created_at").alias("low"), F.max("created_at").alias("high")).first()
+            if span.low is not None:
+                known = earlier.where((F.col("batch_id") < batch_id)
+                                      & F.col("created_at").between(X.ntz(span.low), X.ntz(span.high)))
+                df = df.join(known.select("booking_ref").distinct(), "booking_ref", "left_anti")
+        return (outbox(df, schedules, routes, stations, users)
+                .repartitionByRange(parts, "created_at").sortWithinPartitions("created_at"))
+
+    run_batches(first_deliveries(bookings, repeats), out, process, after=release)
+    return spark.read.parquet(out).drop("batch_id", "created_at")
 
 
 def run_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
