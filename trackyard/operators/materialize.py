@@ -11,19 +11,23 @@ from trackyard.functions import expr as X
 
 
 # MAT1
-def revenue_daily(bookings: DataFrame, cancel_ts: str = "cancelled_at") -> DataFrame:
+def revenue_daily(bookings: DataFrame, cancel_ts: str = "cancelled_at", days: DataFrame | None = None) -> DataFrame:
     """Per day: paid revenue and bookings by creation day; cancellations and
     refunded amount by cancellation day (creation day when the snapshot has
-    no cancellation time).  Two aggregations joined by date (full outer)."""
+    no cancellation time).  Two aggregations joined by date (full outer).
+    ``days`` (report_date): only those days; other bookings reach no aggregation."""
     ct = F.col(cancel_ts) if cancel_ts in bookings.columns else F.col("created_at")
-    made = bookings.groupBy(F.to_date("created_at").alias("report_date")).agg(
+
+    def on(df: DataFrame, ts) -> DataFrame:
+        df = df.withColumn("report_date", F.to_date(ts))
+        return df if days is None else df.join(days.select("report_date"), "report_date", "left_semi")
+
+    made = on(bookings, "created_at").groupBy("report_date").agg(
         F.sum(F.when(F.col("payment_status") == "paid", F.col("amount_paid"))).alias("_rev"),
         F.count(F.lit(1)).alias("_n"))
-    canc = (bookings.where(F.col("booking_status") == "cancelled")
-            .groupBy(F.to_date(ct).alias("report_date")).agg(
-                F.count(F.lit(1)).alias("_c"),
-                F.sum(F.when(F.col("payment_status") == "refunded", F.col("amount_paid")))
-                 .alias("_ref")))
+    canc = on(bookings.where(F.col("booking_status") == "cancelled"), ct).groupBy("report_date").agg(
+        F.count(F.lit(1)).alias("_c"),
+        F.sum(F.when(F.col("payment_status") == "refunded", F.col("amount_paid"))).alias("_ref"))
     j = made.join(canc, "report_date", "full")
     return j.select(
         "report_date",
@@ -38,9 +42,47 @@ def refresh_revenue_daily(existing: DataFrame, bookings: DataFrame, days: DataFr
     bookings: those days are recomputed from all bookings created or cancelled
     on them and replace the stored rows; other days stay."""
     d = days.select("report_date").distinct()
-    fresh = revenue_daily(bookings).join(d, "report_date", "left_semi")
     kept = existing.join(d, "report_date", "left_anti")
-    return kept.unionByName(fresh.select(*existing.columns))
+    return kept.unionByName(revenue_daily(bookings, days=d).select(*existing.columns))
+
+
+# MAT1, kept up by what changed
+SUMS = {"total_revenue": "decimal(14,2)", "total_bookings": "bigint", "cancelled": "bigint", "refunded": "decimal(14,2)"}
+
+
+def booking_changes(before: DataFrame | None, after: DataFrame | None) -> DataFrame:
+    """Change rows (sign, and the columns that the daily sums read): the rows as they were count -1, as they are now +1.
+
+    before: old images of updated and deleted rows; after: new images of updated and inserted rows.
+    """
+    def images(df: DataFrame, sign: int) -> DataFrame:
+        gone = F.coalesce(*[F.col(c) for c in ("cancelled_at", "created_at") if c in df.columns])
+        return df.select(F.lit(sign).alias("sign"), F.to_date("created_at").alias("made"), F.to_date(gone).alias("gone"),
+                         "amount_paid", "payment_status", "booking_status")
+    parts = [images(df, sign) for df, sign in ((before, -1), (after, 1)) if df is not None]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def revenue_daily_deltas(existing: DataFrame, changes: DataFrame) -> DataFrame:
+    """The stored table after ``changes`` (``booking_changes``), read from nothing else.
+
+    Each image adds its sums, with its sign, to the day it was made and to the day it was cancelled
+    (``cancelled_at``, else the day it was made).  A day left without bookings and cancellations goes.
+    """
+    sign, amount = F.col("sign"), F.col("amount_paid")
+    zero, none = F.lit(0), F.lit(0).cast("decimal(14,2)")
+    money = (sign * amount).cast("decimal(14,2)")
+    made = F.struct(F.col("made").alias("report_date"), F.when(F.col("payment_status") == "paid", money).otherwise(none).alias("total_revenue"),
+                    sign.alias("total_bookings"), zero.alias("cancelled"), none.alias("refunded"))
+    gone = F.struct(F.col("gone").alias("report_date"), none.alias("total_revenue"), zero.alias("total_bookings"),
+                    sign.alias("cancelled"), F.when(F.col("payment_status") == "refunded", money).otherwise(none).alias("refunded"))
+    cells = F.when(F.col("booking_status") == "cancelled", F.array(made, gone)).otherwise(F.array(made))
+    deltas = (changes.select(F.explode(cells).alias("c")).select("c.*").groupBy("report_date")
+              .agg(*[F.sum(c).alias(f"_d_{c}") for c in SUMS]))
+    j = existing.join(deltas.withColumnRenamed("report_date", "_day"), F.col("report_date").eqNullSafe(F.col("_day")), "full")
+    new = j.select(F.coalesce("report_date", "_day").alias("report_date"),
+                   *[(F.coalesce(c, F.lit(0)) + F.coalesce(f"_d_{c}", F.lit(0))).cast(t).alias(c) for c, t in SUMS.items()])
+    return new.where("total_bookings <> 0 OR cancelled <> 0")
 
 
 # MAT2

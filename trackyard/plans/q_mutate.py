@@ -11,7 +11,9 @@ from trackyard.operators import mutate as MU
 from trackyard.operators import references as R
 from trackyard.plans.q_seats import ADMISSION_SQL
 from trackyard.plans.registry import query
+from trackyard.session import scratch_path
 from trackyard.sources import requests as RQ
+from trackyard.sources.layout import PartitionedTable
 from trackyard.sources.tables import AS_OF
 
 TOKEN_AS_OF = dt.datetime(2024, 1, 20)
@@ -200,7 +202,7 @@ ld AS (SELECT id, delay_minutes FROM (SELECT id, delay_minutes, row_number() OVE
 """
 
 
-def _patch(t):
+def _patch(t, schedules=None):
     e = t.events
     et = F.col("event_type")
     p = e.select(
@@ -210,7 +212,7 @@ def _patch(t):
         F.when(et == "view", 0).cast("int").alias("total_seats"),
         F.when(et.isin("click", "error"), F.floor("value").cast("int")).alias("delay_minutes"),
         et.isin("click", "error").alias("has_delay_minutes"), "ts", "event_id")
-    return MU.patch(t.schedules, p, ["id"], falsy_keeps=["status", "total_seats"],
+    return MU.patch(t.schedules if schedules is None else schedules, p, ["id"], falsy_keeps=["status", "total_seats"],
                     present_wins=["delay_minutes"], order=["ts", "event_id"])
 
 
@@ -226,6 +228,21 @@ def patch_schedules(t):
                                   "delay_minutes")
 
 
+@query("patch_schedules_in_place", _PATCHES + """
+SELECT s.id, s.train_id, COALESCE(lt.total_seats, s.total_seats) AS total_seats, s.available_seats,
+       COALESCE(ls.status, s.status) AS status,
+       CASE WHEN ld.id IS NOT NULL THEN ld.delay_minutes ELSE s.delay_minutes END AS delay_minutes
+FROM schedules s LEFT JOIN ls ON ls.id = s.id LEFT JOIN lt ON lt.id = s.id LEFT JOIN ld ON ld.id = s.id
+""")
+def patch_schedules_in_place(t):
+    """SNK6/SNK7: the same patches on a stored table in monthly partitions; only those of patched trips are rewritten."""
+    table = PartitionedTable.build(t.schedules, scratch_path(t.spark, "schedules_by_month"), "id",
+                                   F.date_format("travel_date", "yyyy-MM"))
+    ids = t.events.select(F.floor(F.col("event_id") / 2).cast("bigint").alias("id"))
+    table.rewrite(ids, lambda rows: _patch(t, rows).table)
+    return table.read().select("id", "train_id", "total_seats", "available_seats", "status", "delay_minutes")
+
+
 @query("patch_outcomes", _PATCHES + """
 SELECT p.id, COUNT(*) AS patches, CASE WHEN s.id IS NULL THEN 'not_found' ELSE 'updated' END AS outcome
 FROM p LEFT JOIN schedules s ON s.id = p.id GROUP BY p.id, s.id

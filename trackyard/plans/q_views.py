@@ -1,5 +1,8 @@
 """Registered view, filter, paging and lookup queries (JN*, PRJ*, FLT*, LIM1, SRC2)."""
 
+import datetime as dt
+import decimal
+
 from pyspark.sql import functions as F
 
 from trackyard.functions import expr as X
@@ -8,6 +11,8 @@ from trackyard.operators import metrics as M
 from trackyard.operators import views as V
 from trackyard.plans.rail_sql import TRIPS
 from trackyard.plans.registry import query
+from trackyard.session import scratch_path
+from trackyard.sources.layout import PageIndex
 from trackyard.sources import requests as RQ
 from trackyard.sources.tables import AS_OF
 
@@ -243,6 +248,27 @@ def booking_visibility(t):
     return FL.visibility_counts(t.users, t.bookings)
 
 
+_NEWEST = [("created_at", False), ("booking_ref", False), ("amount_paid", True), ("user_id", True)]
+_NEWEST_SQL = "SELECT * REPLACE (CAST(amount_paid AS DOUBLE) AS amount_paid) FROM bookings %s ORDER BY created_at DESC, booking_ref DESC, amount_paid, user_id LIMIT 20 %s"
+
+
+def _page_index(t):
+    return PageIndex.build(t.bookings, scratch_path(t.spark, "booking_pages"), _NEWEST, rows_per_part=20_000)
+
+
+@query("booking_deep_page", _NEWEST_SQL % ("", "OFFSET 30000"))
+def booking_deep_page(t):
+    """LIM1: page 1501 of all bookings, newest first, from the page index (only the parts that hold it are read)."""
+    return _page_index(t).page(1501, 20)
+
+
+@query("booking_next_page", _NEWEST_SQL % ("WHERE created_at < TIMESTAMP '1998-06-15'", ""))
+def booking_next_page(t):
+    """LIM1: the 20 bookings after a given key, newest first, from the page index."""
+    # the key just before all bookings of earlier days
+    return _page_index(t).after([dt.datetime(1998, 6, 15), "", decimal.Decimal("1e9"), 1 << 60], 20)
+
+
 def _visible(t, viewer, role):
     v = FL.visible_to(V.booking_view(t.bookings, t.schedules, t.routes, t.stations), viewer, role)
     return FL.filter_where(v, booking_status="pending")

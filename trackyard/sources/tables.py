@@ -68,6 +68,11 @@ class Storage:
         p, fs = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
 
+    def remove(self, path: str) -> None:
+        """Delete a file, or a folder with all it holds."""
+        p, fs = self._at(path)
+        fs.delete(p, True)
+
     def read_marker(self, path: str) -> str | None:
         p, fs = self._at(path)
         return self.spark.read.text(path).first()[0] if fs.exists(p) else None
