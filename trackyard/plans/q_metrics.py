@@ -39,35 +39,33 @@ def route_performance(t):
 
 
 @query("overview", """
-, days AS (
-  SELECT status, list(total_seats) AS seats, list(available_seats) AS free
+, trips_by_status AS (
+  SELECT status, count(*) AS n, sum(total_seats) AS seats, sum(available_seats) AS free
   FROM schedules WHERE travel_date = DATE '1998-06-15' GROUP BY status
-), trips AS (
-  SELECT CAST(coalesce(sum(len(seats)), 0) AS BIGINT) AS trips_today,
-         CAST(coalesce(sum(len(seats)) FILTER (status = 'active'), 0) AS BIGINT) AS on_time,
-         CAST(coalesce(sum(len(seats)) FILTER (status = 'delayed'), 0) AS BIGINT) AS delayed,
-         CAST(coalesce(sum(len(seats)) FILTER (status = 'cancelled'), 0) AS BIGINT) AS cancelled,
-         CAST(coalesce(sum(list_sum(seats)), 0) AS BIGINT) AS total_capacity,
-         CAST(coalesce(sum(list_sum(free)), 0) AS BIGINT) AS free
-  FROM days
-), money AS (
-  SELECT created_at::DATE = DATE '1998-06-15' AS today, date_part('month', created_at) = 6 AS june,
-         booking_status, count(*) AS n, sum(amount_paid) AS paid
-  FROM bookings SEMI JOIN (VALUES ('paid')) v(payment_status) USING (payment_status) GROUP BY ALL
-), people AS (
-  SELECT map_from_entries(list((role, n))) AS per_role, CAST(sum(n) AS BIGINT) AS total_users, CAST(sum(fresh) AS BIGINT) AS new_today
-  FROM (SELECT role, count(*) AS n, count(*) FILTER (created_at = DATE '1998-06-15') AS fresh
-        FROM users WHERE status = 'active' GROUP BY role)
+), paid_by_day AS (
+  SELECT created_at::DATE AS day, booking_status, count(*) AS n, sum(amount_paid) AS amount
+  FROM bookings WHERE payment_status = 'paid' GROUP BY ALL
+), users_by_role AS (
+  SELECT role, created_at AS day, count(*) AS n FROM users WHERE status = 'active' GROUP BY ALL
+), seats AS (
+  SELECT coalesce(sum(seats), 0) AS capacity, coalesce(sum(seats - free), 0) AS occupied FROM trips_by_status
 )
-SELECT trips_today, on_time, delayed, cancelled, total_capacity - free AS total_occupied, total_capacity,
-       (SELECT CAST(coalesce(sum(paid) FILTER (today), 0) AS DOUBLE) FROM money) AS revenue_today,
-       (SELECT CAST(coalesce(sum(paid) FILTER (june), 0) AS DOUBLE) FROM money) AS revenue_month,
-       (SELECT CAST(coalesce(sum(n) FILTER (booking_status = 'confirmed'), 0) AS BIGINT) FROM money) AS active_bookings,
-       (SELECT CAST(coalesce(sum(n) FILTER (today), 0) AS BIGINT) FROM money) AS bookings_today,
-       total_users, coalesce(per_role['passenger'], 0) AS passengers, coalesce(per_role['staff'], 0) AS staff,
-       coalesce(per_role['admin'], 0) AS admins, new_today,
-       coalesce(round(100 * (1 - free / nullif(total_capacity, 0)), 1), 0) AS occupancy_pct
-FROM trips, people
+SELECT (SELECT coalesce(sum(n), 0)::BIGINT FROM trips_by_status) AS trips_today,
+       (SELECT coalesce(sum(n), 0)::BIGINT FROM trips_by_status WHERE status = 'active') AS on_time,
+       (SELECT coalesce(sum(n), 0)::BIGINT FROM trips_by_status WHERE status = 'delayed') AS delayed,
+       (SELECT coalesce(sum(n), 0)::BIGINT FROM trips_by_status WHERE status = 'cancelled') AS cancelled,
+       occupied::BIGINT AS total_occupied, capacity::BIGINT AS total_capacity,
+       (SELECT coalesce(sum(amount), 0)::DOUBLE FROM paid_by_day WHERE day = DATE '1998-06-15') AS revenue_today,
+       (SELECT coalesce(sum(amount), 0)::DOUBLE FROM paid_by_day WHERE month(day) = 6) AS revenue_month,
+       (SELECT coalesce(sum(n), 0)::BIGINT FROM paid_by_day WHERE booking_status = 'confirmed') AS active_bookings,
+       (SELECT coalesce(sum(n), 0)::BIGINT FROM paid_by_day WHERE day = DATE '1998-06-15') AS bookings_today,
+       (SELECT coalesce(sum(n), 0)::BIGINT FROM users_by_role) AS total_users,
+       (SELECT coalesce(sum(n), 0)::BIGINT FROM users_by_role WHERE role = 'passenger') AS passengers,
+       (SELECT coalesce(sum(n), 0)::BIGINT FROM users_by_role WHERE role = 'staff') AS staff,
+       (SELECT coalesce(sum(n), 0)::BIGINT FROM users_by_role WHERE role = 'admin') AS admins,
+       (SELECT coalesce(sum(n), 0)::BIGINT FROM users_by_role WHERE day = DATE '1998-06-15') AS new_today,
+       CASE WHEN capacity > 0 THEN round(100.0 * occupied / capacity, 1) ELSE 0 END::DOUBLE AS occupancy_pct
+FROM seats
 """)
 def overview(t):
     """AGG1-AGG4: one-row day overview (trips, occupancy, revenue, users)."""

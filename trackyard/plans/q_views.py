@@ -29,7 +29,7 @@ _SCHEDULES = TRIPS + _TRIP_COLUMNS + "FROM trip"
 _BOOKINGS = TRIPS + _SALE_COLUMNS + "FROM sale"
 
 _SEARCH_WHERE = """
-WHERE (status, class) = ('active', 'Economy') AND (from_code = 'ATION_1' OR contains(upper(from_name_en), 'ATION_1'))
+WHERE status = 'active' AND class = 'Economy' AND (from_code = 'ATION_1' OR from_name_en ILIKE '%ATION_1%')
 """
 
 
@@ -106,6 +106,14 @@ def schedule_search(t):
     return _schedule_search(t).orderBy("travel_date", "departure_time", "id")
 
 
+@query("schedule_search_wildcards", _SCHEDULES + """
+WHERE (from_code = 'n_ti%n' OR from_name_en ILIKE '%n_ti%n%') AND (to_code = '__2' OR to_name_en ILIKE '%__2%')
+""")
+def schedule_search_wildcards(t):
+    """FLT2: wildcards that the user types act as wildcards."""
+    return FL.match_station(V.schedule_view(t.schedules, t.routes, t.stations), from_="n_ti%n", to="__2")
+
+
 @query("schedule_page", _SCHEDULES + _SEARCH_WHERE
        + "ORDER BY travel_date, departure_time, id LIMIT 20 OFFSET 40")
 def schedule_page(t):
