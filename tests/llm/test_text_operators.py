@@ -241,6 +241,26 @@ def test_pii_query(spark, rows, use):
     assert got == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab@.1+- é", max_size=60))
+def test_pii_contexts(text):
+    """The eight terms on either side, whatever their length."""
+    spans = P.base_spans(text)
+    inside = {i for _, s, e in spans for i in range(s, e)}
+    term = re.compile(r"[A-Za-z\x80-\U0010ffff]+")
+    for found, (_, s, e) in zip(P.contexts(text, spans, 3), spans):
+        near = [m.span() for m in term.finditer(text, 0, s)][-3:] + [m.span() for m in term.finditer(text, e)][:3]
+        assert [(t["start"], t["end"]) for t in found["terms"]] == [(a, b) for a, b in near if not inside & set(range(a, b))]
+    assert len(P.contexts(text, spans)) == len(spans)
+
+
+def test_pii_contexts_of_long_words():
+    words = ["supercalifragilisticexpialidociousabcdefghijk" + chr(97 + i) * 50 for i in range(16)]
+    text = " ".join([*words[:8], "a.b@c.de", *words[8:]])
+    (found,) = P.contexts(text, P.base_spans(text))
+    assert [text[t["start"]:t["end"]] for t in found["terms"]] == words
+
+
 def pii_corpus():
     rnd = random.Random(5)
     noise = [f"n{c}{d}{e}" for c in "abcdefgh" for d in "klmnop" for e in "uvwxyz"]
