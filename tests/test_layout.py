@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from trackyard.operators import materialize as MT
 from trackyard.operators import mutate as MU
 from trackyard.session import scratch_path
-from trackyard.sources.layout import PageIndex, PartitionedTable
+from trackyard.operators.filters import search
+from trackyard.sources.layout import PageIndex, PartitionedTable, TextIndex
 
 
 def _files(df):
@@ -133,3 +134,21 @@ def test_refresh_reads_the_days_only(spark):
     days = spark.createDataFrame([(dt.date(2026, 1, 2),)], "report_date date")
     got = {str(r.report_date): (r.total_bookings, r.cancelled) for r in MT.refresh_revenue_daily(stale, b, days).collect()}
     assert got == {"2026-01-01": (99, 0), "2026-01-02": (1, 1), "2026-01-03": (99, 0)}
+
+
+def test_text_index_equals_the_scan(spark):
+    rnd = random.Random(3)
+    rows = [(i, f"Name{i:04d} {rnd.choice(['Ünal', 'O_Neil', '100%', 'back'])}", None if i % 7 == 0 else f"a{i % 50}@X.org")
+            for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, name string, mail string").repartition(5)
+    index = TextIndex.build(df, scratch_path(spark, "text"), ["name", "mail"], ["name"], rows_per_part=100)
+    parts = index.spark.read.parquet(f"{index.path}/index").count()
+    assert parts >= 15
+    for text, few in (("name0123", True), ("AME01_4", True), ("me1%nal", False), ("ü", False), ("00", False), ("A7@x", False),
+                      ("O\\_Ne", False), ("nowhere", True), ("%", False), ("xyz_", True)):
+        got = index.search(text)
+        want = sorted(map(tuple, search(df, ["name", "mail"], text).collect()), key=str)
+        assert sorted(map(tuple, got.collect()), key=str) == want, text
+        if few:
+            assert len(index.parts(text)) <= 3, text
+    assert TextIndex.required("ab_cd%efgh\\%ij") == sorted(["efg", "fgh", "gh%", "h%i", "%ij"])

@@ -11,6 +11,7 @@ that it falls back to a shuffle join, and AQE splits skewed partitions.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,6 +145,14 @@ def lookup(view: DataFrame, key_col: str, keys: DataFrame, keys_key: str | None
     return out.withColumn("found", F.coalesce(F.col("_found"), F.lit(0))).drop("_found")
 
 
+def booking_lookup(keys: DataFrame, bookings: DataFrame, schedules: DataFrame, routes: DataFrame,
+                   stations: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """SRC2 over the booking star: the keys (booking_ref) meet the bookings first, and only bookings
+    that were asked for meet trips, routes and stations."""
+    asked = bookings.join(keys.select("booking_ref").distinct(), "booking_ref", "left_semi")
+    return lookup(booking_view(asked, schedules, routes, stations).select("booking_ref", *columns), "booking_ref", keys)
+
+
 def travelled(bookings: DataFrame) -> DataFrame:
     """Bookings that count as passengers (confirmed or completed)."""
     return bookings.where(F.col("booking_status").isin(*TRAVELLED))

@@ -9,6 +9,7 @@ from trackyard.operators import materialize as MT
 from trackyard.plans.q_mutate import _CANCEL_REQ, _cancel, _new_trips, _patch
 from trackyard.operators import mutate as MU
 from trackyard.plans.registry import query
+from trackyard.session import scratch_path
 from trackyard.sources.requests import AS_OF_TS
 from trackyard.sources.tables import AS_OF
 
@@ -99,7 +100,7 @@ def occupancy_snapshot(t):
     return MT.occupancy_snapshot(t.schedules, t.bookings, SNAPSHOT_AT)
 
 
-@query("audit_schedules", """
+_AUDIT_SQL = """
 , p AS (
   SELECT event_id // 2 AS id,
          CASE WHEN event_type = 'error' THEN 'cancelled' WHEN event_type = 'purchase' THEN 'active' ELSE '' END AS status,
@@ -129,12 +130,29 @@ del AS (SELECT id, 'schedules' AS entity_type, 'deleted' AS action, CAST(NULL AS
         FROM schedules s WHERE NOT EXISTS (SELECT 1 FROM bookings b WHERE b.schedule_id = s.id))
 SELECT * FROM upd WHERE id NOT IN (SELECT id FROM del)
 UNION ALL SELECT * FROM ins UNION ALL SELECT * FROM del
-""")
-def audit_schedules(t):
-    """MAT3/SC21: audit rows, with old and new values as JSON, between the schedules
-    table and its state after patches, appended trips and guarded deletes."""
+"""
+
+
+def _audited(t):
+    """The schedules before and after patches, appended trips and guarded deletes."""
     cols = ["id", "status", "delay_minutes"]
     patched = _patch(t).table
     appended = MU.append_schedules(patched, t.routes, _new_trips(t)).table
     new = MU.delete_schedules(appended, t.bookings, t.schedules.select("id")).table
-    return MT.audit_diff(t.schedules.select(*cols), new.select(*cols), ["id"], "schedules")
+    return t.schedules.select(*cols), new.select(*cols)
+
+
+@query("audit_schedules", _AUDIT_SQL)
+def audit_schedules(t):
+    """MAT3/SC21: audit rows, with old and new values as JSON, between the schedules
+    table and its state after patches, appended trips and guarded deletes."""
+    return MT.audit_diff(*_audited(t), ["id"], "schedules")
+
+
+@query("audit_schedules_digests", _AUDIT_SQL)
+def audit_schedules_digests(t):
+    """MAT3: the same audit of two stored snapshots, joined only where their digests differ."""
+    old, new = _audited(t)
+    path = scratch_path(t.spark, "schedules_after")
+    new.write.parquet(path)
+    return MT.audit_diff_stored(old, t.spark.read.parquet(path), ["id"], "schedules")

@@ -6,13 +6,14 @@ import decimal
 from pyspark.sql import functions as F
 
 from trackyard.functions import expr as X
+from trackyard.operators import collation as CO
 from trackyard.operators import filters as FL
 from trackyard.operators import metrics as M
 from trackyard.operators import views as V
 from trackyard.plans.rail_sql import TRIPS
 from trackyard.plans.registry import query
 from trackyard.session import scratch_path
-from trackyard.sources.layout import PageIndex
+from trackyard.sources.layout import PageIndex, TextIndex
 from trackyard.sources import requests as RQ
 from trackyard.sources.tables import AS_OF
 
@@ -196,9 +197,8 @@ FROM req LEFT JOIN sale ON sale.booking_ref = req.booking_ref
 def booking_lookup(t):
     """SRC2: many keyed lookups at once (left join; found = 0 when missing)."""
     keys = RQ.cancel_requests(t).select("request_id", "booking_ref")
-    v = V.booking_view(t.bookings, t.schedules, t.routes, t.stations).select(
-        "booking_ref", "schedule_id", "booking_status", "train_id", "from_code", "to_code")
-    return V.lookup(v, "booking_ref", keys)
+    return V.booking_lookup(keys, t.bookings, t.schedules, t.routes, t.stations,
+                            ["schedule_id", "booking_status", "train_id", "from_code", "to_code"])
 
 
 @query("booking_cards", """
@@ -277,6 +277,65 @@ def booking_next_page(t):
     return _page_index(t).after([dt.datetime(1998, 6, 15), "", decimal.Decimal("1e9"), 1 << 60], 20)
 
 
+def _spelled(t):
+    """One address per event: a user's own in capitals with blanks behind it, or one that nobody has."""
+    odd = F.col("event_type") == "error"
+    return t.events.select("event_id", F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("user_id").cast("string"), 9, "0"),
+                                                F.when(odd, "@else.example  ").otherwise("@Example.COM  ")).alias("email"))
+
+
+_SPELLED_SQL = """
+, asked AS (SELECT event_id, concat('CUSTOMER#', lpad(CAST(user_id AS VARCHAR), 9, '0'),
+                                    if(event_type = 'error', '@else.example  ', '@Example.COM  ')) AS email FROM events),
+keyed AS (SELECT *, lower(rtrim(email)) AS k FROM asked)
+"""
+
+
+@query("emails_taken", _SPELLED_SQL + "SELECT event_id, email FROM keyed WHERE k IN (SELECT email FROM users)")
+def emails_taken(t):
+    """JN9 under the source's collation: addresses that a user has, whatever their spelling."""
+    return CO.text_join(_spelled(t), t.users.select("email"), "email", "left_semi")
+
+
+@query("emails_inserted", _SPELLED_SQL + """
+SELECT event_id, email, if(k NOT IN (SELECT email FROM users) AND event_id = min(event_id) OVER (PARTITION BY k), 'inserted', 'ignored') AS outcome
+FROM keyed
+""")
+def emails_inserted(t):
+    """SNK2 under the source's collation: insert-ignore of addresses, the first spelling wins."""
+    return CO.insert_ignore_text(t.users.select("email"), _spelled(t), "email", ["event_id"])
+
+
+@query("emails_repeated", _SPELLED_SQL + """
+SELECT 'unique' AS "check", 'users' AS table_name, 'email' AS column_name, min(email) AS value, count(*) AS rows
+FROM (SELECT email, k FROM keyed UNION ALL SELECT email, email FROM users) GROUP BY k HAVING count(*) > 1
+""")
+def emails_repeated(t):
+    """DQ1 under the source's collation: addresses that several rows hold."""
+    return CO.duplicate_texts(_spelled(t).select("email").unionByName(t.users.select("email")), "users", ["email"])
+
+
+@query("user_search_collated", """
+SELECT id, email, last_name FROM users
+WHERE contains(lower(email), 'ustomer#00000001') OR contains(lower(last_name), 'ustomer#00000001') OR contains(phone, 'ustomer#00000001')
+""")
+def user_search_collated(t):
+    """FLT3 under the source's collation: substring search without case and accents."""
+    return CO.search_text(t.users, ["email", "last_name", "phone"], "ÜSTOMER#00000001").select("id", "email", "last_name")
+
+
+@query("user_search_indexed", """
+SELECT id, email, first_name, last_name, national_id, phone FROM users
+WHERE email ILIKE '%r#0000001_3%' OR first_name ILIKE '%r#0000001_3%' OR last_name ILIKE '%r#0000001_3%'
+   OR national_id ILIKE '%r#0000001_3%' OR phone ILIKE '%r#0000001_3%'
+""")
+def user_search_indexed(t):
+    """FLT3 with trigram postings: the five-column search, a wildcard in the text, on the parts that can match."""
+    cols = ["email", "first_name", "last_name", "national_id", "phone"]
+    index = TextIndex.build(t.users, scratch_path(t.spark, "user_text"), cols, ["last_name", "id"], rows_per_part=500)
+    return index.search("R#0000001_3").select("id", *cols)
+
+
 def _visible(t, viewer, role):
     v = FL.visible_to(V.booking_view(t.bookings, t.schedules, t.routes, t.stations), viewer, role)
     return FL.filter_where(v, booking_status="pending")

@@ -1,5 +1,6 @@
 """Stored layouts that let a request read, or rewrite, only the files it touches.
 
+``TextIndex`` (FLT3): a table in parts with trigram postings for substring search.
 ``PageIndex`` (LIM1): a table in page order, cut into parts, with running counts per part.
 ``PartitionedTable`` (SNK4, SNK6-SNK8, SNK12): a table in partitions with an index from key to
 partition; a mutation rewrites only the partitions of the keys it names.
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackyard.operators.filters import search
 from trackyard.session import scratch_path
 from trackyard.sources.tables import Storage
 
@@ -162,3 +164,64 @@ class PartitionedTable:
             if name.startswith("_part=") and unquote(name[len("_part="):]) in gone:
                 storage.remove(f"{self.path}/rows/{name}")
         return touched.count()
+
+
+class TextIndex:
+    """Substring search (FLT3) that reads only the parts of a stored table whose trigrams allow a match.
+
+    The table is stored in parts of neighbouring rows; postings name the parts in which a trigram occurs in a
+    column (lower-cased, as ILIKE compares).  A search intersects the postings of the trigrams that
+    each match must contain and scans what is left with the plain operator, so the answer is that
+    operator's, wildcards included.  Texts without three literal characters in a row scan all parts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, cols: Sequence[str]):
+        self.spark, self.path, self.cols = spark, path, list(cols)
+
+    @classmethod
+    def build(cls, df: DataFrame, path: str, cols: Sequence[str], order: Sequence[str], rows_per_part: int = 100_000) -> TextIndex:
+        """``order``: columns by which rows become neighbours, for instance the one that is searched most."""
+        PageIndex.build(df, path, [(c, True) for c in order], rows_per_part)
+        rows = df.sparkSession.read.parquet(f"{path}/rows")
+
+        def trigrams(col: str) -> Column:
+            text = F.lower(F.col(col).cast("string"))
+            places = F.sequence(F.lit(1), F.length(text) - 2)
+            tris = F.transform(places, lambda i: F.substring(text, i, F.lit(3)))
+            return F.when(F.length(text) >= 3, F.array_distinct(tris))
+
+        found = [rows.select("_part", F.lit(c).alias("col"), F.explode(trigrams(c)).alias("tri")).distinct() for c in cols]
+        postings = reduce(DataFrame.unionByName, found)
+        postings.repartitionByRange("tri", "col").sortWithinPartitions("tri", "col").write.parquet(f"{path}/postings")
+        return cls(df.sparkSession, path, cols)
+
+    @staticmethod
+    def required(text: str) -> list[str]:
+        """Trigrams of the literal runs of a text whose ``%`` and ``_`` are wildcards and ``\\`` escapes."""
+        runs, at = [""], 0
+        while at < len(text):
+            if text[at] == "\\" and at + 1 < len(text):
+                at += 1
+                runs[-1] += text[at]
+            elif text[at] in "%_":
+                runs.append("")
+            else:
+                runs[-1] += text[at]
+            at += 1
+        return sorted({low[i:i + 3] for low in map(str.lower, runs) for i in range(len(low) - 2)})
+
+    def parts(self, text: str) -> list[int] | None:
+        """The parts that can hold a match; None: all of them."""
+        wanted = self.required(text)
+        if not wanted:
+            return None
+        hits = self.spark.read.parquet(f"{self.path}/postings").where(F.col("tri").isin(*wanted) & F.col("col").isin(*self.cols))
+        full = hits.groupBy("col", "_part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted))
+        return [r["_part"] for r in full.select("_part").distinct().orderBy("_part").toLocalIterator()]
+
+    def search(self, text: str) -> DataFrame:
+        """The rows in which one of the columns contains the text, as ``filters.search`` finds them."""
+        parts = self.parts(text)
+        if parts is None:
+            return search(self.spark.read.parquet(f"{self.path}/rows").drop("_part"), self.cols, text)
+        return search(PageIndex(self.spark, self.path, [])._rows(parts), self.cols, text)
