@@ -18,7 +18,7 @@ from trackyard.llm.common import shared_dir
 
 def test_registry():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in E.queries() and [n for n, _ in CP.STAGES] == [
         "toxicity", "near_dedup", "decontaminate", "pii", "packing"]
 
