@@ -42,7 +42,7 @@ REQUEST = ("kind string, request_id string, ts timestamp_ntz, schedule_id long,
 OUTCOME = ("request_id string, kind string, schedule_id long, seat_number string, booking_ref string, outcome string, "
            "amount_paid decimal(10,2)")
 COLUMNS = [c.split()[0] for c in OUTCOME.split(", ")]
-GROUP = 32            # schedules that share a key of the state store
+GROUP = 128            # schedules that share a key of the state store
 SPREAD = 64           # keys that requests without a schedule are dealt to
 #: "everything has arrived": the last instant that a finite stream can name
 END = "2199-01-01 00:00:00"
