@@ -9,6 +9,8 @@ finds its place from its rank within its length, which tasks and a join provide.
 
 NULL texts are empty documents (only the closing id).  Equal rows are packed separately; a
 NULL doc_id stays NULL.  An empty table gives no rows.  Other columns are not read.
+Very long texts are tokenised whole.  Ties: pieces of equal length are interchangeable; which of them goes to which
+sequence is arbitrary, the number of sequences is not.
 """
 
 from __future__ import annotations

@@ -24,6 +24,7 @@ every shard, which is quadratic in the corpus.
 NULL texts have no words.  A row without doc_id neither loses words nor is a reference.
 Rows of one doc_id are one document for the comparison; repeated rows get a result each.  An
 empty table gives no rows; other columns are not read.
+Very long texts are read whole.
 """
 
 from __future__ import annotations

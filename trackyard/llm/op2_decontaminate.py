@@ -9,6 +9,8 @@ in practice, several passes (each stored) for a benchmark of any size.
 NULL texts have no words.  Equal item rows count once; an item with a NULL item_id hits but
 is not listed.  Every document row, also repeated ones, gets its own result; empty tables
 give no rows or no hits.  Other columns pass through untouched.
+Very long texts are read whole; a task needs memory in proportion to the longest one.  Ties: none possible,
+as every window is judged by itself.
 """
 
 from __future__ import annotations

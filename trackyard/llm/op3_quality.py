@@ -16,6 +16,8 @@ NULL texts are empty; NULL hosts and paths are a group of their own; NULL ids an
 no evidence, and several labels of an id count as their minimum.  Without labels of both kinds
 every document's evidence is the base rate.  Repeated rows each count and get a result;
 empty tables give no rows.
+Very long texts are read whole.  Ties: every row is scored by itself; of several texts of one training id an arbitrary
+one is learned from.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ mandatory trigram scan the whole segment.  Nothing is shuffled.
 Matches are leftmost and non-overlapping per rule; those that fail the rule's length test
 are dropped.  NULL texts are empty; a NULL doc_id stays NULL; repeated rows get a result
 each; an empty table gives no rows; other columns are not read.
+Very long texts are read whole; a task needs memory in proportion to the longest one.  Ties: spans that begin
+together are listed in the order of their kinds.
 """
 
 from __future__ import annotations

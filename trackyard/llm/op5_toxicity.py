@@ -15,6 +15,7 @@ NULL texts are empty and get a score like any text without matches.  Several lab
 count as their maximum; NULL labels and ids are no evidence.  With no labelled row of either
 kind every score is the share of toxic rows (0 without labels).  Repeated rows are each
 scored; empty tables give no rows; other columns are not read.
+Very long texts are read whole.  At most the ``LEXICON`` strongest entries of the training sample are kept.
 """
 
 from __future__ import annotations

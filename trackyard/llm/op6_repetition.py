@@ -8,6 +8,8 @@ windows or too many symbols drop the document.
 Words are ``[^\\x20\\x09-\\x0D]+``; lines are split at \\n and count only with a word in them.
 NULL texts are empty: no words, so the base rule drops them.  A NULL doc_id stays NULL;
 repeated rows get a result each; an empty table gives no rows; other columns are not read.
+Very long texts are read whole; a task needs memory in proportion to the longest one (some sixty bytes a byte).
+Ties: none possible, as every row is judged by itself.
 """
 
 from __future__ import annotations

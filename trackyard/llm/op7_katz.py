@@ -22,6 +22,7 @@ and a block adds up the sums of the parts.  No owner or block grows with the cor
 Documents for which ``held`` is true are only scored.  NULL texts are empty (one end token);
 a NULL doc_id stays NULL; repeated rows count and are scored each; an empty table gives no
 rows; other columns are not read.
+Very long texts are read whole.  Ties: none possible, as counts and scores depend on no order.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ chunks becomes a bucket of its own, so no link is lost and no task grows.
 Documents of one fingerprint are represented once.  Without words the fingerprint is zero
 and linked like any other.  NULL texts are empty; a NULL doc_id takes part, but never names
 a component that has another id.  Repeated rows get a result each; empty tables give none.
+Very long texts are read whole, their shingles in blocks.
 """
 
 from __future__ import annotations
