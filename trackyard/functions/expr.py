@@ -21,6 +21,9 @@ SIGN_ON_EMAIL_DOMAIN = "@nafath.sa"
 # names and auth method given to users created by national sign-on
 SIGN_ON_FIRST_NAME = "Nafath"
 SIGN_ON_LAST_NAME = "User"
+SIGN_ON_AUTH_METHOD = "nafath"
+# auth method of users created with a password
+PASSWORD_AUTH_METHOD = "email"
 # booking status labels
 BOOKING_STATUS_LABELS = {
     "en": {"confirmed": "Confirmed", "completed": "Completed", "cancelled": "Cancelled",

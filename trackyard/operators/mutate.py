@@ -57,9 +57,10 @@ def append_schedules(schedules: DataFrame, routes: DataFrame, rows: DataFrame) -
                           F.when(ok, "created").otherwise("route_not_found_or_inactive")
                            .alias("outcome"))
     new = chk.where(ok).drop("_rid")
+    made = {"updated_at": F.col("created_at")} if "created_at" in rows.columns else {}
     table = append(schedules, new, {"available_seats": F.col("total_seats"),
                                     "status": F.lit("scheduled"),
-                                    "delay_minutes": F.lit(0)})
+                                    "delay_minutes": F.lit(0), **made})
     return Mutation(table, outcomes)
 
 
@@ -163,9 +164,10 @@ def find_or_create(users: DataFrame, permissions: DataFrame, national_ids: DataF
     """Returns (users, permissions, mapping national_id -> user id, created flag, role).
 
     New users get the sign-on e-mail ('<id>' + SIGN_ON_EMAIL_DOMAIN) and
-    names (expr fixed values), role passenger, status active, verified 1 and
+    names and method (expr fixed values), role passenger, status active, verified 1,
     a deterministic id derived from the national id (xxhash64,
-    non-negative), so reruns give the same ids.
+    non-negative), so reruns give the same ids, and a permission row with
+    bookings only.
     """
     ids = national_ids.select("national_id").where(F.col("national_id").isNotNull()).distinct()
     existing = users.where(F.col("national_id").isNotNull()).select(
@@ -180,10 +182,10 @@ def find_or_create(users: DataFrame, permissions: DataFrame, national_ids: DataF
         F.lit(X.SIGN_ON_LAST_NAME).alias("last_name"),
         F.lit(None).cast("string").alias("phone"), "national_id",
         F.lit("passenger").alias("role"), F.lit("active").alias("status"),
-        F.lit(1).alias("verified"))
-    users2 = users.unionByName(new_users, allowMissingColumns=True)
-    perm_new = new_users.select(F.col("id").alias("user_id"), F.lit(0).alias("can_schedules"),
-                                F.lit(1).alias("can_bookings"), F.lit(0).alias("can_routes"))
+        F.lit(1).alias("verified"), F.lit(X.SIGN_ON_AUTH_METHOD).alias("auth_method"))
+    users2 = _with_new(users, new_users)
+    perm_new = new_users.select(F.col("id").alias("user_id"),
+                                *[F.lit(int(c == "can_bookings")).alias(c) for c in _flags(permissions)])
     perms2 = permissions.unionByName(perm_new, allowMissingColumns=True)
     mapping = j.select("national_id", F.coalesce(F.col("_uid"), new_id).alias("user_id"),
                        F.col("_uid").isNull().alias("created"),
@@ -191,6 +193,15 @@ def find_or_create(users: DataFrame, permissions: DataFrame, national_ids: DataF
     return users2, perms2, mapping
 
 
+def _flags(permissions: DataFrame) -> list[str]:
+    return [c for c in permissions.columns if c.startswith("can_")]
+
+
+def _with_new(users: DataFrame, new: DataFrame) -> DataFrame:
+    """Users with new rows; declared columns that the snapshot does not carry are left out."""
+    return users.unionByName(new.select(*[c for c in new.columns if c in users.columns]), allowMissingColumns=True)
+
+
 def sign_on_checks(mapping: DataFrame, requests: DataFrame) -> DataFrame:
     """Role check of a national sign-on request: refused when the requested
     role differs from the user's and is not 'passenger'.
@@ -338,7 +349,7 @@ def cancel_bookings(bookings: DataFrame, requests: DataFrame) -> Cancellation:
     access_denied (a passenger who does not own the booking; only with the
     actor columns); already_cancelled; refused_completed; else cancelled --
     status 'cancelled', payment 'refunded', cancelled_at = request ts,
-    cancel_reason = reason (empty -> NULL) -- and the trip gets one seat
+    cancel_reason = reason (empty -> NULL), updated_at with them -- and the trip gets one seat
     back.  Only the first permitted request of a live reference cancels;
     later ones see it cancelled.
 
@@ -366,7 +377,7 @@ def cancel_bookings(bookings: DataFrame, requests: DataFrame) -> Cancellation:
 
     hit = F.col("_by").isNotNull()
     new = {"booking_status": F.lit("cancelled"), "payment_status": F.lit("refunded"),
-           "cancelled_at": F.col("_by.ts"), "cancel_reason": F.col("_by.reason")}
+           "cancelled_at": F.col("_by.ts"), "cancel_reason": F.col("_by.reason"), "updated_at": F.col("_by.ts")}
     table = marked.select(
         *[F.when(hit, new[c]).otherwise(F.col(c)).cast(bookings.schema[c].dataType).alias(c)
           if c in new else F.col(c) for c in bookings.columns],
@@ -428,11 +439,11 @@ def create_users(users: DataFrame, permissions: DataFrame, rows: DataFrame,
     new_users = new.select(new_id.alias("id"), "email", "first_name", "last_name",
                            F.lit(None).cast("string").alias("phone"),
                            F.lit(None).cast("string").alias("national_id"), "role",
-                           status.alias("status"), F.lit(0).alias("verified"))
-    users2 = users.unionByName(new_users, allowMissingColumns=True)
-    flags = [c for c in permissions.columns if c.startswith("can_")]
+                           status.alias("status"), F.lit(0).alias("verified"),
+                           F.lit(X.PASSWORD_AUTH_METHOD).alias("auth_method"))
+    users2 = _with_new(users, new_users)
     perm_new = new.select(new_id.alias("user_id"),
                           *[X.flag01(F.col(f) if f in rows.columns else F.lit(False)).alias(f)
-                            for f in flags])
+                            for f in _flags(permissions)])
     perms2 = permissions.unionByName(perm_new, allowMissingColumns=True)
     return UserCreation(users2, perms2, outcomes)

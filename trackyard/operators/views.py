@@ -36,7 +36,9 @@ def route_dim(routes: DataFrame, stations: DataFrame,
 
 # JN1 / PRJ1
 def schedule_view(schedules: DataFrame, routes: DataFrame, stations: DataFrame) -> DataFrame:
-    """Schedules joined to their route and both stations (inner joins)."""
+    """Schedules joined to their route and both stations (inner joins), with the declared
+    notes and times where the snapshot carries them."""
+    rest = [c for c in ("notes", "created_at", "updated_at") if c in schedules.columns]
     rd = route_dim(routes, stations).select(
         F.col("id").alias("_rid"), "route_code", "distance_km", "duration_minutes",
         "price_first_class", "price_economy", "price_student",
@@ -48,13 +50,16 @@ def schedule_view(schedules: DataFrame, routes: DataFrame, stations: DataFrame)
                     "route_id", "route_code", "distance_km", "duration_minutes",
                     "price_first_class", "price_economy", "price_student",
                     "from_name_en", "from_name_ar", "from_code",
-                    "to_name_en", "to_name_ar", "to_code"))
+                    "to_name_en", "to_name_ar", "to_code", *rest))
 
 
 # JN2 / PRJ2
 def booking_view(bookings: DataFrame, schedules: DataFrame, routes: DataFrame,
                  stations: DataFrame) -> DataFrame:
-    """Bookings with trip, route and station columns (5-way inner join)."""
+    """Bookings with trip, route and station columns (5-way inner join), with the declared
+    passenger, QR and cancel columns where the snapshot carries them."""
+    rest = [c for c in ("id", "passenger_first", "passenger_last", "national_id", "phone", "email", "qr_ref",
+                        "cancelled_at") if c in bookings.columns]
     rd = route_dim(routes, stations).select(
         F.col("id").alias("_rid"), "from_name_en", "from_name_ar", "from_code",
         "to_name_en", "to_name_ar", "to_code")
@@ -69,7 +74,7 @@ def booking_view(bookings: DataFrame, schedules: DataFrame, routes: DataFrame,
         "train_id", "departure_time", "arrival_time", "travel_date", "class",
         F.col("from_name_en").alias("from_en"), F.col("from_name_ar").alias("from_ar"),
         "from_code", F.col("to_name_en").alias("to_en"), F.col("to_name_ar").alias("to_ar"),
-        "to_code")
+        "to_code", *rest)
 
 
 # JN3 + JN8
@@ -153,6 +158,27 @@ def booking_lookup(keys: DataFrame, bookings: DataFrame, schedules: DataFrame, r
     return lookup(booking_view(asked, schedules, routes, stations).select("booking_ref", *columns), "booking_ref", keys)
 
 
+FEW = 100       # references that are put into the scan's filter
+
+
+def find_bookings(refs: Sequence[str], bookings: DataFrame, schedules: DataFrame, routes: DataFrame,
+                  stations: DataFrame) -> DataFrame:
+    """SRC2 for references at hand (one request of the application asks for one): the booking view of those
+    that exist.  Up to ``FEW`` go into the scan as equalities, which the row groups' bloom filters answer
+    without reading them; more meet the bookings as a table."""
+    refs = sorted(set(refs))
+    ref = F.col("booking_ref")
+    if len(refs) <= FEW:
+        asked = F.lit(False)
+        for r in refs:
+            asked = asked | (ref == r)
+        found = bookings.where(asked)
+    else:
+        keys = bookings.sparkSession.createDataFrame([(r,) for r in refs], "booking_ref string")
+        found = bookings.join(keys, "booking_ref", "left_semi")
+    return booking_view(found, schedules, routes, stations)
+
+
 def travelled(bookings: DataFrame) -> DataFrame:
     """Bookings that count as passengers (confirmed or completed)."""
     return bookings.where(F.col("booking_status").isin(*TRAVELLED))

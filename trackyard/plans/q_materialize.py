@@ -20,7 +20,7 @@ SNAPSHOT_AT = dt.datetime(1998, 6, 15, 12, 0, 0)
 , made AS (SELECT CAST(created_at AS DATE) AS report_date,
                   SUM(CASE WHEN payment_status = 'paid' THEN amount_paid END) AS rev, COUNT(*) AS n
            FROM bookings GROUP BY 1),
-canc AS (SELECT CAST(created_at AS DATE) AS report_date, COUNT(*) AS c,
+canc AS (SELECT CAST(cancelled_at AS DATE) AS report_date, COUNT(*) AS c,
                 SUM(CASE WHEN payment_status = 'refunded' THEN amount_paid END) AS ref
          FROM bookings WHERE booking_status = 'cancelled' GROUP BY 1)
 SELECT COALESCE(made.report_date, canc.report_date) AS report_date,
@@ -35,7 +35,7 @@ def revenue_daily(t):
 
 @query("revenue_daily_refresh", _CANCEL_REQ + """
 , done AS (SELECT DISTINCT booking_ref, ts FROM res WHERE outcome = 'cancelled'),
-b AS (SELECT bookings.created_at::DATE AS made, done.ts::DATE AS gone, amount_paid,
+b AS (SELECT bookings.created_at::DATE AS made, coalesce(done.ts, bookings.cancelled_at)::DATE AS gone, amount_paid,
              payment_status = 'paid' AND done.booking_ref IS NULL AS paid,
              booking_status = 'cancelled' OR done.booking_ref IS NOT NULL AS cancelled,
              payment_status = 'refunded' OR done.booking_ref IS NOT NULL AS refunded
@@ -44,10 +44,12 @@ days AS (SELECT made AS report_date, (sum(amount_paid) FILTER (paid))::DECIMAL(1
          UNION ALL
          SELECT gone, 0::DECIMAL(18,2), 0, count(*), (sum(amount_paid) FILTER (refunded))::DECIMAL(18,2) FROM b WHERE cancelled AND gone IS NOT NULL GROUP BY ALL),
 fresh AS (SELECT report_date, sum(rev) AS rev, sum(n) AS n, sum(c) AS c, sum(ref) AS ref FROM days GROUP BY report_date),
-old AS (SELECT created_at::DATE AS report_date, sum(amount_paid) FILTER (payment_status = 'paid') AS rev, count(*) AS n,
-               count(*) FILTER (booking_status = 'cancelled') AS c,
-               sum(amount_paid) FILTER (booking_status = 'cancelled' AND payment_status = 'refunded') AS ref
-        FROM bookings GROUP BY ALL),
+stored AS (SELECT created_at::DATE AS report_date, sum(amount_paid) FILTER (payment_status = 'paid') AS rev, count(*) AS n, 0 AS c,
+                  0::DECIMAL(18,2) AS ref FROM bookings GROUP BY ALL
+           UNION ALL
+           SELECT cancelled_at::DATE, 0::DECIMAL(18,2), 0, count(*), sum(amount_paid) FILTER (payment_status = 'refunded')
+           FROM bookings WHERE booking_status = 'cancelled' GROUP BY ALL),
+old AS (SELECT report_date, sum(rev) AS rev, sum(n) AS n, sum(c) AS c, sum(ref) AS ref FROM stored GROUP BY report_date),
 chosen AS (SELECT * FROM old WHERE report_date < DATE '1998-06-15'
            UNION ALL SELECT * FROM fresh WHERE report_date >= DATE '1998-06-15')
 SELECT report_date, CAST(coalesce(rev, 0) AS DOUBLE) AS total_revenue, CAST(n AS BIGINT) AS total_bookings,
@@ -70,7 +72,7 @@ def revenue_daily_refresh(t):
 cells AS (
   SELECT CAST(created_at AS DATE) AS report_date, if(payment_status = 'paid' AND gone IS NULL, amount_paid, 0) AS rev, 1 AS n, 0 AS c, 0::DECIMAL(18,2) AS ref FROM b
   UNION ALL
-  SELECT CAST(coalesce(gone, created_at) AS DATE), 0::DECIMAL(18,2), 0, 1, if(payment_status = 'refunded' OR gone IS NOT NULL, amount_paid, 0)
+  SELECT CAST(coalesce(gone, cancelled_at) AS DATE), 0::DECIMAL(18,2), 0, 1, if(payment_status = 'refunded' OR gone IS NOT NULL, amount_paid, 0)
   FROM b WHERE booking_status = 'cancelled' OR gone IS NOT NULL)
 SELECT report_date, CAST(sum(rev) AS DOUBLE) AS total_revenue, CAST(sum(n) AS BIGINT) AS total_bookings,
        CAST(sum(c) AS BIGINT) AS cancelled, CAST(sum(ref) AS DOUBLE) AS refunded
@@ -80,8 +82,9 @@ def revenue_daily_deltas(t):
     """MAT1 by deltas: the table of the bookings made before 1998-06-15, kept up by the bookings made
     since and by the cancellations (old and new row of each), without reading the bookings again."""
     history, later = t.bookings.where(F.col("created_at") < X.ntz(AS_OF_TS)), t.bookings.where(F.col("created_at") >= X.ntz(AS_OF_TS))
-    after = _cancel(t).table.where(F.col("cancelled_at").isNotNull())
-    before = t.bookings.join(after.select("booking_ref"), "booking_ref", "left_semi")
+    done = _cancel(t)
+    changed = done.outcomes.where("outcome = 'cancelled'").select("booking_ref")
+    before, after = (df.join(changed, "booking_ref", "left_semi") for df in (t.bookings, done.table))
     stored = MT.revenue_daily_deltas(MT.revenue_daily(history), MT.booking_changes(None, later))
     return MT.revenue_daily_deltas(stored, MT.booking_changes(before, after))
 

@@ -242,8 +242,9 @@ def recent_bookings(t):
 
 @query("activity_feed", """
 SELECT * FROM (
-  SELECT created_at AS ts, CASE WHEN booking_status = 'cancelled' THEN 'booking_cancelled' ELSE 'booking_created' END AS kind,
-         booking_ref AS ref FROM bookings
+  SELECT created_at AS ts, 'booking_created' AS kind, booking_ref AS ref FROM bookings
+  UNION ALL
+  SELECT cancelled_at, 'booking_cancelled', booking_ref FROM bookings WHERE cancelled_at IS NOT NULL
   UNION ALL
   SELECT CAST(travel_date AS TIMESTAMP), concat('schedule_', status), CAST(id AS VARCHAR)
   FROM schedules WHERE status IN ('delayed', 'cancelled')

@@ -49,8 +49,9 @@ def cancel_bookings(t):
 @query("bookings_after_cancel", _CANCEL_REQ + """
 SELECT b.* REPLACE (CAST(b.amount_paid AS DOUBLE) AS amount_paid,
                     IF(c.booking_ref IS NULL, b.booking_status, 'cancelled') AS booking_status,
-                    IF(c.booking_ref IS NULL, b.payment_status, 'refunded') AS payment_status),
-       c.ts AS cancelled_at, NULLIF(c.reason, '') AS cancel_reason
+                    IF(c.booking_ref IS NULL, b.payment_status, 'refunded') AS payment_status,
+                    COALESCE(c.ts, b.cancelled_at) AS cancelled_at, COALESCE(c.ts, b.updated_at) AS updated_at,
+                    IF(c.booking_ref IS NULL, b.cancel_reason, NULLIF(c.reason, '')) AS cancel_reason)
 FROM bookings b LEFT JOIN (SELECT DISTINCT res.booking_ref, res.ts, req.reason FROM res JOIN req USING (request_id, ts)
                            WHERE outcome = 'cancelled') c ON c.booking_ref = b.booking_ref
 """)
@@ -135,14 +136,20 @@ def users_after_insert_ignore(t):
 
 
 @query("find_or_create_users", _SIGNUPS + """
-SELECT DISTINCT r.national_id, u.id IS NULL AS created, COALESCE(u.email, concat(r.national_id, '@nafath.sa')) AS email
-FROM rows r LEFT JOIN users u ON u.national_id = r.national_id
+SELECT DISTINCT r.national_id, u.id IS NULL AS created, COALESCE(u.email, concat(r.national_id, '@nafath.sa')) AS email,
+       COALESCE(u.auth_method, 'nafath') AS auth_method, u.id IS NULL OR p.can_bookings = 1 AS can_bookings,
+       COALESCE(p.can_schedules + p.can_routes + p.can_users + p.can_reports + p.can_pricing, 0) AS other_flags
+FROM rows r LEFT JOIN users u ON u.national_id = r.national_id LEFT JOIN user_permissions p ON p.user_id = u.id
 """)
 def find_or_create_users(t):
-    """SNK5: national ids resolved to users; unknown ones get a new passenger."""
-    users2, _, mapping = MU.find_or_create(t.users, t.user_permissions, _signups(t))
-    u = users2.select(F.col("id").alias("_uid"), "email")
-    return mapping.join(u, mapping.user_id == u["_uid"]).select("national_id", "created", "email")
+    """SNK5: national ids resolved to users; unknown ones get a new passenger and a permission row."""
+    users2, permissions, mapping = MU.find_or_create(t.users, t.user_permissions, _signups(t))
+    u = users2.select(F.col("id").alias("_uid"), "email", "auth_method")
+    p = permissions.withColumnRenamed("user_id", "_pid")
+    others = sum(F.col(f"can_{c}") for c in ("routes", "users", "reports", "pricing")) + F.col("can_schedules")
+    return (mapping.join(u, mapping.user_id == u["_uid"]).join(p, F.col("user_id") == F.col("_pid"), "left")
+            .select("national_id", "created", "email", "auth_method", (F.col("can_bookings") == 1).alias("can_bookings"),
+                    F.coalesce(others, F.lit(0)).alias("other_flags")))
 
 
 @query("sign_on_role_checks", _SIGNUPS + """
@@ -167,7 +174,9 @@ def sign_on_role_checks(t):
 @query("upsert_permissions", """
 , rows AS (
   SELECT e.user_id, CASE WHEN u.role IN ('admin', 'staff') THEN 1 ELSE 0 END AS can_schedules, 1 AS can_bookings,
-         CASE WHEN u.role = 'admin' THEN 1 ELSE 0 END AS can_routes, e.ts, e.event_id
+         CASE WHEN u.role = 'admin' THEN 1 ELSE 0 END AS can_routes, CASE WHEN u.role = 'admin' THEN 1 ELSE 0 END AS can_users,
+         CAST(e.event_type = 'purchase' AS INT) AS can_reports, CAST(u.role = 'admin' AND e.event_type <> 'error' AS INT) AS can_pricing,
+         e.ts, e.event_id
   FROM events e JOIN users u ON u.id = e.user_id
 ), src AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM rows) WHERE rn = 1
@@ -175,14 +184,17 @@ def sign_on_role_checks(t):
 SELECT COALESCE(t.user_id, s.user_id) AS user_id,
        CASE WHEN s.user_id IS NOT NULL THEN s.can_schedules ELSE t.can_schedules END AS can_schedules,
        CASE WHEN s.user_id IS NOT NULL THEN s.can_bookings ELSE t.can_bookings END AS can_bookings,
-       CASE WHEN s.user_id IS NOT NULL THEN s.can_routes ELSE t.can_routes END AS can_routes
+       CASE WHEN s.user_id IS NOT NULL THEN s.can_routes ELSE t.can_routes END AS can_routes,
+       CASE WHEN s.user_id IS NOT NULL THEN s.can_users ELSE t.can_users END AS can_users,
+       CASE WHEN s.user_id IS NOT NULL THEN s.can_reports ELSE t.can_reports END AS can_reports,
+       CASE WHEN s.user_id IS NOT NULL THEN s.can_pricing ELSE t.can_pricing END AS can_pricing
 FROM user_permissions t FULL OUTER JOIN src s ON s.user_id = t.user_id
 """)
 def upsert_permissions(t):
     """SNK4: permission rows upserted by user_id (last row per user wins)."""
     rows = RQ.permission_rows(t)
-    return MU.upsert(t.user_permissions, rows, ["user_id"],
-                     ["can_schedules", "can_bookings", "can_routes"], ["ts", "event_id"])
+    flags = [c for c in t.user_permissions.columns if c.startswith("can_")]
+    return MU.upsert(t.user_permissions, rows, ["user_id"], flags, ["ts", "event_id"])
 
 
 _PATCHES = """
@@ -345,7 +357,7 @@ def purge_sessions(t):
 _NEW_TRIPS = """
 , rows AS (SELECT 1000000 + event_id AS id, concat('IR-N', CAST(event_id AS VARCHAR)) AS train_id, user_id AS route_id,
                   '08:00:00' AS departure_time, '11:00:00' AS arrival_time, CAST(ts AS DATE) AS travel_date,
-                  CAST(8 + 4 * (event_id % 5) AS INT) AS total_seats, 'Economy' AS class
+                  CAST(8 + 4 * (event_id % 5) AS INT) AS total_seats, 'Economy' AS class, ts AS created_at
            FROM events WHERE event_type = 'signup')
 """
 
@@ -358,7 +370,7 @@ def _new_trips(t):
                     F.lit("08:00:00").alias("departure_time"), F.lit("11:00:00").alias("arrival_time"),
                     F.to_date("ts").alias("travel_date"),
                     (8 + 4 * (F.col("event_id") % 5)).cast("int").alias("total_seats"),
-                    F.lit("Economy").alias("class"))
+                    F.lit("Economy").alias("class"), F.col("ts").alias("created_at"))
 
 
 def _append(t):
@@ -379,7 +391,7 @@ def append_schedules(t):
 @query("schedules_after_append", _NEW_TRIPS + """
 SELECT * FROM schedules
 UNION ALL BY NAME
-SELECT rows.*, total_seats AS available_seats, 'scheduled' AS status, CAST(0 AS INT) AS delay_minutes
+SELECT rows.*, total_seats AS available_seats, 'scheduled' AS status, CAST(0 AS INT) AS delay_minutes, created_at AS updated_at
 FROM rows SEMI JOIN (SELECT id FROM routes WHERE active = 1) r ON r.id = rows.route_id
 """)
 def schedules_after_append(t):
@@ -400,7 +412,8 @@ SELECT booking_ref, 'email', email, concat('Booking Cancelled — ', booking_ref
 """)
 def cancellation_notices(t):
     """SC9/SC10: SMS text and e-mail subject for every accepted cancellation."""
-    done = _cancel(t).table.where(F.col("cancelled_at").isNotNull()).select("booking_ref", "user_id")
+    gone = _cancel(t).outcomes.where("outcome = 'cancelled'").select("booking_ref")
+    done = t.bookings.join(gone, "booking_ref", "left_semi").select("booking_ref", "user_id")
     u = t.users.select(F.col("id").alias("_uid"), "phone", "email")
     j = done.join(u, done.user_id == u["_uid"])
     return X.notices(j, F.struct(F.lit("sms").alias("type"), X.phone_e164("phone").alias("channel"),
@@ -436,8 +449,7 @@ def new_booking_codes(t):
 @query("bookings_after_admission", ADMISSION_SQL + """
 , old AS (SELECT booking_ref AS "key", * EXCLUDE (booking_ref) FROM bookings WHERE created_at < TIMESTAMP '1998-06-15')
 SELECT "key", user_id, schedule_id, seat_number, CAST(amount_paid AS DOUBLE) AS amount_paid, payment_method,
-       payment_status, booking_status, created_at, CAST(NULL AS VARCHAR) AS passenger_first,
-       CAST(NULL AS VARCHAR) AS passenger_last, CAST(NULL AS VARCHAR) AS qr_millis FROM old
+       payment_status, booking_status, created_at, passenger_first, passenger_last, CAST(NULL AS VARCHAR) AS qr_millis FROM old
 UNION ALL
 SELECT res.request_id, b.user_id, res.schedule_id, res.seat_number, res.fare, b.payment_method, 'paid', 'confirmed',
        b.created_at, u.first_name, u.last_name, CAST(epoch_ms(b.created_at) AS VARCHAR)
@@ -448,9 +460,8 @@ def bookings_after_admission(t):
     """SNK1/SC7: stored bookings plus one full row per accepted request (keyed by request,
     as new references are drawn); the QR reference is shown decoded to its milliseconds."""
     history, _ = RQ.history_and_requests(t)
-    table = MU.append(history.withColumns({c: F.lit(None).cast("string") for c in
-                                           ("passenger_first", "passenger_last", "qr_ref", "request_id")}), _codes(t))
-    millis = F.conv(F.substring("qr_ref", len(X.QR_PREFIX) + 1, 20), 36, 10)
+    table = MU.append(history.withColumn("request_id", F.lit(None).cast("string")), _codes(t))
+    millis = F.when(F.col("request_id").isNotNull(), F.conv(F.substring("qr_ref", len(X.QR_PREFIX) + 1, 20), 36, 10))
     return table.select(F.coalesce("request_id", "booking_ref").alias("key"), "user_id", "schedule_id", "seat_number",
                         "amount_paid", "payment_method", "payment_status", "booking_status", "created_at",
                         "passenger_first", "passenger_last", millis.alias("qr_millis"))
@@ -461,7 +472,8 @@ _NEW_USERS = """
   SELECT lower(trim(concat('customer#', lpad(CAST(user_id * 11 AS VARCHAR), 9, '0'), '@example.com'))) AS email,
          'New' AS first_name, concat('User', CAST(user_id AS VARCHAR)) AS last_name,
          CASE WHEN event_type = 'purchase' THEN 'staff' ELSE 'passenger' END AS role,
-         event_type = 'purchase' AS can_schedules, TRUE AS can_bookings, FALSE AS can_routes, ts, event_id
+         event_type = 'purchase' AS can_schedules, TRUE AS can_bookings, FALSE AS can_routes, FALSE AS can_users,
+         event_id % 2 = 0 AS can_reports, event_id % 3 = 0 AS can_pricing, ts, event_id
   FROM events WHERE event_type IN ('signup', 'purchase')
 ), f AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY ts, event_id) AS rn FROM rows),
 res AS (SELECT email, CASE WHEN rn = 1 AND NOT EXISTS (SELECT 1 FROM users u WHERE u.email = f.email)
@@ -479,7 +491,8 @@ def _create_users(t):
         F.concat(F.lit("User"), F.col("user_id").cast("string")).alias("last_name"),
         F.when(F.col("event_type") == "purchase", "staff").otherwise("passenger").alias("role"),
         (F.col("event_type") == "purchase").alias("can_schedules"),
-        F.lit(True).alias("can_bookings"), F.lit(False).alias("can_routes"), "ts", "event_id")
+        F.lit(True).alias("can_bookings"), F.lit(False).alias("can_routes"),
+        (F.col("event_id") % 2 == 0).alias("can_reports"), (F.col("event_id") % 3 == 0).alias("can_pricing"), "ts", "event_id")
     return MU.create_users(t.users, t.user_permissions, rows, ["ts", "event_id"])
 
 
@@ -492,17 +505,17 @@ def create_users(t):
 
 
 @query("permissions_after_create", _NEW_USERS + """
-SELECT u.email, p.can_schedules, p.can_bookings, p.can_routes
+SELECT u.email, u.auth_method, p.* EXCLUDE (user_id)
 FROM user_permissions p JOIN users u ON u.id = p.user_id
-UNION ALL SELECT email, CAST(can_schedules AS INT), CAST(can_bookings AS INT), CAST(can_routes AS INT)
+UNION ALL SELECT email, 'email', CAST(can_schedules AS INT), CAST(can_bookings AS INT), CAST(can_routes AS INT),
+                 CAST(can_users AS INT), CAST(can_reports AS INT), CAST(can_pricing AS INT)
 FROM res WHERE outcome = 'created'
 """)
 def permissions_after_create(t):
     """SNK1: the new permission snapshot, named by the users' e-mails."""
     new = _create_users(t)
-    u = new.users.select(F.col("id").alias("_uid"), "email")
-    return new.permissions.join(u, F.col("user_id") == u["_uid"]).select(
-        "email", "can_schedules", "can_bookings", "can_routes")
+    u = new.users.select(F.col("id").alias("_uid"), "email", "auth_method")
+    return new.permissions.join(u, F.col("user_id") == u["_uid"]).drop("user_id", "_uid")
 
 
 _NEW_ROUTES = """

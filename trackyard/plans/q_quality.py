@@ -13,16 +13,28 @@ from trackyard.sources.schema import (DOMAINS, FOREIGN_KEYS, MAX_LENGTH, NOT_NUL
 
 
 _STORED = """
-, refresh_tokens AS (SELECT concat('tok-', CAST(event_id AS VARCHAR)) AS token, user_id FROM events),
+, refresh_tokens AS (SELECT concat('tok-', CAST(event_id AS VARCHAR)) AS token, user_id, ts AS created_at, ts AS expires_at FROM events),
+notifications AS (
+  SELECT event_id AS id, user_id, CASE event_type WHEN 'purchase' THEN event_id // 2 * 8 + 1 END AS booking_id,
+         CASE event_type WHEN 'click' THEN 'sms' WHEN 'view' THEN 'email' WHEN 'error' THEN 'fax' ELSE 'push' END AS type,
+         CASE WHEN event_type <> 'signup' THEN concat('channel-', CAST(user_id AS VARCHAR)) END AS channel,
+         CASE event_type WHEN 'view' THEN repeat('subject ', event_id % 40) END AS subject,
+         concat('message ', CAST(event_id AS VARCHAR)) AS message,
+         CASE event_type WHEN 'purchase' THEN 'queued' WHEN 'error' THEN 'failed' ELSE 'sent' END AS status, ts AS created_at FROM events),
 occupancy_snapshots AS (SELECT id AS schedule_id FROM schedules),
-revenue_daily AS (SELECT DISTINCT CAST(created_at AS DATE) AS report_date FROM bookings)
+revenue_daily AS (SELECT CAST(created_at AS DATE) AS report_date FROM bookings
+                  UNION SELECT CAST(cancelled_at AS DATE) FROM bookings WHERE booking_status = 'cancelled')
 """
-_COLUMNS = {"users": "email national_id role status first_name last_name phone", "user_permissions": "user_id",
-            "refresh_tokens": "token user_id", "stations": "code name_en name_ar city_en city_ar",
+_COLUMNS = {"users": "email national_id role status first_name last_name phone verified auth_method created_at updated_at",
+            "user_permissions": "user_id can_schedules can_bookings can_routes can_users can_reports can_pricing",
+            "refresh_tokens": "token user_id created_at expires_at",
+            "notifications": "user_id booking_id type channel subject message status created_at", "stations": "code name_en name_ar city_en city_ar",
             "routes": "route_code from_station_id to_station_id distance_km duration_minutes price_first_class "
-                      "price_economy price_student",
-            "schedules": "route_id train_id departure_time arrival_time travel_date total_seats available_seats class status",
-            "bookings": "booking_ref user_id schedule_id seat_number amount_paid payment_method payment_status booking_status",
+                      "price_economy price_student active created_by created_at updated_at",
+            "schedules": "route_id train_id departure_time arrival_time travel_date total_seats available_seats class status "
+                         "delay_minutes created_by created_at updated_at",
+            "bookings": "booking_ref user_id schedule_id seat_number amount_paid payment_method payment_status booking_status "
+                        "passenger_first passenger_last national_id phone email qr_ref created_at updated_at",
             "revenue_daily": "report_date", "occupancy_snapshots": "schedule_id"}
 _COLUMNS = {k: v.split() for k, v in _COLUMNS.items()}
 
@@ -31,6 +43,7 @@ def _tables(t):
     """The declared tables that the data can supply."""
     return {"users": t.users, "user_permissions": t.user_permissions, "refresh_tokens": RQ.tokens(t),
             "stations": t.stations, "routes": t.routes, "schedules": t.schedules, "bookings": t.bookings,
+            "notifications": RQ.notifications(t),
             "revenue_daily": MT.revenue_daily(t.bookings),
             "occupancy_snapshots": MT.occupancy_snapshot(t.schedules, t.bookings, AS_OF_TS)}
 

@@ -43,7 +43,7 @@ _OUTBOX_SQL = """
 , b AS (SELECT DISTINCT ON (booking_ref) * FROM bookings WHERE booking_status = 'confirmed'),
 j AS (
   SELECT b.booking_ref, b.seat_number, b.amount_paid, s.travel_date, s.departure_time,
-         st1.name_en AS from_en, st2.name_en AS to_en, u.phone, u.email
+         st1.name_en AS from_en, st2.name_en AS to_en, coalesce(b.phone, u.phone) AS phone, coalesce(b.email, u.email) AS email
   FROM b JOIN schedules s ON s.id = b.schedule_id JOIN routes r ON r.id = s.route_id
   JOIN stations st1 ON st1.id = r.from_station_id JOIN stations st2 ON st2.id = r.to_station_id
   LEFT JOIN users u ON u.id = b.user_id

@@ -20,11 +20,13 @@ from trackyard.sources.tables import AS_OF
 _TRIP_COLUMNS = """SELECT id, train_id, route_id, travel_date, departure_time, arrival_time, class, status, delay_minutes,
        total_seats, available_seats, route_code, duration_minutes, distance_km::DOUBLE AS distance_km,
        price_first_class::DOUBLE AS price_first_class, price_economy::DOUBLE AS price_economy,
-       price_student::DOUBLE AS price_student, from_code, from_name_en, from_name_ar, to_code, to_name_en, to_name_ar
+       price_student::DOUBLE AS price_student, from_code, from_name_en, from_name_ar, to_code, to_name_en, to_name_ar,
+       notes, created_at, updated_at
 """
 _SALE_COLUMNS = """SELECT booking_ref, user_id, schedule_id, seat_number, amount_paid::DOUBLE AS amount_paid, payment_method,
        payment_status, booking_status, created_at, train_id, travel_date, departure_time, arrival_time, class,
-       from_code, from_name_en AS from_en, from_name_ar AS from_ar, to_code, to_name_en AS to_en, to_name_ar AS to_ar
+       from_code, from_name_en AS from_en, from_name_ar AS from_ar, to_code, to_name_en AS to_en, to_name_ar AS to_ar,
+       id, passenger_first, passenger_last, national_id, phone, email, qr_ref, cancelled_at
 """
 _SCHEDULES = TRIPS + _TRIP_COLUMNS + "FROM trip"
 _BOOKINGS = TRIPS + _SALE_COLUMNS + "FROM sale"
@@ -57,7 +59,7 @@ def booking_view(t):
   SELECT user_id, count(*) FILTER (booking_status <> 'cancelled') AS kept, sum(amount_paid) FILTER (payment_status = 'paid') AS paid
   FROM bookings GROUP BY user_id
 )
-SELECT users.*, can_schedules, can_bookings, can_routes, coalesce(kept, 0) AS total_bookings,
+SELECT users.*, can_schedules, can_bookings, can_routes, can_users, can_reports, can_pricing, coalesce(kept, 0) AS total_bookings,
        coalesce(paid, 0)::DOUBLE AS total_spent
 FROM users LEFT JOIN user_permissions p ON p.user_id = users.id LEFT JOIN spend ON spend.user_id = users.id
 """)
@@ -201,6 +203,13 @@ def booking_lookup(t):
                             ["schedule_id", "booking_status", "train_id", "from_code", "to_code"])
 
 
+@query("booking_find", _BOOKINGS + " WHERE user_id = 11 AND payment_method <> 'visa'")
+def booking_find(t):
+    """SRC2: the bookings of some references (here those of passenger 11), found by the row groups' bloom filters."""
+    mine = t.bookings.where("user_id = 11 AND payment_method <> 'visa'").select("booking_ref").collect()
+    return V.find_bookings([r.booking_ref for r in mine], t.bookings, t.schedules, t.routes, t.stations)
+
+
 @query("booking_cards", """
 SELECT b.booking_ref,
        concat(st1.name_en, ' → ', st2.name_en) AS route_en,

@@ -87,8 +87,8 @@ class Seed:
                                           "can_reports int, can_pricing int")
         # INSERT ... SELECT id FROM users WHERE email = ... (join, not a loop)
         self.user_permissions = (perm_rows.join(self.users.select("id", "email"), "email")
-                                 .select(F.col("id").alias("user_id"), "can_schedules",
-                                         "can_bookings", "can_routes"))
+                                 .select(F.col("id").alias("user_id"), "can_schedules", "can_bookings", "can_routes",
+                                         "can_users", "can_reports", "can_pricing"))
         self.schedules = spark.createDataFrame(
             [(i + 1, tr, r, dep, arr, as_of, tot, av, cl, st, 0)
              for i, (tr, r, dep, arr, tot, av, cl, st) in enumerate(SCHEDULES)], S.SCHEDULES)

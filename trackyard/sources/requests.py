@@ -78,8 +78,9 @@ def permission_rows(t: RailTables) -> DataFrame:
         "user_id",
         X.flag01(adm | (F.col("role") == "staff")).alias("can_schedules"),
         X.flag01(F.lit(True)).alias("can_bookings"),
-        X.flag01(adm).alias("can_routes"),
+        X.flag01(adm).alias("can_routes"), X.flag01(adm).alias("can_users"),
         X.flag01(F.col("event_type") == "purchase").alias("can_reports"),
+        X.flag01(adm & (F.col("event_type") != "error")).alias("can_pricing"),
         "ts", "event_id")
 
 
@@ -115,3 +116,16 @@ def tokens(t: RailTables) -> DataFrame:
         F.concat(F.lit("tok-"), F.col("event_id").cast("string")).alias("token"),
         "user_id", F.col("ts").alias("created_at"),
         (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("expires_at"))
+
+
+def notifications(t: RailTables) -> DataFrame:
+    """Logged notifications: one per event, some of a type or status that is not declared or without a channel."""
+    kind, k = F.col("event_type"), F.col("event_id")
+    return t.events.select(
+        k.alias("id"), "user_id", F.when(kind == "purchase", F.floor(k / 2) * 8 + 1).cast("long").alias("booking_id"),
+        F.when(kind == "click", "sms").when(kind == "view", "email").when(kind == "error", "fax").otherwise("push").alias("type"),
+        F.when(kind != "signup", F.concat(F.lit("channel-"), F.col("user_id").cast("string"))).alias("channel"),
+        F.when(kind == "view", F.repeat(F.lit("subject "), (k % 40).cast("int"))).alias("subject"),
+        F.concat(F.lit("message "), k.cast("string")).alias("message"),
+        F.when(kind == "purchase", "queued").when(kind == "error", "failed").otherwise("sent").alias("status"),
+        F.col("ts").alias("created_at"))

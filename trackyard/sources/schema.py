@@ -61,24 +61,33 @@ DOMAINS = {
     "notifications": {"type": NOTIFICATION_TYPES, "status": NOTIFICATION_STATUSES},
 }
 
-# NOT NULL columns and VARCHAR limits of the declared tables (subset that the
+# NOT NULL columns and VARCHAR limits of the declared tables (those that the
 # rail views carry).
 NOT_NULL = {
-    "users": ("email", "first_name", "last_name", "role", "status"),
+    "users": ("email", "first_name", "last_name", "role", "status", "verified", "auth_method", "created_at",
+              "updated_at"),
+    "user_permissions": ("user_id", "can_schedules", "can_bookings", "can_routes", "can_users", "can_reports",
+                         "can_pricing"),
+    "refresh_tokens": ("user_id", "token", "expires_at", "created_at"),
     "stations": ("code", "name_en", "name_ar", "city_en", "city_ar"),
     "routes": ("route_code", "from_station_id", "to_station_id", "distance_km",
-               "duration_minutes", "price_first_class", "price_economy", "price_student"),
+               "duration_minutes", "price_first_class", "price_economy", "price_student", "active", "created_at",
+               "updated_at"),
     "schedules": ("train_id", "route_id", "departure_time", "arrival_time", "travel_date",
-                  "total_seats", "available_seats", "class", "status"),
-    "bookings": ("booking_ref", "user_id", "schedule_id", "seat_number", "amount_paid",
-                 "payment_method", "payment_status", "booking_status"),
+                  "total_seats", "available_seats", "class", "status", "delay_minutes", "created_at", "updated_at"),
+    "bookings": ("booking_ref", "user_id", "schedule_id", "seat_number", "passenger_first", "passenger_last",
+                 "amount_paid", "payment_method", "payment_status", "booking_status", "created_at", "updated_at"),
+    "notifications": ("user_id", "type", "channel", "message", "status", "created_at"),
 }
 MAX_LENGTH = {
     "users": {"email": 255, "first_name": 100, "last_name": 100, "phone": 20, "national_id": 20},
     "stations": {"code": 10, "name_en": 100, "name_ar": 100, "city_en": 100, "city_ar": 100},
     "routes": {"route_code": 20},
     "schedules": {"train_id": 20},
-    "bookings": {"booking_ref": 20, "seat_number": 10},
+    "bookings": {"booking_ref": 20, "seat_number": 10, "passenger_first": 100, "passenger_last": 100,
+                 "national_id": 20, "phone": 20, "email": 255, "qr_ref": 50},
+    "refresh_tokens": {"token": 512},
+    "notifications": {"channel": 100, "subject": 255},
 }
 
 _TS = T.TimestampNTZType()
@@ -154,6 +163,21 @@ BOOKINGS = T.StructType([
     T.StructField("created_at", _TS, False),
 ])
 
+# The declared tables as they are stored and read: the columns above, which the operators need, and the rest.
+_INT, _LONG, _STRING = T.IntegerType(), T.LongType(), T.StringType()
+_REST = {
+    "stations": (STATIONS, {"created_at": _TS}),
+    "routes": (ROUTES, {"created_by": _LONG, "created_at": _TS, "updated_at": _TS}),
+    "schedules": (SCHEDULES, {"notes": _STRING, "created_by": _LONG, "created_at": _TS, "updated_at": _TS}),
+    "bookings": (BOOKINGS, {"id": _LONG, "passenger_first": _STRING, "passenger_last": _STRING, "national_id": _STRING,
+                            "phone": _STRING, "email": _STRING, "qr_ref": _STRING, "cancelled_at": _TS,
+                            "cancel_reason": _STRING, "updated_at": _TS}),
+    "users": (USERS, {"auth_method": _STRING, "last_login": _TS, "updated_at": _TS}),
+    "user_permissions": (PERMISSIONS, {"can_users": _INT, "can_reports": _INT, "can_pricing": _INT}),
+}
+DECLARED = {name: T.StructType([*core.fields, *[T.StructField(c, t) for c, t in rest.items()]])
+            for name, (core, rest) in _REST.items()}
+
 # Seat-admission request (one row per booking attempt).
 REQUESTS = T.StructType([
     T.StructField("request_id", T.StringType(), False),

@@ -18,6 +18,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackyard.sources.schema import DECLARED
+
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
                  "conversations")
@@ -43,6 +45,16 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
                            properties=properties or {})
 
 
+def declared(name: str, df: DataFrame) -> DataFrame:
+    """The rail table's columns, all of them, in their declared types and order."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DECLARED[name].fields])
+
+
+def _day(start: dt.date, days: Column) -> Column:
+    """Midnight some days after ``start``."""
+    return F.date_add(F.lit(start), days.cast("int")).cast("timestamp_ntz")
+
+
 def _lpad_str(c: Column, n: int) -> Column:
     return F.lpad(c.cast("string"), n, "0")
 
@@ -97,6 +109,8 @@ class RailTables:
     sizes and times and by this module's source) and read back from there, as
     a deployment would store the rail tables instead of re-deriving them per
     query.  A marker file names the finished copy; of several writers one wins.
+    Stored tables are written in their declared types and read with the declared
+    schema (``schema.DECLARED``), without asking a file footer.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = False):
@@ -115,6 +129,7 @@ class RailTables:
     def _store_dir(self) -> str:
         from trackyard.session import ensure_checkpoint_dir
         h = hashlib.sha1(__loader__.get_source(__name__).encode())
+        h.update(repr(DECLARED).encode())
         for t in sorted(set(sum(self.SOURCES.values(), ()))):
             h.update(repr((t, self._listing(t))).encode())
         h.update(f"{self.sf_dir.rstrip('/')} {self.store_salt}".encode())
@@ -122,21 +137,23 @@ class RailTables:
 
     def _stored(self, name: str, build) -> DataFrame:
         if not self.materialize:
-            return build()
+            return declared(name, build())
         d = self._store_dir()
         target = self.storage.read_marker(f"{d}/{name}.done")
         if target is None:
             target = f"{d}/{name}-{uuid.uuid4().hex[:8]}"
-            self._layout(name, build()).write.parquet(target)
+            self._layout(name, declared(name, build())).write.options(**self.BLOOM.get(name, {})).parquet(target)
             target = self.storage.write_marker(f"{d}/{name}.done", target)
-        return self.spark.read.parquet(target)
+        return self.spark.read.schema(DECLARED[name]).parquet(target)
 
     # Stored layout: time-clustered files so date filters prune whole files
     # (Parquet min/max), about one file per 128 MB of source data and at
     # least one per core so scans run in parallel.
     CLUSTER = {"bookings": "created_at", "schedules": "travel_date"}
+    # References lie in every file: a bloom filter per row group lets a lookup of a few skip the others.
+    BLOOM = {"bookings": {"parquet.bloom.filter.enabled#booking_ref": "true", "parquet.bloom.filter.adaptive.enabled": "true"}}
     SOURCES = {"stations": ("nation", "region"), "routes": ("supplier",),
-               "schedules": ("orders",), "bookings": ("lineitem",),
+               "schedules": ("orders", "supplier"), "bookings": ("lineitem", "customer"),
                "users": ("customer",), "user_permissions": ("customer",)}
     FILE_BYTES = 128 << 20
 
@@ -170,7 +187,9 @@ class RailTables:
                         F.concat(F.lit("AR_"), F.col("n_name")).alias("name_ar"),
                         F.col("r_name").alias("city_en"),
                         F.concat(F.lit("AR_"), F.col("r_name")).alias("city_ar"),
-                        F.when(F.col("n_nationkey") % 12 == 11, 0).otherwise(1).alias("active")))
+                        (16 + F.col("n_nationkey") % 16).alias("latitude"), (34 + F.col("n_nationkey") % 22).alias("longitude"),
+                        F.when(F.col("n_nationkey") % 12 == 11, 0).otherwise(1).alias("active"),
+                        _day(dt.date(1995, 1, 1), F.col("n_nationkey")).alias("created_at")))
 
     @cached_property
     def routes(self) -> DataFrame:
@@ -190,7 +209,10 @@ class RailTables:
             base.cast("decimal(10,2)").alias("price_economy"),
             F.when(k % 7 == 0, 0).otherwise(25 + (k * 11) % 100)
              .cast("decimal(10,2)").alias("price_student"),
-            F.when(k % 10 == 9, 0).otherwise(1).alias("active"))
+            F.when(k % 10 == 9, 0).otherwise(1).alias("active"),
+            F.when(k % 6 != 5, k + 1).alias("created_by"),
+            _day(dt.date(1995, 1, 1), k % 700).alias("created_at"),
+            _day(dt.date(1995, 1, 1), k % 700 + k % 30).alias("updated_at"))
 
     @cached_property
     def schedules(self) -> DataFrame:
@@ -216,7 +238,11 @@ class RailTables:
              .when(F.col("o_orderstatus") == "P", "cancelled")
              .when(k % 2 == 0, "active").otherwise("scheduled").alias("status"),
             F.when(F.col("o_orderstatus") == "F", 5 + k % 40).otherwise(0)
-             .cast("int").alias("delay_minutes"))
+             .cast("int").alias("delay_minutes"),
+            F.when(k % 4 == 0, F.concat(F.lit("Platform "), (k % 8).cast("string"))).alias("notes"),
+            F.when(k % 6 != 5, F.col("o_custkey")).alias("created_by"),
+            F.date_sub("o_orderdate", (30 + k % 60).cast("int")).cast("timestamp_ntz").alias("created_at"),
+            F.date_sub("o_orderdate", (30 + k % 60 - k % 20).cast("int")).cast("timestamp_ntz").alias("updated_at"))
 
     @cached_property
     def bookings(self) -> DataFrame:
@@ -227,6 +253,8 @@ class RailTables:
         seat_ix = F.col("l_partkey") % (8 + 4 * (F.col("l_orderkey") % 5))
         flag, lstat = F.col("l_returnflag"), F.col("l_linestatus")
         ln = F.col("l_linenumber") % 5
+        n, part = F.col("l_linenumber"), F.col("l_partkey").cast("string")
+        gone = F.when(flag == "R", F.col("l_shipdate") + F.expr("make_dt_interval(l_linenumber % 4)"))
         return self.raw("lineitem").select(
             F.concat(F.lit("BK-"), F.col("l_orderkey").cast("string"), F.lit("-"),
                      F.col("l_linenumber").cast("string"), F.lit("-"),
@@ -243,7 +271,18 @@ class RailTables:
             F.when(flag == "R", "refunded").otherwise("paid").alias("payment_status"),
             F.when(flag == "R", "cancelled").when(flag == "A", "completed")
              .when(lstat == "O", "pending").otherwise("confirmed").alias("booking_status"),
-            F.col("l_shipdate").alias("created_at"))
+            F.col("l_shipdate").alias("created_at"),
+            (F.col("l_orderkey") * 8 + n).alias("id"),
+            F.concat(F.lit("Guest"), (F.col("l_partkey") % 50).cast("string")).alias("passenger_first"),
+            F.concat(F.lit("No"), F.col("l_suppkey").cast("string")).alias("passenger_last"),
+            F.when(F.col("l_partkey") % 5 != 0, F.concat(F.lit("10"), F.lpad(part, 8, "0"))).alias("national_id"),
+            F.when(n % 3 != 0, F.concat(F.lit("05"), F.lpad(part, 8, "0"))).alias("phone"),
+            F.when(n % 2 == 0, F.concat(F.lit("guest"), part, F.lit("@example.com"))).alias("email"),
+            F.when((flag == "R") | (flag == "A") | (lstat != "O"), F.concat(
+                F.lit("RWSA-"), F.col("l_orderkey").cast("string"), n.cast("string"), part)).alias("qr_ref"),
+            gone.alias("cancelled_at"),
+            F.when((flag == "R") & (n % 2 == 0), "Changed plans").alias("cancel_reason"),
+            F.coalesce(gone, F.col("l_shipdate")).alias("updated_at"))
 
     @cached_property
     def users(self) -> DataFrame:
@@ -264,7 +303,11 @@ class RailTables:
              .otherwise("passenger").alias("role"),
             F.when(k % 9 == 0, "inactive").otherwise("active").alias("status"),
             F.when(k % 2 == 0, 1).otherwise(0).alias("verified"),
-            F.date_add(F.lit(dt.date(1995, 1, 1)), (k % 2400).cast("int")).alias("created_at"))
+            F.date_add(F.lit(dt.date(1995, 1, 1)), (k % 2400).cast("int")).alias("created_at"),
+            F.when(k % 5 == 0, "email").when(k % 3 == 0, "both").when(k % 2 == 0, "nafath").otherwise("email")
+             .alias("auth_method"),
+            F.when(k % 4 != 0, _day(dt.date(1995, 1, 1), k % 2400 + k % 900)).alias("last_login"),
+            _day(dt.date(1995, 1, 1), k % 2400 + k % 300).alias("updated_at"))
 
     @cached_property
     def user_permissions(self) -> DataFrame:
@@ -276,7 +319,10 @@ class RailTables:
             k.alias("user_id"),
             F.when((k % 50 == 0) | (k % 10 == 1), 1).otherwise(0).alias("can_schedules"),
             F.lit(1).alias("can_bookings"),
-            F.when(k % 50 == 0, 1).otherwise(0).alias("can_routes")))
+            F.when(k % 50 == 0, 1).otherwise(0).alias("can_routes"),
+            F.when(k % 50 == 0, 1).otherwise(0).alias("can_users"),
+            F.when((k % 50 == 0) | (k % 10 == 1), 1).otherwise(0).alias("can_reports"),
+            F.when((k % 50 == 0) | (k % 30 == 1), 1).otherwise(0).alias("can_pricing")))
 
     @cached_property
     def events(self) -> DataFrame:

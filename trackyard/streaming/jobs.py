@@ -29,7 +29,7 @@ from trackyard.functions import expr as X
 from trackyard.operators.skew import pick_per_key
 from trackyard.operators.views import route_dim
 from trackyard.session import scratch_path
-from trackyard.sources.tables import RailTables
+from trackyard.sources.tables import RailTables, declared
 from trackyard.streaming.batches import read_batches, read_totals, run_batches
 
 
@@ -45,7 +45,7 @@ class StreamingRail(RailTables):
     def _stored(self, name: str, build) -> DataFrame:
         # views over a streamed table stay streaming; the rest use the stored tables
         if set(self.SOURCES[name]) & self.stream:
-            return build()
+            return declared(name, build())
         return super()._stored(name, build)
 
     def raw(self, name: str) -> DataFrame:
@@ -148,14 +148,17 @@ def run_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 # STR5: notification outbox for confirmed bookings (one set of messages per reference).
 def outbox(bookings: DataFrame, schedules: DataFrame, routes: DataFrame, stations: DataFrame,
            users: DataFrame) -> DataFrame:
+    """Messages of confirmed bookings, to the contacts that the booking names, else to the user's own."""
     b = bookings.where(F.col("booking_status") == "confirmed").dropDuplicates(["booking_ref"])
     rd = route_dim(routes, stations, ("name_en",)).select(
         F.col("id").alias("_rid"), "from_name_en", "to_name_en")
     s = schedules.select(F.col("id").alias("_sid"), F.col("route_id").alias("_srid"),
                          "travel_date", "departure_time").join(rd, F.col("_srid") == rd["_rid"])
-    u = users.select(F.col("id").alias("_uid"), "phone", "email")
+    u = users.select(F.col("id").alias("_uid"), F.col("phone").alias("_phone"), F.col("email").alias("_email"))
     j = (b.join(s, b.schedule_id == s["_sid"], "inner")
          .join(u, b.user_id == u["_uid"], "left"))
+    j = j.withColumns({c: F.coalesce(*([X.empty_to_null(c)] if c in b.columns else []), F.col(f"_{c}"))
+                       for c in ("phone", "email")})
     amount = F.regexp_replace(F.col("amount_paid").cast("string"), r"\.?0+$", "")
     sms = F.struct(F.lit("sms").alias("type"), X.phone_e164("phone").alias("channel"),
                    F.lit(None).cast("string").alias("subject"),
