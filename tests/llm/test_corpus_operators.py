@@ -166,78 +166,114 @@ def test_components_of_a_chain(spark):
 # --- Katz back-off ---------------------------------------------------------------------------------
 
 class BruteKatz:
-    def __init__(self, rows):
-        self.uni, self.bi = Counter(), Counter()
+    """Katz back-off of any order by dictionaries; contexts are tuples, the nearest word last, None before the text."""
+
+    def __init__(self, rows, order, held=None):
+        self.order, self.held = order, held or self.of_query
+        self.count = [Counter() for _ in range(order + 1)]
         for i, t in rows:
             if not self.held(i):
-                tokens = self.tokens(t)
-                self.uni.update(tokens)
-                self.bi.update(zip([None, *tokens], tokens))
-        self.n, self.v = sum(self.uni.values()), len(self.uni)
-        self.ctx = Counter()
-        for (a, _), c in self.bi.items():
-            self.ctx[a] += c
-        n = Counter(self.bi.values())
-        self.d = K.Discounts(np.array([0] + [n[r] for r in range(1, K.K + 2)] + [0]))
-        self.after = defaultdict(dict)
-        for (a, b), c in self.bi.items():
-            self.after[a][b] = c
+                for k in range(1, order + 1):
+                    self.count[k].update(self.grams(t, k))
+        self.n, self.v = sum(self.count[1].values()), len(self.count[1])
+        self.after = [defaultdict(dict) for _ in range(order + 1)]
+        self.d = [None, None]
+        for k in range(1, order + 1):
+            for g, c in self.count[k].items():
+                self.after[k][g[:-1]][g[-1]] = c
+            n = Counter(self.count[k].values())
+            if k > 1:
+                self.d.append(K.Discounts(np.array([0] + [n[r] for r in range(1, K.K + 2)] + [0])))
 
     @staticmethod
-    def held(i):
+    def of_query(i):
         return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
     @staticmethod
     def tokens(t):
         return [w.lower() for w in words(t)] + ["end"]     # words are bytes, so the end is no word
 
-    def low(self, w):
-        return (self.uni[w] + 1) / (self.n + self.v + 1)
-
-    def p(self, w, a):
-        total, seen = self.ctx[a], self.after[a]
-        if not total:
-            return self.low(w)
-        left = 1 - sum(float(self.d.seen(np.array(c))) for c in seen.values()) / total
-        scale = 1.0
+    def grams(self, t, k):
+        x = [None] * (k - 1) + self.tokens(t)
+        return [tuple(x[j:j + k]) for j in range(len(x) - k + 1)]
+
+    def p(self, g):
+        k, (*context, w) = len(g), g
+        if k == 1:
+            return (self.count[1][g] + 1) / (self.n + self.v + 1)
+        seen = self.after[k].get(tuple(context))
+        if not seen:
+            return self.p(g[1:])
+        known, total = (lambda c: float(self.d[k].seen(np.array(c)))), sum(seen.values())
+        left = 1 - sum(map(known, seen.values())) / total
         if left < 1e-12:
-            scale, left = total / (total + 1), 1 / (total + 1)
+            total, left = total + 1, 1 / (total + 1)
         if w in seen:
-            return float(self.d.seen(np.array(seen[w]))) / total * scale
-        return left / (1 - sum(map(self.low, seen))) * self.low(w)
+            return known(seen[w]) / total
+        return left / (1 - sum(self.p((*context[1:], x)) for x in seen)) * self.p(g[1:])
 
 
-@pytest.mark.parametrize("owned", [K.OWNED, 3000])
-def test_katz_query(spark, rows, use, monkeypatch, owned):
+@pytest.mark.parametrize("order,owned", [(1, 3000), (2, 3000), (3, K.OWNED), (3, 2000), (4, 5000)])
+def test_katz_query(spark, rows, use, monkeypatch, order, owned):
     use(K)
     monkeypatch.setattr(K, "BLOCK_BYTES", 60_000)
-    monkeypatch.setattr(K.train_and_score, "__defaults__", (owned,))
-    m = BruteKatz(rows)
-    want = sorted([(i if i is not None else -99, m.held(i), len(x := m.tokens(t)), sum(m.uni[w] > 0 for w in x), m.n,
-                    sum(math.log10(m.low(w)) for w in x), sum(math.log10(m.p(w, a)) for a, w in zip([None, *x], x)))
-                   for i, t in rows])
+    monkeypatch.setattr(K.train_and_score, "__defaults__", (order, owned))
+    m = BruteKatz(rows, order)
+    memo = {}
+    log = lambda g: memo[g] if g in memo else memo.setdefault(g, math.log10(m.p(g)))
+    want = sorted([(i if i is not None else -99, m.held(i), len(x := m.grams(t, 1)), sum(m.count[1][g] > 0 for g in x), m.n,
+                    sum(map(log, x)), sum(map(log, m.grams(t, order)))) for i, t in rows])
     got = sorted([(r[0] if r[0] is not None else -99, *r[1:]) for r in K.query(spark, "").collect()])
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
 
 
-def test_katz_sums_to_one(rows):
-    m = BruteKatz(rows)
-    for a in [None, *list(m.ctx)[1:200:20], max(m.ctx, key=m.ctx.get), "never"]:
-        assert sum(m.p(w, a) for w in [*m.uni, "unknown"]) == pytest.approx(1, abs=1e-9)
-
-
-def test_katz_empty_and_model(spark, docs, empty):
+@pytest.mark.parametrize("owned", [K.OWNED, 500])
+def test_katz_table(spark, rows, monkeypatch, owned):
+    """The stored model as rows: counts of all orders, and p(. | context) sums to 1 in every context."""
+    from pyspark.sql import functions as F
+    some = [r for r in rows[:40] if r[1]] + [(9000 + i, "a b c a b d " * (i + 1)) for i in range(6)]
+    docs = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+    _, model = K.train_and_score(docs, F.col("doc_id") % 5 == 1, 3, owned)
+    table = defaultdict(dict)
+    back = {(): 0.0}
+    for r in model.table().collect():
+        h = tuple(r.context)
+        assert r.word not in table[h] and back.setdefault(h, r.log_backoff) == pytest.approx(r.log_backoff, abs=1e-12)
+        table[h][r.word] = (r["count"], 10 ** r.log_prob)
+    m = BruteKatz(some, 3, lambda i: i % 5 == 1)
+    for k in (1, 2, 3):
+        assert Counter(c for h, x in table.items() if len(h) == k - 1 for c, _ in x.values() if c) == Counter(m.count[k].values())
+    unknown = 1 / model.mass
+    vocabulary = [w for w, (c, _) in table[()].items() if c]
+
+    def p(w, h):
+        if not h:
+            return table[()][w][1] if w in table[()] else unknown
+        return table[h][w][1] if w in table.get(h, {}) else 10 ** back.get(h, 0.0) * p(w, h[:-1])     # nearest word first
+
+    assert any(len(h) == 2 for h in table)
+    for h in random.Random(1).sample(sorted(table), 250) + sorted((h for h in table if len(h) < 2), key=lambda h: -len(table[h]))[:20]:
+        assert sum(p(w, h) for w in [*vocabulary, -1]) == pytest.approx(1, abs=1e-9)
+
+
+def test_katz_empty(spark, docs, empty):
     from pyspark.sql import functions as F
     assert K.train_and_score(empty, F.lit(False))[0].count() == 0
-    scored, model = K.train_and_score(docs, F.lit(False))
-    n = scored.select("train_tokens").distinct().collect()
-    assert len(n) == 1
-    bigrams = [[K.unpacked(p) for p in r.parts] for r in model.where("kind = 'bigrams'").collect()]
-    assert sum(b[3].sum() for b in bigrams) == n[0][0]
-    unseen, _ = K.train_and_score(docs, F.lit(True))
-    assert {r.train_tokens for r in unseen.collect()} == {0}
+    unseen, model = K.train_and_score(docs, F.lit(True))
+    assert {(r.train_tokens, r.score) for r in unseen.collect()} == {(0, 0.0)}
+    assert model.table().where("order > 1").count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(0, 2 ** 63 - 1), max_size=4), st.lists(st.integers(0, 300), max_size=5)),
+                min_size=1, max_size=6))
+def test_letters_round_trip(parts):
+    streams = [(np.array([x for p in parts for x in p[k]], np.int64), np.array([len(p[k]) for p in parts])) for k in (0, 1)]
+    got = K.opened(K.pa.chunked_array([K.letters(*streams)]), 2)
+    for (x, n), (y, m) in zip(streams, got):
+        assert x.tolist() == y.tolist() and n.tolist() == m.tolist()
 
 
 def test_discounts():

@@ -1,32 +1,38 @@
-"""Katz back-off language model: training, stored tables and scores of all documents.
-
-The model has two orders.  p(w) = (c(w) + 1) / (N + V + 1) over the V training tokens and
-one unknown token.  For a context v with training followers,
-
-    p(w | v) = d(c) * c(vw) / c(v)            if c(vw) > 0
-    p(w | v) = a(v) * p(w)                    else (recursion to the lower order),
-
-with Good-Turing discounts d(c) for c <= ``K`` and a(v) = the mass left over by the
-discounts / the lower order's mass of the unseen tokens, computed from exact integer sums, so
-that every p(. | v) sums to 1.  A context that no discount touches uses c / (c(v) + 1); an
-unseen context is scored by p(w).  If the counts of counts give no valid discount, d(c) is
-(c - D) / c with D = n1 / (n1 + 2 n2).  A document's first context is a start mark.
-
-How it runs: texts are encoded once into blocks of token codes (stored).  Each block asks
-the owners of its distinct tokens, dealt by hash, for ids and corpus counts; then the
-owners of its distinct bigrams, dealt by context, for their counts and the sums that a(v)
-needs.  Owners combine all blocks' counts and write the model tables, partitioned by kind,
-beside the answers.  A context with many tokens is split over several owners by follower,
-and a block adds up the sums of the parts.  No owner or block grows with the corpus.
+"""Katz back-off language model of any order: training, stored tables and scores of all documents.
+
+p(w) = (c(w) + 1) / (N + V + 1) over the V training tokens and one unknown token.  For a
+context h of one word or more with training followers,
+
+    p(w | h) = d(c) * c(hw) / c(h)            if c(hw) > 0
+    p(w | h) = a(h) * p(w | h')               else, h' being h without its first word (recursion),
+
+with Good-Turing discounts d(c) of each order for c <= ``K`` and a(h) = the mass left over by
+the discounts / the mass that the lower order gives to the tokens unseen after h, both from
+exact integer sums, so that every p(. | h) sums to 1.  A context that no discount touches uses
+c / (c(h) + 1); an unseen context is scored by p(w | h').  If an order's counts of counts give
+no valid discount, d(c) is (c - D) / c with D = n1 / (n1 + 2 n2).  Before a document's first
+word stand start marks.
+
+How it runs: texts are encoded once into blocks of token codes (stored).  Each block asks the
+owners of its distinct tokens, dealt by hash, for ids and corpus counts; then it sends its
+distinct n-grams of the highest order, with their training counts, to the owner of the word
+before the last.  An owner so holds all orders of its contexts: it merges the blocks' counts
+and stores its share of the model.  A word with many followers is split over several owners by
+follower; sums of its contexts are added up by Spark and joined back.  Once the discounts are
+known, shares are evaluated and answer the blocks, which add up their documents.  A letter from
+a block to an owner is one row of numbers, built without a loop over owners; there are never
+more letters than n-grams.  No owner, block or collected result grows with the corpus.
 
 Documents for which ``held`` is true are only scored.  NULL texts are empty (one end token);
 a NULL doc_id stays NULL; repeated rows count and are scored each; an empty table gives no
-rows; other columns are not read.
+rows; other columns are not read.  Words are told apart by 64 hash bits.
 Very long texts are read whole.  Ties: none possible, as counts and scores depend on no order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -36,18 +42,21 @@ from pyspark.sql import functions as F
 
 from trackyard.llm.common import LOWER, U, Words, column_bytes, discard, held_out, mix, pick, read, stored_at, text_slices
 
+ORDER = 3                      # words of the longest n-grams
 K = 5                          # counts up to K are discounted
 BLOCK_BYTES = 8 << 20          # text of one block
 OWNED = 1_000_000              # entries that an owner gets on average
 END = np.array([0x7F4A7C159E3779B9], U)    # stands for the end token; a word's hash equals it by chance only
-START_ID = (1 << 62)
+START = 0                      # id of the start mark; tokens have ids from 1 on
 SLICES = 1 << 20               # parts of the token space that are dealt to owners
 
 ENCODED = ("kind string, block long, doc_ids array<long>, counts array<int>, held array<boolean>, n_tokens long, "
            "n_words long, slices binary, codes binary, words binary, seen binary")
-MESSAGE = "kind string, bucket int, block long, parts array<binary>"
+SENT = ("kind string, bucket int, block long, body binary, rest binary, parts array<binary>, split boolean, level int, "
+        "at int, context array<long>, sums array<long>")
 SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
           "score double")
+MODEL = "order int, context array<long>, word long, count long, log_prob double, log_backoff double"
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -103,6 +112,79 @@ def _block(name: int, held: list) -> pa.RecordBatch:
         [pa.array([{"block": name, **row}.get(k) for row in (body, asked)], t) for k, t in types.items()], list(types))
 
 
+_SENT = {"kind": pa.string(), "bucket": pa.int32(), "block": pa.int64(), "body": pa.binary(), "rest": pa.binary(),
+         "parts": pa.list_(pa.binary()), "split": pa.bool_(), "level": pa.int32(), "at": pa.int32(),
+         "context": pa.list_(pa.int64()), "sums": pa.list_(pa.int64())}
+
+
+def sent(n: int, **columns) -> pa.Table:
+    """``n`` rows of ``SENT``; a column is an array, or one value for all rows."""
+    return pa.table({c: x if isinstance(x := columns.get(c), pa.Array) else
+                     pa.array(x, t) if isinstance(x, np.ndarray) else pa.array([x] * n, t) for c, t in _SENT.items()})
+
+
+def lists(rows: np.ndarray) -> pa.Array:
+    """The rows of a table of numbers as lists."""
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(rows.ravel(), pa.int64()))
+
+
+def varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where the bytes of each number end): seven bits a byte, a number's last byte is below 128."""
+    size = np.ones(len(x), np.int64)
+    for bits in range(7, 64, 7):
+        more = x >= U(1 << bits)
+        if not more.any():
+            break
+        size += more
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(x) else 0, np.uint8)
+    at = ends - size
+    while len(x):
+        more = x >= U(128)
+        out[at] = (x & U(127)).astype(np.uint8) | more.astype(np.uint8) << np.uint8(7)
+        at, x = at[more] + 1, x[more] >> U(7)
+    return out, ends
+
+
+def letters(*streams: tuple[np.ndarray, np.ndarray]) -> pa.Array:
+    """Letters of several streams of numbers: letter m has the next ``lengths[m]`` of each (values, lengths)."""
+    lengths = np.array([n for _, n in streams], np.int64)
+    total = len(streams) + lengths.sum(axis=0)
+    ends = np.cumsum(total)
+    start = ends - total
+    values = np.empty(int(ends[-1]) if len(ends) else 0, U)
+    values[start[:, None] + np.arange(len(streams))] = lengths.T
+    at = start + len(streams)
+    for (x, _), n in zip(streams, lengths):
+        values[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(len(x))] = x
+        at = at + n
+    data, stops = varints(values)
+    offs = np.zeros(len(ends) + 1, np.int32)
+    offs[1:] = stops[ends - 1]
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def opened(body: pa.ChunkedArray, kinds: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The streams of ``letters``, each over all letters in turn: (values, lengths)."""
+    data, offs = column_bytes(body.combine_chunks())
+    last = np.flatnonzero(data < 128)
+    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    values, left, j = np.zeros(len(last), U), np.arange(len(last)), 0
+    while len(left):
+        values[left] |= (data[first[left] + j] & np.uint8(127)).astype(U) << U(7 * j)
+        j += 1
+        left = left[first[left] + j <= last[left]]
+    values = values.view(np.int64)
+    start = np.searchsorted(last, offs[:-1])
+    lengths = values[start[:, None] + np.arange(kinds)].T
+    at, out = start + kinds, []
+    for n in lengths:
+        out.append((values[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())], n))
+        at = at + n
+    return out
+
+
 class Block:
     """One encoded block: its tokens, and what it has been told about them."""
 
@@ -114,131 +196,198 @@ class Block:
         self.n_words = row["n_words"]
         self.train = np.repeat(~np.array(self.held, bool), self.counts)
 
-    def told_tokens(self, answers: list[dict], buckets: int, train_docs: int) -> None:
+    def told_tokens(self, told: pa.Table, buckets: int, train_docs: int) -> None:
         """Takes ids and corpus counts; the start mark gets the last place of both."""
-        self.ids, self.total = (np.empty(self.n_words + 1, np.int64) for _ in range(2))
-        self.ids[-1], self.total[-1] = START_ID, train_docs
-        where = self.slices % buckets
-        for a in answers:
-            mine = where == a["bucket"]
-            self.ids[:-1][mine], self.total[:-1][mine] = (unpacked(p) for p in a["parts"])
-
-    def pairs(self) -> None:
-        """Distinct (context, follower) codes, the pair of each token, and training counts."""
+        (ids, _), (total, _) = opened(told.sort_by("bucket").column("body"), 2)
+        order = np.argsort(self.slices % buckets, kind="stable")
+        self.ids, self.total = np.full(self.n_words + 1, START), np.full(self.n_words + 1, train_docs)
+        self.ids[order], self.total[order] = ids, total
+
+    def grams(self, order: int, buckets: int, hot: int) -> None:
+        """Distinct n-grams as a tree: pairs (v, w) by owner, then for each word further back (parent, word);
+        the gram of each token and the grams' training counts.  A v seen over ``hot`` times is split by w."""
         n = self.n_words + 1
-        before = np.empty(len(self.codes), np.int64)
-        before[1:] = self.codes[:-1]
-        before[np.cumsum(self.counts) - self.counts] = n - 1
-        keys, inv = np.unique(before * n + self.codes, return_inverse=True)
-        self.pair_of, self.v, self.w = inv.ravel(), keys // n, keys % n
-        self.pair_count = np.bincount(self.pair_of[self.train], minlength=len(keys))
-
-    def pair_buckets(self, buckets: int, hot: int):
-        """bucket -> (contexts, pairs) with the contexts of every part of a hot context."""
-        def spread(v: np.ndarray, salt: np.ndarray) -> np.ndarray:
-            return ((mix(self.ids[v].astype(U)) % U(buckets)).astype(np.int64) + salt) % buckets
-        split = np.minimum(-(-self.total // hot), buckets)
-        split[split < 1] = 1
-        salt = (mix(self.ids[self.w].astype(U) + U(1)) % split[self.v].astype(U)).astype(np.int64)
-        bucket = spread(self.v, salt)
-        present = np.unique(self.v)
-        parts = np.repeat(present, split[present])
-        nth = np.arange(len(parts)) - np.repeat(np.cumsum(split[present]) - split[present], split[present])
-        at = spread(parts, nth)
-        pair_order, part_order = np.argsort(bucket, kind="stable"), np.lexsort((parts, at))
-        for b in np.unique(at):
-            lo, hi = np.searchsorted(at[part_order], [b, b + 1])
-            s, e = np.searchsorted(bucket[pair_order], [b, b + 1])
-            yield int(b), parts[part_order[lo:hi]], pair_order[s:e]
-
-
-def _message(kind: str, bucket: int, block: int, parts: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([kind]), pa.array([bucket], pa.int32()), pa.array([block], pa.int64()),
-         pa.array([parts], pa.list_(pa.binary()))], ["kind", "bucket", "block", "parts"])
-
-
-def _table(batches: list[pa.RecordBatch]) -> pa.Table:
-    return pa.Table.from_batches(batches)
+        place = np.arange(len(self.codes)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+
+        def back(j: int) -> np.ndarray:
+            out = np.full(len(self.codes), self.n_words)
+            out[j:] = self.codes[:-j]
+            out[place < j] = self.n_words
+            return out
+
+        pairs, gram = np.unique(back(1) * n + self.codes, return_inverse=True)
+        v, w = pairs // n, pairs % n
+        split = np.clip(-(-self.total // hot), 1, buckets)
+        part = (mix(self.ids[w].astype(U) + U(1)) % split[v].astype(U)).astype(np.int64)
+        bucket = ((mix(self.ids[v].astype(U)) % U(buckets)).astype(np.int64) + part) % buckets
+        by = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        self.v, self.w, self.bucket, self.split, gram = v[by], w[by], bucket[by], split, rank[gram]
+        self.steps = []
+        for j in range(2, order):
+            keys, gram = np.unique(gram * n + back(j), return_inverse=True)
+            self.steps.append((keys // n, keys % n))
+        self.gram_of = gram
+        self.seen = np.bincount(gram[self.train], minlength=len(self.steps[-1][0] if self.steps else by))
+
+    def asks(self) -> pa.Table:
+        """A letter to each owner of some of the block's n-grams (see ``Share.merged``)."""
+        present, first = np.unique(self.bucket, return_index=True)
+        new = np.ones(len(self.v), bool)
+        new[1:] = (self.v[1:] != self.v[:-1]) | (self.bucket[1:] != self.bucket[:-1])
+        heads, bounds = np.flatnonzero(new), np.append(first, len(self.v))
+        n_heads, n = np.add.reduceat(new.astype(np.int64), first), np.diff(bounds)
+        v = self.v[heads]
+        streams = [(self.ids[v] * 2 + (self.split[v] > 1), n_heads), (np.diff(np.append(heads, len(self.v))), n_heads),
+                   (self.ids[self.w], n), (self.total[self.w], n)]
+        size = len(self.v)
+        for parent, code in self.steps:
+            kids = np.bincount(parent, minlength=size)
+            bounds, size = np.concatenate([[0], np.cumsum(kids)])[bounds], len(parent)
+            streams += [(kids, n), (self.ids[code], n := np.diff(bounds))]
+        return sent(len(present), kind="ask", bucket=present, block=self.name, body=letters(*streams, (self.seen, n)))
 
 
 def token_answers(words: DataFrame, buckets: int) -> DataFrame:
-    """Token owners: ids and counts for each block, the unigram table and its sums (``MESSAGE``)."""
+    """Token owners: ids and counts for each block, the unigram table and its sums (``SENT``)."""
 
     def ask(batches):
         for b in batches:
             for row in b.to_pylist():
                 where, words, seen = unpacked(row["slices"]) % buckets, unpacked(row["words"], U), unpacked(row["seen"])
-                for k in np.unique(where):
-                    mine = where == k
-                    yield _message("ask", k, row["block"], [packed(words[mine]), packed(seen[mine])])
+                order = np.argsort(where, kind="stable")
+                present, n = np.unique(where, return_counts=True)
+                yield from sent(len(present), kind="ask", bucket=present, block=row["block"],
+                                body=letters((words[order], n), (seen[order], n))).to_batches()
 
     def own(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        bucket = rows[0]["bucket"]
-        words = [unpacked(r["parts"][0], U) for r in rows]
-        all_, inv = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(inv.ravel(), np.concatenate([unpacked(r["parts"][1]) for r in rows]), len(all_))
-        total, ids = total.astype(np.int64), np.empty(len(all_), np.int64)
-        ids[np.argsort(-total, kind="stable")] = np.arange(len(all_)) * buckets + bucket      # frequent: small
-        out, at = [], 0
-        for r, w in zip(rows, words):
-            mine = inv.ravel()[at:at + len(w)]
-            at += len(w)
-            out.append(_message("tokens", bucket, r["block"], [packed(ids[mine]), packed(total[mine])]))
-        out.append(_message("unigrams", bucket, -1, [packed(all_), packed(ids), packed(total)]))
-        out.append(_message("sums", bucket, -1, [packed(np.array([total.sum(), (total > 0).sum()]))]))
-        return _table(out)
-
-    return words.mapInArrow(ask, MESSAGE).groupBy("bucket").applyInArrow(own, MESSAGE)
-
-
-def pair_answers(blocks: DataFrame, tokens: DataFrame, buckets: int, pair_buckets: int, hot: int,
-                 train_docs: int) -> DataFrame:
-    """Bigram owners: counts and context sums for each block, the bigram table, counts of counts."""
+        bucket = table.column("bucket")[0].as_py()
+        (words, n), (seen, _) = opened(table.column("body"), 2)
+        all_, inv = np.unique(words.view(U), return_inverse=True)
+        total, ids = np.bincount(inv, seen, len(all_)).astype(np.int64), np.empty(len(all_), np.int64)
+        ids[np.argsort(-total, kind="stable")] = np.arange(len(all_)) * buckets + bucket + 1      # frequent: small
+        return pa.concat_tables([
+            sent(len(n), kind="tokens", bucket=bucket, block=table.column("block").combine_chunks(),
+                 body=letters((ids[inv], n), (total[inv], n))),
+            sent(1, kind="unigrams", bucket=bucket, parts=[packed(all_), packed(ids), packed(total)]),
+            sent(1, kind="sums", bucket=bucket, level=1, sums=[total.sum(), (total > 0).sum()])])
+
+    return words.mapInArrow(ask, SENT).groupBy("bucket").applyInArrow(own, SENT)
+
+
+class Level:
+    """N-grams of one order in a share.
+
+    parent: index of each one's shorter gram; ctx, n: its context, and how many there are;
+    up, context: each context's shorter one, and its words (nearest first); count; low: count
+    of the shorter gram (of the word itself for pairs); split: contexts with followers elsewhere.
+    """
+
+    def __init__(self, **fields):
+        self.__dict__.update(fields)
+
+    def sums(self, pairs: bool) -> np.ndarray:
+        """Per context over its seen followers: their tokens, their number, how many were seen 1..K times,
+        and of their lower counts: the sum of those above K (of all, for pairs), how many are 1..K."""
+        seen = self.count > 0
+        at, count, low = self.ctx[seen], self.count[seen], self.low[seen]
+        many = lambda x: np.bincount(x, minlength=self.n)
+        add = lambda x: np.bincount(at, x, self.n).astype(np.int64)
+        some = range(1, K + 1)
+        return np.stack([add(count), many(at), *[many(at[count == r]) for r in some],
+                         add(low if pairs else np.where(low > K, low, 0)),
+                         *[many(at[(low == r) & (not pairs)]) for r in some]], axis=1)
+
+
+class Share:
+    """An owner's part of the model: all n-grams whose word before the last is among its ``heads``."""
+
+    def __init__(self, heads, head_of, words, c1, counts, *steps):
+        self.heads, self.head_of, self.words, self.c1, self.steps = heads, head_of, words, c1, list(zip(steps[::2], steps[1::2]))
+        level = Level(parent=None, ctx=head_of, n=len(heads), up=None, context=heads[:, None] >> 1, split=heads % 2 > 0)
+        self.levels = [level]
+        for parent, word in self.steps:
+            names, at = np.unique(word, return_inverse=True)
+            keys, ctx = np.unique(level.ctx[parent] * len(names) + at, return_inverse=True)
+            up = keys // len(names)
+            level = Level(parent=parent, ctx=ctx, n=len(keys), up=up, split=level.split[up],
+                          context=np.column_stack([level.context[up], names[keys % len(names)]]))
+            self.levels.append(level)
+        self.levels[-1].count = counts
+        for low, level in zip(self.levels[-2::-1], self.levels[:0:-1]):
+            low.count = np.bincount(level.parent, level.count, len(low.ctx)).astype(np.int64)
+            level.low = low.count[level.parent]
+        self.levels[0].low = c1
+
+    @classmethod
+    def merged(cls, streams: list) -> tuple["Share", np.ndarray, np.ndarray]:
+        """(share, gram of each entry of the letters, entries of each letter).  Streams: heads, pairs of each,
+        words, their counts; for each word further back: children of each gram, words; training counts."""
+        (v, _), (runs, _), (w, _), (c1, _), *more, (seen, n) = streams
+        heads, at = np.unique(np.repeat(v, runs), return_inverse=True)
+        words, nth = np.unique(w, return_inverse=True)
+        keys, gram = np.unique(at * len(words) + nth, return_inverse=True)
+        count = np.zeros(len(keys), np.int64)
+        count[gram] = c1
+        parts, steps = (heads, keys // len(words), words[keys % len(words)], count), []
+        for (kids, _), (h, _) in zip(more[::2], more[1::2]):
+            names, nth = np.unique(h, return_inverse=True)
+            keys, gram = np.unique(np.repeat(gram, kids) * len(names) + nth, return_inverse=True)
+            steps += [keys // len(names), names[keys % len(names)]]
+        return cls(*parts, np.bincount(gram, seen, len(keys)).astype(np.int64), *steps), gram, n
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.heads, self.head_of, self.words, self.c1, self.levels[-1].count, *(x for s in self.steps for x in s)]
+
+    def evaluate(self, sums: list[np.ndarray], mass: int, discounts: list["Discounts"]) -> None:
+        """Sets each level's ``p`` of its n-grams, and ``base`` and ``back`` (the back-off weight) of its contexts."""
+        lower, low_d, low_base = (self.c1 + 1) / mass, None, None
+        for level, s, d in zip(self.levels, sums, discounts):
+            tokens, types, ones, most, few = s[:, 0], s[:, 1], s[:, 2:2 + K].T, s[:, 2 + K], s[:, 3 + K:].T
+            left = d.left(types, ones)
+            untouched = (tokens > 0) & (left <= 0)
+            level.base = np.where(untouched, tokens + 1, np.maximum(tokens, 1))
+            if level.up is None:
+                unseen = (mass - most - types) / mass
+            else:        # integers first: what the lower order counted elsewhere, then what it discounted here
+                base = low_base[level.up]
+                rest = base - most - sum(r * x for r, x in enumerate(few, 1))
+                unseen = (rest + low_d.left(types, few)) / base
+            level.back = np.where(tokens > 0, np.where(untouched, 1.0, left) / level.base / unseen, 1.0)
+            level.p = np.where(level.count > 0, d.seen(level.count) / level.base[level.ctx], level.back[level.ctx] * lower)
+            lower, low_d, low_base = level.p, d, level.base
+            if (after := self.levels.index(level) + 1) < len(self.levels):
+                lower = lower[self.levels[after].parent]
+
+
+def shares(blocks: DataFrame, tokens: DataFrame, order: int, buckets: int, pair_buckets: int, hot: int,
+           train_docs: int) -> DataFrame:
+    """N-gram owners (``SENT``): their shares of the model with the letters to answer, sums of split contexts, and
+    counts of counts of each order."""
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(left)
-        block.told_tokens(right.to_pylist(), buckets, train_docs)
-        block.pairs()
-        out = []
-        for b, contexts, pairs in block.pair_buckets(pair_buckets, hot):
-            v, w = block.v[pairs], block.w[pairs]
-            runs = np.searchsorted(v, contexts, side="right") - np.searchsorted(v, contexts)
-            out.append(_message("ask", b, block.name, [packed(x) for x in (
-                block.ids[contexts], runs, block.ids[w], block.total[w], block.pair_count[pairs])]))
-        return _table(out)
+        block.told_tokens(right, buckets, train_docs)
+        block.grams(order, pair_buckets, hot)
+        return block.asks()
 
     def own(table: pa.Table) -> pa.Table:
-        bucket, names = table.column("bucket")[0].as_py(), table.column("block").to_pylist()
-        got = [[unpacked(p) for p in parts] for parts in table.column("parts").to_pylist()]
-        contexts = np.unique(np.concatenate([g[0] for g in got]))
-        v = np.concatenate([np.repeat(np.searchsorted(contexts, g[0]), g[1]) for g in got])
-        w, cw, c = (np.concatenate([g[k] for g in got]) for k in (2, 3, 4))
-        order = np.lexsort((w, v))
-        new = np.ones(len(order), bool)
-        new[1:] = (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])
-        pair = np.empty(len(order), np.int64)
-        pair[order] = np.cumsum(new) - 1
-        count = np.bincount(pair, c, int(new.sum())).astype(np.int64)
-        first = order[new]
-        v, w_of, cw = v[first], w[first], cw[first]
-        seen = count > 0
-        sums = [np.bincount(v, x, len(contexts)).astype(np.int64) for x in
-                (count, seen, cw * seen, *(count == r for r in range(1, K + 1)))]
-        out, at = [], 0
-        for name, g in zip(names, got):
-            mine = np.searchsorted(contexts, g[0])
-            answer = [packed(count[pair[at:at + len(g[2])]]), *(packed(s[mine]) for s in sums)]
-            at += len(g[2])
-            out.append(_message("pairs", bucket, name, answer))
-        runs = np.bincount(v[seen], minlength=len(contexts))
-        out.append(_message("bigrams", bucket, -1, [packed(x) for x in (contexts, runs, w_of[seen], count[seen], *sums)]))
-        out.append(_message("sums", bucket, -1, [packed(np.bincount(np.minimum(count, K + 2), minlength=K + 3))]))
-        return _table(out)
-
-    asked = blocks.groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(ask, MESSAGE)
-    return asked.groupBy("bucket").applyInArrow(own, MESSAGE)
+        bucket = table.column("bucket")[0].as_py()
+        share, index, sizes = Share.merged(opened(table.column("body"), 2 * order + 1))
+        blocks = table.column("block").to_numpy()
+        out = [sent(1, kind="share", bucket=bucket, split=bool(share.levels[0].split.any()),
+                    parts=[packed(x) for x in (blocks, sizes, index, *share.parts())])]
+        for k, level in enumerate(share.levels, 2):
+            counts = np.bincount(np.minimum(level.count, K + 2), minlength=K + 3)
+            out.append(sent(1, kind="counts", bucket=bucket, level=k, sums=counts.tolist()))
+            if len(at := np.flatnonzero(level.split)):
+                out.append(sent(len(at), kind="split", bucket=bucket, level=k, at=at, context=lists(level.context[at]),
+                                sums=lists(level.sums(k == 2)[at])))
+        return pa.concat_tables(out)
+
+    asked = blocks.groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(ask, SENT)
+    return asked.groupBy("bucket").applyInArrow(own, SENT)
 
 
 class Discounts:
@@ -268,38 +417,109 @@ class Discounts:
         return sum(s * (1 - self.d[r]) * r for r, s in enumerate(singles, 1))
 
 
-def probabilities(c: np.ndarray, low: np.ndarray, sums: list[np.ndarray], mass: int, d: Discounts) -> np.ndarray:
-    """p(w | v) of pairs with count c, lower-order p(w) ``low`` and their context's sums.
-
-    sums: tokens, types, sum of c(w) over the seen followers, numbers of followers seen 1..K times.
-    """
-    tokens, types, lower, *singles = sums
-    left = d.left(types, singles)
-    untouched = (tokens > 0) & (left <= 0)
-    base = np.where(untouched, tokens + 1, np.maximum(tokens, 1))
-    left = np.where(untouched, 1.0, left) / base
-    unseen_mass = (mass - lower - types) / mass
-    known = np.where(untouched, c, d.seen(c)) / base
-    return np.where(tokens == 0, low, np.where(c > 0, known, left / unseen_mass * low))
-
-
-def scores(blocks: DataFrame, answers: DataFrame, buckets: int, pair_buckets: int, hot: int, train_docs: int,
-           n: int, v: int, discounts: Discounts) -> DataFrame:
-    mass = n + v + 1
-
+class Model:
+    """The stored shares, and what it takes to evaluate them."""
+
+    def __init__(self, found: DataFrame, unigrams: DataFrame, order: int, mass: int):
+        self.shares, self.unigrams, self.order, self.mass = found.where("kind = 'share'"), unigrams, order, mass
+        counts = found.where("kind = 'counts'").groupBy("level").agg(
+            *[F.sum(F.col("sums")[r]).alias(f"n{r}") for r in range(K + 3)])       # a row for each order
+        counts = {r.level: np.array(r[1:]) for r in counts.collect()}
+        self.discounts = [Discounts(counts.get(k, np.zeros(K + 3))) for k in range(2, order + 1)]
+        parts = found.where("kind = 'split'").select("bucket", "level", "at", "context", "sums")
+        whole = parts.groupBy("level", "context").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(3 + 2 * K)])
+        whole = whole.select("level", "context", F.array(*[f"s{i}" for i in range(3 + 2 * K)]).alias("total"))
+        self.totals = parts.drop("sums").join(whole, ["level", "context"]).select(
+            F.col("bucket").alias("owner"), "level", "at", "total")
+
+    def each(self, run, schema: str) -> DataFrame:
+        """``run(share, bucket, blocks, sizes, index)`` -> tables, over all evaluated shares."""
+        mass, discounts = self.mass, self.discounts
+
+        def evaluated(row: dict, totals: pa.Table | None) -> Iterator[pa.Table]:
+            blocks, sizes, index, *parts = (unpacked(x) for x in row["parts"])
+            share = Share(*parts)
+            sums = [level.sums(k == 0) for k, level in enumerate(share.levels)]
+            if totals is not None:
+                levels, at = (totals.column(c).to_numpy() for c in ("level", "at"))
+                values = totals.column("total").combine_chunks().flatten().to_numpy().reshape(len(at), 3 + 2 * K)
+                for k, s in enumerate(sums, 2):
+                    s[at[levels == k]] = values[levels == k]
+            share.evaluate(sums, mass, discounts)
+            yield from run(share, row["bucket"], blocks, sizes, index)
+
+        def alone(batches):
+            for b in batches:
+                for i in range(b.num_rows):
+                    for t in evaluated(b.slice(i, 1).to_pylist()[0], None):
+                        yield from t.to_batches()
+
+        def split(left: pa.Table, right: pa.Table) -> pa.Table:
+            return pa.concat_tables(evaluated(left.to_pylist()[0], right))
+
+        found = self.shares.select("bucket", "split", "parts")
+        joined = found.where("split").groupBy("bucket").cogroup(self.totals.groupBy("owner")).applyInArrow(split, schema)
+        return found.where("NOT split").mapInArrow(alone, schema).unionByName(joined)
+
+    def answers(self) -> DataFrame:
+        """To each block's letter: counts of its n-grams; of seen ones the tokens of their context, of others p."""
+
+        def run(share, bucket, blocks, sizes, index):
+            top = share.levels[-1]
+            count, base = top.count[index], top.base[top.ctx][index]
+            seen = count > 0
+            n = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[seen], minlength=len(sizes))
+            offs = np.concatenate([[0], np.cumsum(8 * (sizes - n))]).astype(np.int32)
+            rest = pa.Array.from_buffers(pa.binary(), len(sizes), [
+                None, pa.py_buffer(offs.tobytes()), pa.py_buffer(top.p[index][~seen].tobytes())])
+            yield sent(len(sizes), kind="grams", bucket=bucket, block=blocks, body=letters((count, sizes), (base[seen], n)),
+                       rest=rest)
+
+        return self.each(run, SENT)
+
+    def table(self) -> DataFrame:
+        """The model as rows (``MODEL``) of ids: an n-gram's context (nearest word first) and word, its count and
+        log10 probability, and its context's log10 back-off weight.  Order 1 has all tokens that were ever asked for."""
+        mass = self.mass
+
+        def run(share, *_):
+            words, seen = share.words, None
+            for k, level in enumerate(share.levels, 2):
+                if level.parent is not None:
+                    words = words[level.parent]
+                seen = level.count > 0
+                ctx = level.ctx[seen]
+                yield pa.table({"order": pa.array(np.full(len(ctx), k), pa.int32()), "context": lists(level.context[ctx]),
+                                "word": words[seen], "count": level.count[seen], "log_prob": np.log10(level.p[seen]),
+                                "log_backoff": np.log10(level.back[ctx])})
+
+        def ones(batches):
+            for b in batches:
+                for parts in b.column("parts").to_pylist():
+                    _, ids, total = (unpacked(x) for x in parts)
+                    yield pa.RecordBatch.from_pydict({
+                        "order": pa.array(np.ones(len(ids)), pa.int32()), "context": lists(np.zeros((len(ids), 0), np.int64)),
+                        "word": ids, "count": total, "log_prob": np.log10((total + 1) / mass), "log_backoff": np.zeros(len(ids))})
+
+        low = self.unigrams.select("parts").mapInArrow(ones, MODEL)
+        return low if self.order == 1 else low.unionByName(self.each(run, MODEL))
+
+
+def scores(blocks: DataFrame, answers: DataFrame, order: int, buckets: int, pair_buckets: int, hot: int, train_docs: int,
+           n: int, mass: int, top: Discounts | None) -> DataFrame:
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        block, rows = Block(left), right.to_pylist()
-        block.told_tokens([r for r in rows if r["kind"] == "tokens"], buckets, train_docs)
-        block.pairs()
-        told = {r["bucket"]: [unpacked(p) for p in r["parts"]] for r in rows if r["kind"] == "pairs"}
-        c = np.zeros(len(block.v), np.int64)
-        sums = np.zeros((3 + K, block.n_words + 1), np.int64)
-        for b, contexts, pairs in block.pair_buckets(pair_buckets, hot):
-            c[pairs] = told[b][0]
-            for s, part in zip(sums, told[b][1:]):
-                np.add.at(s, contexts, part)
-        low = (block.total[:-1] + 1) / mass
-        p = probabilities(c, low[block.w], list(sums[:, block.v]), mass, discounts)
+        block, kind = Block(left), np.array(right.column("kind").to_pylist())
+        block.told_tokens(right.filter(pa.array(kind == "tokens")), buckets, train_docs)
+        low = ((block.total[:-1] + 1) / mass)[block.codes]
+        p = low
+        if order > 1:
+            block.grams(order, pair_buckets, hot)
+            told = right.filter(pa.array(kind == "grams")).sort_by("bucket")
+            (count, _), (base, _) = opened(told.column("body"), 2)
+            seen, of = count > 0, np.empty(len(count))
+            of[seen] = top.seen(count[seen]) / base
+            of[~seen] = np.frombuffer(column_bytes(told.column("rest").combine_chunks())[0].tobytes(), float)
+            p = of[block.gram_of]
         doc = np.repeat(np.arange(len(block.counts)), block.counts)
         total = lambda x: np.bincount(doc, x, len(block.counts))
         return pa.table({
@@ -307,15 +527,13 @@ def scores(blocks: DataFrame, answers: DataFrame, buckets: int, pair_buckets: in
             "n_tokens": pa.array(block.counts, pa.int64()),
             "n_known": pa.array(total(block.total[block.codes] > 0).astype(np.int64)),
             "train_tokens": pa.array(np.full(len(block.counts), n, np.int64)),
-            "base_score": pa.array(total(np.log10(low)[block.codes])),
-            "score": pa.array(total(np.log10(p)[block.pair_of]))})
+            "base_score": pa.array(total(np.log10(low))), "score": pa.array(total(np.log10(p)))})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORED)
 
 
-def train_and_score(docs: DataFrame, held: Column, owned: int = OWNED) -> tuple[DataFrame, DataFrame]:
-    """(``SCORED`` rows of all documents, model tables): the tables are rows of ``MESSAGE`` of the
-    kinds ``unigrams`` (hashes, ids, counts) and ``bigrams`` (contexts, runs, followers, counts, sums)."""
+def train_and_score(docs: DataFrame, held: Column, order: int = ORDER, owned: int = OWNED) -> tuple[DataFrame, Model]:
+    """(``SCORED`` rows of all documents, the model of the others)."""
     encoded, path = stored_at(encode(pick(docs).withColumn("held", held)), "blocks", ("kind",))
     blocks = encoded.where("kind = 'codes'").drop("kind", "words", "seen")
     size = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words"),
@@ -323,20 +541,21 @@ def train_and_score(docs: DataFrame, held: Column, owned: int = OWNED) -> tuple[
                       .alias("docs")).first()
     buckets, pair_buckets = (max(1, -(-(x or 0) // owned)) for x in (size.words, size.tokens))
     buckets = min(buckets, SLICES)
-    train_docs = size.docs or 0
+    train_docs, hot = size.docs or 0, max(1, owned // 2)
     words = encoded.where("kind = 'words'").select("block", "slices", "words", "seen")
     tokens, _ = stored_at(token_answers(words, buckets), "tokens", ("kind",))
     discard(docs.sparkSession, f"{path}/kind=words")      # from here on tokens go by their ids
-    found = [unpacked(r.parts[0]) for r in tokens.where("kind = 'sums'").select("parts").collect()]   # one per owner
-    n, v = (int(x) for x in np.sum(found, axis=0)) if found else (0, 0)
-    hot = max(1, n // (4 * pair_buckets))
-    known = tokens.where("kind = 'tokens'")
-    pairs, _ = stored_at(pair_answers(blocks, known, buckets, pair_buckets, hot, train_docs), "pairs", ("kind",))
-    found = [unpacked(r.parts[0]) for r in pairs.where("kind = 'sums'").select("parts").collect()]
-    discounts = Discounts(np.sum(found, axis=0) if found else np.zeros(K + 3))
-    answers = known.unionByName(pairs.where("kind = 'pairs'"))
-    model = tokens.where("kind = 'unigrams'").unionByName(pairs.where("kind = 'bigrams'"))
-    return scores(blocks, answers, buckets, pair_buckets, hot, train_docs, n, v, discounts), model
+    found = tokens.where("kind = 'sums'").agg(F.sum(F.col("sums")[0]), F.sum(F.col("sums")[1])).first()
+    n, v = (int(x or 0) for x in found)
+    mass = n + v + 1
+    known, unigrams = tokens.where("kind = 'tokens'"), tokens.where("kind = 'unigrams'")
+    if order == 1:
+        model = Model(tokens.limit(0), unigrams, order, mass)
+        return scores(blocks, known, order, buckets, pair_buckets, hot, train_docs, n, mass, None), model
+    stored, _ = stored_at(shares(blocks, known, order, buckets, pair_buckets, hot, train_docs), "shares", ("kind",))
+    model = Model(stored, unigrams, order, mass)
+    answers = known.unionByName(model.answers())
+    return scores(blocks, answers, order, buckets, pair_buckets, hot, train_docs, n, mass, model.discounts[-1]), model
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
