@@ -37,6 +37,7 @@ class Rule:
     pattern: str
     flags: int = re.ASCII
     holds: Callable[[re.Match], bool] | None = None
+    group: int = 0          # the part of a match that is the secret
 
 
 def _long(n: int, group: int = 0) -> Callable[[re.Match], bool]:
@@ -54,7 +55,9 @@ RULES = (
     Rule("hex", r"[0-9a-f]+", holds=_long(24)),
     Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("hosting_token", r"gh[pousr]_[A-Za-z0-9]+", holds=_long(40)),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]++"),
+    # the first eyJ of a run of token characters decides; runs are entered at their start only, so each is read once
+    Rule("web_token", r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+"
+                      r"(eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]++)", group=1),
 )
 ORDER = {r.kind: i for i, r in enumerate(RULES)}
 
@@ -230,7 +233,7 @@ class Segment:
 
 
 def _spans(rule: Rule, compiled: re.Pattern, text: str) -> list[tuple[str, int, int]]:
-    return [(rule.kind, *m.span()) for m in compiled.finditer(text) if rule.holds is None or rule.holds(m)]
+    return [(rule.kind, *m.span(rule.group)) for m in compiled.finditer(text) if rule.holds is None or rule.holds(m)]
 
 
 def scan(df: DataFrame, keep: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
