@@ -63,6 +63,34 @@ def test_reduction_loses_no_optimum(lengths):
     assert plan.sequences + (fewest(rest, 20) if rest else 0) == fewest(lengths, 20)
 
 
+def one_by_one(counts, capacity):
+    """Sets fixed with a proof for each copy: (copies left, sequences)."""
+    left, sequences = dict(counts), 0
+    for length in sorted(left, reverse=True):
+        while left.get(length):
+            others = {k: n - (k == length) for k, n in left.items() if n - (k == length)}
+            found = P._dominating(length, others, sorted(others), capacity)
+            if found is None:
+                break
+            sequences += 1
+            for k in [length, *found]:
+                left[k] -= 1
+    return {k: n for k, n in left.items() if n}, sequences
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=7))
+def test_sets_fixed_at_once_equal_those_fixed_one_by_one(counts):
+    plan = P.Plan()
+    left = P.reduce_dominated(counts, 40, plan)
+    assert (left, plan.sequences) == one_by_one(counts, 40)
+
+
+def test_runs_of_triples_are_few():
+    plan = P.pack_lengths({1100: 1_000_000, 500: 1_000_000, 445: 1_000_000})
+    assert len(plan.runs) < 50 and plan.sequences == 1_000_000
+
+
 def test_word_cache_equals_whole_text():
     tok = P.WordTokenizer(P.TOKENIZER)
     for text in ("Hello, World. it's I'LL  12 345\tq\x1cz", "Straße ΟΔΟΣ é, é. 　w", "a<|endoftext|>b",

@@ -177,7 +177,11 @@ def _dominating(length: int, have: dict[int, int], sizes: list[int], capacity: i
 
 
 def reduce_dominated(counts: dict[int, int], capacity: int, plan: Plan) -> dict[int, int]:
-    """Fix dominating sets of one, two or three pieces for all copies; returns the copies left."""
+    """Fix dominating sets of one, two or three pieces for all copies; returns the copies left.
+
+    A proof asks which lengths there are and whether they have one, two or at least three copies besides
+    the piece itself: a set is fixed at once as often as all its lengths keep three.
+    """
     left = {k: n for k, n in counts.items() if n}
     for length in sorted(left, reverse=True):
         while left.get(length):
@@ -191,7 +195,8 @@ def reduce_dominated(counts: dict[int, int], capacity: int, plan: Plan) -> dict[
             use = Counter([length, *found])
             bins = min(left[k] // n for k, n in use.items())
             if len(found) == 2:
-                bins = 1                              # the proof for three is made anew for each set
+                spare = min((others.get(k, 0) - 3) // n for k, n in use.items())
+                bins = min(bins, max(1, spare + 1))
             seq, offset = plan.new(bins), 0
             for k, n in use.items():
                 plan.put(k, bins, n, seq, offset)
