@@ -27,7 +27,7 @@ from trackyard.llm.common import (LOWER, NOT_ALNUM, U, Words, appended, column_b
                                   stored, text_slices, unpick)
 
 N = 10
-BLOCK_CHARS = 8 << 20          # characters of benchmark text in one broadcast, and so its size bound
+BLOCK_CHARS = 8 << 20          # characters of benchmark text in one broadcast: at most some 24 bytes of memory each
 
 
 def words_of(column: pa.Array) -> Words:
@@ -36,38 +36,54 @@ def words_of(column: pa.Array) -> Words:
 
 
 class WindowSet:
-    """The windows of some benchmark items: their words -> ids of the items that have them."""
+    """The windows of some benchmark items as arrays: about 16 bytes each, beside the words themselves.
+
+    sets: for each window size the sorted hashes, each one's first word, its item's row and the hashes that
+    windows of different words share (next to never any).
+    """
 
     def __init__(self, items: list[tuple[str | None, str]], n: int):
         w = words_of(pa.array([text for _, text in items], pa.string()))
-        tokens = [w.data[s:e].tobytes() for s, e in zip(w.start, w.end)]
-        self.items: dict[bytes, set] = defaultdict(set)
-        hashes: dict[int, set] = defaultdict(set)
-        by_size = {}
-        for i, (item_id, _) in enumerate(items):
-            lo, hi = int(w.first[i]), int(w.first[i + 1])
-            size = min(n, hi - lo)
-            if not size:
-                continue
-            if size not in by_size:
-                by_size[size] = grams(w.hash, size)
-            for k in range(lo, hi - size + 1):
-                self.items[b" ".join(tokens[k:k + size])].add(item_id)
-                hashes[size].add(int(by_size[size][k]))
-        self.items = dict(self.items)
-        self.keys = {size: np.array(sorted(x), U) for size, x in hashes.items()}
+        self.data, self.start, self.end = w.data, w.start.astype(np.uint32), w.end.astype(np.uint32)
+        self.names = [item_id for item_id, _ in items]
+        sizes = np.minimum(w.counts, n)
+        self.sets = {}
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            rows = np.flatnonzero(sizes == size)
+            many = w.counts[rows] - size + 1
+            at = np.repeat(w.first[rows] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            row, h = np.repeat(rows, many), grams(w.hash, size)[at]
+            order = np.lexsort((row, h))
+            h, at, row = h[order], at[order], row[order]
+            # windows of equal hash are compared with the first of them
+            new = np.append(True, h[1:] != h[:-1])
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            mixed = {int(h[i]) for i in np.flatnonzero(~new).tolist()
+                     if self.words(int(at[i]), size) != self.words(int(at[first[i]]), size)}
+            self.sets[size] = (h, at.astype(np.uint32), row.astype(np.uint32), mixed)
+        total = sum(len(x[0]) for x in self.sets.values())
         self.bits = 0
-        while self.items and (1 << self.bits) < 16 * len(self.items):
+        while total and (1 << self.bits) < 16 * total:
             self.bits += 1
 
+    def words(self, at: int, size: int) -> bytes:
+        return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.start[at:at + size], self.end[at:at + size]))
+
     def filters(self) -> dict[int, np.ndarray]:
         """For each window size a table that sorts out nearly all other hashes at one look."""
         out = {}
-        for size, keys in self.keys.items():
+        for size, (keys, *_) in self.sets.items():
             out[size] = np.zeros(1 << self.bits, bool)
             out[size][keys & U((1 << self.bits) - 1)] = True
         return out
 
+    def items(self, size: int, lo: int, hi: int, words: bytes) -> set:
+        """Ids of the items among entries lo..hi of one hash whose window is ``words``."""
+        keys, at, row, mixed = self.sets[size]
+        if int(keys[lo]) in mixed:
+            return {self.names[row[i]] for i in range(lo, hi) if self.words(int(at[i]), size) == words}
+        return {self.names[i] for i in row[lo:hi].tolist()} if self.words(int(at[lo]), size) == words else set()
+
 
 def find(w: Words, windows: WindowSet, filters: dict[int, np.ndarray]) -> dict[int, list]:
     """row -> [(first word in the row, words, ids)] of every verified window."""
@@ -77,11 +93,12 @@ def find(w: Words, windows: WindowSet, filters: dict[int, np.ndarray]) -> dict[i
         g = grams(h, size)
         at = np.flatnonzero(table[g & U(len(table) - 1)])
         at = at[w.row[at] == w.row[at + size - 1]]
-        keys = windows.keys[size]
+        keys = windows.sets[size][0]
         at = at[keys[np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)] == g[at]]
-        for i in at.tolist():
+        low, high = np.searchsorted(keys, g[at]), np.searchsorted(keys, g[at], side="right")
+        for i, lo, hi in zip(at.tolist(), low.tolist(), high.tolist()):
             words = b" ".join(w.data[s:e].tobytes() for s, e in zip(w.start[i:i + size], w.end[i:i + size]))
-            if (ids := windows.items.get(words)) is not None:
+            if ids := windows.items(size, lo, hi, words):
                 found[int(w.row[i])].append((i - int(w.first[w.row[i]]), size, ids))
     return found
 
