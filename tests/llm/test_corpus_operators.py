@@ -378,3 +378,132 @@ def test_posteriors_shrink(spark):
     assert got["low", "x"].path_posterior < 0.15
     tiny = got["tiny", "x"]
     assert 0.3 < tiny.host_posterior < mean and tiny.path_posterior > 0.25      # one document moves little
+
+
+# --- quality and toxicity by plain Python ----------------------------------------------------------------
+
+def brute_form(text):
+    data = text.encode()
+    w, lines, n = data.split(), data.split(b"\n"), max(1, len(data.split()))
+    chars = lambda allowed: sum(data.count(bytes([c])) for c in allowed)
+    capital, digit = chars(range(0x41, 0x5B)), chars(b"0123456789")
+    letter, span = capital + chars([*range(0x61, 0x7B), *range(0x80, 0x100)]), max(1, len(data))
+    starts, again = set(), 0
+    for x in (line.split() for line in lines):
+        if x:
+            key = (x[0], x[1] if len(x) > 1 else x[0])
+            again += len(x) * (key in starts)
+            starts.add(key)
+    return [math.log1p(len(w)), sum(map(len, w)) / n, chars(b"#*$%&<>@^~=_{}[]\\") / n, data.count(b"|") / n, data.count(b"!") / n,
+            capital / max(1, letter), digit / span, (span - letter) / span, sum(len(x) <= 3 for x in w) / n,
+            sum(a == b for a, b in zip(w, w[1:])) / n, len(set(w)) / n, sum(x[-1:] in b".," for x in w) / n,
+            len(w) / len(lines) / 50, again / n]
+
+
+def brute_strength(groups):
+    """groups: (n, k, mean that the group is drawn to)"""
+    n = sum(g[0] for g in groups)
+    between = sum(a * (k / a - m) ** 2 for a, k, m in groups)
+    within = sum(a * m * (1 - m) for a, k, m in groups)
+    rho = between / within - len(groups) / n
+    return 1e6 if len(groups) < 2 or not between or rho <= 1e-6 else min(1e6, max(1.0, 1 / rho - 1))
+
+
+def test_quality_by_brute_force(spark):
+    docs, labels = site(spark, 300)
+    from pyspark.sql import functions as F
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 7 > 0, F.col("source"))) \
+        .withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "de").otherwise("en")) \
+        .withColumn("text", F.when(F.col("doc_id") % 50 == 3, "").otherwise(F.concat("text", F.lit("\nÜber | A! 12, x x\nÜber |"))))
+    rows = [(r.doc_id, r.text, r.source, r.lang) for r in docs.collect()]
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    forms = {i: brute_form(t) for i, t, *_ in rows}
+    train = sorted(i for i in truth if zlib.crc32(str(i).encode()) % 5)
+    model = Q.Classifier.fit(np.array([forms[i] for i in train]), np.array([truth[i] for i in train], float))
+    p = {i: float(min(max(model.evidence(np.array([forms[i]]))[0], 1e-6), 1 - 1e-6)) for i in forms}
+    host, path = defaultdict(list), defaultdict(list)
+    for i, _, h, q in rows:
+        host[h].append(p[i])
+        path[h, q].append(p[i])
+    mean = sum(p.values()) / len(p)
+    m = brute_strength([(len(x), sum(x), mean) for x in host.values()])
+    above = {h: (sum(x) + m * mean) / (len(x) + m) for h, x in host.items()}
+    m2 = brute_strength([(len(x), sum(x), above[h]) for (h, _), x in path.items()])
+    logit = lambda x: math.log(x / (1 - x))
+    want = {}
+    for i, _, h, q in rows:
+        n, k = len(path[h, q]), sum(path[h, q])
+        z = logit(p[i]) - logit(mean) + logit(min(max((k - p[i] + m2 * above[h]) / (n - 1 + m2), 1e-9), 1 - 1e-9))
+        want[i] = (p[i], above[h], (k + m2 * above[h]) / (n + m2), 1 / (1 + math.exp(-z)))
+    got = {r.doc_id: r[1:] for r in Q.quality(docs, labels).collect()}
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i] == pytest.approx(want[i], rel=1e-6, abs=1e-7)
+
+
+def brute_terms(text):
+    words = {w for w in T.TOKEN.findall(text.lower()) if w.isalpha()}
+    return words | {w[:k] + "*" for w in words for k in T.STEMS if len(w) > k}
+
+
+def brute_marks(text, weights):
+    """The values of ``features`` without transducers: every clause is searched around each insult and threat."""
+    fixed = [("T", T.THREAT), ("Y", T.TARGET), ("N", T.NEGATION), ("R", T.REPORT)]
+    out, clause, quoted = Counter(), [], False
+    for word in [*T.TOKEN.findall(text.lower()), "."]:
+        stems = [word[:k] + "*" for k in sorted(T.STEMS, reverse=True) if len(word) > k and word[:k] + "*" in weights]
+        if word in T.QUOTES and word not in weights:
+            quoted = not quoted
+            clause.append(("R" if quoted else "O", 0))
+        elif word not in T.ENDS:
+            base = next((b for b, ws in fixed if word in ws), None)
+            clause.append(("I", weights[word]) if word in weights else (base, 0) if base else
+                          ("I", weights[stems[0]]) if stems else ("O", 0))
+        else:
+            bases = [b for b, _ in clause]
+            for i, (b, x) in enumerate(clause):
+                negated, reported = "N" in bases[max(0, i - 3):i], "R" in bases[:i]
+                near = "Y" in bases[max(0, i - 5):i] + bases[i + 1:i + 6]
+                if b == "I":
+                    out["negated" if negated else "reported" if reported else "sum"] += x
+                    out["count"] += 1
+                    out["best"] = max(out["best"], x)
+                    out["targeted"] += x * near
+                elif b == "T" and not negated and not reported:
+                    out["threats"] += 1
+                    out["threat_at_target"] += near
+            clause = []
+    return [math.log1p(out[f]) for f in T.FEATURES]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("fool vequxyz kill you not he said . , and the \" ; tú x".split() + ["\n"]), max_size=25))
+def test_features_by_brute_force(parts):
+    weights = {"fool": 3.0, "vequ*": 2.0, "tú": 1.5}
+    assert T.features(" ".join(parts), T.Lexicon(weights)) == pytest.approx(brute_marks(" ".join(parts), weights))
+
+
+def test_toxicity_by_brute_force(spark, use):
+    from pyspark.sql import functions as F
+    docs, labels = site(spark)
+    docs = docs.withColumn("text", F.regexp_replace("text", "%%% ###", ""))       # no near copies, which count once
+    use(T, documents=docs, labels=labels)
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    train = [i for i in sorted(texts) if zlib.crc32(str(i).encode()) % 5]
+    with_term = [Counter(t for i in train if truth[i] == y for t in brute_terms(texts[i])) for y in (0, 1)]
+    neg, pos = (sum(truth[i] == y for i in train) for y in (0, 1))
+    often = {t: a for t, a in with_term[1].items() if a >= 3}
+    weights = {}
+    for t, a in often.items():
+        b = with_term[0][t]
+        one = t.endswith("*") and max([n for w, n in often.items() if not w.endswith("*") and w.startswith(t[:-1])], default=0) > 0.8 * a
+        share, base = a / (a + b), pos / (pos + neg)
+        gain = a * math.log(share / base) + (b * math.log((1 - share) / (1 - base)) if b else 0)
+        if share >= 0.8 and not one and gain > math.log(20 * len(often)):
+            weights[t] = math.log((a + 0.5) / (pos + 1)) - math.log((b + 0.5) / (neg + 1))
+    assert "grobian" in weights and "zorpl*" in weights
+    x = {i: brute_marks(t, weights) for i, t in texts.items()}
+    w = T.logistic(np.array([x[i] for i in train]), np.array([truth[i] for i in train], float))
+    for r in T.query(spark, "").collect():
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(np.dot(x[r.doc_id], w[:-1]) + w[-1]))), rel=1e-5, abs=1e-7)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -106,6 +107,25 @@ def test_decontaminate_rows(spark, docs, rows, items, empty):
     assert D.decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_windows_of_equal_hash_and_memory(monkeypatch):
+    rnd = random.Random(5)
+    items = [(f"i{k}", " ".join(f"w{rnd.randrange(4000)}" for _ in range(1000))) for k in range(300)]
+    items += [("again", items[0][1]), (None, items[1][1]), ("short", "only three words")]
+    s = D.WindowSet(items, 10)
+    size = sum(x.nbytes for got in s.sets.values() for x in got[:3]) + s.data.nbytes + s.start.nbytes + s.end.nbytes
+    assert size < 6 * sum(len(t) for _, t in items)
+    texts = [items[0][1], items[1][1], "x only three words y", " ".join(items[2][1].split()[5:16])]
+    look = lambda: D.find(D.words_of(D.pa.array(texts)), s, s.filters())
+    names = lambda got: {r: {i for *_, x in hits for i in x} for r, hits in got.items()}
+    want = {0: {"i0", "again"}, 1: {"i1", None}, 2: {"short"}, 3: {"i2"}}
+    assert names(look()) == want and len(look()[3]) == 2
+    # all hashes equal: the words decide
+    monkeypatch.setattr(D, "grams", lambda h, n: np.full(max(0, len(h) - n + 1), 7, np.uint64))
+    few = [(a, t[:200]) for a, t in items[:3]] + items[-1:]
+    s, texts = D.WindowSet(few, 10), [few[0][1], "x only three words y", "nothing of that at all, and none of the other ten words"]
+    assert names(look()) == {0: {"i0"}, 1: {"short"}}
+
+
 # --- secrets -----------------------------------------------------------------------------------
 
 def brute_secrets(text):
@@ -135,6 +155,21 @@ def test_added_rules():
     assert kinds == ["private_key", "hosting_token", "web_token"]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["eyJ", "a" * 10, ".", "x", " ", "-", "é", "eyJ" + "b" * 11, ".eyJ" + "c" * 10 + ".d"]), max_size=14))
+def test_web_tokens(parts):
+    """Where the plain pattern, tried at every place, finds them."""
+    text, rule = "".join(parts), S.RULES[-1]
+    plain = [("web_token", *m.span()) for m in re.finditer(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", text)]
+    assert S._spans(rule, re.compile(rule.pattern, rule.flags), text) == plain
+
+
+def test_web_token_is_linear():
+    rule, text = S.RULES[-1], "eyJ" * 700_000 + "." + "eyJ" * 700_000          # quadratic: hours
+    began = time.time()
+    assert S._spans(rule, re.compile(rule.pattern, rule.flags), text) == [] and time.time() - began < 20
+
+
 def holds(query, text):
     if query[0] == "tri":
         return query[1] in text
