@@ -45,7 +45,7 @@ from trackyard.llm.common import LOWER, U, Words, column_bytes, discard, held_ou
 ORDER = 3                      # words of the longest n-grams
 K = 5                          # counts up to K are discounted
 BLOCK_BYTES = 8 << 20          # text of one block
-OWNED = 1_000_000              # entries that an owner gets on average
+OWNED = 400_000                # entries that an owner gets on average
 END = np.array([0x7F4A7C159E3779B9], U)    # stands for the end token; a word's hash equals it by chance only
 START = 0                      # id of the start mark; tokens have ids from 1 on
 SLICES = 1 << 20               # parts of the token space that are dealt to owners
@@ -185,6 +185,17 @@ def opened(body: pa.ChunkedArray, kinds: int) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b) of the distinct pairs in order, and which of them each row is; numbers from 0 on."""
+    names, m = None, int(b.max(initial=0)) + 1
+    if (int(a.max(initial=0)) + 1) * m >= 1 << 63:
+        names, b = np.unique(b, return_inverse=True)
+        m = len(names)
+    keys, at = np.unique(a * m + b, return_inverse=True)
+    a, b = np.divmod(keys, m)
+    return a, b if names is None else names[b], at
+
+
 class Block:
     """One encoded block: its tokens, and what it has been told about them."""
 
@@ -206,7 +217,6 @@ class Block:
     def grams(self, order: int, buckets: int, hot: int) -> None:
         """Distinct n-grams as a tree: pairs (v, w) by owner, then for each word further back (parent, word);
         the gram of each token and the grams' training counts.  A v seen over ``hot`` times is split by w."""
-        n = self.n_words + 1
         place = np.arange(len(self.codes)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
 
         def back(j: int) -> np.ndarray:
@@ -215,8 +225,7 @@ class Block:
             out[place < j] = self.n_words
             return out
 
-        pairs, gram = np.unique(back(1) * n + self.codes, return_inverse=True)
-        v, w = pairs // n, pairs % n
+        v, w, gram = distinct_pairs(back(1), self.codes)
         split = np.clip(-(-self.total // hot), 1, buckets)
         part = (mix(self.ids[w].astype(U) + U(1)) % split[v].astype(U)).astype(np.int64)
         bucket = ((mix(self.ids[v].astype(U)) % U(buckets)).astype(np.int64) + part) % buckets
@@ -226,8 +235,8 @@ class Block:
         self.v, self.w, self.bucket, self.split, gram = v[by], w[by], bucket[by], split, rank[gram]
         self.steps = []
         for j in range(2, order):
-            keys, gram = np.unique(gram * n + back(j), return_inverse=True)
-            self.steps.append((keys // n, keys % n))
+            parent, code, gram = distinct_pairs(gram, back(j))
+            self.steps.append((parent, code))
         self.gram_of = gram
         self.seen = np.bincount(gram[self.train], minlength=len(self.steps[-1][0] if self.steps else by))
 
@@ -308,11 +317,9 @@ class Share:
         level = Level(parent=None, ctx=head_of, n=len(heads), up=None, context=heads[:, None] >> 1, split=heads % 2 > 0)
         self.levels = [level]
         for parent, word in self.steps:
-            names, at = np.unique(word, return_inverse=True)
-            keys, ctx = np.unique(level.ctx[parent] * len(names) + at, return_inverse=True)
-            up = keys // len(names)
+            up, word, ctx = distinct_pairs(level.ctx[parent], word)
             level = Level(parent=parent, ctx=ctx, n=len(keys), up=up, split=level.split[up],
-                          context=np.column_stack([level.context[up], names[keys % len(names)]]))
+                          context=np.column_stack([level.context[up], word]))
             self.levels.append(level)
         self.levels[-1].count = counts
         for low, level in zip(self.levels[-2::-1], self.levels[:0:-1]):
@@ -325,17 +332,16 @@ class Share:
         """(share, gram of each entry of the letters, entries of each letter).  Streams: heads, pairs of each,
         words, their counts; for each word further back: children of each gram, words; training counts."""
         (v, _), (runs, _), (w, _), (c1, _), *more, (seen, n) = streams
-        heads, at = np.unique(np.repeat(v, runs), return_inverse=True)
-        words, nth = np.unique(w, return_inverse=True)
-        keys, gram = np.unique(at * len(words) + nth, return_inverse=True)
-        count = np.zeros(len(keys), np.int64)
+        heads, at = np.unique(v, return_inverse=True)
+        head_of, words, gram = distinct_pairs(np.repeat(at, runs), w)
+        count = np.zeros(len(words), np.int64)
         count[gram] = c1
-        parts, steps = (heads, keys // len(words), words[keys % len(words)], count), []
+        parts, steps, size = (heads, head_of, words, count), [], len(words)
         for (kids, _), (h, _) in zip(more[::2], more[1::2]):
-            names, nth = np.unique(h, return_inverse=True)
-            keys, gram = np.unique(np.repeat(gram, kids) * len(names) + nth, return_inverse=True)
-            steps += [keys // len(names), names[keys % len(names)]]
-        return cls(*parts, np.bincount(gram, seen, len(keys)).astype(np.int64), *steps), gram, n
+            parent, word, gram = distinct_pairs(np.repeat(gram, kids), h)
+            steps += [parent, word]
+            size = len(word)
+        return cls(*parts, np.bincount(gram, seen, size).astype(np.int64), *steps), gram, n
 
     def parts(self) -> list[np.ndarray]:
         return [self.heads, self.head_of, self.words, self.c1, self.levels[-1].count, *(x for s in self.steps for x in s)]
@@ -541,7 +547,7 @@ def train_and_score(docs: DataFrame, held: Column, order: int = ORDER, owned: in
                       .alias("docs")).first()
     buckets, pair_buckets = (max(1, -(-(x or 0) // owned)) for x in (size.words, size.tokens))
     buckets = min(buckets, SLICES)
-    train_docs, hot = size.docs or 0, max(1, owned // 2)
+    train_docs, hot = size.docs or 0, owned
     words = encoded.where("kind = 'words'").select("block", "slices", "words", "seen")
     tokens, _ = stored_at(token_answers(words, buckets), "tokens", ("kind",))
     discard(docs.sparkSession, f"{path}/kind=words")      # from here on tokens go by their ids
