@@ -318,7 +318,7 @@ class Share:
         self.levels = [level]
         for parent, word in self.steps:
             up, word, ctx = distinct_pairs(level.ctx[parent], word)
-            level = Level(parent=parent, ctx=ctx, n=len(keys), up=up, split=level.split[up],
+            level = Level(parent=parent, ctx=ctx, n=len(up), up=up, split=level.split[up],
                           context=np.column_stack([level.context[up], word]))
             self.levels.append(level)
         self.levels[-1].count = counts
