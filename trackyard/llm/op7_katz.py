@@ -44,7 +44,7 @@ from trackyard.llm.common import LOWER, U, Words, column_bytes, discard, held_ou
 
 ORDER = 3                      # words of the longest n-grams
 K = 5                          # counts up to K are discounted
-BLOCK_BYTES = 4 << 20          # text of one block
+BLOCK_BYTES = 2 << 20          # text of one block
 OWNED = 400_000                # entries that an owner gets on average
 END = np.array([0x7F4A7C159E3779B9], U)    # stands for the end token; a word's hash equals it by chance only
 START = 0                      # id of the start mark; tokens have ids from 1 on
