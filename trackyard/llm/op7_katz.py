@@ -20,8 +20,8 @@ before the last.  An owner so holds all orders of its contexts: it merges the bl
 and stores its share of the model.  A word with many followers is split over several owners by
 follower; sums of its contexts are added up by Spark and joined back.  Once the discounts are
 known, shares are evaluated and answer the blocks, which add up their documents.  A letter from
-a block to an owner is one row of numbers, built without a loop over owners; there are never
-more letters than n-grams.  No owner, block or collected result grows with the corpus.
+a block to an owner is one row of numbers, written and read for all owners at once and only
+packed one by one; there are never more letters than n-grams.  No owner, block or collected result grows with the corpus.
 
 Documents for which ``held`` is true are only scored.  NULL texts are empty (one end token);
 a NULL doc_id stays NULL; repeated rows count and are scored each; an empty table gives no
@@ -160,14 +160,14 @@ def letters(*streams: tuple[np.ndarray, np.ndarray]) -> pa.Array:
         values[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(len(x))] = x
         at = at + n
     data, stops = varints(values)
-    offs = np.zeros(len(ends) + 1, np.int32)
-    offs[1:] = stops[ends - 1]
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(data.tobytes())])
+    stops, raw, pack = np.append(0, stops[ends - 1]).tolist(), memoryview(data), zstandard.ZstdCompressor(3).compress
+    return pa.array([pack(raw[a:b]) for a, b in zip(stops, stops[1:])], pa.binary())
 
 
 def opened(body: pa.ChunkedArray, kinds: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """The streams of ``letters``, each over all letters in turn: (values, lengths)."""
-    data, offs = column_bytes(body.combine_chunks())
+    raw = list(map(zstandard.ZstdDecompressor().decompress, body.to_pylist()))
+    data, begins = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])[:-1]
     last = np.flatnonzero(data < 128)
     first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
     values, left, j = np.zeros(len(last), U), np.arange(len(last)), 0
@@ -176,7 +176,7 @@ def opened(body: pa.ChunkedArray, kinds: int) -> list[tuple[np.ndarray, np.ndarr
         j += 1
         left = left[first[left] + j <= last[left]]
     values = values.view(np.int64)
-    start = np.searchsorted(last, offs[:-1])
+    start = np.searchsorted(last, begins)
     lengths = values[start[:, None] + np.arange(kinds)].T
     at, out = start + kinds, []
     for n in lengths:
