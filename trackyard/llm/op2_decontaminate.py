@@ -27,7 +27,7 @@ from trackyard.llm.common import (LOWER, NOT_ALNUM, U, Words, appended, column_b
                                   stored, text_slices, unpick)
 
 N = 10
-BLOCK_CHARS = 8 << 20          # characters of benchmark text in one broadcast: at most some 24 bytes of memory each
+BLOCK_CHARS = 8 << 20          # characters of benchmark text in one broadcast: by reckoning at most some 30 bytes of memory each
 
 
 def words_of(column: pa.Array) -> Words:
