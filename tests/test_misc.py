@@ -163,3 +163,12 @@ def test_validation_errors_array_and_long_form(spark):
     long = sorted((r.request_id, r.field) for r in
                   Q.validate(df, "request_id", Q.booking_request_rules()).collect())
     assert long == [("r1", "scheduleId"), ("r2", "paymentMethod"), ("r2", "seatNumber")]
+
+
+def test_queries_read_the_driver_tables(spark):
+    """No query first shuffles and writes whole rail tables."""
+    from conftest import SF_SMALL
+    from trackyard.plans.registry import load_all
+    for name in ("booking_summary", "visible_bookings_info", "overview"):
+        files = load_all()[name].build(spark, SF_SMALL).inputFiles()
+        assert files and all(SF_SMALL in f for f in files), files

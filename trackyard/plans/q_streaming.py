@@ -95,7 +95,7 @@ def _cancel_requests(bookings):
 
 def _run_admission(spark, sf_dir):
     t = J.StreamingRail(spark, sf_dir, ["lineitem"])
-    static = J.RailTables(spark, sf_dir, materialize=True)
+    static = J.RailTables(spark, sf_dir)
     done = SS.run(spark, _book_requests(t.bookings), static.schedules, _split(static.bookings)[0], static.routes,
                   scratch_path(spark, "admission_stream"), cancels=False, **TIMES)
     return done.select("request_id", "schedule_id", "seat_number", "outcome", "amount_paid")
@@ -109,7 +109,7 @@ FROM res
 
 
 def _rate_limit_batch(spark, sf_dir):
-    return J.rate_windows(J.RailTables(spark, sf_dir, materialize=True).events)
+    return J.rate_windows(J.RailTables(spark, sf_dir).events)
 
 
 _register("rate_limit", _rate_limit_batch, """
@@ -122,14 +122,14 @@ FROM events GROUP BY 1, 2
 
 def _run_booking_stream(spark, sf_dir):
     t = J.StreamingRail(spark, sf_dir, ["lineitem"])
-    static = J.RailTables(spark, sf_dir, materialize=True)
+    static = J.RailTables(spark, sf_dir)
     asked = _book_requests(t.bookings).unionByName(_cancel_requests(t.bookings))
     return SS.run(spark, asked, static.schedules, _split(static.bookings)[0], static.routes,
                   scratch_path(spark, "booking_stream"), **TIMES)
 
 
 def _bookings_cancels(spark, sf_dir):
-    t = J.RailTables(spark, sf_dir, materialize=True)
+    t = J.RailTables(spark, sf_dir)
     asked = _book_requests(t.bookings).unionByName(_cancel_requests(t.bookings).withColumn(
         "schedule_id", F.lit(None).cast("long")))
     return replay(asked, t.schedules, _split(t.bookings)[0], t.routes)
@@ -188,7 +188,7 @@ _register("bookings_cancels", _bookings_cancels, _BOOKINGS_CANCELS_SQL,
 
 def _notification_log(spark, sf_dir):
     """Outbox rows with delivery receipts: by payment method sent, failed, or none yet."""
-    t = J.RailTables(spark, sf_dir, materialize=True)
+    t = J.RailTables(spark, sf_dir)
     rows = J.outbox(t.bookings, t.schedules, t.routes, t.stations, t.users)
     method = F.col("payment_method")
     receipts = t.bookings.where(method.isin("visa", "mada", "cash")).select(

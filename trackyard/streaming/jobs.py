@@ -37,7 +37,7 @@ class StreamingRail(RailTables):
     """Rail views whose ``stream`` tables are read with ``readStream``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, stream: Sequence[str],
-                 max_files_per_trigger: int = 1, materialize: bool = True):
+                 max_files_per_trigger: int = 1, materialize: bool = False):
         super().__init__(spark, sf_dir, materialize)
         self.stream = set(stream)
         self.max_files = max_files_per_trigger
@@ -218,7 +218,7 @@ def run_outbox_stream(spark: SparkSession, bookings: DataFrame, schedules: DataF
 
 def run_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = StreamingRail(spark, sf_dir, ["lineitem"])
-    static = RailTables(spark, sf_dir, materialize=True)
+    static = RailTables(spark, sf_dir)
     out = scratch_path(spark, "outbox_stream")
     return run_outbox_stream(spark, t.bookings, static.schedules, static.routes, static.stations,
                              static.users, out)
