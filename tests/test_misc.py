@@ -172,3 +172,13 @@ def test_queries_read_the_driver_tables(spark):
     for name in ("booking_summary", "visible_bookings_info", "overview"):
         files = load_all()[name].build(spark, SF_SMALL).inputFiles()
         assert files and all(SF_SMALL in f for f in files), files
+
+
+def test_orphans_without_a_join(spark):
+    parent = spark.createDataFrame([(1,), (1,), (2,), (None,)], "id long")
+    child = spark.createDataFrame([(1,), (3,), (3,), (None,), (-4,)], "pid long")
+    found = Q.orphan_rows(child, "c", "pid", parent)
+    assert sorted((r.value, r.rows) for r in found.collect()) == [("-4", 1), ("3", 2)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    other = Q.orphan_rows(child.select(F.col("pid").cast("int")), "c", "pid", parent)     # keys of another type
+    assert sorted((r.value, r.rows) for r in other.collect()) == [("-4", 1), ("3", 2)]
