@@ -112,3 +112,13 @@ def test_order_and_cycles():
 def test_empty_tables(spark):
     tables = {t: [] for t in SCHEMA}
     check(spark, tables, {"a": [1], "d": []})
+
+
+def test_purged_bookings_are_made_distinct_once(spark):
+    from conftest import SF_SMALL
+    from trackyard.plans.q_quality import _purge
+    from trackyard.sources.tables import rail
+    t = rail(spark, SF_SMALL)
+    bookings = _purge(t)[0]["bookings"]
+    assert "Aggregate" not in bookings._jdf.queryExecution().optimizedPlan().toString()
+    assert bookings.count() == t.bookings.select("booking_ref").distinct().count()

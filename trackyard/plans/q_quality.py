@@ -6,6 +6,7 @@ from trackyard.operators import integrity as I
 from trackyard.operators import materialize as MT
 from trackyard.operators import quality as Q
 from trackyard.plans.registry import query
+from trackyard.session import scratch_path
 from trackyard.sources import requests as RQ
 from trackyard.sources.requests import AS_OF_TS
 from trackyard.sources.schema import (DOMAINS, FOREIGN_KEYS, MAX_LENGTH, NOT_NULL, ROLES, SCHEDULE_STATUSES,
@@ -108,7 +109,10 @@ def fk_restrict_bookings(t):
 def _purge(t):
     """The declared tables with stand-in notifications and audit logs, and a batch of deletes over six of them:
     accounts that are inactive, everything stored for the verified ones, and what is cancelled or out of use."""
-    bookings = t.bookings.dropDuplicates(["booking_ref"]).withColumn("id", F.col("booking_ref"))
+    path = scratch_path(t.spark, "purge_bookings")           # made distinct once, not by each use
+    t.bookings.dropDuplicates(["booking_ref"]).select(F.col("booking_ref").alias("id"), "user_id", "schedule_id",
+                                                      "payment_method").write.parquet(path)
+    bookings = t.spark.read.parquet(path)
     tables = {"users": t.users, "user_permissions": t.user_permissions, "refresh_tokens": RQ.tokens(t),
               "stations": t.stations, "routes": t.routes.withColumn("created_by", F.col("id")),
               "schedules": t.schedules.withColumn("created_by", F.col("route_id")), "bookings": bookings,
