@@ -261,3 +261,22 @@ def test_outbox_files_are_bounded(spark):
     files = [f.split("/")[-2] for f in got.inputFiles()]
     assert files and all(files.count(batch) <= int(spark.conf.get("spark.sql.shuffle.partitions")) for batch in files)
     assert spark.read.parquet(out).selectExpr("count(DISTINCT to_date(created_at))").first()[0] > 100
+
+
+def test_requests_without_a_reference_are_spread(spark):
+    from trackyard.streaming.seat_state import find_refs
+    rows = [("book", f"B{k}", None) for k in range(400)] + [
+        ("cancel", "C1", "B1"), ("cancel", "B2", None), ("cancel", "C3", "B9999"), ("book", "B4", "B1")]
+    asked = spark.createDataFrame(rows, "kind string, request_id string, booking_ref string")
+    refs = spark.createDataFrame([(f"B{k}", k) for k in range(400)], "ref string, ref_trip int")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = find_refs(asked, refs).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got) == len(rows) and [(r.request_id, r.ref_trip) for r in got if r.ref_trip is not None] == [("C1", 1)]
+    parts = [r.part for r in got]
+    assert max(parts.count(p) for p in set(parts)) < len(rows) // 2

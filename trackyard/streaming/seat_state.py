@@ -155,13 +155,19 @@ def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
         yield pd.DataFrame({"outcome": [json.dumps(dict(zip(COLUMNS, o))) for o in out]})
 
 
+def find_refs(asked: DataFrame, ref_rows: DataFrame) -> DataFrame:
+    """Cancels with their stored booking; requests without a reference meet none, and are spread by their own id."""
+    spread = F.coalesce(asked.booking_ref, asked.request_id)
+    return asked.join(ref_rows, (asked.kind == "cancel") & (asked.booking_ref == ref_rows.ref) & (spread == ref_rows.ref), "left")
+
+
 def outcomes(requests: DataFrame, trip_rows: DataFrame, ref_rows: DataFrame | None, groups: int, delay: str) -> DataFrame:
     """The streaming decision on ``requests`` (``REQUEST``): a streaming DataFrame of ``OUTCOME``."""
     asked = (requests.withColumn("_at", X.utc_instant("ts")).withWatermark("_at", delay)
              .select("kind", "request_id", "schedule_id", "seat_number", "booking_ref", X.seat_key("seat_number").alias("seat"),
                      F.coalesce(F.unix_micros("_at"), F.lit(-(1 << 62))).alias("at"), never_late()))
     if ref_rows is not None:
-        asked = asked.join(ref_rows, (asked.kind == "cancel") & (asked.booking_ref == ref_rows.ref), "left")
+        asked = find_refs(asked, ref_rows)
         asked = asked.withColumn("schedule_id", F.coalesce("ref_trip", "schedule_id")).drop("ref", "ref_trip")
     asked = asked.join(trip_rows, asked.schedule_id == trip_rows.trip, "left").drop("trip")
     key = F.when(F.col("trip_status").isNotNull(), F.pmod(F.xxhash64("schedule_id"), F.lit(groups))) \
