@@ -52,3 +52,13 @@ def test_digests_see_nulls_that_change_places(spark):
     a = spark.createDataFrame([(1, None, "x")], "id int, p string, q string")
     b = spark.createDataFrame([(1, "x", None)], "id int, p string, q string")
     assert MT.audit_diff_stored(a, b, ["id"], "t").count() == 1
+
+
+def test_inserted_texts_by_one_collated_join(spark):
+    rows = spark.createDataFrame([(1, "Ana"), (2, "ANA "), (3, "bob"), (4, None), (5, None), (6, "B\u00f3b"), (6, "BOB"),
+                                  (3, "BOB "), (7, "zo\u00eb"), (9, "eva"), (8, "EVA")], "id int, name string")
+    target = spark.createDataFrame([("ZOE ",), ("ZOE ",), (None,)], "name string")
+    found = CO.insert_ignore_text(target, rows, "name", ["id"])
+    won = sorted((r.id, r.name or "") for r in found.collect() if r.outcome == "inserted")
+    assert won == [(1, "Ana"), (3, "BOB "), (3, "bob"), (4, ""), (5, ""), (8, "EVA")] and found.count() == rows.count()
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1

@@ -62,10 +62,16 @@ def duplicate_texts(df: DataFrame, table: str, columns: Sequence[str]) -> DataFr
 # SNK2: the first row of each text that is not stored yet.
 def insert_ignore_text(target: DataFrame, rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Rows with their outcome ('inserted' or 'ignored'); a NULL key meets nothing."""
-    first = (rows.where(F.col(key).isNotNull()).groupBy(text_key(key).alias("_text"))
-             .agg(F.min(F.struct(*order)).alias("_first")))
-    taken = target.where(F.col(key).isNotNull()).select(text_key(key).alias("_taken")).distinct()
-    j = (rows.withColumn("_own", text_key(key)).join(first, F.col("_own") == F.col("_text"), "left")
-         .join(taken, F.col("_own") == F.col("_taken"), "left"))
-    wins = F.col(key).isNull() | (F.col("_taken").isNull() & (F.col("_first") == F.struct(*order)))
+    ordk = F.struct(*order)
+    # collated work is done on distinct spellings, once: which texts are new, and the order of their first row
+    asked = (rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_spelling")).agg(F.min(ordk).alias("_first"))
+             .withColumn("_taken", F.lit(False)))
+    taken = target.where(F.col(key).isNotNull()).select(F.col(key).alias("_spelling")).distinct().select(
+        "_spelling", F.lit(None).cast(asked.schema["_first"].dataType).alias("_first"), F.lit(True).alias("_taken"))
+    first = (asked.unionByName(taken).groupBy(text_key("_spelling").alias("_text"))
+             .agg(F.min("_first").alias("_first"), F.max("_taken").alias("_taken"))
+             .where(~F.col("_taken")).select("_text", "_first"))
+    j = (rows.withColumns({"_own": text_key(key), "_order": ordk})
+         .join(first, (F.col("_order") == F.col("_first")) & (F.col("_own") == F.col("_text")), "left"))
+    wins = F.col(key).isNull() | F.col("_text").isNotNull()
     return j.select(*rows.columns, F.when(wins, "inserted").otherwise("ignored").alias("outcome"))
