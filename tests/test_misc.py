@@ -182,3 +182,10 @@ def test_orphans_without_a_join(spark):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     other = Q.orphan_rows(child.select(F.col("pid").cast("int")), "c", "pid", parent)     # keys of another type
     assert sorted((r.value, r.rows) for r in other.collect()) == [("-4", 1), ("3", 2)]
+
+
+def test_unique_keys_are_grouped_one_by_one(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (2, None), (3, None), (None, "3")], "id long, code string")
+    found = Q.unique_violations(df, "t", ["id", "code"])
+    assert sorted((r.column_name, r.value, r.rows) for r in found.collect()) == [("code", "a", 2), ("id", "2", 2)]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -41,18 +41,14 @@ def union_all(parts: Iterable[DataFrame]) -> DataFrame:
 
 # DQ1: a unique key value held by more than one row (NULLs may repeat).
 def unique_violations(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
-    """All key columns of a table in one scan: (column, value) pairs are
-    stacked and counted with one aggregation."""
-    pairs = F.filter(F.array(*[F.when(F.col(c).isNotNull(),
-                                      F.struct(F.lit(c).alias("c"),
-                                               F.col(c).cast("string").alias("v")))
-                               for c in columns]), lambda x: x.isNotNull())
-    g = (df.select(F.explode(pairs).alias("p"))
-         .groupBy(F.col("p.c").alias("_c"), F.col("p.v").alias("_v"))
-         .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1))
-    return g.select(F.lit("unique").alias("check"), F.lit(table).alias("table_name"),
-                    F.col("_c").alias("column_name"), F.col("_v").alias("value"),
-                    F.col("_n").cast("bigint").alias("rows"))
+    """One aggregation per key column: nearly every value is a group of its own, and a task
+    holds those of one column at a time."""
+    parts = []
+    for c in columns:
+        g = (df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("_v"))
+             .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1))
+        parts.append(_report(g, "unique", table, c, F.col("_v"), F.col("_n")))
+    return union_all(parts)
 
 
 # DQ2: child keys without a parent row.
