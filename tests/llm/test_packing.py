@@ -99,6 +99,34 @@ def test_word_cache_equals_whole_text():
         assert np.frombuffer(tok.ids(text.encode()), "<u4").tolist() == want
 
 
+class Counting:
+    """The tokenizer, noting what its model is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, []
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    @property
+    def model(self):
+        return self
+
+    def tokenize(self, piece):
+        self.given.append(piece)
+        return self.tokenizer.model.tokenize(piece)
+
+
+def test_runs_of_letters_are_tokenised_once_in_any_case_and_with_any_marks():
+    tok = P.WordTokenizer(P.TOKENIZER)
+    text = "canción Canción, (CANCIÓN) canción!! train Train, TRAIN. \"train\" ß7ß don't <b> ÷ª"
+    want = tok.tokenizer.encode(text, add_special_tokens=False).ids
+    tok.tokenizer = count = Counting(tok.tokenizer)
+    assert np.frombuffer(tok.ids(text.encode()), "<u4").tolist() == want
+    assert count.given.count("train") == 1
+    assert sum(p.startswith("canci") for p in count.given) == 1
+
+
 def test_pack_documents(spark):
     rnd = random.Random(3)
     rows = [(i, " ".join(rnd.choice(["alpha", "beta", "x1"]) for _ in range(rnd.randrange(60))), "e") for i in range(80)]

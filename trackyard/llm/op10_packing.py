@@ -17,8 +17,11 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
+import struct
 import zlib
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +40,24 @@ PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, part
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+#: Letters, digits and marks of words that need no normaliser: each is its own composed form, and
+#: nothing among them makes a contraction or a special token.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:;=-@\[-`{-~"
+PLAIN = re.compile(f"[{LETTERS}{MARKS}0-9]+")
+RUNS = re.compile(f"[{LETTERS}]+|[0-9]|[{MARKS}]+")
+
+
+def _raw(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordTokenizer:
-    """Token ids of whole texts as little-endian uint32 bytes, through a bounded word cache.
+    """Token ids of whole texts as little-endian uint32 bytes, through bounded caches.
 
     The vocabulary drops white space and tokenises each word alone, so a text's ids are its
-    words' ids in a row.  Words of ASCII letters go straight to the model, other words through
-    its normaliser and splitter first; what may hold a special token goes through the whole.
+    words' ids in a row, and a word's those of its runs of letters or marks and its digits.  ``PLAIN``
+    words go straight to the model, run by run; other words through its normaliser and splitter
+    first; what may hold a special token goes through the whole.
     """
 
     def __init__(self, name: str):
@@ -52,38 +67,43 @@ class WordTokenizer:
             import public_tokenizers
             name = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(name)
-        self.seen = _Seen(self)
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = {c: split(chr(c))[0][0] for c in range(0xC0, 0x100) if chr(c).isalpha()}   # as the model has them
+        self.seen, self.runs = _Seen(self.word), _Seen(self.run)
+
+    def run(self, run: str) -> bytes:
+        return _raw([t.id for t in self.tokenizer.model.tokenize(run if run.isascii() else run.translate(self.letters))])
 
     def word(self, word: bytes) -> bytes:
-        tok = self.tokenizer
-        low = word.lower()
-        if low.isalpha() and low.isascii():
-            ids = [t.id for t in tok.model.tokenize(low.decode())]
-        elif len(low) > 1 and low[-1] in b".," and low[:-1].isalpha() and low.isascii():
-            return self.seen[low[:-1]] + self.seen[low[-1:]]     # letters and marks never merge
-        elif b"<|" in low:
-            ids = tok.encode(word.decode(), add_special_tokens=False).ids
+        tok, text = self.tokenizer, word.decode()
+        if word.isalpha():                               # of bytes: ASCII letters only
+            return self.runs[text.lower()]
+        if PLAIN.fullmatch(text):
+            runs = RUNS.findall(text.lower())
+            return self.runs[runs[0]] if len(runs) == 1 else b"".join(map(self.runs.__getitem__, runs))
+        if b"<|" in word:
+            ids = tok.encode(text, add_special_tokens=False).ids
         else:
-            plain = tok.normalizer.normalize_str(word.decode())
+            plain = tok.normalizer.normalize_str(text)
             ids = [t.id for piece, _ in tok.pre_tokenizer.pre_tokenize_str(plain) for t in tok.model.tokenize(piece)]
-        return np.array(ids, "<u4").tobytes()
+        return _raw(ids)
 
     def ids(self, text: bytes) -> bytes:
         return b"".join(map(self.seen.__getitem__, text.split()))
 
 
 class _Seen(dict):
-    """Ids of words seen lately: at most two generations of ``MOST`` words."""
+    """Ids of words or runs seen lately: at most two generations of ``MOST``."""
 
     MOST = 350_000
 
-    def __init__(self, owner: WordTokenizer):
-        self.owner, self.before = owner, {}
+    def __init__(self, make: Callable[[bytes | str], bytes]):
+        self.make, self.before = make, {}
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, word: bytes | str) -> bytes:
         got = self.before.get(word)
         if got is None:
-            got = self.owner.word(word)
+            got = self.make(word)
         if len(word) <= 40:
             if len(self) >= self.MOST:
                 self.before = dict(self)
