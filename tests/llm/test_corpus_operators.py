@@ -258,6 +258,28 @@ def test_katz_table(spark, rows, monkeypatch, owned):
         assert sum(p(w, h) for w in [*vocabulary, -1]) == pytest.approx(1, abs=1e-9)
 
 
+def test_katz_keeps_on_disk_what_it_reads_again(spark, rows):
+    """Blocks go once they are stored with their ids, and letters to them; a share's rising numbers take few bytes."""
+    import os
+    from trackyard.llm.common import shared_dir
+    at = f"{shared_dir(spark)}/llm"
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    docs = spark.createDataFrame([r for r in rows if r[0] is not None], "doc_id long, text string")
+    scored, _ = K.train_and_score(docs, docs.doc_id % 5 == 1, 3, 2000)
+    assert scored.count() == docs.count()
+    new = {d.split("-")[0]: sorted(f for f in os.listdir(f"{at}/{d}") if f.startswith("kind="))
+           for d in set(os.listdir(at)) - before}
+    assert set(new) == {"tokens", "named", "shares"} and new["tokens"] == ["kind=sums", "kind=unigrams"]
+
+
+@pytest.mark.parametrize("x", [[], [0], [5, 3, 1 << 62, 0, 0], list(range(0, 9000, 7))])
+def test_compact_numbers(x):
+    x = np.array(x, np.int64)
+    for near in (False, True):
+        assert K.expanded(K.compact(x, near)).tolist() == x.tolist()
+    assert len(x) < 99 or 10 * len(K.compact(x, near=True)) < len(K.packed(x))
+
+
 def test_katz_empty(spark, docs, empty):
     from pyspark.sql import functions as F
     assert K.train_and_score(empty, F.lit(False))[0].count() == 0

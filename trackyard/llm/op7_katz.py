@@ -14,11 +14,12 @@ no valid discount, d(c) is (c - D) / c with D = n1 / (n1 + 2 n2).  Before a docu
 word stand start marks.
 
 How it runs: texts are encoded once into blocks of token codes (stored).  Each block asks the
-owners of its distinct tokens, dealt by hash, for ids and corpus counts; then it sends its
+owners of its distinct tokens, dealt by hash, for ids and corpus counts, and is stored again with
+these, its codes in the order of the ids; what it was made of is removed.  Then it sends its
 distinct n-grams of the highest order, with their training counts, to the owner of the word
 before the last.  An owner so holds all orders of its contexts: it merges the blocks' counts
 and stores its share of the model.  A word with many followers is split over several owners by
-follower; sums of its contexts are added up by Spark and joined back.  Once the discounts are
+follower; sums of contexts that several owners have are added up by Spark and given back.  Once the discounts are
 known, shares are evaluated and answer the blocks, which add up their documents.  A letter from
 a block to an owner is one row of numbers, written and read for all owners at once and only
 packed one by one; there are never more letters than n-grams.  No owner, block or collected result grows with the corpus.
@@ -37,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackyard.llm.common import LOWER, U, Words, column_bytes, discard, held_out, mix, pick, read, stored_at, text_slices
@@ -52,6 +53,8 @@ SLICES = 1 << 20               # parts of the token space that are dealt to owne
 
 ENCODED = ("kind string, block long, doc_ids array<long>, counts array<int>, held array<boolean>, n_tokens long, "
            "n_words long, slices binary, codes binary, words binary, seen binary")
+NAMED = ("block long, doc_ids array<long>, counts array<int>, held array<boolean>, codes binary, ids binary, "
+         "total binary")
 SENT = ("kind string, bucket int, block long, body binary, rest binary, parts array<binary>, split boolean, level int, "
         "at int, context array<long>, sums array<long>")
 SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
@@ -147,6 +150,32 @@ def varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
+def numbers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, where the last byte of each lies) of ``varints``."""
+    last = np.flatnonzero(data < 128)
+    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    values, left, j = np.zeros(len(last), U), np.arange(len(last)), 0
+    while len(left):
+        values[left] |= (data[first[left] + j] & np.uint8(127)).astype(U) << U(7 * j)
+        j += 1
+        left = left[first[left] + j <= last[left]]
+    return values.view(np.int64), last
+
+
+def compact(values: np.ndarray, near: bool = False) -> bytes:
+    """Non-negative integers as compressed varints; ``near``: as differences, for neighbours that are alike."""
+    x = np.asarray(values, np.int64)
+    if near:
+        x = np.diff(x, prepend=0)
+        x = x << 1 ^ x >> 63
+    return bytes([near]) + zstandard.ZstdCompressor(3).compress(varints(x.astype(U))[0].tobytes())
+
+
+def expanded(raw: bytes) -> np.ndarray:
+    x, _ = numbers(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8))
+    return np.cumsum(x >> 1 ^ -(x & 1)) if raw[0] else x
+
+
 def letters(*streams: tuple[np.ndarray, np.ndarray]) -> pa.Array:
     """Letters of several streams of numbers: letter m has the next ``lengths[m]`` of each (values, lengths)."""
     lengths = np.array([n for _, n in streams], np.int64)
@@ -168,14 +197,7 @@ def opened(body: pa.ChunkedArray, kinds: int) -> list[tuple[np.ndarray, np.ndarr
     """The streams of ``letters``, each over all letters in turn: (values, lengths)."""
     raw = list(map(zstandard.ZstdDecompressor().decompress, body.to_pylist()))
     data, begins = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])[:-1]
-    last = np.flatnonzero(data < 128)
-    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
-    values, left, j = np.zeros(len(last), U), np.arange(len(last)), 0
-    while len(left):
-        values[left] |= (data[first[left] + j] & np.uint8(127)).astype(U) << U(7 * j)
-        j += 1
-        left = left[first[left] + j <= last[left]]
-    values = values.view(np.int64)
+    values, last = numbers(data)
     start = np.searchsorted(last, begins)
     lengths = values[start[:, None] + np.arange(kinds)].T
     at, out = start + kinds, []
@@ -196,23 +218,42 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a, b if names is None else names[b], at
 
 
+def named(blocks: DataFrame, tokens: DataFrame, buckets: int) -> DataFrame:
+    """Blocks with the ids and corpus counts of their words (``NAMED``); codes in the order of the ids."""
+
+    def tell(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        (told, _), (counts, _) = opened(right.sort_by("bucket").column("body"), 2)
+        order = np.argsort(unpacked(row["slices"]) % buckets, kind="stable")
+        by = np.argsort(told)
+        place = np.empty(len(by), np.int64)
+        place[order[by]] = np.arange(len(by))
+        row |= {"codes": packed(place[unpacked(row["codes"])]), "ids": compact(told[by], near=True),
+                "total": compact(counts[by])}
+        return pa.table({c: pa.array([row[c]], t) for c, t in _NAMED.items()})
+
+    return blocks.groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(tell, NAMED)
+
+
+_NAMED = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "counts": pa.list_(pa.int32()),
+          "held": pa.list_(pa.bool_()), "codes": pa.binary(), "ids": pa.binary(), "total": pa.binary()}
+
+
 class Block:
-    """One encoded block: its tokens, and what it has been told about them."""
+    """One named block; the start mark has the last place of its words."""
 
-    def __init__(self, table: pa.Table):
-        row = table.slice(0, 1).to_pylist()[0]
+    def __init__(self, row: dict, train_docs: int):
         self.name, self.doc_ids, self.held = row["block"], row["doc_ids"], row["held"]
-        self.counts = np.array(row["counts"], np.int64)
-        self.slices, self.codes = unpacked(row["slices"]), unpacked(row["codes"])
-        self.n_words = row["n_words"]
+        self.counts, self.codes = np.array(row["counts"], np.int64), unpacked(row["codes"])
+        self.ids, self.total = np.append(expanded(row["ids"]), START), np.append(expanded(row["total"]), train_docs)
+        self.n_words = len(self.ids) - 1
         self.train = np.repeat(~np.array(self.held, bool), self.counts)
 
-    def told_tokens(self, told: pa.Table, buckets: int, train_docs: int) -> None:
-        """Takes ids and corpus counts; the start mark gets the last place of both."""
-        (ids, _), (total, _) = opened(told.sort_by("bucket").column("body"), 2)
-        order = np.argsort(self.slices % buckets, kind="stable")
-        self.ids, self.total = np.full(self.n_words + 1, START), np.full(self.n_words + 1, train_docs)
-        self.ids[order], self.total[order] = ids, total
+    @classmethod
+    def each(cls, batches: Iterator[pa.RecordBatch], train_docs: int) -> Iterator["Block"]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield cls(b.slice(i, 1).to_pylist()[0], train_docs)
 
     def grams(self, order: int, buckets: int, hot: int) -> None:
         """Distinct n-grams as a tree: pairs (v, w) by owner, then for each word further back (parent, word);
@@ -343,8 +384,11 @@ class Share:
             size = len(word)
         return cls(*parts, np.bincount(gram, seen, size).astype(np.int64), *steps), gram, n
 
-    def parts(self) -> list[np.ndarray]:
-        return [self.heads, self.head_of, self.words, self.c1, self.levels[-1].count, *(x for s in self.steps for x in s)]
+    def parts(self) -> list[bytes]:
+        """What ``__init__`` takes, packed: all but counts and the words further back rise, or nearly so."""
+        rising = [compact(x, near=True) for x in (self.heads, self.head_of, self.words)]
+        steps = [compact(x, near=k == 0) for s in self.steps for k, x in enumerate(s)]
+        return [*rising, compact(self.c1), compact(self.levels[-1].count), *steps]
 
     def evaluate(self, sums: list[np.ndarray], mass: int, discounts: list["Discounts"]) -> None:
         """Sets each level's ``p`` of its n-grams, and ``base`` and ``back`` (the back-off weight) of its contexts."""
@@ -367,23 +411,21 @@ class Share:
                 lower = lower[self.levels[after].parent]
 
 
-def shares(blocks: DataFrame, tokens: DataFrame, order: int, buckets: int, pair_buckets: int, hot: int,
-           train_docs: int) -> DataFrame:
+def shares(blocks: DataFrame, order: int, pair_buckets: int, hot: int, train_docs: int) -> DataFrame:
     """N-gram owners (``SENT``): their shares of the model with the letters to answer, sums of split contexts, and
     counts of counts of each order."""
 
-    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left)
-        block.told_tokens(right, buckets, train_docs)
-        block.grams(order, pair_buckets, hot)
-        return block.asks()
+    def ask(batches):
+        for block in Block.each(batches, train_docs):
+            block.grams(order, pair_buckets, hot)
+            yield from block.asks().to_batches()
 
     def own(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         share, index, sizes = Share.merged(opened(table.column("body"), 2 * order + 1))
         blocks = table.column("block").to_numpy()
         out = [sent(1, kind="share", bucket=bucket, split=bool(share.levels[0].split.any()),
-                    parts=[packed(x) for x in (blocks, sizes, index, *share.parts())])]
+                    parts=[compact(blocks, near=True), compact(sizes), compact(index, near=True), *share.parts()])]
         for k, level in enumerate(share.levels, 2):
             counts = np.bincount(np.minimum(level.count, K + 2), minlength=K + 3)
             out.append(sent(1, kind="counts", bucket=bucket, level=k, sums=counts.tolist()))
@@ -392,8 +434,7 @@ def shares(blocks: DataFrame, tokens: DataFrame, order: int, buckets: int, pair_
                                 sums=lists(level.sums(k == 2)[at])))
         return pa.concat_tables(out)
 
-    asked = blocks.groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(ask, SENT)
-    return asked.groupBy("bucket").applyInArrow(own, SENT)
+    return blocks.mapInArrow(ask, SENT).groupBy("bucket").applyInArrow(own, SENT)
 
 
 class Discounts:
@@ -433,17 +474,18 @@ class Model:
         counts = {r.level: np.array(r[1:]) for r in counts.collect()}
         self.discounts = [Discounts(counts.get(k, np.zeros(K + 3))) for k in range(2, order + 1)]
         parts = found.where("kind = 'split'").select("bucket", "level", "at", "context", "sums")
-        whole = parts.groupBy("level", "context").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(3 + 2 * K)])
-        whole = whole.select("level", "context", F.array(*[f"s{i}" for i in range(3 + 2 * K)]).alias("total"))
-        self.totals = parts.drop("sums").join(whole, ["level", "context"]).select(
-            F.col("bucket").alias("owner"), "level", "at", "total")
+        # a context that only one owner has is whole there
+        same = Window.partitionBy("level", "context")
+        total = F.array(*[F.sum(F.col("sums")[i]).over(same) for i in range(3 + 2 * K)])
+        self.totals = parts.select(F.col("bucket").alias("owner"), "level", "at", total.alias("total"),
+                                   F.count(F.lit(1)).over(same).alias("n")).where("n > 1").drop("n")
 
     def each(self, run, schema: str) -> DataFrame:
         """``run(share, bucket, blocks, sizes, index)`` -> tables, over all evaluated shares."""
         mass, discounts = self.mass, self.discounts
 
         def evaluated(row: dict, totals: pa.Table | None) -> Iterator[pa.Table]:
-            blocks, sizes, index, *parts = (unpacked(x) for x in row["parts"])
+            blocks, sizes, index, *parts = map(expanded, row["parts"])
             share = Share(*parts)
             sums = [level.sums(k == 0) for k, level in enumerate(share.levels)]
             if totals is not None:
@@ -511,16 +553,14 @@ class Model:
         return low if self.order == 1 else low.unionByName(self.each(run, MODEL))
 
 
-def scores(blocks: DataFrame, answers: DataFrame, order: int, buckets: int, pair_buckets: int, hot: int, train_docs: int,
+def scores(blocks: DataFrame, answers: DataFrame | None, order: int, pair_buckets: int, hot: int, train_docs: int,
            n: int, mass: int, top: Discounts | None) -> DataFrame:
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        block, kind = Block(left), np.array(right.column("kind").to_pylist())
-        block.told_tokens(right.filter(pa.array(kind == "tokens")), buckets, train_docs)
+    def scored(block: Block, told: pa.Table | None) -> pa.Table:
         low = ((block.total[:-1] + 1) / mass)[block.codes]
         p = low
-        if order > 1:
+        if told is not None:
             block.grams(order, pair_buckets, hot)
-            told = right.filter(pa.array(kind == "grams")).sort_by("bucket")
+            told = told.sort_by("bucket")
             (count, _), (base, _) = opened(told.column("body"), 2)
             seen, of = count > 0, np.empty(len(count))
             of[seen] = top.seen(count[seen]) / base
@@ -535,7 +575,16 @@ def scores(blocks: DataFrame, answers: DataFrame, order: int, buckets: int, pair
             "train_tokens": pa.array(np.full(len(block.counts), n, np.int64)),
             "base_score": pa.array(total(np.log10(low))), "score": pa.array(total(np.log10(p)))})
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORED)
+    def alone(batches):
+        for block in Block.each(batches, train_docs):
+            yield from scored(block, None).to_batches()
+
+    def told(left: pa.Table, right: pa.Table) -> pa.Table:
+        return scored(Block(left.to_pylist()[0], train_docs), right)
+
+    if answers is None:
+        return blocks.mapInArrow(alone, SCORED)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(told, SCORED)
 
 
 def train_and_score(docs: DataFrame, held: Column, order: int = ORDER, owned: int = OWNED) -> tuple[DataFrame, Model]:
@@ -549,19 +598,21 @@ def train_and_score(docs: DataFrame, held: Column, order: int = ORDER, owned: in
     buckets = min(buckets, SLICES)
     train_docs, hot = size.docs or 0, owned
     words = encoded.where("kind = 'words'").select("block", "slices", "words", "seen")
-    tokens, _ = stored_at(token_answers(words, buckets), "tokens", ("kind",))
+    tokens, told = stored_at(token_answers(words, buckets), "tokens", ("kind",))
     discard(docs.sparkSession, f"{path}/kind=words")      # from here on tokens go by their ids
     found = tokens.where("kind = 'sums'").agg(F.sum(F.col("sums")[0]), F.sum(F.col("sums")[1])).first()
     n, v = (int(x or 0) for x in found)
     mass = n + v + 1
     known, unigrams = tokens.where("kind = 'tokens'"), tokens.where("kind = 'unigrams'")
+    blocks, _ = stored_at(named(blocks, known, buckets), "named")
+    for done in (path, f"{told}/kind=tokens"):
+        discard(docs.sparkSession, done)
     if order == 1:
         model = Model(tokens.limit(0), unigrams, order, mass)
-        return scores(blocks, known, order, buckets, pair_buckets, hot, train_docs, n, mass, None), model
-    stored, _ = stored_at(shares(blocks, known, order, buckets, pair_buckets, hot, train_docs), "shares", ("kind",))
+        return scores(blocks, None, order, pair_buckets, hot, train_docs, n, mass, None), model
+    stored, _ = stored_at(shares(blocks, order, pair_buckets, hot, train_docs), "shares", ("kind",))
     model = Model(stored, unigrams, order, mass)
-    answers = known.unionByName(model.answers())
-    return scores(blocks, answers, order, buckets, pair_buckets, hot, train_docs, n, mass, model.discounts[-1]), model
+    return scores(blocks, model.answers(), order, pair_buckets, hot, train_docs, n, mass, model.discounts[-1]), model
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
