@@ -261,11 +261,14 @@ def test_katz_table(spark, rows, monkeypatch, owned):
 def test_katz_keeps_on_disk_what_it_reads_again(spark, rows):
     """Blocks go once they are stored with their ids, and letters to them; a share's rising numbers take few bytes."""
     import os
+
+    from pyspark.sql import functions as F
+
     from trackyard.llm.common import shared_dir
     at = f"{shared_dir(spark)}/llm"
     before = set(os.listdir(at)) if os.path.isdir(at) else set()
     docs = spark.createDataFrame([r for r in rows if r[0] is not None], "doc_id long, text string")
-    scored, _ = K.train_and_score(docs, docs.doc_id % 5 == 1, 3, 2000)
+    scored, _ = K.train_and_score(docs, F.col("doc_id") % 5 == 1, 3, 2000)
     assert scored.count() == docs.count()
     new = {d.split("-")[0]: sorted(f for f in os.listdir(f"{at}/{d}") if f.startswith("kind="))
            for d in set(os.listdir(at)) - before}
