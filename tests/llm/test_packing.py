@@ -127,6 +127,25 @@ def test_runs_of_letters_are_tokenised_once_in_any_case_and_with_any_marks():
     assert sum(p.startswith("canci") for p in count.given) == 1
 
 
+def test_words_are_kept_as_their_pieces():
+    """The cache has one entry for a run of letters, however the words with it are written."""
+    tok = P.WordTokenizer(P.TOKENIZER)
+    text = "train Train, TRAIN. (train) train7 7train! élan, Élan."
+    want = tok.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tok.ids(text.encode()), "<u4").tolist() == want
+    assert set(tok.seen) == {b"train", b",", b".", b"(", b")", b"7", b"!", "élan".encode()}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aAbZ éÉßÿÀ×÷ª'<|>.,!?s \t\n019²\u0301\u00a0\u3000ΣςİK\x1c\x00日"), max_size=14), max_size=5))
+def test_texts_of_a_batch_keep_apart(texts):
+    tok = P.tokenizer(P.TOKENIZER)
+    raw = [t.encode() for t in texts]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    got = [np.frombuffer(x, "<u4").tolist() for x in tok.each(data, offs)]
+    assert got == [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pack_documents(spark):
     rnd = random.Random(3)
     rows = [(i, " ".join(rnd.choice(["alpha", "beta", "x1"]) for _ in range(rnd.randrange(60))), "e") for i in range(80)]

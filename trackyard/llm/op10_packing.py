@@ -16,12 +16,14 @@ sequence is arbitrary, the number of sequences is not.
 from __future__ import annotations
 
 import bisect
+import codecs
+import itertools
 import os
 import re
 import struct
 import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trackyard.llm.common import pick, read, stored, text_slices
+from trackyard.llm.common import LOWER, SPACES, column_bytes, pick, read, stored, text_slices
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -40,23 +42,46 @@ PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, part
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-#: Letters, digits and marks of words that need no normaliser: each is its own composed form, and
-#: nothing among them makes a contraction or a special token.
-LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:;=-@\[-`{-~"
-PLAIN = re.compile(f"[{LETTERS}{MARKS}0-9]+")
-RUNS = re.compile(f"[{LETTERS}]+|[0-9]|[{MARKS}]+")
-
-
-def _raw(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+#: What a byte of a word is: letters (ASCII, and from \xc3 on those of À to ÿ), digits and marks need no normaliser:
+#: each is its own composed form, and nothing among them makes a contraction or a special token.  Others are odd.
+SPACE, LETTER, DIGIT, MARK, ODD = range(5)
+KIND = np.full(256, ODD, np.uint8)
+KIND[SPACES] = SPACE
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = LETTER
+KIND[range(0x30, 0x3A)] = DIGIT
+KIND[[*b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"]] = MARK
+PLAIN = re.compile(rb"(?:[!-&(-;=-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+def runs_apart(data: np.ndarray, offs: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The texts with a space between the runs of letters or marks and the digits of each word, in lower case,
+    and the new offsets.  Words with an odd byte stay as they are."""
+    kind, low = KIND[data], LOWER[data]
+    at = np.flatnonzero(data == 0xC3) + 1
+    second = data[at]
+    kind[at] = np.where((second == 0x97) | (second == 0xB7), ODD, LETTER)     # signs between the letters
+    low[at] = second + np.uint8(0x20) * ((second < 0x9F) & (second != 0x97))
+    if (kind == ODD).any():
+        begins = kind != SPACE
+        begins[1:] &= kind[:-1] == SPACE
+        first = offs[:-1][np.diff(offs) > 0]
+        begins[first] = True                         # spaces count with the word before, or as a word of their own
+        word = np.cumsum(begins, dtype=np.int32)
+        odd = np.zeros(int(word[-1]) + 1, bool)
+        odd[word[kind == ODD]] = True
+        odd = odd[word] & (kind != SPACE)
+        kind[odd], low[odd] = ODD, data[odd]
+    a, b = kind[:-1], kind[1:]
+    cuts = np.flatnonzero(((a != b) | (b == DIGIT)) & (a != SPACE) & (b != SPACE)) + 1
+    return np.insert(low, cuts, 0x20).tobytes(), offs + np.searchsorted(cuts, offs)
 
 
 class WordTokenizer:
-    """Token ids of whole texts as little-endian uint32 bytes, through bounded caches.
+    """Token ids of whole texts as little-endian uint32 bytes, through a bounded cache.
 
     The vocabulary drops white space and tokenises each word alone, so a text's ids are its
-    words' ids in a row, and a word's those of its runs of letters or marks and its digits.  ``PLAIN``
-    words go straight to the model, run by run; other words through its normaliser and splitter
+    words' ids in a row, and a word's those of its runs of letters or marks and its digits.  These
+    pieces go straight to the model; words with odd bytes through its normaliser and splitter
     first; what may hold a special token goes through the whole.
     """
 
@@ -68,39 +93,42 @@ class WordTokenizer:
             name = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(name)
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.letters = {c: split(chr(c))[0][0] for c in range(0xC0, 0x100) if chr(c).isalpha()}   # as the model has them
-        self.seen, self.runs = _Seen(self.word), _Seen(self.run)
-
-    def run(self, run: str) -> bytes:
-        return _raw([t.id for t in self.tokenizer.model.tokenize(run if run.isascii() else run.translate(self.letters))])
-
-    def word(self, word: bytes) -> bytes:
-        tok, text = self.tokenizer, word.decode()
-        if word.isalpha():                               # of bytes: ASCII letters only
-            return self.runs[text.lower()]
-        if PLAIN.fullmatch(text):
-            runs = RUNS.findall(text.lower())
-            return self.runs[runs[0]] if len(runs) == 1 else b"".join(map(self.runs.__getitem__, runs))
-        if b"<|" in word:
-            ids = tok.encode(text, add_special_tokens=False).ids
+        table = [chr(b) for b in range(256)]             # bytes as the model has them
+        for c in range(0xC0, 0x100):
+            for b, x in zip(chr(c).encode(), split(chr(c))[0][0]):
+                table[b] = x
+        self.table, self.seen = "".join(table), _Seen(self.piece)
+
+    def piece(self, piece: bytes) -> bytes:
+        tok = self.tokenizer
+        if piece.isalpha() or PLAIN.fullmatch(piece):    # of bytes: ASCII letters only
+            ids = [t.id for t in tok.model.tokenize(codecs.charmap_decode(piece, "strict", self.table)[0])]
+        elif b"<|" in piece:
+            ids = tok.encode(piece.decode(), add_special_tokens=False).ids
         else:
-            plain = tok.normalizer.normalize_str(text)
-            ids = [t.id for piece, _ in tok.pre_tokenizer.pre_tokenize_str(plain) for t in tok.model.tokenize(piece)]
-        return _raw(ids)
+            plain = tok.normalizer.normalize_str(piece.decode())
+            ids = [t.id for run, _ in tok.pre_tokenizer.pre_tokenize_str(plain) for t in tok.model.tokenize(run)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def each(self, data: np.ndarray, offs: np.ndarray) -> Iterator[bytes]:
+        """Ids of the texts whose UTF-8 bytes lie between the offsets."""
+        apart, offs = runs_apart(data, offs)
+        for a, b in itertools.pairwise(offs.tolist()):
+            yield b"".join(map(self.seen.__getitem__, apart[a:b].split()))
 
     def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.seen.__getitem__, text.split()))
+        return next(self.each(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
 
 
 class _Seen(dict):
-    """Ids of words or runs seen lately: at most two generations of ``MOST``."""
+    """Ids of pieces seen lately: at most two generations of ``MOST``."""
 
     MOST = 350_000
 
-    def __init__(self, make: Callable[[bytes | str], bytes]):
+    def __init__(self, make: Callable[[bytes], bytes]):
         self.make, self.before = make, {}
 
-    def __missing__(self, word: bytes | str) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         got = self.before.get(word)
         if got is None:
             got = self.make(word)
@@ -130,8 +158,8 @@ def token_pieces(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACIT
         tok, part, nth = tokenizer(name), TaskContext.get().partitionId(), Counter()
         for b in text_slices(batches):
             out = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = tok.ids((text or "").encode()) + end
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), tok.each(*column_bytes(b.column("text")))):
+                ids += end
                 for k in range(0, len(ids), 4 * capacity):
                     piece = ids[k:k + 4 * capacity]
                     n = len(piece) // 4
