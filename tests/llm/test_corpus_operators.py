@@ -275,6 +275,37 @@ def test_katz_keeps_on_disk_what_it_reads_again(spark, rows):
     assert set(new) == {"tokens", "named", "shares"} and new["tokens"] == ["kind=sums", "kind=unigrams"]
 
 
+def test_katz_sums_of_split_contexts_are_few_letters(spark):
+    """A word of several owners with many contexts: a letter for each owner and adder, not a row for each context."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from trackyard.llm.common import shared_dir
+    at = f"{shared_dir(spark)}/llm"
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    docs = spark.createDataFrame([(i, f"w{i % 400} a x w{i % 7} a y") for i in range(1200)], "doc_id long, text string")
+    _, model = K.train_and_score(docs, F.lit(False), 3, 1000)
+    new, = (d for d in set(os.listdir(at)) - before if d.startswith("shares-"))
+    letters = spark.read.parquet(f"{at}/{new}/kind=split")
+    assert 0 < letters.where("level = 3").count() <= 3 * 3 * 3      # of three words at most, by owner and adder
+    contexts = {tuple(r.context): r.log_backoff for r in model.table().where("order = 3").collect()}
+    assert len(contexts) > 400
+
+
+def test_numbers_take_little_memory():
+    import tracemalloc
+    x = np.arange(1_500_000) % 70_000
+    tracemalloc.start()
+    data, _ = K.varints(x.astype(K.U))
+    wrote = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    values, _ = K.numbers(data)
+    read = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (values == x).all() and max(wrote, read) < 50 * len(x)      # bytes, 8 of them the input
+
+
 @pytest.mark.parametrize("x", [[], [0], [5, 3, 1 << 62, 0, 0], list(range(0, 9000, 7))])
 def test_compact_numbers(x):
     x = np.array(x, np.int64)

@@ -19,7 +19,7 @@ these, its codes in the order of the ids; what it was made of is removed.  Then
 distinct n-grams of the highest order, with their training counts, to the owner of the word
 before the last.  An owner so holds all orders of its contexts: it merges the blocks' counts
 and stores its share of the model.  A word with many followers is split over several owners by
-follower; sums of contexts that several owners have are added up by Spark and given back.  Once the discounts are
+follower; sums of contexts that several owners have go in letters, dealt by context, to be added up and given back.  Once the discounts are
 known, shares are evaluated and answer the blocks, which add up their documents.  A letter from
 a block to an owner is one row of numbers, written and read for all owners at once and only
 packed one by one; there are never more letters than n-grams.  No owner, block or collected result grows with the corpus.
@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackyard.llm.common import LOWER, U, Words, column_bytes, discard, held_out, mix, pick, read, stored_at, text_slices
@@ -50,13 +50,16 @@ OWNED = 400_000                # entries that an owner gets on average
 END = np.array([0x7F4A7C159E3779B9], U)    # stands for the end token; a word's hash equals it by chance only
 START = 0                      # id of the start mark; tokens have ids from 1 on
 SLICES = 1 << 20               # parts of the token space that are dealt to owners
+MANY = 20                      # bits of a word's number of owners
+PART = 1 << 18                 # numbers that are turned into bytes, or back, at once
+SUMS = 3 + 2 * K               # of a context, see ``Level.sums``
 
 ENCODED = ("kind string, block long, doc_ids array<long>, counts array<int>, held array<boolean>, n_tokens long, "
            "n_words long, slices binary, codes binary, words binary, seen binary")
 NAMED = ("block long, doc_ids array<long>, counts array<int>, held array<boolean>, codes binary, ids binary, "
          "total binary")
 SENT = ("kind string, bucket int, block long, body binary, rest binary, parts array<binary>, split boolean, level int, "
-        "at int, context array<long>, sums array<long>")
+        "sums array<long>")
 SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
           "score double")
 MODEL = "order int, context array<long>, word long, count long, log_prob double, log_backoff double"
@@ -79,7 +82,7 @@ def encode(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         part, seq, size, held = TaskContext.get().partitionId(), 0, 0, []
-        for b in text_slices(batches):
+        for b in text_slices(batches, BLOCK_BYTES):
             data, offs = column_bytes(b.column("text"))
             w = Words(LOWER[data], offs)
             tokens = np.insert(w.hash, w.first[1:], END[0])
@@ -116,8 +119,8 @@ def _block(name: int, held: list) -> pa.RecordBatch:
 
 
 _SENT = {"kind": pa.string(), "bucket": pa.int32(), "block": pa.int64(), "body": pa.binary(), "rest": pa.binary(),
-         "parts": pa.list_(pa.binary()), "split": pa.bool_(), "level": pa.int32(), "at": pa.int32(),
-         "context": pa.list_(pa.int64()), "sums": pa.list_(pa.int64())}
+         "parts": pa.list_(pa.binary()), "split": pa.bool_(), "level": pa.int32(),
+         "sums": pa.list_(pa.int64())}
 
 
 def sent(n: int, **columns) -> pa.Table:
@@ -134,6 +137,16 @@ def lists(rows: np.ndarray) -> pa.Array:
 
 def varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, where the bytes of each number end): seven bits a byte, a number's last byte is below 128."""
+    out, ends, done = [], np.empty(len(x), np.int64), 0
+    for i in range(0, len(x), PART):
+        data, stops = _varints(x[i:i + PART])
+        out.append(data)
+        ends[i:i + PART] = stops + done
+        done += len(data)
+    return np.concatenate(out) if out else np.empty(0, np.uint8), ends
+
+
+def _varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.ones(len(x), np.int64)
     for bits in range(7, 64, 7):
         more = x >= U(1 << bits)
@@ -141,7 +154,7 @@ def varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         size += more
     ends = np.cumsum(size)
-    out = np.empty(int(ends[-1]) if len(x) else 0, np.uint8)
+    out = np.empty(int(ends[-1]), np.uint8)
     at = ends - size
     while len(x):
         more = x >= U(128)
@@ -153,12 +166,16 @@ def varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def numbers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, where the last byte of each lies) of ``varints``."""
     last = np.flatnonzero(data < 128)
-    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
-    values, left, j = np.zeros(len(last), U), np.arange(len(last)), 0
-    while len(left):
-        values[left] |= (data[first[left] + j] & np.uint8(127)).astype(U) << U(7 * j)
-        j += 1
-        left = left[first[left] + j <= last[left]]
+    values = np.empty(len(last), U)
+    for i in range(0, len(last), PART):
+        end = last[i:i + PART]
+        first = np.append(last[i - 1] + 1 if i else 0, end[:-1] + 1)
+        some, left, j = (data[first] & np.uint8(127)).astype(U), np.flatnonzero(first < end), 1
+        while len(left):
+            some[left] |= (data[first[left] + j] & np.uint8(127)).astype(U) << U(7 * j)
+            j += 1
+            left = left[first[left] + j <= end[left]]
+        values[i:i + PART] = some
     return values.view(np.int64), last
 
 
@@ -267,7 +284,7 @@ class Block:
             return out
 
         v, w, gram = distinct_pairs(back(1), self.codes)
-        split = np.clip(-(-self.total // hot), 1, buckets)
+        split = np.clip(-(-self.total // hot), 1, min(buckets, (1 << MANY) - 1))
         part = (mix(self.ids[w].astype(U) + U(1)) % split[v].astype(U)).astype(np.int64)
         bucket = ((mix(self.ids[v].astype(U)) % U(buckets)).astype(np.int64) + part) % buckets
         by = np.argsort(bucket, kind="stable")
@@ -289,7 +306,9 @@ class Block:
         heads, bounds = np.flatnonzero(new), np.append(first, len(self.v))
         n_heads, n = np.add.reduceat(new.astype(np.int64), first), np.diff(bounds)
         v = self.v[heads]
-        streams = [(self.ids[v] * 2 + (self.split[v] > 1), n_heads), (np.diff(np.append(heads, len(self.v))), n_heads),
+        # a split word's head says over how many owners
+        head = np.where(self.split[v] > 1, (self.ids[v] << MANY | self.split[v]) << 1 | 1, self.ids[v] << 1)
+        streams = [(head, n_heads), (np.diff(np.append(heads, len(self.v))), n_heads),
                    (self.ids[self.w], n), (self.total[self.w], n)]
         size = len(self.v)
         for parent, code in self.steps:
@@ -331,7 +350,7 @@ class Level:
 
     parent: index of each one's shorter gram; ctx, n: its context, and how many there are;
     up, context: each context's shorter one, and its words (nearest first); count; low: count
-    of the shorter gram (of the word itself for pairs); split: contexts with followers elsewhere.
+    of the shorter gram (of the word itself for pairs); split: owners of each context's followers.
     """
 
     def __init__(self, **fields):
@@ -349,13 +368,44 @@ class Level:
                          add(low if pairs else np.where(low > K, low, 0)),
                          *[many(at[(low == r) & (not pairs)]) for r in some]], axis=1)
 
+    def shared(self, k: int, bucket: int) -> pa.Table:
+        """Letters with the sums of split contexts of ``k`` - 1 words; a word's contexts are dealt over as many
+        adders as it has owners, so that an adder has no more contexts than an owner."""
+        at = np.flatnonzero(self.split > 1)
+        part = np.zeros(len(at), U)
+        for x in self.context[at, 1:].T:
+            part = mix(part + x.astype(U) + U(1))
+        key = self.context[at, 0] << MANY | (part % self.split[at].astype(U)).astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        at, (keys, n) = at[order], np.unique(key, return_counts=True)
+        streams = [at, *self.context[at, 1:].T, *self.sums(k == 2)[at].T]
+        return sent(len(keys), kind="split", bucket=bucket, block=keys, level=k, body=letters(*[(x, n) for x in streams]))
+
+
+def added(table: pa.Table) -> pa.Table:
+    """The letters of an adder (see ``Level.shared``) answered with the sums over all owners of a context; one that
+    only one owner has is whole there."""
+    k = table.column("level")[0].as_py()
+    (at, n), *streams = opened(table.column("body"), k - 1 + SUMS)
+    same = np.zeros(len(at), np.int64)
+    for x, _ in streams[:k - 2]:
+        same = distinct_pairs(same, x)[2]
+    keep = np.bincount(same)[same] > 1
+    n = np.bincount(np.repeat(np.arange(len(n)), n)[keep], minlength=len(n))
+    total = [np.bincount(same, x).astype(np.int64)[same[keep]] for x, _ in streams[k - 2:]]
+    return sent(len(n), kind="total", bucket=table.column("bucket").combine_chunks(), level=k,
+                body=letters((at[keep], n), *[(x, n) for x in total]))
+
 
 class Share:
     """An owner's part of the model: all n-grams whose word before the last is among its ``heads``."""
 
     def __init__(self, heads, head_of, words, c1, counts, *steps):
         self.heads, self.head_of, self.words, self.c1, self.steps = heads, head_of, words, c1, list(zip(steps[::2], steps[1::2]))
-        level = Level(parent=None, ctx=head_of, n=len(heads), up=None, context=heads[:, None] >> 1, split=heads % 2 > 0)
+        hot = heads % 2 > 0
+        level = Level(parent=None, ctx=head_of, n=len(heads), up=None,
+                      context=np.where(hot, heads >> MANY + 1, heads >> 1)[:, None],
+                      split=np.where(hot, heads >> 1 & (1 << MANY) - 1, 1))
         self.levels = [level]
         for parent, word in self.steps:
             up, word, ctx = distinct_pairs(level.ctx[parent], word)
@@ -424,14 +474,13 @@ def shares(blocks: DataFrame, order: int, pair_buckets: int, hot: int, train_doc
         bucket = table.column("bucket")[0].as_py()
         share, index, sizes = Share.merged(opened(table.column("body"), 2 * order + 1))
         blocks = table.column("block").to_numpy()
-        out = [sent(1, kind="share", bucket=bucket, split=bool(share.levels[0].split.any()),
+        out = [sent(1, kind="share", bucket=bucket, split=bool((share.levels[0].split > 1).any()),
                     parts=[compact(blocks, near=True), compact(sizes), compact(index, near=True), *share.parts()])]
         for k, level in enumerate(share.levels, 2):
             counts = np.bincount(np.minimum(level.count, K + 2), minlength=K + 3)
             out.append(sent(1, kind="counts", bucket=bucket, level=k, sums=counts.tolist()))
-            if len(at := np.flatnonzero(level.split)):
-                out.append(sent(len(at), kind="split", bucket=bucket, level=k, at=at, context=lists(level.context[at]),
-                                sums=lists(level.sums(k == 2)[at])))
+            if (level.split > 1).any():
+                out.append(level.shared(k, bucket))
         return pa.concat_tables(out)
 
     return blocks.mapInArrow(ask, SENT).groupBy("bucket").applyInArrow(own, SENT)
@@ -473,12 +522,9 @@ class Model:
             *[F.sum(F.col("sums")[r]).alias(f"n{r}") for r in range(K + 3)])       # a row for each order
         counts = {r.level: np.array(r[1:]) for r in counts.collect()}
         self.discounts = [Discounts(counts.get(k, np.zeros(K + 3))) for k in range(2, order + 1)]
-        parts = found.where("kind = 'split'").select("bucket", "level", "at", "context", "sums")
-        # a context that only one owner has is whole there
-        same = Window.partitionBy("level", "context")
-        total = F.array(*[F.sum(F.col("sums")[i]).over(same) for i in range(3 + 2 * K)])
-        self.totals = parts.select(F.col("bucket").alias("owner"), "level", "at", total.alias("total"),
-                                   F.count(F.lit(1)).over(same).alias("n")).where("n > 1").drop("n")
+        parts = found.where("kind = 'split'").select("bucket", "block", "level", "body")
+        self.totals = parts.groupBy("block", "level").applyInArrow(added, SENT).select(
+            F.col("bucket").alias("owner"), "level", "body")
 
     def each(self, run, schema: str) -> DataFrame:
         """``run(share, bucket, blocks, sizes, index)`` -> tables, over all evaluated shares."""
@@ -489,10 +535,10 @@ class Model:
             share = Share(*parts)
             sums = [level.sums(k == 0) for k, level in enumerate(share.levels)]
             if totals is not None:
-                levels, at = (totals.column(c).to_numpy() for c in ("level", "at"))
-                values = totals.column("total").combine_chunks().flatten().to_numpy().reshape(len(at), 3 + 2 * K)
-                for k, s in enumerate(sums, 2):
-                    s[at[levels == k]] = values[levels == k]
+                levels = totals.column("level").to_numpy()
+                for k in np.unique(levels):
+                    (at, _), *total = opened(totals.column("body").filter(pa.array(levels == k)), 1 + SUMS)
+                    sums[k - 2][at] = np.stack([x for x, _ in total], axis=1)
             share.evaluate(sums, mass, discounts)
             yield from run(share, row["bucket"], blocks, sizes, index)
 
