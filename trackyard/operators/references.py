@@ -19,42 +19,81 @@ from pyspark.sql import functions as F
 
 from trackyard.functions import expr as X
 from trackyard.operators.seats import admit_bookings, taken_seats
-from trackyard.session import ensure_checkpoint_dir
+from trackyard.session import scratch_path
 
 CELLS = 4096
 ROUNDS = 4
+# The reference that is the last one left is looked for by ranges of the requests until so many remain.
+RANGES = 256
+FEW = 1 << 18
 
 
-def permuted(number: Column, length: int, inverse: bool = False) -> Column:
-    """A bijection of 0 .. 32^length - 1 (length up to 12): a Feistel network of two unequal halves."""
+def _halves(number: Column, length: int) -> tuple[Column, Column]:
+    low = 5 * length // 2
+    return F.shiftright(number, low), number.bitwiseAND(F.lit((1 << low) - 1).cast("long"))
+
+
+def _round(r: int, left: Column, right: Column, length: int) -> tuple[Column, Column]:
     low = 5 * length // 2
+    if r % 2:
+        return left, right.bitwiseXOR(F.xxhash64(F.lit("reference"), left, F.lit(r)).bitwiseAND(F.lit((1 << low) - 1).cast("long")))
     high = 5 * length - low
-    left, right = F.shiftright(number, low), number.bitwiseAND(F.lit((1 << low) - 1).cast("long"))
-    for r in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
-        if r % 2:
-            right = right.bitwiseXOR(F.xxhash64(F.lit("reference"), left, F.lit(r)).bitwiseAND(F.lit((1 << low) - 1).cast("long")))
-        else:
-            left = left.bitwiseXOR(F.xxhash64(F.lit("reference"), right, F.lit(r)).bitwiseAND(F.lit((1 << high) - 1).cast("long")))
-    return F.shiftleft(left, low).bitwiseOR(right)
+    return left.bitwiseXOR(F.xxhash64(F.lit("reference"), right, F.lit(r)).bitwiseAND(F.lit((1 << high) - 1).cast("long"))), right
 
 
-def to_reference(number: Column, length: int) -> Column:
-    """The reference of a number; NULL beyond the last one."""
-    code = permuted(number, length)
+def _rounds(inverse: bool):
+    return reversed(range(ROUNDS)) if inverse else range(ROUNDS)
+
+
+def permuted(number: Column, length: int, inverse: bool = False) -> Column:
+    """A bijection of 0 .. 32^length - 1 (length up to 12): a Feistel network of two unequal halves."""
+    left, right = _halves(number, length)
+    for r in _rounds(inverse):
+        left, right = _round(r, left, right, length)
+    return F.shiftleft(left, 5 * length // 2).bitwiseOR(right)
+
+
+def with_permuted(df: DataFrame, name: str, length: int, inverse: bool = False) -> DataFrame:
+    """``df`` with the number in column ``name`` replaced by its image under ``permuted``.
+
+    Each round is a column of its own.  As one expression the rounds are written out in each other,
+    13 times the number in all, which with references grows beyond what Spark compiles.
+    """
+    left, right = _halves(F.col(name), length)
+    df = df.withColumns({"_left": left, "_right": right})
+    for r in _rounds(inverse):
+        left, right = _round(r, F.col("_left"), F.col("_right"), length)
+        df = df.withColumn(*(("_right", right) if r % 2 else ("_left", left)))
+    return df.withColumn(name, F.shiftleft("_left", 5 * length // 2).bitwiseOR(F.col("_right"))).drop("_left", "_right")
+
+
+def _symbols(code: Column, length: int) -> Column:
     digits = [F.substring(F.lit(X.BOOKING_REF_ALPHABET),
                           (F.shiftright(code, 5 * i).bitwiseAND(F.lit(31).cast("long")) + 1).cast("int"), F.lit(1))
               for i in range(length)]
-    return F.when(number < 1 << 5 * length, F.concat(F.lit(X.BOOKING_REF_PREFIX), *digits))
+    return F.concat(F.lit(X.BOOKING_REF_PREFIX), *digits)
 
 
-def to_number(reference: Column, length: int) -> Column:
-    """The number of a reference; NULL for text that is no reference of this length."""
+def _code(reference: Column, length: int) -> Column:
     code, start = F.lit(0).cast("long"), len(X.BOOKING_REF_PREFIX)
     for i in range(length):
         digit = F.instr(F.lit(X.BOOKING_REF_ALPHABET), F.substring(reference, start + 1 + i, 1)) - 1
         code = code.bitwiseOR(F.shiftleft(digit.cast("long"), 5 * i))
-    return F.when(reference.rlike(f"^{X.BOOKING_REF_PREFIX}[{X.BOOKING_REF_ALPHABET}]{{{length}}}$"),
-                  permuted(code, length, inverse=True))
+    return code
+
+
+def _is_reference(text: Column, length: int) -> Column:
+    return text.rlike(f"^{X.BOOKING_REF_PREFIX}[{X.BOOKING_REF_ALPHABET}]{{{length}}}$")
+
+
+def to_reference(number: Column, length: int) -> Column:
+    """The reference of a number; NULL beyond the last one."""
+    return F.when(number < 1 << 5 * length, _symbols(permuted(number, length), length))
+
+
+def to_number(reference: Column, length: int) -> Column:
+    """The number of a reference; NULL for text that is no reference of this length."""
+    return F.when(_is_reference(reference, length), permuted(_code(reference, length), length, inverse=True))
 
 
 def _offsets(df: DataFrame, cell: str, size: Column) -> DataFrame:
@@ -74,20 +113,30 @@ def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
 
 def stored_numbers(existing: DataFrame, length: int) -> DataFrame:
     """(number) of the stored references of this length, once each."""
-    number = to_number(F.col("booking_ref"), length)
-    return existing.select(number.alias("number")).where(F.col("number").isNotNull()).distinct()
+    codes = existing.where(_is_reference(F.col("booking_ref"), length)).select(
+        _code(F.col("booking_ref"), length).alias("number")).distinct()
+    return with_permuted(codes, "number", length, inverse=True)
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under the checkpoint folder and read back, by column: most readers want a few."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def assign_booking_refs(rows: DataFrame, existing: DataFrame, key: str = "request_id",
-                        length: int = X.BOOKING_REF_LEN) -> DataFrame:
+                        length: int = X.BOOKING_REF_LEN, taken: DataFrame | None = None) -> DataFrame:
     """Give rows a reference 'BK-' + ``length`` symbols that no stored booking and no other row has.
 
     Row number r (rows in the order of ``numbered``) takes the r-th free number.  With the blocked
     numbers b_0 < b_1 < ... the number of free ones before b_j is b_j - j, so that number is r plus the count
     of j with b_j - j <= r: a running count along one line of rows and blocked numbers.  Rows
-    beyond the last free number get NULL.
+    beyond the last free number get NULL.  ``taken``: the ``stored_numbers`` of ``existing`` as kept, where
+    they are at hand; else they are kept when this is called.  They are read three times, and a filter on
+    derived ones would be written out through all rounds of the permutation.
     """
-    taken = stored_numbers(existing, length)
+    taken = _kept(stored_numbers(existing, length), "numbers") if taken is None else taken
     size = rows.select(F.count(F.lit(1))).scalar() + taken.select(F.count(F.lit(1))).scalar()
     width = F.greatest(F.lit(1).cast("long"), F.ceil(size / F.lit(CELLS)).cast("long"))
 
@@ -101,14 +150,18 @@ def assign_booking_refs(rows: DataFrame, existing: DataFrame, key: str = "reques
              .agg(F.count(F.lit(1)).alias("n")))
 
     asked = numbered(rows.select(F.struct(*rows.columns).alias("row"), F.col(key).alias("_key")), "_key", "at")
-    line = asked.select("at", F.lit(0).cast("long").alias("n"), "row").unionByName(
-        steps.where(F.col("at") < size).withColumn("row", F.lit(None).cast(asked.schema["row"].dataType)))
-    line = line.withColumn("_cell", cell("at"))
+    steps = steps.where(F.col("at") < size).withColumn("_cell", cell("at"))
+    line = asked.select("at", F.lit(0).cast("long").alias("n"), "row", cell("at").alias("_cell")).unionByName(
+        steps.withColumn("row", F.lit(None).cast(asked.schema["row"].dataType)))
     w = Window.partitionBy("_cell").orderBy("at", F.col("row").isNotNull())
+    # rows count for nothing in the cells' sums: the steps and every cell, 0 to CELLS, are all they take
+    cells = rows.sparkSession.range(CELLS + 1).select(F.col("id").alias("_cell"), F.lit(0).cast("long").alias("n"))
     placed = line.withColumn("_own", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
-        .join(_offsets(line, "_cell", F.sum("n")), "_cell").where(F.col("row").isNotNull())
-    number = F.col("at") + F.col("_before") + F.col("_own")
-    return placed.select("row.*", to_reference(number, length).alias("booking_ref"))
+        .join(_offsets(steps.select("_cell", "n").unionByName(cells), "_cell", F.sum("n")), "_cell").where(F.col("row").isNotNull())
+    number = (F.col("at") + F.col("_before") + F.col("_own")).alias("_number")
+    coded = with_permuted(placed.select("row.*", number, number.alias("_code")), "_code", length)
+    return coded.withColumn("booking_ref", F.when(F.col("_number") < 1 << 5 * length, _symbols(F.col("_code"), length))) \
+        .drop("_number", "_code")
 
 
 class Booked(NamedTuple):
@@ -122,27 +175,61 @@ def book(requests: DataFrame, schedules: DataFrame, bookings: DataFrame, routes:
     """Admission (ADM1), references (SC8) and booking rows (SNK1) as one: accepted = booked = seats taken.
 
     Requests count in (ts, request_id) order.  From the request on for which no reference is left,
-    whoever would be accepted is refused as 'no_reference' and takes no seat.  The admission's outcomes
-    are checkpointed, and two counts decide whether the references suffice, when this is called.
+    whoever would be accepted is refused as 'no_reference' and takes no seat.  The admission's candidates and
+    outcomes and the stored numbers are kept as files, and two counts decide whether the references suffice,
+    when this is called.
     """
-    ensure_checkpoint_dir(requests.sparkSession)
-    outcomes = admit_bookings(requests, schedules, bookings, routes).outcomes.checkpoint(eager=True)
-    left = (1 << 5 * length) - stored_numbers(bookings, length).count()
+    admission = admit_bookings(requests, schedules, bookings, routes, keep=lambda df: _kept(df, "candidates"))
+    outcomes = _kept(admission.outcomes, "outcomes")
+    taken = _kept(stored_numbers(bookings, length), "numbers")
+    left = (1 << 5 * length) - taken.count()
     accepted = outcomes.where("outcome = 'accepted'")
     if accepted.count() > left:
-        outcomes = _cut(outcomes, left, schedules, bookings).checkpoint(eager=True)
+        outcomes = _kept(_cut(outcomes, left, schedules, bookings), "outcomes")
         accepted = outcomes.where("outcome = 'accepted'")
-    coded = assign_booking_refs(accepted, bookings, length=length)
+    coded = assign_booking_refs(accepted, bookings, length=length, taken=taken)
     result = outcomes.where("outcome <> 'accepted'").withColumn("booking_ref", F.lit(None).cast("string")).unionByName(coded)
     deltas = accepted.groupBy("schedule_id").agg((-F.count(F.lit(1))).alias("delta"))
     return Booked(result, booking_rows(coded, users), deltas)
 
 
+def _moment(r) -> Column:
+    ts, known = X.ntz(F.lit(None) if r.ts is None else r.ts), F.lit(r.request_id)
+    return F.struct(ts, known.cast("string") if r.request_id is None else known)
+
+
+def _nth(rows: DataFrame, n: int):
+    """The (ts, request_id) that has n rows before it in this order.
+
+    Rows are counted by ranges and the one range with the n-th row is looked into, until few rows
+    are left: no task sorts or holds more than a range.
+    """
+    at = F.struct("ts", "request_id")
+    rows, total = rows.select("ts", "request_id"), None
+    while True:
+        ranges = rows.repartitionByRange(RANGES, "ts", "request_id").groupBy(F.spark_partition_id().alias("part")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(at).alias("low"), F.max(at).alias("high")).sort("part").collect()
+        for found in ranges:
+            if n < found.n:
+                break
+            n -= found.n
+        if found.low == found.high:
+            return found.low
+        if found.n == total:                       # nearly all are equal: the others, or those
+            rows = rows.where(at < _moment(found.high))
+            total = rows.count()
+            if n >= total:
+                return found.high
+        else:
+            rows, total = rows.where((at >= _moment(found.low)) & (at <= _moment(found.high))), found.n
+        if total <= FEW:
+            return rows.orderBy("ts", "request_id").offset(n).first()
+
+
 def _cut(outcomes: DataFrame, left: int, schedules: DataFrame, bookings: DataFrame) -> DataFrame:
     """Outcomes when only the first ``left`` accepted requests get a reference: the seats stand still from there on."""
     accepted = outcomes.where("outcome = 'accepted'")
-    first = accepted.orderBy("ts", "request_id").offset(left).select("ts", "request_id").first()
-    when = F.struct("ts", "request_id") >= F.struct(X.ntz(first.ts), F.lit(first.request_id))
+    when = F.struct("ts", "request_id") >= _moment(_nth(accepted, left))
     before = accepted.where(~when)
     sold = before.groupBy(F.col("schedule_id").alias("_s")).agg(F.count(F.lit(1)).alias("_sold"))
     seats = (schedules.select(F.col("id").alias("_id"), "available_seats").join(sold, F.col("_id") == F.col("_s"), "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
@@ -123,7 +124,8 @@ OUTCOMES = ("not_found", "schedule_cancelled", "no_seats", "seat_taken", "accept
 
 # ADM1
 def admit_bookings(requests: DataFrame, schedules: DataFrame, bookings: DataFrame,
-                   routes: DataFrame, salt_buckets: int = DEFAULT_SALT_BUCKETS) -> Admission:
+                   routes: DataFrame, salt_buckets: int = DEFAULT_SALT_BUCKETS,
+                   keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Admission:
     """Exact first-come seat admission for a batch of booking requests.
 
     Checks in source order: schedule missing -> cancelled -> no seats left
@@ -139,7 +141,8 @@ def admit_bookings(requests: DataFrame, schedules: DataFrame, bookings: DataFram
     top-k over candidates joined and ranked by (schedule, salt) (at most
     available_seats kept per salt); raw requests only pass through partial
     aggregations and two joins whose sides are exchanged for them alone, so
-    AQE can split a hot schedule there.
+    AQE can split a hot schedule there.  The candidates are used three times;
+    ``keep`` may store them, else each use derives them from the tables.
     """
     ordk = F.struct(F.col("ts"), F.col("request_id"))
     req = requests.withColumn("_seat", X.seat_key("seat_number"))
@@ -148,8 +151,8 @@ def admit_bookings(requests: DataFrame, schedules: DataFrame, bookings: DataFram
         F.col("schedule_id").alias("_hs"), F.col("seat").alias("_hseat"))
     # first request per (schedule, seat) whose seat is not held: the candidates
     first = req.groupBy("schedule_id", "_seat").agg(F.min(ordk).alias("_k"))
-    free = first.join(held, (first.schedule_id == held["_hs"]) & (first["_seat"] == held["_hseat"]),
-                      "left_anti")
+    free = keep(first.join(held, (first.schedule_id == held["_hs"]) & (first["_seat"] == held["_hseat"]),
+                           "left_anti"))
 
     # the available-th candidate of each live schedule that has as many candidates
     # as seats, or more; its row is repeated per salt, so the join and the first
